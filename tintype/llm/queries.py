@@ -10,12 +10,49 @@ from pyspark.sql import functions as F
 from tintype.llm.shared import documents
 
 
+def _tokenizer_file() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        return f.read()
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tintype.llm.pii import KINDS, find_personal_data, written
+
+    found = find_personal_data(documents(spark, sf_dir))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(KINDS)]
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tintype.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tintype.llm.packing import pack_documents
+
+    return pack_documents(documents(spark, sf_dir), _tokenizer_file())
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tintype.llm.order_minhash import compare_neighbours
 
     return compare_neighbours(documents(spark, sf_dir))
 
 
+#: The contract's rules: host and path, verdict.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tintype.llm.url_rules import judge_urls
+
+    return judge_urls(documents(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tintype.llm.line_quality import quality_rules
 
@@ -23,6 +60,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("removed_words").cast("long").alias("removed_words"))
 
 
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tintype.llm.byte_bpe import round_trip, tokenizer_of_ranks
+
+    return round_trip(documents(spark, sf_dir), tokenizer_of_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
