@@ -37,6 +37,20 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), _tokenizer_file())
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tintype.llm.line_dedup import dedup_lines
+
+    done = dedup_lines(documents(spark, sf_dir))
+    return done.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), "removed_lines", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tintype.llm.language import identify, train
+
+    docs = documents(spark, sf_dir)
+    return identify(docs, train(docs))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tintype.llm.order_minhash import compare_neighbours
 
