@@ -8,21 +8,54 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tintype.llm.line_dedup import dedup_lines
 from tintype.llm.line_quality import apply_quality_rules
+from tintype.llm.packing import pack_documents
+from tintype.llm.pii import mask_personal_data
+from tintype.llm.queries import tokenizer_file
+from tintype.llm.simhash import keep_one
 from tintype.plans.worktables import write_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejected documents go; lines that too many documents of a source share go from the rest."""
     return apply_quality_rules(docs)
 
 
-STAGES = [("quality rules", quality)]
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats of earlier lines go, and with them documents that had nothing else."""
+    return dedup_lines(docs, drop_emptied=True).drop("removed_lines")
 
-#: The similarity and packing stages have no SQL form; tests hold them against brute force.
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays."""
+    return keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data in the texts is replaced by its kind."""
+    return mask_personal_data(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of token sequences that the documents fill."""
+    return pack_documents(docs, tokenizer_file())
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("simhash", near_copies),
+    ("personal data", personal_data),
+    ("packing", packing),
+]
+
+#: The near-duplicate and packing stages have no SQL form; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents; each result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = write_table(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tintype.llm.shared import documents
 
 
-def _tokenizer_file() -> str:
+def tokenizer_file() -> str:
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -34,7 +34,7 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tintype.llm.packing import pack_documents
 
-    return pack_documents(documents(spark, sf_dir), _tokenizer_file())
+    return pack_documents(documents(spark, sf_dir), tokenizer_file())
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
