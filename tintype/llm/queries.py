@@ -17,6 +17,12 @@ def tokenizer_file() -> str:
         return f.read()
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tintype.llm.kneser_ney import quality
+
+    return quality(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tintype.llm.pii import KINDS, find_personal_data, written
 
