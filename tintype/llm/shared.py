@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tintype.functions.scalars import let
+
+__all__ = ["documents", "let", "maybe_in", "membership_filter", "words_of"]
+
 #: Characters between words: the space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
 SPACE_RUN = "[ \\t-\\r]+"
@@ -16,11 +18,6 @@ SPACE_RUN = "[ \\t-\\r]+"
 FILTER_BITS = 26
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, which is computed once per row however often ``body`` names it."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def words_of(text: Column) -> Column:
     """The words of a text (null: none) as an array."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
