@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tintype.llm.shared import SPACE_RUN, let, maybe_in, membership_filter
+from tintype.llm.shared import let, maybe_in, membership_filter
 from tintype.plans.worktables import write_table
 
 MIN_WORDS = 5
@@ -56,64 +56,112 @@ def variant_keys(words: list[str]) -> np.ndarray:
     return (raw * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
 
 
-def lines_of(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(doc_id, th, pos, line, lk, words) of every line with MIN_WORDS words: text hash, line number, normal form, its hash, its words."""
+def _lowered(docs: DataFrame, id: str, text: str) -> DataFrame:
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.select(F.col(id).alias("doc_id"), F.xxhash64(whole).alias("th"), F.posexplode(F.split(F.lower(whole), "\n")).alias("pos", "line"))
-    rows = rows.select("doc_id", "th", "pos", F.btrim(F.regexp_replace("line", SPACE_RUN, " "), F.lit(" ")).alias("line"))
-    return rows.where(F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) >= MIN_WORDS - 1).withColumn("lk", F.xxhash64("line"))
+    return docs.select(F.col(id).alias("doc_id"), F.xxhash64(whole).alias("th"), F.lower(whole).alias("text"))
+
+
+def _words_by_line(text: str) -> Iterator[tuple[int, list[bytes]]]:
+    """Number and words of every line with MIN_WORDS words."""
+    for pos, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
+        words = line.split()
+        if len(words) >= MIN_WORDS:
+            yield pos, words
 
 
-def _half_keys(line: Column) -> Column:
+def _line_key(line: bytes) -> int:
+    return xxhash.xxh64_intdigest(line, 42)
+
+
+def _half_keys(words: list[bytes]) -> list[int]:
     """Hashes of both halves of a line, for a partner no shorter and for one a word shorter."""
+    keys = []
+    for m in (len(words), len(words) - 1):
+        p = m // 2
+        keys += [xxhash.xxh64_intdigest(b"%d<%b" % (m, b" ".join(words[:p]))), xxhash.xxh64_intdigest(b"%d>%b" % (m, b" ".join(words[len(words) - (m - p) :])))]
+    return keys
+
+
+def _signed(values: list[int]) -> np.ndarray:
+    return np.array(values, dtype=np.uint64).view(np.int64)
+
+
+def lines_of(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(doc_id, th, pos, lk, halves) of every line with MIN_WORDS words: text hash, line number, hash of the normal form, half keys."""
+    rows = _lowered(docs, id, text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of, places, keys, halves = [], [], [], []
+            for i, t in enumerate(b.column(2).to_pylist()):
+                for pos, words in _words_by_line(t):
+                    of.append(i)
+                    places.append(pos)
+                    keys.append(_line_key(b" ".join(words)))
+                    halves += _half_keys(words)
+            at = pa.array(of, pa.int64())
+            four = pa.ListArray.from_arrays(pa.array(np.arange(0, len(halves) + 1, 4, dtype=np.int32)), pa.array(_signed(halves)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(places, pa.int32()), pa.array(_signed(keys)), four], names=["doc_id", "th", "pos", "lk", "halves"])
 
-    def halves(w: Column) -> Column:
-        keys = []
-        for less in (0, 1):
-            m = F.size(w) - less
-            p = F.floor(m / 2).cast("int")
-            keys += [F.xxhash64(F.lit(0), m, F.slice(w, F.lit(1), p)), F.xxhash64(F.lit(1), m, F.slice(w, F.size(w) - (m - p) + 1, m - p))]
-        return F.array(*keys)
+    return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, th bigint, pos int, lk bigint, halves array<bigint>")
 
-    return let(F.split(line, " "), halves)
+
+def _texts_of(docs: DataFrame, chosen: DataFrame, id: str, text: str) -> DataFrame:
+    """(lk, line) of the chosen line keys: their normal forms, read again from the documents.
+
+    A filter of fixed size lets the chosen keys and few others through, each once a batch; the join
+    with the chosen keys is exact.
+    """
+    bits = docs.sparkSession.sparkContext.broadcast(membership_filter(chosen, "lk"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {}
+            for t in b.column(0).to_pylist():
+                for _, words in _words_by_line(t):
+                    line = b" ".join(words)
+                    found[_line_key(line)] = line
+            keys = _signed(list(found))
+            some = np.flatnonzero(maybe_in(bits.value, keys))
+            lines = list(found.values())
+            yield pa.RecordBatch.from_arrays([pa.array(keys[some]), pa.array([lines[i].decode("utf-8", "replace") for i in some], pa.string())], names=["lk", "line"])
+
+    again = _lowered(docs, id, text).select("text").mapInArrow(run, "lk bigint, line string")
+    return again.join(chosen, "lk", "left_semi").groupBy("lk").agg(F.min("line").alias("line"))
 
 
 def _variants(candidates: DataFrame) -> DataFrame:
-    """(key, at, lk, first) for each variant of each candidate (lk, first, line); ``at`` is the word left out, -1 for none."""
-    schema = candidates.select("lk", "first", "line").schema
-    first = schema["first"].dataType.simpleString()
+    """(key, at, lk) for each variant of each candidate (lk, line); ``at`` is the word left out, -1 for none."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lines = b.column(2)
-            for at in range(0, len(lines), 512):  # a batch of long lines has many variants
-                keys = [variant_keys(x.split(" ")) for x in lines.slice(at, 512).to_pylist()]
+            for at in range(0, len(b), 512):  # a batch of long lines has many variants
+                part = b.slice(at, 512)
+                keys = [variant_keys(x.split(" ")) for x in part.column(1).to_pylist()]
                 sizes = [len(k) for k in keys]
-                rows = pa.array(np.repeat(np.arange(at, at + len(keys)), sizes))
-                places = np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in sizes]) if sizes else np.zeros(0, np.int32)
-                joined = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(joined), pa.array(places), b.column(0).take(rows), b.column(1).take(rows)], names=["key", "at", "lk", "first"])
+                places = np.concatenate([np.arange(-1, n - 1, dtype=np.int32) for n in sizes])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(places), part.column(0).take(pa.array(np.repeat(np.arange(len(keys)), sizes)))], names=["key", "at", "lk"])
 
-    return candidates.select("lk", "first", "line").mapInArrow(emit, f"key bigint, at int, lk bigint, first {first}")
+    return candidates.select("lk", "line").mapInArrow(emit, "key bigint, at int, lk bigint")
 
 
 def _later_near(candidates: DataFrame) -> DataFrame:
     """Keys (lk) of the candidates (lk, first, line) that have an earlier near line.
 
-    Lines that share a variant with the same word left out are all near each other, so each need
-    only meet the earliest of them; the line that is the variant itself is near to all. Pairs so
-    grow with the variants, not with the squares of their groups.
+    Only variants that two lines have are kept. Lines that share one with the same word left out
+    are all near each other, so each need only meet the earliest of them; the line that is the
+    variant itself is near to all. Pairs so grow with the variants, not with the squares of their
+    groups.
     """
-    variants = write_table(_variants(candidates), "variants")
-    groups = variants.groupBy("key", "at").agg(F.count("*").alias("n"), F.min(F.struct("first", "lk")).alias("least"))
-    keys = groups.groupBy("key").agg(
-        F.sum("n").alias("n"),
-        F.min(F.when(F.col("at") == -1, F.col("least"))).alias("base"),
-        F.min(F.when(F.col("at") >= 0, F.col("least"))).alias("shorter"),
-    )
-    shared = keys.where("n > 1").select("key", "base", "shorter")
-    met = variants.join(shared, "key").join(groups.where("n > 1").select("key", "at", "least"), ["key", "at"], "left")
-    others = F.filter(F.array(F.when(F.col("at") >= 0, F.col("least")), F.when(F.col("at") >= 0, F.col("base")), F.when(F.col("at") == -1, F.col("shorter"))), lambda o: F.coalesce(o["first"] < F.col("first"), F.lit(False)))
+    all_variants = _variants(candidates)
+    twice = all_variants.groupBy("key").agg(F.min("lk").alias("a"), F.max("lk").alias("b")).where("a <> b").select("key")
+    variants = all_variants.join(twice, "key", "left_semi").join(candidates.select("lk", "first"), "lk")
+    variants = write_table(variants.select("key", "at", "lk", "first"), "variants")
+    groups = write_table(variants.groupBy("key", "at").agg(F.min(F.struct("first", "lk")).alias("least")), "variant-groups")
+    keys = groups.groupBy("key").agg(F.min(F.when(F.col("at") == -1, F.col("least"))).alias("base"), F.min(F.when(F.col("at") >= 0, F.col("least"))).alias("shorter"))
+    met = variants.join(keys, "key").join(groups, ["key", "at"])
+    left_out = F.col("at") >= 0
+    others = F.filter(F.array(F.when(left_out, F.col("least")), F.when(left_out, F.col("base")), F.when(~left_out, F.col("shorter"))), lambda o: F.coalesce(o["first"] < F.col("first"), F.lit(False)))
     pairs = met.select("lk", F.explode(others).alias("o")).select("lk", F.col("o.lk").alias("other")).distinct()
     words = candidates.select("lk", "line")
     both = pairs.join(words, "lk").join(words.select(F.col("lk").alias("other"), F.col("line").alias("other_line")), "other")
@@ -135,23 +183,14 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     text are one document.
     """
     own = F.struct("doc_id", "th", "pos")
-    lines = write_table(lines_of(docs, id, text).select("doc_id", "th", "pos", "lk", _half_keys(F.col("line")).alias("halves")).distinct(), "lines")
-    distinct = write_table(lines.groupBy("lk").agg(F.min(own).alias("first"), F.count("*").alias("n"), F.min("halves").alias("halves")), "distinct-lines")
-    halves = distinct.select("lk", "first", F.explode(F.array_distinct("halves")).alias("half"))
+    lines = write_table(lines_of(docs, id, text), "lines")
+    halves = lines.select("lk", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.min("lk").alias("a"), F.max("lk").alias("b")).where("a <> b").select("half")
-    chosen = write_table(halves.join(met, "half", "left_semi").select("lk", "first").distinct(), "chosen-lines")
-    bits = docs.sparkSession.sparkContext.broadcast(membership_filter(chosen.select(F.xxhash64("first.doc_id", "first.th", "first.pos").alias("key"))))
-
-    @F.pandas_udf("boolean")
-    def maybe(keys):
-        import pandas as pd
-
-        return pd.Series(maybe_in(bits.value, keys.to_numpy()))
-
-    again = lines_of(docs, id, text).where(maybe(F.xxhash64("doc_id", "th", "pos"))).select("lk", own.alias("first"), "line")
-    candidates = write_table(again.join(chosen, ["lk", "first"]).dropDuplicates(["lk"]), "candidates")
+    chosen = write_table(halves.join(met, "half", "left_semi").select("lk").distinct(), "chosen-lines")
+    distinct = write_table(lines.groupBy("lk").agg(F.min(own).alias("first"), F.count("*").alias("n")), "distinct-lines")
+    candidates = write_table(_texts_of(docs, chosen, id, text).join(distinct.select("lk", "first"), "lk"), "candidates")
     late = write_table(_later_near(candidates), "late-lines")
-    doubtful = distinct.select("lk", "first", "n").join(late.withColumn("late", F.lit(True)), "lk", "left").where("late or n > 1")
+    doubtful = distinct.join(late.withColumn("late", F.lit(True)), "lk", "left").where("late or n > 1")
     hit = lines.select("doc_id", "th", "pos", "lk").join(doubtful, "lk").where(F.coalesce("late", F.lit(False)) | (own != F.col("first")))
     return hit.select("doc_id", "th", "pos")
 
