@@ -1,6 +1,6 @@
 """Quality rules with cross-document line frequency, in DataFrame operations only.
 
-Lines are normalised (lower case, white space collapsed, digits as 0) and hashed with their host.
+Lines are normalised (lower case, white space collapsed, numbers as 0) and hashed with their host.
 For every host the documents that hold a line are counted, each distinct text once, so that whole
 copies of a document don't make its lines look like boilerplate. Lines in more documents than the
 limit are removed; a document that loses most of its words is rejected as depleted.
@@ -70,10 +70,6 @@ def _host(host: str | None) -> Column:
     return F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))) if host else F.lit(0).cast("long")
 
 
-def _normal(line: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.regexp_replace(F.lower(line), SPACE_RUN, " "), "[0-9]", "0"), F.lit(" "))
-
-
 def document_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str | None = "source") -> DataFrame:
     """(doc_id, th, hh, pos, lk, words) for every line with a word: text hash, host hash, line number, line key, words."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -86,7 +82,7 @@ def document_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host
 
 
 def _lower_spaces(whole: Column) -> Column:
-    return F.regexp_replace(F.lower(whole), "[0-9]", "0")
+    return F.regexp_replace(F.lower(whole), "[0-9]+", "0")
 
 
 def frequent_lines(lines: DataFrame, min_docs: int = 10, max_share: float = 0.01) -> DataFrame:
