@@ -42,7 +42,9 @@ def write_manifest(df: DataFrame, path: str, fields: list[str], mode: str = "err
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RAW_RECORD) -> tuple[DataFrame, DataFrame]:
     """(records, broken): JSON lines by the schema, and lines that can't be read (a torn last line, say)."""
-    rows = spark.read.schema(schema).json(path, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
+    lines = spark.read.text(path).where("trim(value) <> ''")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    rows = lines.select(parsed.alias("r")).select("r.*")
     return rows.where("_corrupt_record is null").drop("_corrupt_record"), rows.where("_corrupt_record is not null").select("_corrupt_record")
 
 
