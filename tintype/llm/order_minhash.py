@@ -128,18 +128,17 @@ def edited_documents(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     needed moves. Among rows of one id the text of least hash stands for the id; rows without id
     have no neighbour and stay as they are. Null texts count as empty; other columns are ignored.
     """
-    whole = docs.select(F.col(id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    named = F.col(id) if id == "doc_id" else F.col(id).alias("doc_id")  # an alias of the same name would keep the two uses apart
+    whole = docs.select(named, F.coalesce(F.col(text), F.lit("")).alias("text"))
     links = write_table(neighbours(docs, id, text), "neighbours")
-    linked = whole.join(links.withColumnRenamed("doc_id", "l_id"), F.col("doc_id") == F.col("l_id"), "left")
-    begins = (
-        linked.where("prev_id is not null")
-        .groupBy(F.col("prev_id").alias("n_id"))
-        .agg(F.min(F.struct(F.xxhash64("text").alias("th"), F.substr("text", F.lit(1), F.col("prev_half")).alias("begin"))).alias("n"))
-    )
+    linked = whole.where("doc_id is not null").join(links, "doc_id")  # the same filter on both uses, so one exchange serves both
+    begins = linked.groupBy(F.col("prev_id").alias("doc_id")).agg(F.min(F.struct(F.xxhash64("text").alias("th"), F.substr("text", F.lit(1), F.col("prev_half")).alias("begin"))).alias("n"))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.when(F.col("doc_id").isNull(), F.col("text")).otherwise(F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("n.begin", F.lit("")), F.lit(1), half)))
-    rows = linked.join(begins, F.col("doc_id") == F.col("n_id"), "left").select("doc_id", "prev_id", F.xxhash64("text").alias("th"), n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr(F.coalesce("n.begin", F.lit("")), F.lit(1), half))
+    rows = linked.join(begins, "doc_id", "left").select("doc_id", "prev_id", "text", edited.alias("edited"))
+    alone = whole.where("doc_id is null").select("doc_id", F.col("doc_id").alias("prev_id"), "text", F.col("text").alias("edited"))
+    rows = rows.unionAll(alone).withColumns({"th": F.xxhash64("text"), "n_chars": n.cast("long")})
     return rows.select("doc_id", "prev_id", "th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), order_minhash(F.col("text")).alias("sketch"), order_minhash(F.col("edited")).alias("edited_sketch"))
 
 
