@@ -92,5 +92,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+_URL_RULES_SQL = ", ".join(f"('{r}', '{r.split('/')[0]}', '/{r.split('/', 1)[1]}', '{v}')" for r, v in URL_RULES)
+
+OP8_SQL = f"""with p as (select page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path from pages),
+ r as (select * from (values {_URL_RULES_SQL}) t(rule, rh, rp, verdict)),
+ m as (select page_id, rule, verdict, row_number() over (partition by page_id order by length(rh) desc, length(rp) desc) as k from p join r on (host = rh or ends_with(host, '.' || rh)) and starts_with(path, rp))
+ select p.page_id, host, path, rule, coalesce(verdict, 'allow') as verdict from p left join m on p.page_id = m.page_id and k = 1"""
+
+OP9_SQL = r"""with d as (select doc_id, coalesce(text, '') as text, coalesce(source, '') as host from documents),
+ w as (select doc_id, list_filter(string_split_regex(text, '[ \t-\r]+'), lambda x: x <> '') as ws from d),
+ win as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as v from w, unnest(range(1, len(ws) - 6)) t(i)),
+ rep as (select doc_id, i from (select *, count(*) over (partition by doc_id, v) as c from win) where c > 1),
+ cov as (select doc_id, count(distinct i + o) as n from rep, range(8) t(o) group by 1),
+ raw as (select doc_id, host, text, unnest(string_split(text, chr(10))) as line from d),
+ dup as (select doc_id, count(*) - count(distinct line) as n from raw where regexp_matches(line, '[^ \t-\r]') group by 1),
+ ln as (select doc_id, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[ \t-\r]+', ' ', 'g')) as line from raw),
+ ok as (select *, length(line) - length(replace(line, ' ', '')) + 1 as words from ln where line <> ''),
+ hosts as (select host, count(distinct text) as n from ok group by 1),
+ freq as (select host, line from ok join hosts using (host) group by host, line, hosts.n having count(distinct text) > 10 and count(distinct text) > 0.01::double * hosts.n),
+ lost as (select doc_id, sum(words)::bigint as n from ok join freq using (host, line) group by 1),
+ b as (select w.doc_id, len(ws) as n_words, list_sum(list_transform(ws, lambda x: length(x))) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(cov.n, 0) as n_repeat_words, coalesce(lost.n, 0) as removed_words
+   from w join d using (doc_id) left join cov using (doc_id) left join dup using (doc_id) left join lost using (doc_id))
+ select doc_id, n_words, coalesce(word_chars, 0)::bigint as word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_words - removed_words >= 0.3::double * n_words as kept from b"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can answer over whole tables; tests hold the others against brute force."""
+    return {"op8_url_filters": OP8_SQL, "op9_quality_rules": OP9_SQL}
