@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructType
 
 from tintype.functions.scalars import license_ok
 from tintype.operators.intake import dedupe_first
@@ -54,7 +54,7 @@ def intake_stream(spark: SparkSession, source: str, schema: StructType, accepted
         rows = batch.where(license_ok(F.col("license")))
         store = spark._jvm.org.apache.hadoop.fs.Path(accepted)
         if store.getFileSystem(spark._jsc.hadoopConfiguration()).exists(store):
-            known = spark.read.option("basePath", accepted).schema(StructType([*schema.fields]).add("batch", "int")).parquet(accepted).where(F.col("batch") != number)
+            known = spark.read.option("basePath", accepted).schema(StructType([*schema.fields]).add("batch", IntegerType())).parquet(accepted).where(F.col("batch") != number)
             rows = new_items(rows, known)
         one_id = rows.dropDuplicates(["id"])
         first = dedupe_first(one_id, "sha256", "id", "id").where("keeper is null").drop("keeper")
