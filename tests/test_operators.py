@@ -113,3 +113,14 @@ def test_damage_masks_hit_a_line_and_a_blob():
     for detect in (kernels.morph_mask, kernels.texture_mask):
         m = detect(g, 0.5)
         assert m[30, 20:50].min() > 200 and m[11:13, 41:43].min() > 200 and m[50, 10] == 0
+
+
+def test_previous_row_within_a_hot_key(spark):
+    rows = [(("hot" if i % 3 else f"k{i % 5}"), i // 2, i, i * 10) for i in range(3000)]
+    random.Random(4).shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t long, e long, v long")
+    want, last = {}, {}
+    for k, t, e, v in sorted(rows):
+        want[e] = last.get(k)
+        last[k] = v
+    assert {r.e: r.p for r in intake.previous(df, "k", ["t", "e"], "v", "p").collect()} == want

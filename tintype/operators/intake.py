@@ -177,3 +177,20 @@ def ranked(df: DataFrame, order: str) -> DataFrame:
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
     inner = F.row_number().over(W.partitionBy("_part").orderBy(order)) - 1
     return parts.withColumn("_in", inner).join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_in") + F.col("_off")).alias("row"))
+
+
+def previous(df: DataFrame, key: str, order: list[str], column: str, name: str) -> DataFrame:
+    """Adds ``name``: ``column`` of the row before within the key, in order; null for a key's first row.
+
+    Rows are dealt by range of key and order, so a key with a third of all rows is spread over many
+    tasks; the last row of each range is handed to the next one.
+    """
+    from tintype.plans.worktables import write_table
+
+    parts = write_table(df.repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "ranged")
+    last = parts.groupBy("_part").agg(F.max(F.struct(F.col(key).alias("k"), *order, F.col(column).alias("v"))).alias("_e"))
+    before = last.select("_part", F.lag("_e").over(W.partitionBy(F.lit(0)).orderBy("_part")).alias("_e"))
+    over = W.partitionBy("_part", key).orderBy(*order)
+    inside = parts.withColumns({name: F.lag(column).over(over), "_i": F.row_number().over(over)})
+    handed = F.when((F.col("_i") == 1) & F.col("_e.k").eqNullSafe(F.col(key)), F.col("_e.v"))
+    return inside.join(F.broadcast(before), "_part").withColumn(name, F.when(F.col("_i") == 1, handed).otherwise(F.col(name))).select(*df.columns, name)

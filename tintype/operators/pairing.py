@@ -133,20 +133,23 @@ def split_named(df: DataFrame, names: DataFrame, key: str = "filename") -> DataF
 
 
 def review_sample(df: DataFrame, stratum: str, key: str, rate: float, least: int, seed: int) -> DataFrame:
-    """A seeded sample of each stratum: max(``least``, ceil(rate * rows)) rows.
+    """A seeded sample of each stratum: max(``least``, ceil(rate * rows)) rows, the first by hash and key.
 
-    The rank threshold is found on hashes alone: rows that can't be in the sample are dropped by a
-    bound on the hash before they are ranked.
+    Hashes are counted by their leading 16 bits; the counts tell in which slice of a stratum the
+    sample ends. Rows of the slices before it are taken as they are, and only that slice is ranked,
+    so a stratum with a third of all rows is never sorted in one task.
     """
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("_n"))
-    want = F.greatest(F.lit(least), F.ceil(F.col("_n") * rate))
-    rows = df.join(F.broadcast(sizes) if sizes.limit(SMALL + 1).count() <= SMALL else sizes, stratum).withColumn("_want", want).withColumn("_o", seeded_order(key, F.lit(str(seed))))
-    # twice the share, and forty rows more, is so much that the wanted rows are below it but for a chance under 1e-9; rank decides among them
-    bound = F.col("_want") * 2 + 40
-    u = F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") / 2.0**32
-    near = rows.where(u * F.col("_n") < bound)
-    place = F.row_number().over(W.partitionBy(stratum).orderBy("_o", key))
-    return near.withColumn("_r", place).where("_r <= _want").select(*df.columns)
+    order = seeded_order(key, F.lit(str(seed)))
+    rows = df.withColumns({"_o": order, "_b": F.substring(order, 1, 4)})
+    slices = rows.groupBy(stratum, "_b").agg(F.count("*").alias("_c"))
+    upto = W.partitionBy(stratum).orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ends = slices.withColumns({"_to": F.sum("_c").over(upto), "_n": F.sum("_c").over(W.partitionBy(stratum))})
+    ends = ends.withColumn("_left", F.greatest(F.lit(least), F.ceil(F.col("_n") * rate)) - (F.col("_to") - F.col("_c")))
+    taken = ends.where("_left > 0").select(F.col(stratum).alias("_s"), F.col("_b").alias("_sb"), "_left", (F.col("_left") >= F.col("_c")).alias("_whole"))
+    near = rows.join(taken, F.col(stratum).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_sb")))
+    place = F.row_number().over(W.partitionBy(stratum, "_b").orderBy("_o", key))
+    last = near.where("not _whole").withColumn("_r", place).where("_r <= _left")
+    return near.where("_whole").select(*df.columns).unionByName(last.select(*df.columns))
 
 
 def head_sorted(df: DataFrame, n: int, *order: Column | str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tintype.functions.scalars import rounded
+from tintype.operators.intake import previous
 from tintype.schemas import STATUS_ORDER
 
 
@@ -66,9 +67,9 @@ def task_durations(events: DataFrame) -> DataFrame:
 
 def check_transitions(log: DataFrame) -> DataFrame:
     """(source_id, event_id, from_status, to_status) of changes that are neither the next step nor a return to the one before."""
-    place = F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), F.col("status"))
-    over = W.partitionBy("source_id").orderBy("ts", "event_id")
-    rows = log.withColumn("_p", place).withColumns({"from_status": F.lag("status").over(over), "_b": F.lag("_p").over(over)})
+    place = lambda status: F.array_position(F.array(*[F.lit(s) for s in STATUS_ORDER]), status)
+    rows = previous(log, "source_id", ["ts", "event_id"], "status", "from_status")
+    rows = rows.withColumns({"_p": place(F.col("status")), "_b": place(F.col("from_status"))})
     step = F.col("_p") - F.coalesce("_b", F.lit(0))
     allowed = (step == 0) | (step == 1) | (F.col("_b").isNotNull() & (step == -1))
     return rows.where(~allowed).select("source_id", "event_id", F.coalesce("from_status", F.lit("")).alias("from_status"), F.col("status").alias("to_status"))
