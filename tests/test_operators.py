@@ -124,3 +124,16 @@ def test_previous_row_within_a_hot_key(spark):
         want[e] = last.get(k)
         last[k] = v
     assert {r.e: r.p for r in intake.previous(df, "k", ["t", "e"], "v", "p").collect()} == want
+
+
+def test_upright_undoes_every_orientation():
+    a = np.arange(24, dtype=np.uint8).reshape(2, 4, 3)
+    stored = {1: a, 2: a[:, ::-1], 3: a[::-1, ::-1], 4: a[::-1], 5: a.transpose(1, 0, 2), 6: np.rot90(a, 1), 7: a[::-1, ::-1].transpose(1, 0, 2), 8: np.rot90(a, -1)}
+    for orientation, image in stored.items():
+        assert np.array_equal(kernels.upright(np.ascontiguousarray(image), orientation), a), orientation
+
+
+def test_loss_of_equal_images_is_zero():
+    a = np.random.default_rng(0).integers(0, 256, (16, 16, 3)).astype(np.uint8)
+    dark, light = np.zeros((16, 16, 3), np.uint8), np.full((16, 16, 3), 255, np.uint8)  # means of -1 and 1, no variance inside
+    assert abs(kernels.ssim_loss(a, a)) < 1e-12 and kernels.ssim_loss(dark, light) > 1.5

@@ -34,7 +34,8 @@ def test_images_are_listed_decoded_and_described(spark, tmp_path):
     stats = {r.origin.rsplit("/", 1)[1]: r for r in images.full_image_stats(decoded).collect()}
     assert stats["c.jpg"].error == "decode_error"
     gray = np.rint(rgb @ np.array([0.299, 0.587, 0.114]))
-    assert abs(stats["a.png"].brightness - gray.mean()) < 1e-3 and len(stats["a.png"].dhash) == 36
+    assert abs(stats["a.png"].brightness - gray.mean()) < 1e-3
+    assert {len(r.dhash) for r in images.full_dhash(decoded, "lanczos").where("status = 'ok'").collect()} == {36}
 
 
 def test_manifest_csv_round_trip_with_mark_quotes_and_breaks(spark, tmp_path):

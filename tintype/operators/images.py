@@ -86,14 +86,56 @@ def _split_fields(schema: str) -> list[str]:
 
 
 def full_image_stats(images: DataFrame) -> DataFrame:
-    """Brightness, contrast, saturation and sharpness of a preview of at most 768 on the long side, and the area-resized difference hash."""
+    """Brightness, contrast, saturation and sharpness of a preview of at most 768 on the long side."""
     return image_job(
         images,
-        lambda rgb, row: kernels.statistics(kernels.preview(rgb, 768)) | {"dhash": kernels.dhash_hex(kernels.gray(kernels.preview(rgb, 768)), "area"), "width": rgb.shape[1], "height": rgb.shape[0]},
-        "width int, height int, brightness double, contrast double, saturation double, sharpness double, dhash string",
+        lambda rgb, row: kernels.statistics(kernels.preview(rgb, 768)) | {"width": rgb.shape[1], "height": rgb.shape[0]},
+        "width int, height int, brightness double, contrast double, saturation double, sharpness double",
     )
 
 
+def full_dhash(images: DataFrame, resample: str = "area") -> DataFrame:
+    """(origin, …, resample, dhash): the 144-bit difference hash, by area from the preview or by Lanczos from the whole image.
+
+    Hashes of different kinds mustn't be compared, so the kind is part of the row.
+    """
+
+    def make(rgb: np.ndarray, row: dict) -> dict:
+        g = kernels.gray(kernels.preview(rgb, 768) if resample == "area" else rgb)
+        return {"resample": resample, "dhash": kernels.dhash_hex(g, resample)}
+
+    return image_job(images, make, "resample string, dhash string")
+
+
+def normalise_images(images: DataFrame) -> DataFrame:
+    """(origin, …, height, width, data): working copies, upright by the column ``orientation``, RGB, without alpha."""
+
+    def make(rgb: np.ndarray, row: dict) -> dict:
+        out = kernels.upright(rgb, row["orientation"] or 1)
+        return {"height": out.shape[0], "width": out.shape[1], "data": out.tobytes()}
+
+    return image_job(images, make, "height int, width int, data binary", ["orientation"])
+
+
+def scratch_patches(images: DataFrame, size: int, jitter: int, seed: int, limit: int | None = None) -> DataFrame:
+    """(origin, k, y, x, patch): patches around strong line responses, each moved by up to ``jitter`` pixels; at most ``limit`` by seeded hash."""
+
+    def make(rgb: np.ndarray, row: dict) -> dict:
+        g = kernels.gray(rgb)
+        rng = np.random.default_rng(row["_seed"])
+        out = []
+        for y, x, h, w in kernels.line_boxes(g):
+            dy, dx = rng.integers(-jitter, jitter + 1, 2)
+            top, left = (int(np.clip(a + n // 2 - size // 2 + d, 0, m - size)) for a, n, d, m in ((y, h, dy, g.shape[0]), (x, w, dx, g.shape[1])))
+            out.append({"y": top, "x": left, "patch": g[top : top + size, left : left + size].ravel().tolist()})
+        return {"found": out}
+
+    seeds = images.where((F.col("width") >= size) & (F.col("height") >= size)).withColumn("_seed", _hash("origin", F.lit(str(seed))))
+    found = image_job(seeds, make, "found array<struct<y:int,x:int,patch:array<int>>>", ["_seed"])
+    rows = found.where("status = 'ok'").select("origin", F.posexplode("found").alias("k", "p")).select("origin", "k", "p.*")
+    return rows if limit is None else rows.orderBy(_hash("origin", "k", F.lit(str(seed))), "origin", "k").limit(limit)
+
+
 def full_noref_quality(images: DataFrame) -> DataFrame:
     return image_job(images, lambda rgb, row: kernels.noref(rgb), "sharpness double, contrast double, color double, snr double, proxy double")
 

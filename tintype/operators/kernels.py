@@ -96,6 +96,38 @@ def ssim(a: np.ndarray, b: np.ndarray, k: int = 7) -> float:
     return float(np.mean(out))
 
 
+def ssim_loss(a: np.ndarray, b: np.ndarray, k: int = 7) -> float:
+    """1 - SSIM of images scaled to [-1, 1]: zero padding, population moments, C1 0.02², C2 0.06²."""
+    c1, c2 = 0.02**2, 0.06**2
+    mean = lambda v: box(np.pad(v, k // 2), k) / (k * k)
+    out = []
+    for c in range(a.shape[2]):
+        x, y = a[..., c] / 127.5 - 1, b[..., c] / 127.5 - 1
+        mx, my = mean(x), mean(y)
+        vx, vy, vxy = mean(x * x) - mx * mx, mean(y * y) - my * my, mean(x * y) - mx * my
+        out.append((((2 * mx * my + c1) * (2 * vxy + c2)) / ((mx * mx + my * my + c1) * (vx + vy + c2))).mean())
+    return 1 - float(np.mean(out))
+
+
+def upright(rgb: np.ndarray, orientation: int) -> np.ndarray:
+    """An image turned and flipped as its EXIF orientation (1 to 8) asks."""
+    out = rgb[:, ::-1] if orientation in (2, 4, 5, 7) else rgb
+    turns = {3: 2, 4: 2, 5: 1, 6: 3, 7: 3, 8: 1}.get(orientation, 0)
+    return np.ascontiguousarray(np.rot90(out, turns))
+
+
+def line_boxes(g: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(y, x, height, width) of the parts, 5x5 at least, whose black-hat along rows and columns is above the 90th percentile."""
+    found = np.max([black_hat(g, _line(n, dy, dx)) for n in (15, 21) for dy, dx in ((0, 1), (1, 0))], axis=0)
+    label = components((found > np.percentile(found, 90)) & (found > 0))
+    out = []
+    for i in np.unique(label[label > 0]):
+        y, x = np.nonzero(label == i)
+        if np.ptp(y) >= 4 and np.ptp(x) >= 4:
+            out.append((int(y.min()), int(x.min()), int(np.ptp(y)) + 1, int(np.ptp(x)) + 1))
+    return out
+
+
 def _slid(a: np.ndarray, offsets: list[tuple[int, int]], pick) -> np.ndarray:
     """Minimum or maximum over shifted copies, edges repeated."""
     by = max(max(abs(y), abs(x)) for y, x in offsets)

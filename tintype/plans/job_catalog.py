@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintype.operators import images, patchml, tasks
+from tintype.operators import images, kernels, patchml
 from tintype.plans.catalog import ORACLES, query
 from tintype.plans.image_catalog import _gray
 from tintype.plans.views import sql as V
@@ -52,7 +52,28 @@ def noref_quality_job(spark, d):
 
 @query()
 def quality_metrics(spark, d):
-    return images.full_pair_metrics(_pairs(spark, d, _large(spark, d)))
+    return images.full_pair_metrics(_pairs(spark, d, _large(spark, d)), {"psnr": kernels.psnr, "ssim": kernels.ssim, "ssim_loss": kernels.ssim_loss})
+
+
+@query()
+def dhash_area(spark, d):
+    return images.full_dhash(_large(spark, d), "area")
+
+
+@query()
+def dhash_lanczos(spark, d):
+    return images.full_dhash(_large(spark, d), "lanczos")
+
+
+@query()
+def normalise_images(spark, d):
+    rows = _large(spark, d).withColumn("orientation", (F.col("origin").cast("int") % 8 + 1))
+    return images.normalise_images(rows).select("origin", "status", "height", "width", F.sha2("data", 256).alias("content"))
+
+
+@query()
+def scratch_patches(spark, d):
+    return images.scratch_patches(_large(spark, d), 16, 4, 42).select("origin", "k", "y", "x", F.size("patch").alias("pixels"))
 
 
 @query()
