@@ -137,3 +137,14 @@ def test_loss_of_equal_images_is_zero():
     a = np.random.default_rng(0).integers(0, 256, (16, 16, 3)).astype(np.uint8)
     dark, light = np.zeros((64, 64, 3), np.uint8), np.full((64, 64, 3), 255, np.uint8)  # means of -1 and 1, no variance but at the borders
     assert abs(kernels.ssim_loss(a, a)) < 1e-12 and kernels.ssim_loss(dark, light) > 1.5
+
+
+def test_ageing_is_seeded_and_wears_by_textures():
+    rgb = np.full((30, 40, 3), 120, np.uint8)
+    scratch = np.zeros((60, 60), np.uint8)
+    scratch[::6] = 255
+    assert np.array_equal(kernels.age(rgb, 5, [scratch]), kernels.age(rgb, 5, [scratch])) and not np.array_equal(kernels.age(rgb, 5), kernels.age(rgb, 6))
+    cover = np.zeros((30, 40))
+    cover[10, 10] = 1
+    out = kernels.worn(rgb, [cover, cover * 0])
+    assert out[10, 10].tolist() == [int((240 * 0.8) + c * 0.2) for c in (60, 50, 40)] and (out[0] == 120).all()

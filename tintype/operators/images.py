@@ -14,6 +14,9 @@ from tintype.operators import kernels
 #: Rows of an Arrow batch of images, so that a batch stays small whatever an image's size.
 BATCH = 16
 
+#: Textures that are broadcast, in bytes.
+TEXTURE_BYTES = 64 << 20
+
 
 def _hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts]), 256), 1, 8), 16, 10).cast("long")
@@ -151,10 +154,19 @@ def damage_mask(images: DataFrame, method: str = "morph", sensitivity: float = 0
     return image_job(images, make, "height int, width int, mask binary, coverage double")
 
 
-def age_images(images: DataFrame, seed: int) -> DataFrame:
-    """(origin, …, data): synthetically aged images, seeded by origin."""
+def age_images(images: DataFrame, seed: int, textures: DataFrame | None = None) -> DataFrame:
+    """(origin, …, data): synthetically aged images, seeded by origin; two of the textures (width, height, data, gray) wear each.
+
+    Textures are sent to all executors, so all of them may have TEXTURE_BYTES at most.
+    """
+    covers: list[np.ndarray] = []
+    if textures is not None:
+        if (textures.agg(F.sum(F.length("data"))).first()[0] or 0) > TEXTURE_BYTES:
+            raise ValueError(f"textures of more than {TEXTURE_BYTES} bytes")
+        covers = [np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"]) for r in textures.select("width", "height", "data").orderBy("data").collect()]
+    shared = images.sparkSession.sparkContext.broadcast(covers)
     seeds = images.withColumn("_seed", _hash("origin", F.lit(str(seed))))
-    return image_job(seeds, lambda rgb, row: {"height": rgb.shape[0], "width": rgb.shape[1], "data": kernels.age(rgb, row["_seed"]).tobytes()}, "height int, width int, data binary", ["_seed"])
+    return image_job(seeds, lambda rgb, row: {"height": rgb.shape[0], "width": rgb.shape[1], "data": kernels.age(rgb, row["_seed"], shared.value).tobytes()}, "height int, width int, data binary", ["_seed"])
 
 
 def colour_correct(images: DataFrame) -> DataFrame:

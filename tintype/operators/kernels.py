@@ -230,17 +230,50 @@ def adaptive_mask(g: np.ndarray, sensitivity: float) -> np.ndarray:
 DETECTORS = {"morph": morph_mask, "texture": texture_mask, "adaptive": adaptive_mask, "full": lambda g, s: np.full(g.shape, 255, np.uint8)}
 
 
-def age(rgb: np.ndarray, seed: int) -> np.ndarray:
-    """Sepia, fading, vignette and grain, in that order, cut to 8 bits after each."""
-    cut = lambda x: np.clip(x, 0, 255).astype(np.uint8)
-    sepia = rgb @ np.array([[0.393, 0.769, 0.189], [0.349, 0.686, 0.168], [0.272, 0.534, 0.131]]).T
-    out = cut(rgb * 0.75 + np.minimum(sepia, 255) * 0.25)
-    out = cut(out * 0.9 + 255 * 0.1 * 0.5)
+def texture_cover(texture: np.ndarray, height: int, width: int, floor: int, rng: np.random.Generator) -> np.ndarray:
+    """A texture over a whole image, cropped at a random place or tiled, as weights from 0 (``floor`` or darker) to 1."""
+    h, w = texture.shape
+    if h < height or w < width:
+        part = np.tile(texture, (-(-height // h), -(-width // w)))[:height, :width]
+    else:
+        y, x = int(rng.integers(0, h - height + 1)), int(rng.integers(0, w - width + 1))
+        part = texture[y : y + height, x : x + width]
+    return np.clip(part.astype(np.float64) - floor, 0, None) / (255 - floor)
+
+
+def _bytes(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, 0, 255).astype(np.uint8)
+
+
+def worn(rgb: np.ndarray, covers: list[np.ndarray]) -> np.ndarray:
+    """Scratches and stains by the first cover; scuffs, dust and darker corners by the second."""
+    out = rgb.astype(np.float64)
+    if covers:
+        c = covers[0][..., None]
+        out = (out + 120 * c) * (1 - 0.2 * c) + np.array([60, 50, 40]) * 0.2 * c
+    if len(covers) > 1:
+        c = covers[1]
+        out = out + 60 * c[..., None]
+        out = np.where((c > 0.5)[..., None], np.minimum(out + 80, 255), out)
+        h, w = c.shape
+        third = min(h, w) // 3
+        edge = lambda n: np.minimum(np.arange(n), np.arange(n)[::-1]) < third
+        out = out * (1 - 0.5 * c * np.outer(edge(h), edge(w)))[..., None]
+    return _bytes(out)
+
+
+def age(rgb: np.ndarray, seed: int, textures: list[np.ndarray] = ()) -> np.ndarray:
+    """Wear, sepia, fading, vignette and grain, in that order, cut to 8 bits after each."""
+    rng = np.random.default_rng(seed)
     h, w = rgb.shape[:2]
-    y, x = np.ogrid[:h, :w]
-    far = np.sqrt(((x - w / 2) / max(w / 2, 1)) ** 2 + ((y - h / 2) / max(h / 2, 1)) ** 2)
-    out = cut(out * np.clip(1 - 0.4 * far, 0.2, 1)[..., None])
-    return cut(out + np.random.default_rng(seed).normal(0, 20, (h, w, 1)))
+    chosen = [textures[i] for i in rng.permutation(len(textures))[:2]]
+    out = worn(rgb, [texture_cover(t, h, w, floor, rng) for t, floor in zip(chosen, (30, 35), strict=False)])
+    sepia = np.clip(out @ np.array([[0.393, 0.769, 0.189], [0.349, 0.686, 0.168], [0.272, 0.534, 0.131]]).T, 0, 255)
+    out = _bytes(0.75 * out + 0.25 * sepia)
+    out = _bytes(0.9 * out + 0.1 * 255)
+    away = ((np.arange(h) - h / 2) ** 2)[:, None] + ((np.arange(w) - w / 2) ** 2)[None]
+    out = _bytes(out * np.clip(1 - 0.4 * away / ((h * h + w * w) / 4), 0.2, 1)[..., None])
+    return _bytes(out + rng.normal(0, 20, out.shape))
 
 
 def colour_correct(rgb: np.ndarray) -> np.ndarray:

@@ -93,7 +93,8 @@ def damage_mask_adaptive(spark, d):
 
 @query()
 def age_images(spark, d):
-    return images.age_images(_large(spark, d), 42).select("origin", "status", F.sha2("data", 256).alias("content"))
+    textures = _large(spark, d).orderBy("origin").limit(8)  # a handful of textures is the feature
+    return images.age_images(_large(spark, d), 42, textures).select("origin", "status", F.sha2("data", 256).alias("content"))
 
 
 @query()
