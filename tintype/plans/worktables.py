@@ -12,13 +12,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders made for applications that name none.
+_own: dict[str, str] = {}
+
+
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; where none is named (tests) a new local one."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``; where none is named (tests on one machine) a new local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="spark-work-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-work-")
+    return _own[app]
 
 
 def write_table(df: DataFrame, name: str) -> DataFrame:
