@@ -148,3 +148,23 @@ def test_ageing_is_seeded_and_wears_by_textures():
     cover[10, 10] = 1
     out = kernels.worn(rgb, [cover, cover * 0])
     assert out[10, 10].tolist() == [int((240 * 0.8) + c * 0.2) for c in (60, 50, 40)] and (out[0] == 120).all()
+
+
+def test_session_functions(spark):
+    from tintype.functions import scalars
+
+    scalars.register(spark)
+    got = spark.sql("select license_norm('  CC-BY   4.0 ') a, clean_url('http://x/#w=1') b, hamming(5L, 6L) c").first()
+    assert tuple(got) == ("cc by 4.0", "http://x/", 2)
+
+
+def test_empty_tables_give_empty_results(spark):
+    from tintype.operators import audit, tasks
+
+    m = spark.createDataFrame([], "pos long, id string, source_id string, sha256 string, width int, height int, decode_ok boolean, license string, provider string, split string, status string")
+    assert intake.clean_batch(m).count() == 0 and audit.duplicate_groups(m, "sha256").count() == 0 and near.hash_pairs(m.select("pos"), "pos", 56, 4).count() == 0
+    assert pairing.review_sample(m, "provider", "id", 0.1, 5, 1).count() == 0 and pairing.split_linspace(m, 5, "pos").count() == 0
+    gates = {r.gate: r.passed for r in release.release_gate(m).collect()}
+    assert gates["decode_errors"] and not gates["test_rows"] and release.release_fingerprint(m, ["id"]).count() == 1
+    e = spark.createDataFrame([], "task_id string, ts timestamp, event_id long, status string, mode string")
+    assert tasks.latest_per_task(e, ["status"]).count() == 0 and tasks.task_durations(e).count() == 0
