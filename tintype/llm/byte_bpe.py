@@ -13,15 +13,17 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces remembered by a worker before it starts anew (about 250 bytes each).
-REMEMBERED = 1_200_000
+#: Pieces remembered by a worker, in two halves of which the older one goes when the other is full (about 250 bytes each).
+REMEMBERED = 1_400_000
 
+_SPACE = re.compile(r"\s")
 _ODD_SPACE = re.compile(r"\s \s")
 
 
@@ -73,9 +75,11 @@ class PieceEncoder:
         self.remembered = remembered
         self.spaced: dict[str, bytes] = {}  # pieces after a space
         self.bare: dict[str, bytes] = {}  # pieces at a text's start or after a line end
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # both as they were when they were last full
         chars = byte_characters()
         self.begins = np.array([(self.own.id_to_token(i) or "").startswith(chars[32]) for i in range(self.own.get_vocab_size())])
         self.line = self._whole(["\n"])[0]
+        self.tails = dict(zip(".,", self._whole([".", ","]), strict=True))
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
@@ -83,66 +87,68 @@ class PieceEncoder:
     def _words(self, words: list[str], spaced: bool) -> None:
         """Stores words without white space; many are encoded in one go, and told apart by the space or line end between them."""
         store, mark = (self.spaced, " ") if spaced else (self.bare, "\n")
+        line = int.from_bytes(self.line, "little")
         for at in range(0, len(words), 256):
             some = words[at : at + 256]
-            ids = np.array(self.own.encode_batch_fast(["".join(mark + w for w in some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            starts = np.flatnonzero(self.begins[ids] if spaced else ids == np.frombuffer(self.line, "<u4")[0])
+            ids = np.array(self.own.encode_batch_fast([mark + mark.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = np.flatnonzero(self.begins[ids] if spaced else ids == line)
             if len(starts) != len(some):
                 store.update(zip(some, self._whole([mark + w if spaced else w for w in some]), strict=True))
                 continue
-            for w, part in zip(some, np.split(ids, starts[1:]), strict=True):
-                store[w] = part.tobytes() if spaced else part[1:].tobytes()
+            raw, skip = ids.tobytes(), 0 if spaced else 4
+            bounds = [*(4 * starts).tolist(), len(raw)]
+            store.update(zip(some, [raw[i + skip : j] for i, j in zip(bounds, bounds[1:], strict=False)], strict=True))
+
+    def _tailed(self, words: list[str], spaced: bool) -> None:
+        """Stores words without white space, a full stop or comma after a letter apart, as the split pattern takes it by itself."""
+        store = self.spaced if spaced else self.bare
+        tailed = [w for w in words if w[-1] in ".," and w[-2:-1].isalpha()]
+        cores = set(words).difference(tailed)
+        cores.update([w[:-1] for w in tailed])
+        self._words(list(cores.difference(store)), spaced)
+        store.update([(w, store[w[:-1]] + self.tails[w[-1]]) for w in tailed])
 
     def _learn(self, pieces: set[str], spaced: bool) -> None:
         store = self.spaced if spaced else self.bare
-        plain, later, odd = set(), [], []
-        lines = set()
+        plain, lines, broken, odd = [], set(), [], []
+        search = _SPACE.search
         for p in pieces:
+            if not search(p):
+                (plain if p else odd).append(p)
+                continue
             halves = p.split("\n")
-            if all(h and h.split() == [h] for h in halves):
-                later.append((p, halves))
+            if all(halves) and not any(map(search, halves)):
+                broken.append((p, halves))
                 lines.update(halves[1:])
-                plain.add(halves[0])
+                plain.append(halves[0])
             else:
                 odd.append(p)
-        for words, after_space in ((plain, spaced), (lines, False)):
-            known = self.spaced if after_space else self.bare
-            cores = set()
-            for w in words:
-                if w not in known:
-                    cores.update((w[:-1], w) if self._ends(w) else (w,))
-            tails = {w[-1] for w in words if self._ends(w)}
-            self._words([t for t in tails if t not in self.bare], False)
-            self._words([c for c in cores if c not in known and not (self._ends(c) and c[:-1] in cores)], after_space)
-            for w in words:
-                if w not in known:
-                    known[w] = known[w[:-1]] + self.bare[w[-1]]
-        for p, halves in later:
-            if p not in store:
-                store[p] = self.line.join([store[halves[0]], *(self.bare[h] for h in halves[1:])])
+        self._tailed([w for w in plain if w not in store], spaced)
+        self._tailed([w for w in lines if w not in self.bare], False)
+        store.update([(p, self.line.join([store[h[0]], *(self.bare[x] for x in h[1:])])) for p, h in broken])
         if odd:
             store.update(zip(odd, self._whole([" " + p if spaced else p for p in odd]), strict=True))
 
-    @staticmethod
-    def _ends(word: str) -> bool:
-        """Whether a word ends in a full stop or comma that the split pattern takes by itself."""
-        return len(word) > 1 and word[-1] in ".," and word[-2].isalpha()
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.bare) > self.remembered:
-            self.spaced.clear()
-            self.bare.clear()
+        if len(self.spaced) + len(self.bare) > self.remembered // 2:  # what is still used comes back from the older half
+            self.older = (self.bare, self.spaced)
+            self.bare, self.spaced = {}, {}
         cut = [None if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
         first, rest = set(), set()
         for c in cut:
             if c is not None:
                 first.add(c[0])
-                rest.update(c)
-        self._learn(first - self.bare.keys(), False)
-        self._learn(rest - self.spaced.keys(), True)
+                rest.update(filterfalse(self.spaced.__contains__, islice(c, 1, None)))
+        for pieces, store, older in zip((first, rest), (self.bare, self.spaced), self.older, strict=True):
+            pieces.difference_update(store)
+            known = pieces.intersection(older)
+            store.update([(p, older[p]) for p in known])
+            pieces.difference_update(known)
+        self._learn(first, False)
+        self._learn(rest, True)
         whole = dict(zip([i for i, c in enumerate(cut) if c is None], self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]), strict=True))
         get = self.spaced.__getitem__
-        return [whole[i] if c is None else b"".join([self.bare[c[0]], *map(get, c[1:])]) for i, c in enumerate(cut)]
+        return [whole[i] if c is None else self.bare[c[0]] + b"".join(map(get, islice(c, 1, None))) for i, c in enumerate(cut)]
 
 
 _encoders: dict[str, PieceEncoder] = {}
