@@ -268,3 +268,12 @@ def test_quality_without_labels_and_rows(spark):
     got = kneser_ney.quality(docs, none).collect()
     assert len(got) == 3 and all(r.kept for r in got)
     assert kneser_ney.quality(docs.limit(0), none).count() == 0
+
+
+def test_model_trains_on_a_share_of_all_trusted_documents(spark, monkeypatch):
+    seen, train = [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda sample, text: seen.append(sample.count()) or train(sample, text))
+    docs = spark.range(8000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    labels = docs.where("doc_id < 7000").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert kneser_ney.quality(docs, labels).count() == 8000
+    assert 0.45 * 7000 < seen[0] < 0.55 * 7000

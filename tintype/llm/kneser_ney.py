@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from tintype.llm.shared import maybe_in, membership_filter
 from tintype.plans.worktables import drop_table, write_table
 
-#: Bound of the training sample in documents, and most n-grams that are looked up in place (16 bytes each).
-TRAIN_DOCS, IN_PLACE = 2000, 1 << 19
+#: Share of the trusted documents that trains the model, and most n-grams that are looked up in place (16 bytes each).
+TRAIN_SHARE, IN_PLACE = 0.5, 1 << 19
 
 #: Hashes of the marks before and after a text.
 _BEGIN, _END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\x00begin", "\x00end"))
@@ -69,7 +69,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _counted(sample: DataFrame, text: str) -> DataFrame:
-    """Trigrams and bigrams (key, ctx, suf, start, order, n) of the sample, counted in each batch."""
+    """Trigrams and bigrams (order, key, ctx, suf, start, n) of the sample, counted in each batch and in each task before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -83,7 +83,8 @@ def _counted(sample: DataFrame, text: str) -> DataFrame:
                     names=["key", "ctx", "suf", "start", "order", "n"],
                 )
 
-    return write_table(sample.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "key bigint, ctx bigint, suf bigint, start boolean, order int, n bigint"), "ngrams")
+    each = sample.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "key bigint, ctx bigint, suf bigint, start boolean, order int, n bigint")
+    return write_table(each.groupBy("order", "key").agg(F.min("ctx").alias("ctx"), F.min("suf").alias("suf"), F.max("start").alias("start"), F.sum("n").alias("n")), "ngrams")
 
 
 def discounts(table: DataFrame) -> tuple[float, float, float]:
@@ -104,12 +105,10 @@ def train(sample: DataFrame, text: str = "text") -> tuple[DataFrame, float, floa
     that begin a text, which nothing precedes, by themselves.
     """
     raw = _counted(sample, text)
-    three = raw.where("order = 3").groupBy("key").agg(F.min("ctx").alias("ctx"), F.min("suf").alias("suf"), F.sum("n").alias("n"))
-    two = raw.where("order = 2").groupBy("key").agg(F.min("ctx").alias("ctx"), F.min("suf").alias("suf"), F.max("start").alias("start"), F.sum("n").alias("n"))
-    three = write_table(three.withColumn("c", F.col("n")), "trigrams")
+    three = raw.where("order = 3").select("key", "ctx", "suf", "n", F.col("n").alias("c"))
+    two = raw.where("order = 2").select("key", "ctx", "suf", "start", "n")
     before = three.groupBy(F.col("suf").alias("key")).agg(F.count("*").alias("c"))
     two = counted = write_table(two.join(before, "key", "left").withColumn("c", F.when(F.col("start"), F.col("n")).otherwise(F.coalesce("c", F.lit(1)))), "bigrams")
-    drop_table(raw)
     one = write_table(two.groupBy(F.col("suf").alias("key")).agg(F.count("*").alias("c"), F.sum("n").alias("n")), "unigrams")
 
     total, kinds, off = one.agg(F.sum("c"), F.count("*"), F.sum(_discounted(d1 := discounts(one)))).first()
@@ -128,7 +127,6 @@ def train(sample: DataFrame, text: str = "text") -> tuple[DataFrame, float, floa
     two = two.join(ctx2, "ctx").join(one.select(F.col("key").alias("suf"), F.col("p").alias("lower")), "suf")
     two = write_table(two.select("key", "n", p2.alias("p"), (F.log(p2) - F.log("lower") - F.log("gamma")).alias("gain")), "bigram-weights")
     drop_table(counted)
-    trigrams = three
     p3 = (F.col("c") - _discounted(d3)) / F.col("all") + F.col("gamma") * F.col("lower")
     three = three.join(ctx3, "ctx").join(two.select(F.col("key").alias("suf"), F.col("p").alias("lower")), "suf")
     three = three.select("key", "n", (F.log(p3) - F.log("lower") - F.log("gamma")).alias("weight"))
@@ -139,7 +137,7 @@ def train(sample: DataFrame, text: str = "text") -> tuple[DataFrame, float, floa
     begin = ctx2.where(F.col("ctx") == int(_BEGIN.view(np.int64))).select("gamma").first()
     weights = with_context(one, F.log("p") - float(np.log(unknown)), ctx2).unionByName(with_context(two, F.col("gain"), ctx3)).unionByName(three)
     weights = write_table(weights.select("key", "weight", "n"), "weights")
-    drop_table(trigrams)
+    drop_table(raw)
     drop_table(two)
     return weights, float(np.log(unknown)), float(np.log(begin[0]))
 
@@ -150,7 +148,7 @@ def _turned(key: Column) -> Column:
 
 def _least_count(weights: DataFrame) -> int:
     """The least count such that at most IN_PLACE n-grams have it or a larger one."""
-    sizes = weights.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).collect()  # the distinct counts of a bounded sample
+    sizes = weights.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(IN_PLACE + 1).collect()  # each stands for an n-gram or more
     least, total = 1 << 62, 0
     for n, k in sizes:
         if (total := total + k) > IN_PLACE:
@@ -213,22 +211,39 @@ def log_probabilities(docs: DataFrame, weights: DataFrame, per_position: float,
     return looked.join(joined, "row_id", "left").select("row_id", "doc_id", "lang", "n_words", (F.col("base") + F.coalesce("late", F.lit(0.0))).alias("logp"))
 
 
+def _of_ids(docs: DataFrame, chosen: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, text) of the documents with a chosen ``doc_id``.
+
+    A filter of fixed size keeps the texts of most others out of the join's shuffle; the join is exact.
+    """
+    hashed = F.xxhash64(F.col("doc_id"))
+    bits = docs.sparkSession.sparkContext.broadcast(membership_filter(chosen.select(hashed.alias("key"))))
+
+    @F.pandas_udf("boolean")
+    def some(keys):
+        import pandas as pd
+
+        return pd.Series(maybe_in(bits.value, keys.to_numpy()), dtype=bool)
+
+    return docs.select(docs[id].alias("doc_id"), docs[text].alias(text)).where(some(hashed)).join(chosen, "doc_id", "left_semi")
+
+
 def quality(
     docs: DataFrame,
     labels: DataFrame,
     id: str = "doc_id",
     text: str = "text",
     lang: str | None = "lang",
-    train_docs: int = TRAIN_DOCS,
+    train_share: float = TRAIN_SHARE,
     quantile: float = 0.995,
     slack: float = 0.05,
     least_rows: int = 50,
 ) -> DataFrame:
     """(doc_id, lang, n_words, perplexity, threshold, kept) of every row.
 
-    Trusted text is that of documents labelled quality 1 and not toxic. A sample of at most about
-    ``train_docs`` of them, and no more than half, trains the model; the others set a threshold for
-    each language: the ``quantile`` of their perplexity, and ``slack`` of it more. A language with
+    Trusted text is that of documents labelled quality 1 and not toxic. The share ``train_share`` of
+    them, drawn by a hash of the id, trains the model, so that its counts grow with the input; the
+    others set a threshold for each language: the ``quantile`` of their perplexity, and ``slack`` of it more. A language with
     fewer than ``least_rows`` of them takes the threshold of all languages together.
 
     Null and empty texts have one position, the end; null languages are a language of their own;
@@ -237,11 +252,8 @@ def quality(
     """
     trusted = labels.groupBy(F.col(id).alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0 and doc_id is not null").select("doc_id")
     trusted = write_table(trusted, "trusted")
-    many = max(1, trusted.count())
-    share = min(0.5, train_docs / many)
-    drawn = F.pmod(F.xxhash64(F.lit("model sample"), F.col("doc_id")), F.lit(1_000_003)) < share * 1_000_003
-    chosen = trusted.where(drawn).withColumnRenamed("doc_id", id)
-    model = train(docs.join(F.broadcast(chosen), id, "left_semi"), text)  # bounded by train_docs
+    drawn = F.pmod(F.xxhash64(F.lit("model sample"), F.col("doc_id")), F.lit(1_000_003)) < train_share * 1_000_003
+    model = train(_of_ids(docs, trusted.where(drawn), id, text), text)
     scored = write_table(log_probabilities(docs, *model, id, text, lang), "scored").withColumn("ppl", F.exp(-F.col("logp") / (F.col("n_words") + 1)))
     held = scored.join(trusted.where(~drawn), "doc_id").where("n_words > 0")
     line = F.percentile_approx("ppl", quantile, 10_000) * (1 + slack)
