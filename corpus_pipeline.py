@@ -24,7 +24,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats of earlier lines go, and with them documents that had nothing else."""
-    return dedup_lines(docs, drop_emptied=True).drop("removed_lines")
+    return dedup_lines(docs, drop_emptied=True, least_words=1).drop("removed_lines")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 import random
 
+import corpus_pipeline
 import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from tintype.llm import line_dedup, simhash
+from tintype.llm import line_dedup, queries, simhash
 from tintype.operators.components import connected_components
 
 
@@ -128,3 +129,12 @@ def test_earliest_line_stays_and_emptied_documents_go(spark):
     df = spark.createDataFrame([(1, f"{a}\nshort"), (2, a.lower().replace("quick", "slow")), (3, f"{a}\nA line of its own, quite another one"), (4, "short"), (5, None)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in line_dedup.dedup_lines(df, drop_emptied=True).collect()}
     assert got == {1: f"{a}\nshort", 3: "A line of its own, quite another one", 4: "short", 5: None}
+
+
+def test_short_lines_go_if_they_repeat(spark, tmp_path):
+    df = spark.createDataFrame([(1, "Read more\n其他文字\none two three four"), (2, "read  MORE\n\n\none two three five"), (3, "其他文字"), (4, "read"), (5, None)], "doc_id long, text string")
+    want = {(2, 0), (3, 0)}
+    assert {(r.doc_id, r.pos) for r in line_dedup.removed_lines(df, least_words=1).collect()} == want
+    df.withColumn("n_chars", F.length("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.removed_lines for r in queries.op5_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1, 3: 1, 4: 0, 5: 0}
+    assert sorted(r.doc_id for r in corpus_pipeline.lines(spark, df, "").collect()) == [1, 2, 4, 5]

@@ -2,7 +2,8 @@
 
 A line is a sequence of words (lower case, white space collapsed). Two lines of at least five words
 are near if one word substituted, added or left out makes them equal, which for such lines is a
-similarity of 0.8 or more; shorter lines are left alone. Two near lines share a variant: the line
+similarity of 0.8 or more; shorter lines can only be equal, from as many words on as the caller
+says. Two near lines share a variant: the line
 itself or the line less one word. Variants are emitted as hashed keys, equal keys are joined, and
 each pair found is verified on its words.
 
@@ -61,11 +62,11 @@ def _lowered(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(F.col(id).alias("doc_id"), F.xxhash64(whole).alias("th"), F.lower(whole).alias("text"))
 
 
-def _words_by_line(text: str) -> Iterator[tuple[int, list[bytes]]]:
-    """Number and words of every line with MIN_WORDS words."""
+def _words_by_line(text: str, least_words: int = MIN_WORDS) -> Iterator[tuple[int, list[bytes]]]:
+    """Number and words of every line with ``least_words`` words."""
     for pos, line in enumerate(text.encode("utf-8", "surrogatepass").split(b"\n")):
         words = line.split()
-        if len(words) >= MIN_WORDS:
+        if len(words) >= least_words:
             yield pos, words
 
 
@@ -86,22 +87,24 @@ def _signed(values: list[int]) -> np.ndarray:
     return np.array(values, dtype=np.uint64).view(np.int64)
 
 
-def lines_of(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(doc_id, th, pos, lk, halves) of every line with MIN_WORDS words: text hash, line number, hash of the normal form, half keys."""
+def lines_of(docs: DataFrame, id: str, text: str, least_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, th, pos, lk, halves) of every line with ``least_words`` words: text hash, line number, hash of the normal form, half keys (none under MIN_WORDS words)."""
     rows = _lowered(docs, id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            of, places, keys, halves = [], [], [], []
+            of, places, keys, halves, ends = [], [], [], [], [0]
             for i, t in enumerate(b.column(2).to_pylist()):
-                for pos, words in _words_by_line(t):
+                for pos, words in _words_by_line(t, least_words):
                     of.append(i)
                     places.append(pos)
                     keys.append(_line_key(b" ".join(words)))
-                    halves += _half_keys(words)
+                    if len(words) >= MIN_WORDS:
+                        halves += _half_keys(words)
+                    ends.append(len(halves))
             at = pa.array(of, pa.int64())
-            four = pa.ListArray.from_arrays(pa.array(np.arange(0, len(halves) + 1, 4, dtype=np.int32)), pa.array(_signed(halves)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(places, pa.int32()), pa.array(_signed(keys)), four], names=["doc_id", "th", "pos", "lk", "halves"])
+            some = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(halves)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(places, pa.int32()), pa.array(_signed(keys)), some], names=["doc_id", "th", "pos", "lk", "halves"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, th bigint, pos int, lk bigint, halves array<bigint>")
 
@@ -175,15 +178,16 @@ def _later_near(candidates: DataFrame) -> DataFrame:
     return both.where(verified("line", "other_line")).select("lk").distinct()
 
 
-def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, th, pos) of every line that repeats an earlier one or is near to an earlier one.
 
     Lines are ordered by document id (null first), text hash and number. A line goes if any earlier
-    line of the table is near to it, whether that line stays itself or not. Rows with equal id and
-    text are one document.
+    line of the table is near to it, whether that line stays itself or not. Equal lines are found
+    from ``least_words`` words on (1: all lines with a word), near ones from MIN_WORDS. Rows with
+    equal id and text are one document.
     """
     own = F.struct("doc_id", "th", "pos")
-    lines = write_table(lines_of(docs, id, text), "lines")
+    lines = write_table(lines_of(docs, id, text, least_words), "lines")
     halves = lines.select("lk", F.explode("halves").alias("half"))
     met = halves.groupBy("half").agg(F.min("lk").alias("a"), F.max("lk").alias("b")).where("a <> b").select("half")
     chosen = write_table(halves.join(met, "half", "left_semi").select("lk").distinct(), "chosen-lines")
@@ -195,13 +199,13 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Da
     return hit.select("doc_id", "th", "pos")
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", drop_emptied: bool = False, least_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their columns, repeated lines taken out of the text (and n_chars, where present, set anew), and ``removed_lines``.
 
     A document without such lines is as it was; with ``drop_emptied`` one that loses its last word
     that way goes. Null texts stay null; an empty table gives an empty result.
     """
-    cut = removed_lines(docs, id, text).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("cut"))
+    cut = removed_lines(docs, id, text, least_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("cut"))
     whole = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(docs[id].alias("r_id"), F.xxhash64(whole).alias("r_th"), docs[text].alias("text"), F.struct("*").alias("row"))
     rows = rows.join(cut, F.col("r_id").eqNullSafe(F.col("doc_id")) & (F.col("r_th") == F.col("th")), "left")

@@ -46,7 +46,7 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tintype.llm.line_dedup import dedup_lines
 
-    done = dedup_lines(documents(spark, sf_dir))
+    done = dedup_lines(documents(spark, sf_dir), least_words=1)
     return done.select("doc_id", F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long").alias("n_lines"), "removed_lines", F.col("n_chars").cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
 
 
