@@ -52,6 +52,25 @@ def test_contexts_find_unseen_identifiers_and_spare_others(spark):
     assert pii.find_personal_data(df.limit(0)).count() == 0
 
 
+def test_found_identifiers_induce_contexts_until_nothing_is_new(spark):
+    rows = [f"call me at: +1 212 555 {1000 + i} today" for i in range(60)]
+    rows += [f"{w} 212 555 {2000 + i} {end}" for i in range(30) for w, end in (("call me at:", "today"), ("fax number is", "again"))]
+    rows += [f"{w} 212 555 {3000 + i} {end}" for i in range(8) for w, end in (("fax number is", "again"), ("ring us under", "daily"))]
+    rows.append("ring us under 212 555 7777 daily")  # two contexts from the last seed
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    masked = {r.doc_id: r.text for r in pii.mask_personal_data(df).collect()}
+    assert masked[len(rows) - 1] == "ring us under <PHONE> daily"
+
+
+def test_every_token_and_run_of_numbers_is_a_candidate():
+    def offered(t):
+        return {t[s:e] for s, e, kind, *_ in pii.mentions(t, pii.base_spans(t)) if kind < 0}
+
+    assert offered("card 7536784127813050 4845168114407329 end") == {"7536784127813050", "4845168114407329"}
+    assert {"212 555 1000", "555 1000"} == offered("tel 212 555 1000 4111111111111111 x") - {"4111111111111111"}
+    assert "5551000" in offered("9" * 300 + " 5551000")
+
+
 def test_masks_overlapping_spans_once():
     assert pii.masked_text("x 1234 y", [(2, 2, 6), (3, 3, 5)]) == "x <CARD> y" and pii.masked_text("ab", []) == "ab"
 

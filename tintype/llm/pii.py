@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tintype.plans.worktables import write_table
+from tintype.plans.worktables import drop_table, write_table
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -28,6 +28,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"[^\s]*[0-9@][^\s]*(?: [().0-9-]*[0-9][().0-9-]*(?!\S))*")
+_TOKEN = re.compile(r"\S+")
+_NUMBER = re.compile(r"[+().0-9/-]*[0-9][+().0-9/-]*")
 _DIGITS = re.compile(r"[0-9]")
 _EDGES = "\"'()[]{}<>,;:.!?*#$%&|="
 
@@ -92,42 +94,77 @@ def _contexts(text: str, start: int, end: int) -> tuple[int, int]:
     return tuple(xxhash.xxh64_intdigest(x) - (1 << 63) for x in (f"<{before[0]} {before[1]}", f"|{before[1]} {after}"))
 
 
-def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(start, end, kind or -1, forms, instance, context, context) of seeds and candidates; forms is a bit set of the kinds a candidate suits."""
-    if not _WORTH.search(text):
-        return []
-    out = []
-    for s, k, e in base:
-        out.append((s, e, k, 0, xxhash.xxh64_intdigest(text[s:e].lower()) - (1 << 63), *_contexts(text, s, e)))
-    taken, i = [(s, e) for s, _, e in base], 0
-    for m in _CANDIDATE.finditer(text):
+def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of every token of a range, and of every run of its number tokens that has few enough digits to be an identifier."""
+    run: list[tuple[int, int, int]] = []  # number tokens before this one: start, end, digits
+    for m in _TOKEN.finditer(text, start, end):
         s, e = m.span()
-        if e - s > 200:
-            continue  # no identifier is as long
+        if e - s > 200:  # no identifier is as long
+            run = []
+            continue
         while s < e and text[s] in _EDGES:
             s += 1
         while e > s and text[e - 1] in _EDGES:
             e -= 1
-        while i < len(taken) and taken[i][1] <= s:
-            i += 1
-        if e - s < 6 or any(a < e and b > s for a, b in taken[max(0, i - 4) : i + 4]):
+        yield s, e
+        if not _NUMBER.fullmatch(text, s, e):
+            run = []
             continue
-        word = text[s:e]
-        if forms := sum(1 << k for k in range(len(KINDS)) if suits(k, word)):
-            out.append((s, e, -1, forms, xxhash.xxh64_intdigest(word.lower()) - (1 << 63), *_contexts(text, s, e)))
+        total = own = len(_DIGITS.findall(text, s, e))
+        for before, _, digits in reversed(run):
+            total += digits
+            if total > 19 or e - before > 200:
+                break
+            yield before, e
+        run = [*run[-18:], (s, e, own)]
+
+
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int, int, int]]:
+    """(start, end, kind or -1, forms, instance, context, context, group) of seeds and candidates; forms is a bit set of the kinds a candidate suits.
+
+    Every token of a chain and every run of number tokens in it is a candidate, less what the fixed
+    patterns took. Those of one chain are alternatives: their group is the chain's hash.
+    """
+    if not _WORTH.search(text):
+        return []
+    out = []
+    for s, k, e in base:
+        own = xxhash.xxh64_intdigest(text[s:e].lower()) - (1 << 63)
+        out.append((s, e, k, 0, own, *_contexts(text, s, e), own))
+    cuts: list[tuple[int, int]] = []  # what the fixed patterns took, as disjoint ranges
+    for s, _, e in base:
+        if cuts and s < cuts[-1][1]:
+            cuts[-1] = cuts[-1][0], max(cuts[-1][1], e)
+        else:
+            cuts.append((s, e))
+    i = 0
+    for m in _CANDIDATE.finditer(text):
+        at, end = m.span()
+        group = None
+        while i < len(cuts) and cuts[i][1] <= at:
+            i += 1
+        k = i
+        while at < end:
+            stop, after = cuts[k] if k < len(cuts) and cuts[k][0] < end else (end, end)
+            for s, e in _parts(text, at, stop):
+                word = text[s:e]
+                if e - s >= 6 and (forms := sum(1 << k for k in range(len(KINDS)) if suits(k, word))):
+                    group = group or xxhash.xxh64_intdigest(m[0].strip(_EDGES).lower()) - (1 << 63)
+                    out.append((s, e, -1, forms, xxhash.xxh64_intdigest(word.lower()) - (1 << 63), *_contexts(text, s, e), group))
+            at, k = after, k + 1
     return out
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"
-_MENTION = "struct<start:int,end:int,kind:int,forms:int,inst:bigint,c1:bigint,c2:bigint>"
+_MENTION = "struct<start:int,end:int,kind:int,forms:int,inst:bigint,c1:bigint,c2:bigint,grp:bigint>"
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, base, mentions): what the fixed patterns find in each row, and the mentions for the graph. th is a hash of the text."""
     rows = docs.select(docs[id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
     spans = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    names = ("start", "end", "kind", "forms", "inst", "c1", "c2")
-    many = pa.list_(pa.struct([(n, pa.int64() if n in ("inst", "c1", "c2") else pa.int32()) for n in names]))
+    names = ("start", "end", "kind", "forms", "inst", "c1", "c2", "grp")
+    many = pa.list_(pa.struct([(n, pa.int64() if n in ("inst", "c1", "c2", "grp") else pa.int32()) for n in names]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -148,38 +185,45 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     return rows.mapInArrow(find, f"doc_id {rows.schema[0].dataType.simpleString()}, th bigint, base array<{_SPAN}>, mentions array<{_MENTION}>")
 
 
-def discovered(scanned: DataFrame, rounds: int = 2, min_seeds: int = 3, min_pattern: float = 0.6, min_instance: float = 0.6) -> DataFrame:
-    """(doc_id, th, more): new spans by row, from ``rounds`` rounds of scoring contexts and instances.
+def discovered(scanned: DataFrame, min_seeds: int = 3, min_pattern: float = 0.6, min_instance: float = 0.6) -> DataFrame:
+    """(doc_id, th, more): new spans by row, from rounds of scoring contexts and instances that end when a round changes nothing.
 
-    A context counts for a kind if at least ``min_seeds`` distinct instances of it are seeds and the
-    weight of its reliable instances is at least ``min_pattern`` of (all its distinct instances + 1).
-    Pairs of context and instance are made distinct before they are counted, so repeated documents
-    add nothing and a common context is summed in part before each shuffle.
+    A context counts for a kind if at least ``min_seeds`` distinct instances of it are seeds or were
+    found before, and their weight is at least ``min_pattern`` of (all its distinct instances + 1);
+    of the alternatives in a chain the most reliable counts. What is found in a round so induces
+    contexts for the next. Weights only grow, so the rounds end. Pairs of context and instance are
+    made distinct before they are counted, so repeated documents add nothing and a common context is
+    summed in part before each shuffle. Of accepted spans within each other the outer one stays.
     """
     each = write_table(scanned.where("size(mentions) > 0").select("doc_id", "th", F.explode("mentions").alias("m")).select("doc_id", "th", "m.*"), "mentions")
-    pairs = write_table(each.select("inst", "kind", "forms", F.explode(F.array("c1", "c2")).alias("pat")).distinct(), "contexts")
-    sizes = pairs.select("pat", "inst").distinct().groupBy("pat").agg(F.count("*").alias("n"))
-    seeds = pairs.where("kind >= 0").select("inst", "kind").distinct()
-    supported = pairs.where("kind >= 0").groupBy("pat", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    known = write_table(supported.join(sizes, "pat").withColumnRenamed("kind", "of"), "supported")
-    weights = seeds.select("inst", F.col("kind").alias("of"), F.lit(1.0).alias("w"))
-    open_pairs = pairs.where("kind < 0").join(known, "pat").where(F.expr("(forms & shiftleft(1, of)) <> 0")).select("pat", "inst", "of")
-    open_pairs = write_table(open_pairs, "open-pairs")
-    patterns = found = None
-    for _ in range(rounds):
-        if found is None:
-            scores = known.select("pat", "of", (F.col("seeds") / (F.col("n") + 1)).alias("score"))
-        else:
-            gained = open_pairs.join(found, ["inst", "of"]).groupBy("pat", "of").agg(F.sum("w").alias("gained"))
-            scores = known.join(gained, ["pat", "of"], "left").select("pat", "of", ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / (F.col("n") + 1)).alias("score"))
-        patterns = scores.where(F.col("score") >= min_pattern)
+    pairs = write_table(each.select("inst", "grp", "kind", "forms", F.explode(F.array("c1", "c2")).alias("pat")).distinct(), "contexts")
+    sizes = write_table(pairs.select("pat", "grp").distinct().groupBy("pat").agg(F.count("*").alias("n")), "context-sizes")
+    seeds = pairs.where("kind >= 0").select("inst", F.col("kind").alias("of"), F.lit(1.0).alias("w")).distinct()
+    kinds = F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))])).alias("of")
+    open_pairs = write_table(pairs.where("kind < 0").select("pat", "inst", "forms", kinds).where(F.expr("(forms & shiftleft(1, of)) <> 0")).select("pat", "inst", "of").distinct(), "open-pairs")
+    accepted, found, state = seeds, None, (0, 0.0)
+    while True:
+        chains = pairs.select("pat", "grp", "inst").join(accepted, "inst").groupBy("pat", "of", "grp").agg(F.max(F.struct("w", "inst")).alias("best"))
+        support = chains.groupBy("pat", "of").agg(F.sum("best.w").alias("sure"), F.count_distinct("best.inst").alias("many")).where(F.col("many") >= min_seeds)
+        scores = support.join(sizes, "pat").select("pat", "of", (F.col("sure") / (F.col("n") + 1)).alias("score"))
+        patterns = write_table(scores.where(F.col("score") >= min_pattern), "patterns")
+        last = found
         found = open_pairs.join(patterns, ["pat", "of"]).groupBy("inst", "of").agg((1 - F.exp(F.sum(F.log1p(-F.col("score"))))).alias("w")).where(F.col("w") >= min_instance)
         found = write_table(found, "instances")
-    patterns = write_table(patterns, "patterns")
+        if last is not None:
+            drop_table(last)
+        many, total = found.agg(F.count("*"), F.coalesce(F.sum("w"), F.lit(0.0))).first()
+        if many == state[0] and total - state[1] < 1e-6 * (many + 1):
+            break
+        drop_table(patterns)
+        state = many, total
+        accepted = seeds.unionByName(found).groupBy("inst", "of").agg(F.max("w").alias("w"))
     best = found.groupBy("inst").agg(F.max(F.struct("w", (-F.col("of")).alias("rank"))).alias("b")).select("inst", (-F.col("b.rank")).alias("of"))
     hits = each.where("kind < 0").join(best, "inst").select("doc_id", "th", "start", "end", "of", F.explode(F.array("c1", "c2")).alias("pat"))
-    spans = hits.join(patterns.select("pat", "of"), ["pat", "of"], "left_semi").select("doc_id", "th", F.struct("start", F.col("of").alias("kind"), "end").alias("s")).distinct()
-    return spans.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list("s")).alias("more"))
+    spans = hits.join(patterns.select("pat", "of"), ["pat", "of"], "left_semi").select("doc_id", "th", "start", "end", "of").distinct()
+    before = Window.partitionBy("doc_id", "th").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    outer = spans.withColumn("reach", F.max("end").over(before)).where("reach is null or end > reach")
+    return outer.groupBy("doc_id", "th").agg(F.sort_array(F.collect_list(F.struct("start", F.col("of").alias("kind"), "end"))).alias("more"))
 
 
 def _with_more(rows: DataFrame, more: DataFrame, broadcast_rows: int = 10_000) -> DataFrame:
