@@ -1,5 +1,6 @@
 """Personal data, URL rules, language, tokenizers and packing."""
 
+import hashlib
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tintype.llm import byte_bpe, kneser_ney, language, packing, pii, url_rules
+from tintype.llm import byte_bpe, kneser_ney, language, packing, pii, queries, url_rules
 
 PATTERNS = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
@@ -36,6 +37,17 @@ def test_base_spans_equal_the_patterns():
     assert pii.base_spans("a" * 200_000 + "@" + "1" * 200_000) == []
 
 
+def test_columns_of_the_personal_data_query(spark, sf_dir):
+    got = {r.doc_id: r for r in queries.op2_personal_data(spark, sf_dir).collect()}
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert len(docs) == len(got) and any(len({k for _, k, _ in plain_spans(d.text or "")}) > 1 for d in docs)
+    for d in docs:
+        r, base = got[d.doc_id], plain_spans(d.text or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, x, _ in base) for k in range(4)]
+        shown = [f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in base]
+        assert r.base_sha256 == hashlib.sha256(",".join(shown).encode()).hexdigest() and not set(shown) - set(r.spans.split(","))
+
+
 def test_contexts_find_unseen_identifiers_and_spare_others(spark):
     rows = [(i, f"please call me at: +1 212 555 {1000 + i} today") for i in range(12)]
     rows += [(100 + i, f"please call me at: 212 555 {2000 + i} today") for i in range(2)]  # no plus sign

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tintype.plans.worktables import drop_table, write_table
@@ -246,7 +246,12 @@ def find_personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text",
     return rows.select("doc_id", "th", "base", F.when(F.col("more").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", "more"))).alias("spans"))
 
 
-def written(spans: str):
+def count_of(spans: str, kind: int) -> Column:
+    """How many of the spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
+def written(spans: str) -> Column:
     """Spans as text: kind:start:end, comma-joined."""
     kinds = F.array(*[F.lit(k) for k in KINDS])
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"])), ",")
