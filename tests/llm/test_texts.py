@@ -142,7 +142,7 @@ def test_ids_equal_the_libraries(json_file, ranks_file):
     whole = Tokenizer.from_str(json_file)
     whole.encode_special_tokens = True
     table = byte_bpe.ByteTable(ranks_file)
-    a, b = byte_bpe.PieceEncoder(ranks_file, remembered=3000), byte_bpe.PieceEncoder(json_file)
+    a, b = byte_bpe.PieceEncoder(ranks_file, store_bytes=200_000), byte_bpe.PieceEncoder(json_file)
     for at in range(0, len(texts), 500):
         part = texts[at : at + 500]
         for t, x, y, z in zip(part, a.encode(part), b.encode(part), whole.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -203,6 +203,16 @@ def test_packer_chooses_by_sum_of_squares_and_loses_nothing():
             assert at <= window and (at == window or at & (at - 1) == 0)
 
 
+def test_only_the_fullest_window_is_closed_when_too_many_are_open():
+    p = packing.Packer(0, 16, most_open=3)
+    for doc, n in enumerate((15, 13, 11)):
+        p.add(doc, bytes(4 * n))
+    p.add(3, bytes(4 * 9))
+    assert [(d, s, n) for d, s, n, *_ in p.rows] == [(0, 0, 15), (3, 0, 1)] and p.count.sum() == 3 and p.count[[8, 11, 13]].tolist() == [1, 1, 1]
+    p.close()
+    assert sum(r[2] for r in p.rows) == 48
+
+
 def test_packing_of_a_table(spark, json_file):
     df = spark.createDataFrame([(1, "some words here", 1), (2, None, 1), (None, "", 1), (4, "long text " * 3000, 1), (1, "some words here", 1)], "doc_id long, text string, start int")
     rows = packing.pack_documents(df, json_file, with_ids=True).collect()

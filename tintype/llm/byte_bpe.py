@@ -1,9 +1,12 @@
 """Byte-level BPE with the tokenizers library over Arrow batches.
 
-A text is cut at its spaces and every distinct piece is tokenized once per worker and remembered,
-in a store of bounded size; ids of a text are those of its pieces in a row. Cutting there changes
-nothing, as the split pattern starts a match at every single space; texts in which a space has
-white space on both sides are tokenized whole.
+A text is cut at its spaces and before its line ends; every distinct piece is tokenized once in a
+task and remembered, in a store of so many bytes that is gone with the task. Ids of a text are those
+of its pieces in a row. Cutting there changes nothing, as the split pattern starts a match at every
+such place; a text with three white characters in a row, or two at its end, is cut only at single
+spaces. Long pieces (text without spaces) are tokenized where they stand and never stored.
+
+Pieces, ids and the look-ups between them are Arrow arrays, so no Python object is made for a piece.
 """
 
 from __future__ import annotations
@@ -13,18 +16,23 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces remembered by a worker, in two halves of which the older one goes when the other is full (about 250 bytes each).
-REMEMBERED = 1_400_000
+from tintype.llm.shared import slices
+
+#: Bytes of pieces and ids that a task remembers, in two halves of which the older one goes when the other is full; most bytes of a stored piece.
+STORE_BYTES, LONGEST = 64 << 20, 200
 
-_SPACE = re.compile(r"\s")
-_ODD_SPACE = re.compile(r"\s \s")
+_ODD_SPACE = re.compile(r"\s\s(?:\s|\Z)")
+_SAFE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+#: A space or line end, then no white space (all that Unicode counts as such); and one that ends in a letter and a full stop or comma.
+_PLAIN = r"^[ \n][^\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+$"
+_TAILED = r"[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}][.,]$"
 
 
 def byte_characters() -> list[str]:
@@ -63,104 +71,105 @@ def tokenizer_of_ranks(path: str, pattern: str) -> str:
     return made.to_str()
 
 
+def _binary(ends: np.ndarray, data: bytes) -> pa.Array:
+    """An array of byte strings that lie in a row."""
+    return pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(np.ascontiguousarray(ends, dtype=np.int64)), pa.py_buffer(data)])
+
+
 class PieceEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by a byte-level tokenizer and a store of pieces."""
+    """Ids of texts by a byte-level tokenizer and a store of pieces.
+
+    A piece that begins with a line end stands as it is, any other one after a space.
+    """
 
-    def __init__(self, tokenizer: str, remembered: int = REMEMBERED):
+    def __init__(self, tokenizer: str, store_bytes: int = STORE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_str(tokenizer)
         self.own.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.remembered = remembered
-        self.spaced: dict[str, bytes] = {}  # pieces after a space
-        self.bare: dict[str, bytes] = {}  # pieces at a text's start or after a line end
-        self.older: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})  # both as they were when they were last full
-        chars = byte_characters()
-        self.begins = np.array([(self.own.id_to_token(i) or "").startswith(chars[32]) for i in range(self.own.get_vocab_size())])
-        self.line = self._whole(["\n"])[0]
-        self.tails = dict(zip(".,", self._whole([".", ","]), strict=True))
+        self.store_bytes = store_bytes
+        self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+        self.older = (self.words, self.ids)  # as they were when they were last full
+        space, line = byte_characters()[32], byte_characters()[10]
+        self.begins = np.array([(t := self.own.id_to_token(i) or "").startswith(space) or t == line for i in range(self.own.get_vocab_size())])
+        self.tails = pa.array(self._whole([".", ","]), pa.large_binary())
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str], spaced: bool) -> None:
-        """Stores words without white space; many are encoded in one go, and told apart by the space or line end between them."""
-        store, mark = (self.spaced, " ") if spaced else (self.bare, "\n")
-        line = int.from_bytes(self.line, "little")
-        for at in range(0, len(words), 256):
-            some = words[at : at + 256]
-            ids = np.array(self.own.encode_batch_fast([mark + mark.join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
-            starts = np.flatnonzero(self.begins[ids] if spaced else ids == line)
-            if len(starts) != len(some):
-                store.update(zip(some, self._whole([mark + w if spaced else w for w in some]), strict=True))
-                continue
-            raw, skip = ids.tobytes(), 0 if spaced else 4
-            bounds = [*(4 * starts).tolist(), len(raw)]
-            store.update(zip(some, [raw[i + skip : j] for i, j in zip(bounds, bounds[1:], strict=False)], strict=True))
-
-    def _tailed(self, words: list[str], spaced: bool) -> None:
-        """Stores words without white space, a full stop or comma after a letter apart, as the split pattern takes it by itself."""
-        store = self.spaced if spaced else self.bare
-        tailed = [w for w in words if w[-1] in ".," and w[-2:-1].isalpha()]
-        cores = set(words).difference(tailed)
-        cores.update([w[:-1] for w in tailed])
-        self._words(list(cores.difference(store)), spaced)
-        store.update([(w, store[w[:-1]] + self.tails[w[-1]]) for w in tailed])
-
-    def _learn(self, pieces: set[str], spaced: bool) -> None:
-        store = self.spaced if spaced else self.bare
-        plain, lines, broken, odd = [], set(), [], []
-        search = _SPACE.search
-        for p in pieces:
-            if not search(p):
-                (plain if p else odd).append(p)
-                continue
-            halves = p.split("\n")
-            if all(halves) and not any(map(search, halves)):
-                broken.append((p, halves))
-                lines.update(halves[1:])
-                plain.append(halves[0])
+    def _plain_ids(self, forms: pa.Array) -> pa.Array:
+        """Ids of forms that have white space only as their first character; many are encoded in one go, and told apart by it."""
+        out = []
+        for at in range(0, len(forms), 1024):
+            some = forms.slice(at, 1024)
+            ids = np.array(self.own.encode_batch_fast(["".join(some.to_pylist())], add_special_tokens=False)[0].ids, dtype="<u4")
+            starts = np.flatnonzero(self.begins[ids])
+            if len(starts) == len(some):
+                out.append(_binary(4 * np.r_[starts, len(ids)], ids.tobytes()))
             else:
-                odd.append(p)
-        self._tailed([w for w in plain if w not in store], spaced)
-        self._tailed([w for w in lines if w not in self.bare], False)
-        store.update([(p, self.line.join([store[h[0]], *(self.bare[x] for x in h[1:])])) for p, h in broken])
-        if odd:
-            store.update(zip(odd, self._whole([" " + p if spaced else p for p in odd]), strict=True))
+                out.append(pa.array(self._whole(some.to_pylist()), pa.large_binary()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
+
+    def _fresh_ids(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct pieces, tokenized anew; a full stop or comma after a letter apart, as the split pattern takes it by itself."""
+        forms = pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), words, pa.scalar("", pa.large_string())))
+        plain = pc.match_substring_regex(forms, _PLAIN)
+        tailed = pc.and_(plain, pc.match_substring_regex(forms, _TAILED))
+        cores = pc.if_else(tailed, pc.utf8_slice_codeunits(forms, 0, -1), forms)
+        some = pc.unique(cores.filter(plain))
+        ids = self._plain_ids(some).take(pc.index_in(cores, some))
+        tail = self.tails.take(pc.if_else(tailed, pc.if_else(pc.ends_with(forms, ","), 1, 0), pa.scalar(None, pa.int64())))
+        ids = pc.if_else(tailed, pc.binary_join_element_wise(ids, tail, pa.scalar(b"", pa.large_binary())), ids)
+        rest = pc.invert(plain)
+        return pc.replace_with_mask(ids, rest, pa.array(self._whole(forms.filter(rest).to_pylist()), pa.large_binary()))
+
+    def _ids_of(self, words: pa.Array) -> pa.Array:
+        """Ids of distinct pieces."""
+        if self.words.nbytes + self.ids.nbytes > self.store_bytes // 2:  # what is still used comes back from the older half
+            self.older = (self.words, self.ids)
+            self.words, self.ids = self.words[:0], self.ids[:0]
+        at = pc.index_in(words, self.words)
+        new = words.filter(pc.is_null(at))
+        back = pc.index_in(new, self.older[0])
+        fresh = self._fresh_ids(new.filter(pc.is_null(back)))
+        ids = pc.replace_with_mask(self.older[1].take(back), pc.is_null(back), fresh)
+        found = pc.replace_with_mask(self.ids.take(at), pc.is_null(at), ids)
+        short = pc.less_equal(pc.binary_length(new), LONGEST)
+        self.words = pa.concat_arrays([self.words, new.filter(short)])
+        self.ids = pa.concat_arrays([self.ids, ids.filter(short)])
+        return found
+
+    def _encode(self, pieces: pa.Array, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces in a row, and where those of the pieces at ``starts`` begin."""
+        coded = pieces.dictionary_encode()
+        joined = self._ids_of(coded.dictionary).take(coded.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1] // 4
+        return np.frombuffer(joined.buffers()[2] or b"", "<u4"), ends[starts]
+
+    def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a column without nulls."""
+        texts = texts.cast(pa.large_string())
+        odd = np.array([_ODD_SPACE.search(t) is not None for t in texts.to_pylist()], dtype=bool)
+        marked = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n")
+        usual = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), marked, pa.scalar("", pa.large_string())), " ")
+        begins = np.asarray(usual.offsets) - (usual.offsets[0].as_py() if len(usual) else 0)
+        ids, bounds = self._encode(usual.flatten(), begins)
+        cut = [_SAFE_SPACE.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        heads = self._whole([c[0] for c in cut])  # a text's first piece has no space before it
+        more, ends = self._encode(pa.array([p for c in cut for p in c[1:]], pa.large_string()), np.cumsum([0, *(len(c) - 1 for c in cut)]))
+        seen = [0, 0]
+        for x in odd.tolist():
+            k = seen[x]
+            seen[x] += 1
+            if x:
+                yield np.r_[np.frombuffer(heads[k], "<u4"), more[ends[k] : ends[k + 1]]]
+            else:
+                yield ids[bounds[k] + 1 : bounds[k + 1]]  # without the line end that was put before it
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.spaced) + len(self.bare) > self.remembered // 2:  # what is still used comes back from the older half
-            self.older = (self.bare, self.spaced)
-            self.bare, self.spaced = {}, {}
-        cut = [None if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        first, rest = set(), set()
-        for c in cut:
-            if c is not None:
-                first.add(c[0])
-                rest.update(filterfalse(self.spaced.__contains__, islice(c, 1, None)))
-        for pieces, store, older in zip((first, rest), (self.bare, self.spaced), self.older, strict=True):
-            pieces.difference_update(store)
-            known = pieces.intersection(older)
-            store.update([(p, older[p]) for p in known])
-            pieces.difference_update(known)
-        self._learn(first, False)
-        self._learn(rest, True)
-        whole = dict(zip([i for i, c in enumerate(cut) if c is None], self._whole([t for t, c in zip(texts, cut, strict=True) if c is None]), strict=True))
-        get = self.spaced.__getitem__
-        return [whole[i] if c is None else self.bare[c[0]] + b"".join(map(get, islice(c, 1, None))) for i, c in enumerate(cut)]
-
-
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def encoder(tokenizer: str) -> PieceEncoder:
-    """The worker's encoder of a tokenizer, kept between tasks."""
-    key = hashlib.sha256(tokenizer.encode()).hexdigest()
-    if key not in _encoders:
-        _encoders.clear()
-        _encoders[key] = PieceEncoder(tokenizer)
-    return _encoders[key]
+        """Ids of texts as little-endian unsigned 32-bit bytes."""
+        return [x.tobytes() for x in self.encode_column(pa.array(texts, pa.string()))]
 
 
 class ByteTable:
@@ -191,6 +200,12 @@ class ByteTable:
         return points[starts] - inside[starts], points[ends]
 
 
+def _joined(values: pa.Array, ids: pa.Array) -> memoryview:
+    """The chosen values in a row."""
+    got = values.take(ids).buffers()[2]
+    return memoryview(got or b"")
+
+
 def _texts(docs: DataFrame, id: str, text: str) -> DataFrame:
     return docs.select(docs[id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
 
@@ -205,9 +220,9 @@ def encode_documents(docs: DataFrame, tokenizer: str, id: str = "doc_id", text:
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table = encoder(shared.value), ByteTable(shared.value)
-        for b in batches:
-            ids = [np.frombuffer(x, "<u4").astype(np.int32).tolist() for x in own.encode(b.column(1).to_pylist())]
+        own, table = PieceEncoder(shared.value), ByteTable(shared.value)
+        for b in slices(batches, 1):
+            ids = [x.tolist() for x in own.encode_column(b.column(1))]
             places = [table.offsets(x) for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), *(pa.array([p[k].tolist() for p in places], pa.list_(pa.int32())) for k in (0, 1))], names=["doc_id", "ids", "starts", "ends"])
 
@@ -233,16 +248,15 @@ def round_trip(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str =
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(shared.value)
-        table = ByteTable(shared.value)
-        shown = [str(i) for i in range(len(table.bytes))].__getitem__
-        for b in batches:
+        own, table = PieceEncoder(shared.value), ByteTable(shared.value)
+        written, meant = pa.array([f"{i} ".encode() for i in range(len(table.bytes))], pa.large_binary()), pa.array(table.bytes, pa.large_binary())
+        for b in slices(batches, 1):
             counts, digests, decoded = [], [], []
-            for x in own.encode(b.column(1).to_pylist()):
-                ids = np.frombuffer(x, "<u4").tolist()
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(" ".join(map(shown, ids)).encode()).hexdigest())
-                decoded.append(hashlib.sha256(table.decode_bytes(ids)).hexdigest())
+            for x in own.encode_column(b.column(1)):
+                ids = pa.array(x)
+                counts.append(len(x))
+                digests.append(hashlib.sha256(_joined(written, ids)[:-1]).hexdigest())
+                decoded.append(hashlib.sha256(_joined(meant, ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

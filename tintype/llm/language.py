@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tintype.llm.shared import slices
+
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 
 #: Bounds of the training sample: documents of each language, windows of each document, languages.
@@ -192,7 +194,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, id: str = "doc_id", text: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
+        for b in slices(batches, 2):
             texts = b.column(2).to_pylist()
             found, scores = own.predict(texts) if own else (["und"] * len(texts), [0.0] * len(texts))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tintype.llm.shared import let, maybe_in, membership_filter
+from tintype.llm.shared import let, maybe_in, membership_filter, slices
 from tintype.plans.worktables import write_table
 
 MIN_WORDS = 5
@@ -92,7 +92,7 @@ def lines_of(docs: DataFrame, id: str, text: str, least_words: int = MIN_WORDS)
     rows = _lowered(docs, id, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             of, places, keys, halves, ends = [], [], [], [], [0]
             for i, t in enumerate(b.column(2).to_pylist()):
                 for pos, words in _words_by_line(t, least_words):
@@ -118,7 +118,7 @@ def _texts_of(docs: DataFrame, chosen: DataFrame, id: str, text: str) -> DataFra
     bits = docs.sparkSession.sparkContext.broadcast(membership_filter(chosen, "lk"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 0):
             found = {}
             for t in b.column(0).to_pylist():
                 for _, words in _words_by_line(t):

@@ -3,7 +3,8 @@
 Documents come one by one. Full windows of a long document stand by themselves; its rest is placed
 into the fill level that makes the sum of the squared counts of partly filled windows least, as
 tracked in an array of counts by level. What is still open at the end of a partition is closed by
-cutting: the emptiest windows fill up the fullest, and the last rest is cut at powers of two.
+cutting: the emptiest windows fill up the fullest, and the last rest is cut at powers of two. While
+more windows are open than memory is set aside for, the fullest one is closed so.
 """
 
 from __future__ import annotations
@@ -17,11 +18,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tintype.llm.byte_bpe import encoder
+from tintype.llm.byte_bpe import PieceEncoder
+from tintype.llm.shared import slices
 
 WINDOW = 1024
 
-#: Windows open at once; beyond it they are closed by cutting, so memory is bounded (4 kB each).
+#: Windows open at once (4 kB each). For each one more, the fullest is filled up from the emptiest; the others go on by the rule.
 MOST_OPEN = 4096
 
 
@@ -71,10 +73,36 @@ class Packer:
                 self.count[level + size] += 1
                 self.open[level + size].append(pieces)
                 if self.count.sum() > self.most_open:
-                    self.close(keep_last=True)
+                    self._close_fullest()
+
+    def _close_fullest(self) -> None:
+        """Fills the fullest open window with pieces cut from the emptiest ones."""
+        level = int(np.flatnonzero(self.count)[-1])
+        self.count[level] -= 1
+        pieces = self.open[level].pop()
+        while (need := self.window - level) and self.count.any():
+            low = int(np.flatnonzero(self.count)[0])
+            self.count[low] -= 1
+            donor, taken = self.open[low].pop(), 0
+            while donor and taken < need:
+                doc, start, ids, total = donor.pop()
+                take = min(len(ids) // 4, need - taken)
+                pieces.append((doc, start, ids[: 4 * take], total))
+                if take < len(ids) // 4:
+                    donor.append((doc, start + take, ids[4 * take :], total))
+                taken += take
+            level += taken
+            if donor:
+                self.count[low - taken] += 1
+                self.open[low - taken].append(donor)
+        if level == self.window:
+            self._emit(pieces)
+        else:  # it was the only one
+            self.count[level] += 1
+            self.open[level].append(pieces)
 
-    def close(self, keep_last: bool = False) -> None:
-        """Closes open windows by cutting, emptiest into fullest; the last rest stays open or is cut at powers of two."""
+    def close(self) -> None:
+        """Closes open windows by cutting, emptiest into fullest; the last rest is cut at powers of two."""
         left = [w for level in self.open[::-1] for w in level]
         self.count[:] = 0
         self.open = [[] for _ in range(self.window + 1)]
@@ -97,10 +125,6 @@ class Packer:
                 donor = pieces[::-1]
         rest = donor[::-1]
         fill = sum(len(p[2]) // 4 for p in rest)
-        if fill and keep_last:
-            self.count[fill] = 1
-            self.open[fill].append(rest)
-            return
         for size in (1 << k for k in reversed(range(fill.bit_length()))):
             if not fill & size:
                 continue
@@ -121,14 +145,15 @@ def pack_documents(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: st
     Every partition packs its own documents and nothing is shuffled; sequence ids carry the
     partition's number. ``tokenizer`` is a tokenizers file as text; ``end_id`` follows each
     document's ids. Null and empty texts are documents of that id alone; repeated rows are packed
-    each; null ids are kept; an empty table has no sequences; other columns are ignored.
+    each; null ids are kept; an empty table has no sequences; other columns are ignored. A very long
+    text fills windows of its own but for its rest; equally good levels give the fullest.
     """
     rows = docs.select(docs[id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
     kind = rows.schema[0].dataType
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(shared.value)
+        own = PieceEncoder(shared.value)
         packer = Packer(TaskContext.get().partitionId() << 36)
         end = np.array([end_id], "<u4").tobytes()
         first = pa.int64()
@@ -141,10 +166,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: st
                 columns.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for x in ids], pa.list_(pa.int32())))
             return pa.RecordBatch.from_arrays(columns, names=names)
 
-        for b in batches:
+        for b in slices(batches, 1):
             first = b.schema.field(0).type
-            for doc, ids in zip(b.column(0).to_pylist(), own.encode(b.column(1).to_pylist()), strict=True):
-                packer.add(doc, ids + end)
+            for doc, ids in zip(b.column(0).to_pylist(), own.encode_column(b.column(1)), strict=True):
+                packer.add(doc, ids.tobytes() + end)
             yield done()
         packer.close()
         yield done()

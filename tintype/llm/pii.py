@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tintype.llm.shared import slices
 from tintype.plans.worktables import drop_table, write_table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -167,7 +168,7 @@ def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     many = pa.list_(pa.struct([(n, pa.int64() if n in ("inst", "c1", "c2", "grp") else pa.int32()) for n in names]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 2):
             base, seen = [], []
             for t in b.column(2).to_pylist():
                 base.append(found := base_spans(t))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tintype.functions.scalars import let
 
-__all__ = ["documents", "let", "maybe_in", "membership_filter", "words_of"]
+__all__ = ["documents", "let", "maybe_in", "membership_filter", "slices", "words_of"]
 
 #: Characters between words: the space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -18,6 +22,17 @@ SPACE_RUN = "[ \\t-\\r]+"
 FILTER_BITS = 26
 
 
+def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in parts whose texts have ``most`` bytes, or of one row, so that what a task holds doesn't grow with a batch."""
+    for b in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < len(b):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+            yield b.slice(at, stop - at)
+            at = stop
+
+
 def words_of(text: Column) -> Column:
     """The words of a text (null: none) as an array."""
     bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
