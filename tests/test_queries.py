@@ -3,9 +3,6 @@ import pytest
 from tests import oracle
 from tintype.plans import catalog
 
-SLOW = {"score_patches", "top_importances"}
-
-
 @pytest.fixture(scope="module")
 def duck(sf_dir):
     return oracle.connect(sf_dir)
@@ -16,7 +13,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     oracle.same(catalog.queries()[name](spark, sf_dir), duck, catalog.oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_query_without_sql_has_rows(spark, sf_dir, name):
     rows = catalog.queries()[name](spark, sf_dir).collect()
     assert rows

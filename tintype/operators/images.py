@@ -120,20 +120,20 @@ def normalise_images(images: DataFrame) -> DataFrame:
     return image_job(images, make, "height int, width int, data binary", ["orientation"])
 
 
-def scratch_patches(images: DataFrame, size: int, jitter: int, seed: int, limit: int | None = None) -> DataFrame:
-    """(origin, k, y, x, patch): patches around strong line responses, each moved by up to ``jitter`` pixels; at most ``limit`` by seeded hash."""
+def scratch_patches(images: DataFrame, size: int, jitter: int, seed: int, limit: int | None = None, side: int = 512) -> DataFrame:
+    """(origin, k, y, x, patch): patches around strong line responses of the image at ``side``², each moved by up to ``jitter`` pixels; at most ``limit`` by seeded hash."""
 
     def make(rgb: np.ndarray, row: dict) -> dict:
-        g = kernels.gray(rgb)
+        g = kernels.resized(kernels.gray(rgb), side, side, "linear")
         rng = np.random.default_rng(row["_seed"])
         out = []
         for y, x, h, w in kernels.line_boxes(g):
-            dy, dx = rng.integers(-jitter, jitter + 1, 2)
-            top, left = (int(np.clip(a + n // 2 - size // 2 + d, 0, m - size)) for a, n, d, m in ((y, h, dy, g.shape[0]), (x, w, dx, g.shape[1])))
+            dy, dx = rng.integers(-jitter, jitter, 2)
+            top, left = (int(np.clip(a + n // 2 - size // 2 + d, 0, side - size)) for a, n, d in ((y, h, dy), (x, w, dx)))
             out.append({"y": top, "x": left, "patch": g[top : top + size, left : left + size].ravel().tolist()})
         return {"found": out}
 
-    seeds = images.where((F.col("width") >= size) & (F.col("height") >= size)).withColumn("_seed", _hash("origin", F.lit(str(seed))))
+    seeds = images.withColumn("_seed", _hash("origin", F.lit(str(seed))))
     found = image_job(seeds, make, "found array<struct<y:int,x:int,patch:array<int>>>", ["_seed"])
     rows = found.where("status = 'ok'").select("origin", F.posexplode("found").alias("k", "p")).select("origin", "k", "p.*")
     return rows if limit is None else rows.orderBy(_hash("origin", "k", F.lit(str(seed))), "origin", "k").limit(limit)
@@ -148,7 +148,7 @@ def damage_mask(images: DataFrame, method: str = "morph", sensitivity: float = 0
     detect = kernels.DETECTORS[method]
 
     def make(rgb: np.ndarray, row: dict) -> dict:
-        m = detect(kernels.gray(rgb), sensitivity)
+        m = detect(rgb, sensitivity)
         return {"height": m.shape[0], "width": m.shape[1], "mask": m.tobytes(), "coverage": float(m.mean() / 255)}
 
     return image_job(images, make, "height int, width int, mask binary, coverage double")
@@ -210,7 +210,7 @@ def restore_batch(images: DataFrame, models: Callable[[], tuple[Callable, Callab
         if not loaded:
             loaded.append(models())
         repair, enhance = loaded[0]
-        mask = detect(kernels.gray(rgb), sensitivity)
+        mask = detect(rgb, sensitivity)
         coverage = float(mask.mean() / 255)
         out = repair(rgb, mask) if coverage > 0.01 else rgb
         out = kernels.resized(enhance(out), rgb.shape[1], rgb.shape[0])

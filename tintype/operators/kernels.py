@@ -10,8 +10,11 @@ def gray(rgb: np.ndarray) -> np.ndarray:
 
 
 def weights(source: int, target: int, kind: str = "area") -> np.ndarray:
-    """Row-normalised weights (target, source) of a one-dimensional resize: area overlap or Lanczos of three lobes."""
+    """Row-normalised weights (target, source) of a one-dimensional resize: area overlap, linear between the two nearest, or Lanczos of three lobes."""
     scale = source / target
+    if kind == "linear":
+        x = np.clip((np.arange(target) + 0.5) * scale - 0.5, 0, source - 1)
+        return np.clip(1 - np.abs(x[:, None] - np.arange(source)), 0, None)
     if kind == "area":
         edges = np.arange(target + 1) * scale
         at = np.arange(source)
@@ -37,7 +40,7 @@ def preview(rgb: np.ndarray, most: int) -> np.ndarray:
 
 
 def _reflected(a: np.ndarray, by: int) -> np.ndarray:
-    return np.pad(a, by, mode="reflect" if min(a.shape) > by else "symmetric")
+    return np.pad(a, by, mode="reflect")
 
 
 def laplacian(g: np.ndarray) -> np.ndarray:
@@ -117,21 +120,27 @@ def upright(rgb: np.ndarray, orientation: int) -> np.ndarray:
 
 
 def line_boxes(g: np.ndarray) -> list[tuple[int, int, int, int]]:
-    """(y, x, height, width) of the parts, 5x5 at least, whose black-hat along rows and columns is above the 90th percentile."""
-    found = np.max([black_hat(g, _line(n, dy, dx)) for n in (15, 21) for dy, dx in ((0, 1), (1, 0))], axis=0)
-    label = components((found > np.percentile(found, 90)) & (found > 0))
+    """(y, x, height, width) of the parts, 5x5 at least, whose black-hat along one of two lengths of rows and columns is above its 90th percentile."""
     out = []
-    for i in np.unique(label[label > 0]):
-        y, x = np.nonzero(label == i)
-        if np.ptp(y) >= 4 and np.ptp(x) >= 4:
-            out.append((int(y.min()), int(x.min()), int(np.ptp(y)) + 1, int(np.ptp(x)) + 1))
+    for n in (15, 21):
+        for dy, dx in ((0, 1), (1, 0)):
+            found = black_hat(g, _line(n, dy, dx))
+            label = components(found > np.percentile(found, 90))
+            ys, xs = np.nonzero(label)
+            names, of = np.unique(label[ys, xs], return_inverse=True)
+            low, high = np.full((2, len(names)), max(g.shape)), np.full((2, len(names)), -1)
+            for k, at in enumerate((ys, xs)):
+                np.minimum.at(low[k], of, at)
+                np.maximum.at(high[k], of, at)
+            sizes = high - low + 1
+            out += [(int(low[0, i]), int(low[1, i]), int(sizes[0, i]), int(sizes[1, i])) for i in np.flatnonzero((sizes >= 5).all(axis=0))]
     return out
 
 
 def _slid(a: np.ndarray, offsets: list[tuple[int, int]], pick) -> np.ndarray:
-    """Minimum or maximum over shifted copies, edges repeated."""
+    """Minimum or maximum over shifted copies; what lies outside doesn't count."""
     by = max(max(abs(y), abs(x)) for y, x in offsets)
-    p = np.pad(a, by, mode="edge")
+    p = np.pad(a, by, constant_values=a.min() if pick is np.maximum else a.max())
     out = None
     for y, x in offsets:
         part = p[by + y : by + y + a.shape[0], by + x : by + x + a.shape[1]]
@@ -148,23 +157,52 @@ def black_hat(g: np.ndarray, offsets: list[tuple[int, int]]) -> np.ndarray:
     return _slid(_slid(g, offsets, np.maximum), offsets, np.minimum).astype(int) - g
 
 
+def _ellipse(k: int) -> list[tuple[int, int]]:
+    """Offsets of a filled ellipse of k rows and columns about the place k // 2."""
+    r = k // 2
+    reach = [round(np.sqrt(r * r - y * y)) for y in range(-r, k - r)]
+    return [(y, x) for y, n in zip(range(-r, k - r), reach, strict=True) for x in range(max(-n, -r), min(n, k - 1 - r) + 1)]
+
+
 def dilate(m: np.ndarray, k: int = 3) -> np.ndarray:
-    return _slid(m, [(y, x) for y in range(-(k // 2), k // 2 + 1) for x in range(-(k // 2), k // 2 + 1)], np.maximum)
+    return _slid(m, _ellipse(k), np.maximum)
 
 
 def erode(m: np.ndarray, k: int = 3) -> np.ndarray:
-    return _slid(m, [(y, x) for y in range(-(k // 2), k // 2 + 1) for x in range(-(k // 2), k // 2 + 1)], np.minimum)
+    return _slid(m, _ellipse(k), np.minimum)
+
+
+def opened(m: np.ndarray, k: int = 3) -> np.ndarray:
+    return dilate(erode(m, k), k)
+
+
+def closed(m: np.ndarray, k: int = 3) -> np.ndarray:
+    return erode(dilate(m, k), k)
+
+
+def gaussian(m: np.ndarray, k: int) -> np.ndarray:
+    """An 8-bit image blurred by k x k Gaussian weights; binomial ones up to 5, else of deviation 0.15 k + 0.35."""
+    if k <= 5:
+        w = np.array({3: [1, 2, 1], 5: [1, 4, 6, 4, 1]}[k], dtype=np.float64)
+    else:
+        w = np.exp(-((np.arange(k) - k // 2) ** 2) / (2 * (0.15 * k + 0.35) ** 2))
+    p, h = _reflected(m.astype(np.float64), k // 2), m.shape
+    rows = sum(v * p[i : i + h[0]] for i, v in enumerate(w / w.sum()))
+    return np.floor(sum(v * rows[:, i : i + h[1]] for i, v in enumerate(w / w.sum())) + 0.5).astype(np.uint8)
 
 
 def blurred(x: np.ndarray, k: int) -> np.ndarray:
     return box(_reflected(x.astype(np.float64), k // 2), k) / (k * k)
 
 
-def components(m: np.ndarray) -> np.ndarray:
-    """Labels of the 8-connected parts of a boolean mask (0 outside), by passing on the largest label until nothing changes."""
+_AROUND = [(y, x) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+
+
+def components(m: np.ndarray, around: list[tuple[int, int]] = _AROUND) -> np.ndarray:
+    """Labels of the connected parts (by all eight neighbours, or those given) of a boolean mask, 0 outside, by passing on the largest label until nothing changes."""
     label = np.where(m, np.arange(1, m.size + 1).reshape(m.shape), 0)
     while True:
-        new = np.where(m, dilate(label), 0)
+        new = np.where(m, _slid(label, around, np.maximum), 0)
         flat = np.r_[0, new.ravel()]
         new = np.where(m, flat[new], 0)  # jump to the label of the label
         if (new == label).all():
@@ -172,6 +210,12 @@ def components(m: np.ndarray) -> np.ndarray:
         label = new
 
 
+def filled(m: np.ndarray) -> np.ndarray:
+    """A mask with its holes: what its outside, reached from the border over four neighbours, leaves."""
+    outside = components(np.pad(~m, 1, constant_values=True), _ellipse(3))
+    return (outside != outside[0, 0])[1:-1, 1:-1]
+
+
 def by_area(m: np.ndarray, least: int, most: float = np.inf) -> np.ndarray:
     """The parts of a mask whose pixel count lies in a range."""
     label = components(m)
@@ -181,30 +225,43 @@ def by_area(m: np.ndarray, least: int, most: float = np.inf) -> np.ndarray:
     return fit[label]
 
 
-def _finished(m: np.ndarray) -> np.ndarray:
-    return np.rint(blurred(dilate(m.astype(np.uint8) * 255), 3)).astype(np.uint8)
+def _gray_of(image: np.ndarray) -> np.ndarray:
+    return image if image.ndim == 2 else gray(image)
+
+
+def _local_spread(x: np.ndarray, k: int) -> np.ndarray:
+    """Mean squared distance of the pixels around each from their own local means."""
+    return np.clip(blurred((x - blurred(x, k)) ** 2, k), 0, None)
 
 
-def morph_mask(g: np.ndarray, sensitivity: float) -> np.ndarray:
-    """Thin dark lines, local defects, and bright and dark spots."""
-    limit = 8 + int(15 * sensitivity)
-    lines = [_line(n, dy, dx) for n in (15, 21, 31) for dy, dx in ((0, 1), (1, 0))] + [_line(11, 1, 1), _line(11, 1, -1)]
-    thin = np.max([black_hat(g, o) for o in lines], axis=0) > limit
+def _thin(g: np.ndarray, lengths: tuple[int, ...], slanted: tuple[int, ...], limit: int) -> np.ndarray:
+    """Dark lines along rows, columns and both diagonals."""
+    lines = [_line(n, dy, dx) for n in lengths for dy, dx in ((0, 1), (1, 0))] + [_line(n, 1, s) for n in slanted for s in (1, -1)]
+    return np.max([black_hat(g, o) for o in lines], axis=0) > limit
+
+
+def _spots(m: np.ndarray, k: int) -> np.ndarray:
+    return opened(m.astype(np.uint8), k) > 0
+
+
+def morph_mask(image: np.ndarray, sensitivity: float) -> np.ndarray:
+    """Thin dark lines, local defects, bright spots of fitting area and dark spots; specks of up to five pixels go."""
+    g = _gray_of(image)
     x = g.astype(np.float64)
-    mean = blurred(x, 31)
-    std = np.sqrt(np.clip(blurred(x * x, 31) - mean * mean, 0, None))
-    local = by_area((np.abs(x - mean) > 30) & (std < 20), 10, 500)
-    spots = dilate(erode((g > 250).astype(np.uint8))) | dilate(erode((g < 5).astype(np.uint8)))
-    return _finished(by_area(thin | local | (spots > 0), 6))
+    thin = _thin(gaussian(g, 3), (15, 21, 31), (11,), 8 + int(15 * sensitivity))
+    local = (np.abs(x - blurred(x, 31)) > 30) & (np.sqrt(_local_spread(x, 31)) < 20)
+    bright = by_area(filled(_spots(g > 250, 3)), 11, 499)
+    found = opened((thin | local | bright | _spots(g < 5, 3)).astype(np.uint8), 2) > 0
+    return gaussian(dilate(by_area(filled(found), 6).astype(np.uint8) * 255), 3)
 
 
-def texture_mask(g: np.ndarray, sensitivity: float) -> np.ndarray:
-    """Scratches, dust, and white and dark areas."""
-    limit = 10 + int(20 * sensitivity)
-    lines = [_line(n, dy, dx) for n in (9, 15, 21) for dy, dx in ((0, 1), (1, 0))] + [_line(n, 1, s) for n in (7, 11) for s in (1, -1)]
-    thin = np.max([black_hat(g, o) for o in lines], axis=0) > limit
-    dust = by_area(np.abs(g - blurred(g, 5)) > 15, 5, 2000)
-    return _finished(thin | dust | (g > 245) | (g < 10))
+def texture_mask(image: np.ndarray, sensitivity: float) -> np.ndarray:
+    """Scratches, dust of fitting area, and white and dark areas."""
+    g = _gray_of(image)
+    thin = _thin(g, (9, 15, 21), (7, 11), 10 + int(20 * sensitivity))
+    dust = closed((np.abs(g.astype(int) - gaussian(g, 5)) > 15).astype(np.uint8)) > 0
+    found = thin | by_area(filled(dust), 6, 1999) | _spots(g > 245, 2) | _spots(g < 10, 2)
+    return gaussian(dilate(closed(found.astype(np.uint8) * 255, 2)), 5)
 
 
 def otsu(values: np.ndarray) -> int:
@@ -216,18 +273,19 @@ def otsu(values: np.ndarray) -> int:
     return int(np.nan_to_num(between, nan=0.0, posinf=0.0).argmax())
 
 
-def adaptive_mask(g: np.ndarray, sensitivity: float) -> np.ndarray:
-    """Local variance at three sizes and the Laplacian, fused and cut at Otsu's threshold, with white and dark areas."""
-    x = g.astype(np.float64)
-    spread = np.mean([np.clip(blurred(x * x, k) - blurred(x, k) ** 2, 0, None) for k in (3, 7, 15)], axis=0)
-    fused = 0.7 * spread + 0.3 * np.abs(laplacian(g))
-    if fused.max() <= 0:
-        return np.full(g.shape, int(128 * sensitivity), np.uint8)
-    scaled = np.rint(fused / fused.max() * 255).astype(np.uint8)
-    return dilate(((scaled > otsu(scaled)) | (g > 250) | (g < 5)).astype(np.uint8) * 255)
+def adaptive_mask(image: np.ndarray, sensitivity: float) -> np.ndarray:
+    """Local variance at three sizes and the Laplacian, fused and cut at Otsu's threshold, with white and dark areas; a flat gray if they cover less than 1 %."""
+    g = _gray_of(image)
+    fused = 0.7 * np.mean([_local_spread(g.astype(np.float64), k) for k in (3, 7, 15)], axis=0) + 0.3 * np.abs(laplacian(gaussian(g, 5)))
+    scaled = (fused / (fused.max() + 1e-6) * 255).astype(np.uint8)
+    rough = gaussian(dilate(dilate((scaled > otsu(scaled)).astype(np.uint8) * 255, 5), 5), 11)
+    top, low = (g, g) if image.ndim == 2 else (image.max(axis=2), image.min(axis=2))
+    out = np.where((low > 240) | (top < 15), 255, rough).astype(np.uint8)
+    return out if out.sum() / 255 >= 0.01 * out.size else np.full(g.shape, int(128 * sensitivity), np.uint8)
 
 
-DETECTORS = {"morph": morph_mask, "texture": texture_mask, "adaptive": adaptive_mask, "full": lambda g, s: np.full(g.shape, 255, np.uint8)}
+#: Detectors of damage: functions of an image (RGB or gray) and a sensitivity from 0 to 1. Areas, lengths and limits in them are fixed values.
+DETECTORS = {"morph": morph_mask, "texture": texture_mask, "adaptive": adaptive_mask, "full": lambda image, s: np.full(image.shape[:2], 255, np.uint8)}
 
 
 def texture_cover(texture: np.ndarray, height: int, width: int, floor: int, rng: np.random.Generator) -> np.ndarray:

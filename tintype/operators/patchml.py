@@ -16,70 +16,93 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintype.functions.scalars import seeded_order
+from tintype.operators import kernels
+from tintype.operators.images import pixels
 from tintype.plans.worktables import write_table
 
 SIZE = 32
 
 
-def gabor_bank(size: int = 32) -> np.ndarray:
-    """Kernels (72, size + 1, size + 1) of twelve directions, three wavelengths and two widths."""
+def gabor_bank(size: int) -> np.ndarray:
+    """Kernels (72, n, n) of eight directions, three widths and three wavelengths; n is the odd number from ``size`` on."""
     half = size // 2
     y, x = np.mgrid[-half : half + 1, -half : half + 1].astype(np.float64)
     out = []
-    for theta in np.arange(12) * np.pi / 12:
-        u, v = x * np.cos(theta) + y * np.sin(theta), -x * np.sin(theta) + y * np.cos(theta)
-        for wavelength in (4.0, 8.0, 12.0):
-            for sigma in (2.0, 4.0):
+    for theta in np.arange(8) * np.pi / 8:
+        u, v = x * np.cos(theta) + y * np.sin(theta), y * np.cos(theta) - x * np.sin(theta)
+        for sigma in (1.0, 2.0, 3.0):  # fixed values, as are the wavelengths
+            for wavelength in (3.0, 5.0, 8.0):
                 out.append(np.exp(-(u * u + 0.25 * v * v) / (2 * sigma * sigma)) * np.cos(2 * np.pi * u / wavelength))
     return np.array(out)
 
 
 @cache
 def spectra_of(size: int) -> np.ndarray:
-    """The bank's spectra for patches of ``size``."""
-    return np.fft.fft2(gabor_bank(), s=(size + 33, size + 33))
+    """Conjugate spectra of the bank, for patches of ``size`` grown by the kernels' reach on all sides."""
+    n = size + 2 * (size // 2)
+    return np.conj(np.fft.rfft2(gabor_bank(size), s=(n, n)))
+
+
+def gabor_responses(p: np.ndarray) -> np.ndarray:
+    """Correlation of a patch (size, size) with each kernel, borders mirrored about the edge pixels."""
+    size = len(p)
+    grown = np.pad(p.astype(np.float64), size // 2, mode="reflect")
+    n = grown.shape
+    return np.fft.irfft2(np.fft.rfft2(grown)[None] * spectra_of(size), s=n)[:, :size, :size]
 
 
 def local_patterns(p: np.ndarray) -> np.ndarray:
-    """Codes of the first eight of twenty-four neighbours on a circle of radius three; neighbours outside count as 0."""
+    """Codes of the first eight of twenty-four neighbours on a circle of radius three, taken against the angle's direction; those outside count as 0."""
     h, w = p.shape
+    wide = np.pad(p, 3)
     code = np.zeros(p.shape, np.uint8)
     for n in range(8):
         dy, dx = (int(np.rint(3 * f(2 * np.pi * n / 24))) for f in (np.sin, np.cos))
-        moved = np.zeros_like(p)
-        ys, xs = slice(max(0, -dy), min(h, h - dy)), slice(max(0, -dx), min(w, w - dx))
-        moved[ys, xs] = p[max(0, dy) : h + min(0, dy), max(0, dx) : w + min(0, dx)]
-        code |= ((moved >= p) << n).astype(np.uint8)
+        code |= (wide[3 - dy : 3 - dy + h, 3 - dx : 3 - dx + w] >= p).astype(np.uint8) << n
     return code
 
 
-def features(p: np.ndarray, spectra: np.ndarray) -> np.ndarray:
-    """144 Gabor, 256 pattern, 5 statistics and 11 gradient features of a patch."""
+def gradients(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sobel derivatives along x and y, borders mirrored about the edge pixels."""
+    g = np.pad(p.astype(np.float32), 1, mode="reflect")
+    along = lambda a: a[:-2] + 2 * a[1:-1] + a[2:]
+    return along(g[:, 2:] - g[:, :-2]), along((g[2:] - g[:-2]).T).T
+
+
+def shares(values: np.ndarray, bins: int, low: float, high: float) -> np.ndarray:
+    counts = np.histogram(values, bins=bins, range=(low, high))[0]
+    return counts / (counts.sum() + 1e-7)
+
+
+def block_features(x: np.ndarray, side: int = 8) -> list[float]:
+    """Spread of the means of 8x8 blocks, and mean and largest of their deviations."""
+    h, w = (n // side * side for n in x.shape)
+    blocks = x[:h, :w].reshape(h // side, side, w // side, side).swapaxes(1, 2).reshape(-1, side * side)
+    return [blocks.mean(axis=1).std(), blocks.std(axis=1).mean(), blocks.std(axis=1).max()]
+
+
+def features(p: np.ndarray, version: int = 2) -> np.ndarray:
+    """144 Gabor, 256 pattern, 5 statistics and 11 gradient features of a patch; version 1 has 3 of blocks besides."""
     x = p.astype(np.float64)
-    n = spectra.shape[1:]
-    responses = np.fft.irfft2(np.fft.rfft2(x, s=n)[None] * np.conj(spectra[:, :, : n[1] // 2 + 1]), s=n)[:, : x.shape[0], : x.shape[1]]
-    gabor = np.stack([responses.mean(axis=(1, 2)), responses.std(axis=(1, 2))], axis=1).ravel()
-    patterns = np.bincount(local_patterns(p).ravel(), minlength=256) / p.size
-    std = x.std() + 1e-7
-    z = (x - x.mean()) / std
-    share = np.histogram(x, bins=16, range=(0, 256))[0] / p.size
-    stats = [x.mean(), std, (z**3).mean(), (z**4).mean(), -(share * np.log2(share + 1e-7)).sum()]
-    gy, gx = np.gradient(x)
-    size, angle = np.hypot(gy, gx), np.arctan2(gy, gx) % np.pi
-    turned = np.histogram(angle, bins=8, range=(0, np.pi), weights=size)[0]
-    gradient = [size.mean(), size.std(), size.max(), *(turned / (turned.sum() + 1e-7))]
-    return np.r_[gabor, patterns, stats, gradient].astype(np.float32)
-
-
-def patch_features(patches: DataFrame, patch: str = "patch", size: int = SIZE) -> DataFrame:
-    """Adds features: the 416 numbers of a patch (array of size² pixels); null for a patch of another size."""
+    responses = gabor_responses(p)
+    gabor = np.stack([np.abs(responses).mean(axis=(1, 2)), responses.std(axis=(1, 2))], axis=1).ravel()
+    z = (x - x.mean()) / (x.std() + 1e-7)
+    grays = shares(x, 16, 0, 256)
+    stats = [x.mean(), x.std(), (z**3).mean(), (z**4).mean(), -(grays * np.log2(grays + 1e-7)).sum()]
+    gx, gy = gradients(p)
+    size, turned = np.hypot(gx, gy), shares(np.arctan2(gy, gx), 8, -np.pi, np.pi)
+    more = block_features(x) if version == 1 else []
+    return np.r_[gabor, shares(local_patterns(p), 256, 0, 256), stats, size.mean(), size.std(), turned.max(), turned, more].astype(np.float32)
+
+
+def patch_features(patches: DataFrame, patch: str = "patch", size: int = SIZE, version: int = 2) -> DataFrame:
+    """Adds features: the 416 numbers (419 of version 1) of a patch (array of size² pixels); null for a patch of another size."""
 
     @F.pandas_udf("array<float>")
     def of(column):
         import pandas as pd
 
-        bank = spectra_of(size)
-        return pd.Series([features(np.asarray(v, np.uint8).reshape(size, size), bank).tolist() if v is not None and len(v) == size * size else None for v in column])
+        return pd.Series([features(np.asarray(v, np.uint8).reshape(size, size), version).tolist() if v is not None and len(v) == size * size else None for v in column])
 
     return patches.withColumn("features", of(patch))
 
@@ -88,13 +111,14 @@ def train_patch_classifier(df: DataFrame, trees: int = 200, depth: int = 15, fol
     """(model, accuracies): the forest on all rows, and its accuracy on each fold left out.
 
     Scaling is fitted inside each fold, so nothing of a left-out row reaches its model; folds go by a
-    hash of the key; classes are weighted to count alike.
+    hash of the key; classes are weighted to count alike. With fewer than two folds there are no
+    accuracies.
     """
     df = write_table(df.select(key, label, "features"), "patches")
     counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     weight = F.coalesce(*[F.when(F.col(label) == c, total / (len(counts) * n)) for c, n in counts.items()])
-    fold = F.conv(F.substring(seeded_order(F.col(key).cast("string"), F.lit(str(seed))), 1, 8), 16, 10).cast("long") % folds
+    fold = F.conv(F.substring(seeded_order(F.col(key).cast("string"), F.lit(str(seed))), 1, 8), 16, 10).cast("long") % max(folds, 1)
     rows = df.select(key, label, array_to_vector(F.col("features").cast("array<double>")).alias("raw"), weight.alias("weight"), fold.alias("fold"))
     rows = write_table(rows, "labelled-patches")  # read once a tree level
     stages = [
@@ -126,6 +150,58 @@ def top_importances(model: PipelineModel, n: int = 10) -> list[tuple[int, float]
     return [(int(i), float(values[i])) for i in np.lexsort((np.arange(len(values)), -values))[:n]]
 
 
+def window_features(images: DataFrame, size: int = SIZE, stride: int = 4, side: int | None = 512, version: int = 2) -> DataFrame:
+    """(origin, height, width, y, x, features) of every window of each decodable image, at ``side``² or (None) at its own size.
+
+    ``images`` has origin, width, height, nChannels and data. Features are made where the image is
+    and leave in small batches, so no window's pixels are shuffled.
+    """
+    kinds = [("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("y", pa.int32()), ("x", pa.int32()), ("features", pa.list_(pa.float32()))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(len(b)):
+                r = b.slice(i, 1).to_pylist()[0]
+                g = kernels.gray(pixels(r["width"], r["height"], r["nChannels"], r["data"]))
+                g = kernels.resized(g, side, side, "linear") if side else g
+                places = [(y, x) for y in range(0, g.shape[0] - size + 1, stride) for x in range(0, g.shape[1] - size + 1, stride)]
+                for at in range(0, len(places), 256):
+                    part = places[at : at + 256]
+                    rows = [{"origin": r["origin"], "height": g.shape[0], "width": g.shape[1], "y": y, "x": x, "features": features(g[y : y + size, x : x + size], version)} for y, x in part]
+                    yield pa.RecordBatch.from_pylist(rows, schema=pa.schema(kinds))
+
+    good = images.where("height > 0 and data is not null").select("origin", "width", "height", "nChannels", "data")
+    return good.mapInArrow(run, "origin string, height int, width int, y int, x int, features array<float>")
+
+
+def stitched_mask(height: int, width: int, ys: np.ndarray, xs: np.ndarray, probs: np.ndarray, size: int, threshold: float) -> np.ndarray:
+    """255 where the mean probability of the windows over a pixel is above the threshold; gaps of a pixel closed, edges blurred."""
+    total, seen = np.zeros((2, height, width))
+    for y, x, p in zip(ys, xs, probs, strict=True):
+        total[y : y + size, x : x + size] += p
+        seen[y : y + size, x : x + size] += 1
+    hit = (total / np.maximum(seen, 1) > threshold).astype(np.uint8) * 255
+    return kernels.gaussian(kernels.closed(hit), 5)
+
+
+def learned_mask(images: DataFrame, model: PipelineModel, size: int = SIZE, stride: int = 4, threshold: float = 0.3, side: int | None = 512, version: int = 2) -> DataFrame:
+    """(origin, height, width, mask, coverage): the damage mask by the classifier's probabilities of all windows of an image.
+
+    Probabilities, not pixels, are brought together by image; their number is bounded by an image's
+    windows. An image too small for a window has no row.
+    """
+    import pandas as pd
+
+    scored = score_patches(model, window_features(images, size, stride, side, version)).select("origin", "height", "width", "y", "x", "prob")
+
+    def stitch(rows: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(rows.height.iloc[0]), int(rows.width.iloc[0])
+        m = stitched_mask(h, w, rows.y.to_numpy(), rows.x.to_numpy(), rows.prob.to_numpy(), size, threshold)
+        return pd.DataFrame({"origin": [rows.origin.iloc[0]], "height": [h], "width": [w], "mask": [m.tobytes()], "coverage": [float(m.mean() / 255)]})
+
+    return scored.groupBy("origin").applyInPandas(stitch, "origin string, height int, width int, mask binary, coverage double")
+
+
 def cut_patches(windows: DataFrame) -> DataFrame:
     """(origin, y, x, patch) of planned corners: windows has origin, y, x, size, gray, width."""
 

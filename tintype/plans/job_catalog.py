@@ -73,7 +73,7 @@ def normalise_images(spark, d):
 
 @query()
 def scratch_patches(spark, d):
-    return images.scratch_patches(_large(spark, d), 16, 4, 42).select("origin", "k", "y", "x", F.size("patch").alias("pixels"))
+    return images.scratch_patches(_large(spark, d), 16, 4, 42, side=32).select("origin", "k", "y", "x", F.size("patch").alias("pixels"))
 
 
 @query()
@@ -136,16 +136,22 @@ def patch_features(spark, d):
 @query()
 def score_patches(spark, d):
     rows = _patches(spark, d)
-    model, _ = patchml.train_patch_classifier(rows, trees=20, depth=6, folds=0)
+    model, _ = patchml.train_patch_classifier(rows, folds=0)
     return patchml.score_patches(model, rows.select("patch_id", "target", "features")).select("patch_id", "target", "prob")
 
 
 @query()
 def top_importances(spark, d):
-    model, accuracies = patchml.train_patch_classifier(_patches(spark, d), trees=20, depth=6, folds=2)
+    model, accuracies = patchml.train_patch_classifier(_patches(spark, d))
     return spark.createDataFrame([(i, v, float(np.mean(accuracies))) for i, v in patchml.top_importances(model)], "feature int, importance double, accuracy double")
 
 
+@query()
+def damage_mask_learned(spark, d):
+    model, _ = patchml.train_patch_classifier(_patches(spark, d), folds=0)
+    return patchml.learned_mask(_large(spark, d), model, 8, 8, 0.5, side=None).select("origin", "height", "width", "coverage")
+
+
 def _event_stream(spark: SparkSession, d: str) -> DataFrame:
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{d}/events.parque[t]")  # a pattern, as a stream's plain path has to be a folder
