@@ -43,15 +43,47 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(spark):
     rows += [(100 + i, f"shared boiler 9 line here\n{own(100 + i)}", "b") for i in range(3)]  # rare with that host
     rows += [(200 + i, "\n".join(["shared boiler 1 line here"] * 12 + ["a b c"]), "a") for i in range(2)]
     rows += [(300 + i, f"the very same text of a copy {body}", "a") for i in range(40)]  # one text, however often
-    verdicts, removed = line_quality.quality_rules(docs_of(spark, rows), min_docs=10, max_share=0.01, max_repeat=100)
+    limits = {"min_docs": 10, "max_share": 0.01, "max_repeat": 100, "copies_once": True, "fold_digits": True}
+    verdicts, removed = line_quality.quality_rules(docs_of(spark, rows), **limits)
     kept = {r.doc_id: (r.kept, r.removed_words) for r in verdicts.collect()}
     assert all(kept[i] == (True, 5) for i in range(30)) and all(kept[100 + i] == (True, 0) for i in range(3))
     assert all(kept[200 + i] == (False, 60) for i in range(2)) and all(kept[300 + i] == (True, 0) for i in range(40))
     assert {(r.doc_id, r.pos) for r in removed.where("doc_id < 100").collect()} == {(i, 0) for i in range(30)}
-    out = line_quality.apply_quality_rules(docs_of(spark, rows), min_docs=10, max_share=0.01, max_repeat=100)
+    out = line_quality.apply_quality_rules(docs_of(spark, rows), **limits)
     assert out.columns == docs_of(spark, rows).columns and {r.text for r in out.where("doc_id = 7").collect()} == {own(7)} and out.count() == 73
 
 
+def test_lines_are_counted_by_documents_of_a_host(spark):
+    rng = random.Random(7)
+    filler = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(30))
+    rows = [(i, f"{filler()}\nline {min(i, 19) % 20 // 2}\nline 1", "ab"[i % 2] if i % 7 else None) for i in range(200)]
+    rows += [(500 + i, "a text of which there are copies " * 3 + "\nand more of the same", "a") for i in range(12)] + [(0, rows[0][1], None)] * 30
+    limits = {"min_docs": 10, "max_share": 0.3, "max_docs": 60, "max_repeat": 100}
+    held, hosts = {}, {}
+    for i, t, s in set(rows):
+        hosts.setdefault(s, set()).add(i)
+        for x in t.split("\n"):
+            held.setdefault((s, " ".join(x.lower().split())), set()).add(i)
+    often = {k for k, v in held.items() if len(v) > 10 and (len(v) > 0.3 * len(hosts[k[0]]) or len(v) > 60)}
+    want = {(i, p) for i, t, s in rows for p, x in enumerate(t.split("\n")) if (s, " ".join(x.lower().split())) in often}
+    verdicts, removed = line_quality.quality_rules(docs_of(spark, rows), **limits)
+    assert {(r.doc_id, r.pos) for r in removed.collect()} == want
+    lost = {i: sum(len(x.split()) for p, x in enumerate(t.split("\n")) if (i, p) in want) for i, t, _ in rows}
+    got = verdicts.collect()
+    assert len(got) == len(rows) and all(r.removed_words == lost[r.doc_id] and r.kept == (not r.base_failed and r.n_words - lost[r.doc_id] >= 0.3 * r.n_words) for r in got)
+
+
+def test_near_copies_do_not_make_each_others_lines_frequent(spark):
+    rng = random.Random(9)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(9))
+    first = [line() for _ in range(12)]
+    rows = [(i, "\n".join(line() if k == i % 12 else x for k, x in enumerate(first)), "s") for i in range(60)]
+    rows += [(100 + i, "\n".join([line(), "the usual foot of a page", line(), line()]), "s") for i in range(40)]
+    removed = {(r.doc_id, r.pos) for r in line_quality.quality_rules(docs_of(spark, rows), copies_once=True)[1].collect()}
+    assert removed == {(100 + i, 1) for i in range(40)}
+    assert not line_quality.quality_rules(docs_of(spark, rows))[0].where("kept and doc_id < 100").count()  # counted by documents they do
+
+
 def test_empty_table(spark):
     df = docs_of(spark, []).withColumn("n_chars", F.lit(1).cast("long"))
     assert line_quality.apply_quality_rules(df).count() == 0 and line_quality.quality_rules(df)[0].count() == 0

@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tintype.llm.shared import let, maybe_in, membership_filter, slices
+from tintype.llm.line_quality import without_lines
+from tintype.llm.shared import maybe_in, membership_filter, slices
 from tintype.plans.worktables import write_table
 
 MIN_WORDS = 5
@@ -209,9 +210,7 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", drop_em
     whole = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(docs[id].alias("r_id"), F.xxhash64(whole).alias("r_th"), docs[text].alias("text"), F.struct("*").alias("row"))
     rows = rows.join(cut, F.col("r_id").eqNullSafe(F.col("doc_id")) & (F.col("r_th") == F.col("th")), "left")
-    marks = F.map_from_arrays(F.col("cut"), F.transform("cut", lambda x: F.lit(True)))
-    kept = let(marks, lambda m: F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.map_contains_key(m, i)), "\n"))
-    rows = rows.withColumn("new", F.when(F.col("cut").isNull(), F.col("text")).otherwise(kept))
+    rows = rows.withColumn("new", F.when(F.col("cut").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("cut"))))
     if drop_emptied:
         rows = rows.where(F.col("cut").isNull() | F.col("new").rlike("[^ \\t-\\r]"))
     fields = [(F.col("new") if c == text else F.length("new").cast(t) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c, t in docs.dtypes if c != "removed_lines"]

@@ -1,9 +1,8 @@
 """Quality rules with cross-document line frequency, in DataFrame operations only.
 
-Lines are normalised (lower case, white space collapsed, numbers as 0) and hashed with their host.
-For every host the documents that hold a line are counted, each distinct text once, so that whole
-copies of a document don't make its lines look like boilerplate. Lines in more documents than the
-limit are removed; a document that loses most of its words is rejected as depleted.
+Lines are normalised (lower case, white space collapsed) and hashed with their host. For every host
+the distinct documents that hold a line are counted. Lines in more documents than the limits are
+removed; a document that loses most of its words is rejected as depleted.
 """
 
 from __future__ import annotations
@@ -70,30 +69,39 @@ def _host(host: str | None) -> Column:
     return F.xxhash64(F.coalesce(F.col(host).cast("string"), F.lit(""))) if host else F.lit(0).cast("long")
 
 
-def document_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str | None = "source") -> DataFrame:
+def document_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str | None = "source", fold_digits: bool = False) -> DataFrame:
     """(doc_id, th, hh, pos, lk, words) for every line with a word: text hash, host hash, line number, line key, words."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.lower(F.coalesce(F.col(text), F.lit("")))
+    if fold_digits:
+        whole = F.regexp_replace(whole, "[0-9]+", "0")
     return (
-        docs.select(F.col(id).alias("doc_id"), F.xxhash64(whole).alias("th"), _host(host).alias("hh"), F.posexplode(F.split(_lower_spaces(whole), "\n")).alias("pos", "line"))
+        docs.select(F.col(id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), _host(host).alias("hh"), F.posexplode(F.split(whole, "\n")).alias("pos", "line"))
         .select("doc_id", "th", "hh", "pos", F.btrim(F.regexp_replace("line", SPACE_RUN, " "), F.lit(" ")).alias("line"))
         .where("line <> ''")
         .select("doc_id", "th", "hh", "pos", F.xxhash64("hh", "line").alias("lk"), (F.length("line") - F.length(F.replace(F.col("line"), F.lit(" "), F.lit(""))) + 1).alias("words"))
     )
 
 
-def _lower_spaces(whole: Column) -> Column:
-    return F.regexp_replace(F.lower(whole), "[0-9]+", "0")
+def frequent_lines(lines: DataFrame, document: Column, min_docs: int = 10, max_share: float = 0.01, max_docs: int = 1000) -> DataFrame:
+    """Keys (lk) of the lines in more than ``min_docs`` documents of their host that are also more than ``max_share`` of the host's documents, or more than ``max_docs``.
+
+    ``document`` says what counts as one. Counts are taken over all rows; both counts are summed
+    before they are shuffled, so a line or a host with a third of the rows costs each task one row.
+    """
+    seen = lines.select("hh", "lk", document.alias("d")).distinct().groupBy("hh", "lk").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+    hosts = lines.select("hh", document.alias("d")).distinct().groupBy("hh").agg(F.count("*").alias("all_docs"))
+    return seen.join(hosts, "hh").where((F.col("docs") > F.col("all_docs") * max_share) | (F.col("docs") > max_docs)).select("lk")
 
 
-def frequent_lines(lines: DataFrame, min_docs: int = 10, max_share: float = 0.01) -> DataFrame:
-    """Keys (lk) of the lines in more than ``min_docs`` distinct texts and ``max_share`` of the distinct texts of their host.
+def near_classes(lines: DataFrame) -> DataFrame:
+    """(th, class): texts that share most of their lines, by two minimum hashes of their lines.
 
-    Counts are taken over all rows; both counts are summed before they are shuffled, so a line or a
-    host with a third of the rows costs each task one row.
+    Texts with an equal minimum are led by the least of them, and a text's class is the lesser of
+    its two leaders. A copy with one line of many changed keeps one of both minima nearly always.
     """
-    seen = lines.select("hh", "lk", "th").distinct().groupBy("hh", "lk").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    hosts = lines.select("hh", "th").distinct().groupBy("hh").agg(F.count("*").alias("all_docs"))
-    return seen.join(hosts, "hh").where(F.col("docs") > F.col("all_docs") * max_share).select("lk")
+    two = lines.groupBy("th").agg(F.min("lk").alias("one"), F.min(F.xxhash64("lk")).alias("two"))
+    led = [two.groupBy(k).agg(F.min("th").alias(f"by_{k}")) for k in ("one", "two")]
+    return two.join(led[0], "one").join(led[1], "two").select("th", F.least("by_one", "by_two").alias("class"))
 
 
 def quality_rules(
@@ -105,7 +113,10 @@ def quality_rules(
     max_repeat: int = 30,
     min_docs: int = 10,
     max_share: float = 0.01,
+    max_docs: int = 1000,
     min_left: float = 0.3,
+    copies_once: bool = False,
+    fold_digits: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Verdicts and removed lines of all documents.
 
@@ -114,12 +125,26 @@ def quality_rules(
     lines above the limits. A document is kept unless the counts reject it or fewer than
     ``min_left`` of its words remain.
 
+    Lines are counted by documents (id and text; repeated rows are one). With ``copies_once`` they
+    are counted by texts, and those above the limits once more by groups of near-equal texts, so
+    that whole or slightly changed copies don't make each other's lines frequent. With
+    ``fold_digits`` a number in a line counts as 0.
+
     A null text counts as empty and is rejected for want of words; a null host is a host of its
     own; rows with equal id and text get equal verdicts; null ids are an id like any other; an
-    empty table gives empty results; other columns are ignored.
+    empty table gives empty results; other columns are ignored. A line at a limit stays. A very long
+    text is one row as any other; its cost is n log n in its words.
     """
-    lines = write_table(document_lines(docs, id, text, host), "lines")
-    frequent = frequent_lines(lines, min_docs, max_share)
+    lines = write_table(document_lines(docs, id, text, host, fold_digits), "lines")
+    limits = min_docs, max_share, max_docs
+    if copies_once:
+        often = write_table(frequent_lines(lines, F.col("th"), *limits), "candidate-lines")
+        held = lines.join(often, "lk", "left_semi").select("hh", "lk", "th").distinct().join(near_classes(lines), "th")
+        counted = held.select("hh", "lk", "class").distinct().groupBy("hh", "lk").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+        hosts = lines.select("hh", "th").distinct().groupBy("hh").agg(F.count("*").alias("all_docs"))
+        frequent = counted.join(hosts, "hh").where((F.col("docs") > F.col("all_docs") * max_share) | (F.col("docs") > max_docs)).select("lk")
+    else:
+        frequent = frequent_lines(lines, F.xxhash64("doc_id", "th"), *limits)
     removed = write_table(lines.join(frequent, "lk", "left_semi").select("doc_id", "th", "pos", "words").distinct(), "frequent-lines")
     lost = removed.groupBy(F.col("doc_id").alias("r_id"), F.col("th").alias("r_th")).agg(F.sum("words").alias("lost"))
     base = word_rules(docs, id, text, min_words, max_repeat)
@@ -138,13 +163,15 @@ def apply_quality_rules(docs: DataFrame, id: str = "doc_id", text: str = "text",
     return rebuilt(docs, plan.select("doc_id", "th", "cut"), id, text)
 
 
+def without_lines(text: Column, cut: Column) -> Column:
+    """A text without the lines whose numbers are in ``cut``, in time linear in its lines."""
+    return let(F.split(text, "\n"), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), cut), lambda i: F.get(x, i)), "\n"))
+
+
 def rebuilt(docs: DataFrame, plan: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that ``plan`` names by (doc_id, th), without the lines whose numbers are in ``cut`` (null: none)."""
     whole = F.coalesce(F.col(f"row.{text}"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"))
     rows = rows.withColumn("k", F.xxhash64(whole)).join(plan, F.col(f"row.{id}").eqNullSafe(F.col("doc_id")) & (F.col("k") == F.col("th")))
-    marks = F.map_from_arrays(F.col("cut"), F.transform("cut", lambda x: F.lit(True)))
-    kept = let(marks, lambda m: F.array_join(F.filter(F.split(whole, "\n"), lambda x, i: F.get(F.array(m[i]), F.lit(0)).isNull()), "\n"))
-    new = F.when(F.col("cut").isNull(), F.col(f"row.{text}")).otherwise(kept)
-    fields = [(new if c == text else F.length("_new").cast(t) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c, t in docs.dtypes]
-    return rows.withColumn("_new", new).select(*[F.col("_new").alias(c) if c == text else f for c, f in zip(docs.columns, fields, strict=True)])
+    rows = rows.withColumn("_new", F.when(F.col("cut").isNull(), F.col(f"row.{text}")).otherwise(without_lines(whole, F.col("cut"))))
+    return rows.select(*[(F.col("_new") if c == text else F.length("_new").cast(t) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c, t in docs.dtypes])

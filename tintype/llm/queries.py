@@ -104,12 +104,12 @@ OP9_SQL = r"""with d as (select doc_id, coalesce(text, '') as text, coalesce(sou
  win as (select doc_id, i, array_to_string(ws[i:i + 7], ' ') as v from w, unnest(range(1, len(ws) - 6)) t(i)),
  rep as (select doc_id, i from (select *, count(*) over (partition by doc_id, v) as c from win) where c > 1),
  cov as (select doc_id, count(distinct i + o) as n from rep, range(8) t(o) group by 1),
- raw as (select doc_id, host, text, unnest(string_split(text, chr(10))) as line from d),
+ raw as (select doc_id, host, unnest(string_split(text, chr(10))) as line from d),
  dup as (select doc_id, count(*) - count(distinct line) as n from raw where regexp_matches(line, '[^ \t-\r]') group by 1),
- ln as (select doc_id, host, text, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[ \t-\r]+', ' ', 'g')) as line from raw),
+ ln as (select doc_id, host, trim(regexp_replace(lower(line), '[ \t-\r]+', ' ', 'g')) as line from raw),
  ok as (select *, length(line) - length(replace(line, ' ', '')) + 1 as words from ln where line <> ''),
- hosts as (select host, count(distinct text) as n from ok group by 1),
- freq as (select host, line from ok join hosts using (host) group by host, line, hosts.n having count(distinct text) > 10 and count(distinct text) > 0.01::double * hosts.n),
+ hosts as (select host, count(distinct doc_id) as n from ok group by 1),
+ freq as (select host, line from ok join hosts using (host) group by host, line, hosts.n having count(distinct doc_id) > 10 and (count(distinct doc_id) > 0.01::double * hosts.n or count(distinct doc_id) > 1000)),
  lost as (select doc_id, sum(words)::bigint as n from ok join freq using (host, line) group by 1),
  b as (select w.doc_id, len(ws) as n_words, list_sum(list_transform(ws, lambda x: length(x))) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(cov.n, 0) as n_repeat_words, coalesce(lost.n, 0) as removed_words
    from w join d using (doc_id) left join cov using (doc_id) left join dup using (doc_id) left join lost using (doc_id))
