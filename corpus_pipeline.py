@@ -18,8 +18,8 @@ from tintype.plans.worktables import write_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; lines that too many documents of a source share go from the rest."""
-    return apply_quality_rules(docs)
+    """Rejected documents go; lines that too many documents of a source share go from the rest. Copies count once, as a later stage takes them."""
+    return apply_quality_rules(docs, copies_once=True)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
