@@ -90,8 +90,8 @@ def test_empty_table(spark):
     assert order_minhash.compare_neighbours(df).count() == 0
 
 
-def brute_sketch(text):
-    """Bucket to the two least numbered 3-word k-mers, as places in the text, with their identity."""
+def numbered_kmers(text):
+    """The 3-word k-mers of a text with their number among equal ones and their place."""
     words = [x for x in re.split("[ \t-\r]+", text or "") if x]
     kmers = [tuple(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else ([tuple(words)] if words else [])
     seen = Counter()
@@ -102,36 +102,43 @@ def brute_sketch(text):
     return out
 
 
+def plain_sketches(spark, texts):
+    """Of each text the 64 tuples: those two numbered k-mers that are least under the hash less the entry's share of the circle, in text order."""
+    every = {(" ".join(k), o) for x in texts for k, o, _ in numbered_kmers(x)}
+    rows = spark.createDataFrame(sorted(every), "t string, o int")
+    hash_of = order_minhash.let(order_minhash.words_of(F.col("t")), lambda w: order_minhash._kmers(F.transform(w, lambda x: F.xxhash64(x))))[0]
+    rows = rows.withColumn("h", hash_of)
+    number = {(r.t, r.o): (r.x % (1 << 64)) >> 30 for r in rows.withColumn("x", F.when(F.col("o") == 0, F.col("h")).otherwise(F.xxhash64("h", "o"))).collect()}
+    out = []
+    for t in texts:
+        ranks = [(number[" ".join(k), o], place) for k, o, place in numbered_kmers(t)]
+        out.append([tuple(r for r, _ in sorted(sorted(ranks, key=lambda x: ((x[0] - (b << 28)) % (1 << 34), x[1]))[:2], key=lambda x: x[1])) for b in range(64)] if ranks else [])
+    return out
+
+
+def plain_likeness(a, b):
+    return sum(x == y for x, y in zip(a, b, strict=False)) / 64 if a or b else 1.0
+
+
 def test_sketch_follows_numbered_kmers_and_their_order(spark):
     rng = random.Random(4)
     texts = ["", "a", "a b", "a b c", "a b c d", " ".join("ab"[i % 2] for i in range(60)), "x " * 300]
     texts += [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 200))) for _ in range(40)]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", order_minhash.order_minhash(F.col("text")).alias("s"))
-    sketches = {r.i: r.s for r in rows.collect()}
-    hashed = {}
-    for t in {" ".join(k) for x in texts for k, _, _ in brute_sketch(x)}:
-        hashed[t] = None
-    pairs = spark.createDataFrame([(t,) for t in hashed], "t string").select("t", order_minhash.let(order_minhash.words_of(F.col("t")), lambda w: order_minhash._kmers(F.transform(w, lambda x: F.xxhash64(x))))[0].alias("h"))
-    hashed = {r.t: r.h for r in pairs.collect()}
-    most = max((o for x in texts for _, o, _ in brute_sketch(x)), default=0)
-    numbers = spark.range(most + 1).crossJoin(spark.createDataFrame([(h,) for h in set(hashed.values())], "h long")).select("id", "h", F.xxhash64("h", F.col("id").cast("int")).alias("x"))
-    number = {(r.h, r.id): r.x if r.id else r.h for r in numbers.collect()}
-    for i, t in enumerate(texts):
-        ranked = sorted((((number[hashed[" ".join(k)], o] % (1 << 64)) >> 30), place) for k, o, place in brute_sketch(t))
-        buckets = {}
-        for rank, place in ranked:
-            buckets.setdefault(rank >> 28, []).append((rank, place))
-        assert [(s >> 26) + 32 for s in sketches[i]] == sorted(buckets), t
-        chosen = {b: tuple(rank for rank, _ in sorted(v[:2], key=lambda x: x[1])) for b, v in buckets.items()}
-        for j, u in enumerate(texts[:i]):
-            other = {(s >> 26) + 32: s for s in sketches[j]}
-            mine = {(s >> 26) + 32: s for s in sketches[i]}
-            ranked2 = sorted((((number[hashed[" ".join(k)], o] % (1 << 64)) >> 30), place) for k, o, place in brute_sketch(u))
-            b2 = {}
-            for rank, place in ranked2:
-                b2.setdefault(rank >> 28, []).append((rank, place))
-            for b in mine.keys() & other.keys():
-                assert (mine[b] == other[b]) == (chosen[b] == tuple(rank for rank, _ in sorted(b2[b][:2], key=lambda x: x[1])))
+    pairs = rows.alias("a").crossJoin(rows.alias("b")).select("a.i", F.col("b.i").alias("j"), order_minhash.likeness(F.col("a.s"), F.col("b.s")).alias("l"))
+    plain = plain_sketches(spark, texts)
+    assert all(len(r.s) == (64 if texts[r.i] else 0) for r in rows.collect())
+    assert all(r.l == plain_likeness(plain[r.i], plain[r.j]) for r in pairs.collect())
+
+
+def test_likeness_of_reordered_blocks_is_low_at_any_length(spark):
+    def text(n):
+        words = [f"w{n}x{i}" for i in range(n)]
+        return " ".join(words), " ".join(w for i in range(n - 5, -1, -5) for w in words[i : i + 5])
+
+    rows = spark.createDataFrame([(n, *text(n)) for n in (20, 40, 80, 160, 640, 2560)], "n int, a string, b string")
+    got = {r.n: r.l for r in rows.select("n", order_minhash.likeness(order_minhash.order_minhash(F.col("a")), order_minhash.order_minhash(F.col("b"))).alias("l")).collect()}
+    assert max(got.values()) < 0.25
 
 
 def test_neighbours_and_edited_texts(spark):
@@ -144,5 +151,11 @@ def test_neighbours_and_edited_texts(spark):
         half = len(t) // 2
         assert got[i].n_chars == len(t)
         assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()
+    plain = dict(zip(ids, plain_sketches(spark, [texts[i] for i in ids]), strict=True))
+    halves = {i: (texts[i] or "")[: len(texts[i] or "") - len(texts[i] or "") // 2] + (texts[ids[(k + 1) % len(ids)]] or "")[: len(texts[i] or "") // 2] for k, i in enumerate(ids)}
+    edited = dict(zip(ids, plain_sketches(spark, [halves[i] for i in ids]), strict=True))
+    for k, i in enumerate(ids):
+        assert got[i].near_edited == plain_likeness(plain[i], edited[i]) and got[i].near_next == plain_likeness(plain[i], plain[ids[(k + 1) % len(ids)]])
+        assert len(got[i].fingerprint) == 8 * len(plain[i]) and len(got[i].edited_fingerprint) == 8 * len(edited[i])
     assert got[None].near_next is None and got[None].near_edited == 1.0 and got[10].fingerprint == got[11].fingerprint == ""
     assert order_minhash.compare_neighbours(docs_of(spark, rows)).count() == 7

@@ -1,9 +1,11 @@
 """Order MinHash of documents, in DataFrame operations only.
 
 The words of a text give k-mers; equal k-mers are numbered by occurrence, so that a multiset is
-sketched. A hash of the numbered k-mer deals it to one of m buckets and ranks it there. Of each
-bucket the l least are selected, put back into text order and hashed as a tuple: the entry changes
-when the k-mers change and when their order does, which is what makes it follow edit distance.
+sketched. The hashes of the numbered k-mers lie on a circle, and each of m entries has its own
+starting point there: it selects the l k-mers that come first from that point on, which are the l
+least under the hash turned by that much. They are taken from the whole text, put back into text
+order and hashed as a tuple: the entry changes when the k-mers change and when their order does,
+which is what makes it follow edit distance.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from tintype.llm.shared import let, words_of
 from tintype.plans.worktables import write_table
 
-#: Buckets (2**6), k-mers selected in each, words in a k-mer, bits of a place in the text.
+#: Entries (2**6; the circle has as many arcs, each entry starts with one), k-mers selected by each, words in a k-mer, bits of a place in the text.
 BUCKET_BITS, SELECTED, K, PLACE_BITS = 6, 2, 3, 29
 RANK_BITS = 63 - PLACE_BITS
 
@@ -28,7 +30,7 @@ def _kmers(h: Column) -> Column:
 
 
 def _packed(h: Column, place: Column) -> Column:
-    """The leading bits of a hash above the place, as a positive number; the first six bits are the bucket."""
+    """The leading bits of a hash above the place, as a positive number; the first six bits are the arc."""
     return F.shiftleft(F.shiftrightunsigned(h, 64 - RANK_BITS), PLACE_BITS).bitwiseOR(place.cast("long"))
 
 
@@ -56,37 +58,33 @@ def _numbered(k: Column) -> Column:
 
 
 def order_minhash(text: Column) -> Column:
-    """The sketch of a text as an array of ints, at most one a bucket: the bucket's number less 32 in the first six bits, then the tuple's hash.
+    """The sketch of a text as an array of 64 ints, one an entry.
 
-    A null or empty text has an empty sketch; a text of fewer than three words has one entry.
+    A null or empty text has an empty sketch; of one k-mer (a text of up to three words) it is the
+    tuple. Of a very long text no more than two k-mers of an arc are kept before tuples are made.
     """
 
-    def bucket(v: Column) -> Column:
+    def arc(v: Column) -> Column:
         return F.shiftright(v, 63 - BUCKET_BITS)
 
-    def entries(t: Column) -> Column:
-        chosen = F.filter(t, lambda v, i: F.coalesce(bucket(F.get(t, i - SELECTED)) != bucket(v), F.lit(True)))
-        return let(chosen, tuples)
+    def chosen(t: Column) -> Column:
+        return F.filter(t, lambda v, i: F.coalesce(arc(F.get(t, i - SELECTED)) != arc(v), F.lit(True)))
 
-    def tuples(c: Column) -> Column:
-        def entry(i: Column) -> Column:
-            return let(F.struct(F.get(c, i).alias("a"), F.get(c, i + 1).alias("b")), lambda p: _tuple(p["a"], p["b"]))
+    def entries(c: Column) -> Column:
+        """All entries between one k-mer that is the first of its arc and the next such start with the latter."""
+        heads = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.coalesce(arc(F.get(c, i - 1)) != arc(F.get(c, i)), F.lit(True)))
+        pairs = F.transform(heads, lambda i: F.struct(arc(F.get(c, i)).cast("int").alias("arc"), _tuple(F.get(c, i), F.coalesce(F.get(c, i + 1), F.get(c, F.lit(0))), F.size(c)).alias("x")))
+        return let(pairs, lambda p: F.flatten(F.concat(F.transform(p, lambda e, j: F.array_repeat(e["x"], e["arc"] - F.coalesce(F.get(p, j - 1)["arc"], F.lit(-1)))), F.array(F.array_repeat(F.get(p, F.lit(0))["x"], (1 << BUCKET_BITS) - 1 - F.element_at(p, -1)["arc"])))))
 
-        heads = F.filter(F.sequence(F.lit(0), F.size(c) - 1), lambda i: F.coalesce(bucket(F.get(c, i - 1)) != bucket(F.get(c, i)), F.lit(True)))
-        return F.transform(heads, entry)
-
-    def _tuple(a: Column, b: Column) -> Column:
-        mate = F.when(bucket(a) == bucket(b), b)
+    def _tuple(a: Column, b: Column, n: Column) -> Column:
         place = F.lit((1 << PLACE_BITS) - 1)
-        first = F.shiftright(a, PLACE_BITS)
-        second = F.shiftright(mate, PLACE_BITS)
-        ordered = F.when(mate.isNull(), F.xxhash64(first)).when(a.bitwiseAND(place) < mate.bitwiseAND(place), F.xxhash64(first, second)).otherwise(F.xxhash64(second, first))
-        low = F.shiftrightunsigned(ordered, 32 + BUCKET_BITS).bitwiseAND(F.lit((1 << (32 - BUCKET_BITS)) - 1))
-        return F.shiftleft(bucket(a) - (1 << BUCKET_BITS - 1), 32 - BUCKET_BITS).bitwiseOR(low).cast("int")
+        first, second = F.shiftright(a, PLACE_BITS), F.shiftright(b, PLACE_BITS)
+        ordered = F.when(n == 1, F.xxhash64(first)).when(a.bitwiseAND(place) < b.bitwiseAND(place), F.xxhash64(first, second)).otherwise(F.xxhash64(second, first))
+        return F.shiftright(ordered, 32).cast("int")
 
     hashed = F.transform(words_of(text), lambda x: F.xxhash64(x))
     empty = F.array().cast("array<int>")
-    return let(hashed, lambda h: F.when(F.size(h) == 0, empty).otherwise(let(F.sort_array(let(_kmers(h), _numbered)), entries)))
+    return let(hashed, lambda h: F.when(F.size(h) == 0, empty).otherwise(let(let(F.sort_array(let(_kmers(h), _numbered)), chosen), entries)))
 
 
 def fingerprint(sketch: Column) -> Column:
@@ -95,13 +93,9 @@ def fingerprint(sketch: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """The share of the buckets of either sketch whose entries are equal; two empty sketches are alike."""
-
-    def held(s: Column) -> Column:
-        return F.transform(s, lambda x: F.shiftright(x, 32 - BUCKET_BITS))
-
-    either = F.size(F.array_union(held(a), held(b)))
-    return F.when(either == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """The share of equal entries; two empty sketches are alike, an empty one is like no other."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / (1 << BUCKET_BITS)
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(same)
 
 
 def neighbours(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
