@@ -58,10 +58,21 @@ def test_fingerprints_and_components(spark):
         i = len(texts) - 1 if r.doc_id is None else r.doc_id
         assert r.fingerprint == f"{want[i]:016x}" and r.component_id == component[i]
     kept = simhash.keep_one(df)
-    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.where("doc_id is not null").collect()) == sorted(set(component))
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(component))
+    assert simhash.keep_one(df.limit(0)).count() == 0
     assert simhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_unrelated_texts_under_one_id_stay(spark):
+    one, two = (" ".join(w + str(i) for i in range(60)) for w in "ab")
+    rows = [(1, one, "x"), (1, two, "x"), (1, one, "x"), (2, one, "y"), (None, two, "y"), (None, "of its own " * 9, "y"), (3, two, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    want = {(1, one), (1, two), (None, "of its own " * 9)}
+    kept = simhash.keep_one(df).collect()
+    assert len(kept) == 3 and {(r.doc_id, r.text) for r in kept} == want
+    assert len({r.component_id for r in simhash.near_duplicates(df.where("doc_id = 1")).collect()}) == 1 and simhash.near_duplicates(df).count() == 7
+
+
 def test_bit_sliced_distances_and_pieces(spark, monkeypatch):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)

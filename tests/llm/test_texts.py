@@ -74,6 +74,80 @@ def test_found_identifiers_induce_contexts_until_nothing_is_new(spark):
     assert masked[len(rows) - 1] == "ring us under <PHONE> daily"
 
 
+def plain_discovery(texts):
+    """Spans that dictionaries give by the same rounds: {(text number, start, kind, end)}, outer ones only."""
+    seen = [(t, m) for t, text in enumerate(texts) for m in pii.mentions(text, pii.base_spans(text))]
+    pairs = {(m[4], m[5], m[2], m[3], p) for _, m in seen for p in m[6]}
+    sizes = defaultdict(set)
+    for _, grp, _, _, p in pairs:
+        sizes[p].add(grp)
+    seeds = {(i, k): 1.0 for i, _, k, _, _ in pairs if k >= 0}
+    accepted, found = dict(seeds), {}
+    while True:
+        chains = {}
+        for (i, of), w in accepted.items():
+            for j, grp, _, _, p in pairs:
+                if i == j:
+                    chains[p, of, grp] = max(chains.get((p, of, grp), (0, 0)), (w, i))
+        support = defaultdict(list)
+        for (p, of, _), best in chains.items():
+            support[p, of].append(best)
+        scores = {k: sum(w for w, _ in v) / (len(sizes[k[0]]) + 1) for k, v in support.items() if len({i for _, i in v}) >= 3}
+        patterns = {k: v for k, v in scores.items() if v >= 0.6}
+        miss = defaultdict(lambda: 1.0)
+        for p, i, of in {(p, i, of) for i, _, k, forms, p in pairs if k < 0 for of in range(4) if forms >> of & 1}:
+            if (p, of) in patterns:
+                miss[i, of] *= 1 - patterns[p, of]
+        last, found = found, {k: 1 - v for k, v in miss.items() if 1 - v >= 0.6}
+        if found.keys() == last.keys() and all(abs(found[k] - last[k]) < 1e-9 for k in found):
+            break
+        accepted = {k: max(seeds.get(k, 0), found.get(k, 0)) for k in seeds.keys() | found.keys()}
+    kind = {}
+    for (i, of), w in found.items():
+        kind[i] = max(kind.get(i, (0, 0)), (w, -of))
+    spans = {(t, m[0], -kind[m[4]][1], m[1]) for t, m in seen if m[2] < 0 and m[4] in kind and any((p, -kind[m[4]][1]) in patterns for p in m[6])}
+    return {x for x in spans if not any(y[0] == x[0] and y != x and y[1] <= x[1] and x[3] <= y[3] for y in spans)}
+
+
+def planted_identifiers(rng):
+    """Texts, and the (text, identifier) pairs that only their contexts give away."""
+    plain = lambda: " ".join(rng.choice(["stone", "river", "walks", "green", "under", "table"]) for _ in range(rng.randrange(3, 9)))
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+
+    def card():
+        digits = number(15)
+        return next(digits + c for c in "0123456789" if pii._luhn(digits + c))
+
+    known = [lambda: f"write to {number(3)}.x@mail.example.com please", lambda: f"from host {rng.randrange(256)}.{rng.randrange(256)}.7.9 today", lambda: f"paid by card: {card()} ok", lambda: f"ring us at +49 {number(9)} soon"]
+    hidden = [lambda: f"user{number(4)}@localnet", lambda: f"fe80::{number(2)}:{number(3)}:{number(2)}", lambda: number(12), lambda: number(10)]
+    forms = ["write to {} please", "from host {} today", "paid by card: {} ok", "ring us at {} soon"]
+    texts = [f"{plain()} {known[i % 4]()} {plain()}" for i in range(160)]
+    wanted = []
+    for i in range(24):
+        x = hidden[i % 4]()
+        wanted.append((len(texts), x))
+        texts.append(f"{plain()} {forms[i % 4].format(x)} {plain()}")
+    texts += [f"{plain()} {number(rng.choice([7, 10, 12]))} {plain()} a@b {plain()}" for _ in range(60)]
+    return texts, wanted
+
+
+def test_discovery_equals_dictionaries_and_finds_what_is_planted(spark):
+    texts, wanted = planted_identifiers(random.Random(11))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, s.start, s.kind, s.end) for r in pii.find_personal_data(df).collect() for s in r.spans if tuple(s) not in {tuple(b) for b in r.base}}
+    assert got == plain_discovery(texts)
+    shown = {(t, texts[t][s:e]) for t, s, _, e in got}
+    assert all(any(t == u and x in y for u, y in shown) for t, x in wanted)
+    assert len(shown - set(wanted)) <= 0.1 * len(wanted)
+
+
+def test_contexts_are_of_whole_words():
+    q = "q" * 100
+    one, two = (pii.mentions(f"{w} {q} 5551000", [])[0][6] for w in "ab")
+    assert one[0] != two[0] and one[1] == two[1]
+    assert pii.mentions("u" * 300 + "@host is far away", []) and len(pii.mentions("9 " * 50_000 + "x@y.zz", pii.base_spans("9 " * 50_000 + "x@y.zz"))) > 50_000
+
+
 def test_every_token_and_run_of_numbers_is_a_candidate():
     def offered(t):
         return {t[s:e] for s, e, kind, *_ in pii.mentions(t, pii.base_spans(t)) if kind < 0}
@@ -233,7 +307,61 @@ def test_language_of_held_out_documents(spark, sf_dir):
     assert {r.lang_pred for r in language.identify(nothing, language.train(nothing)).collect()} == {"und"}
 
 
-def test_network_gradient_is_right():
+def test_no_language_is_left_out(spark, monkeypatch):
+    monkeypatch.setattr(language, "ALL_LANGUAGES", 300)
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} " * 40, f"l{i % 250:03d}") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    x, y, names = language.training_windows(docs, "doc_id", "text", "lang", 1500, 2)
+    held = {r.doc_id for r in docs.where(language.held_out(F.col("doc_id"))).collect()}
+    assert set(names) == {c for i, _, c in rows if i not in held} and len(names) == 250 and len(x) == len(y)
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 100)
+    with pytest.raises(ValueError):
+        language.training_windows(docs, "doc_id", "text", "lang", 1500, 2)
+
+
+def test_identify_with_clashing_columns_and_no_rows(spark):
+    docs = spark.createDataFrame([(i, "abc def " * 9 if i % 2 else "xyz uvw " * 9, "en" if i % 2 else "de", "x", 1.0) for i in range(60)], "doc_id long, text string, lang string, lang_pred string, score double")
+    model = language.train(docs)
+    got = language.identify(docs, model)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in got.collect())
+    assert language.identify(docs.limit(0), model).count() == 0 and language.train(docs.limit(0)) is None
+
+
+def test_convolution_and_gradient_equal_plain_loops():
+    rng = np.random.default_rng(5)
+    net = language.ByteCnn(["a", "b", "c"], seed=3)
+    x, y = rng.integers(0, 256, (3, language.WINDOW)).astype(np.uint8), np.array([2, 0, 1])
+    pooled = net.pooled(x)
+    for i in range(3):
+        k = 0
+        for table, width in zip(net.tables, language.WIDTHS, strict=True):
+            for f in range(language.FILTERS):
+                best = max(sum(float(table[j][x[i, at + j], f]) for j in range(width)) for at in range(language.WINDOW - width + 1))
+                assert pooled[i, k] == pytest.approx(best, abs=1e-4)
+                k += 1
+    z = np.maximum(pooled + net.bias, 0) @ net.dense + net.offset
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    assert net.probabilities(x) == pytest.approx(p, rel=1e-4)
+
+    def loss(model):
+        return -np.log(model.probabilities(x)[np.arange(3), y]).astype(np.float64).mean()
+
+    one, rate = language.ByteCnn(["a", "b", "c"], seed=3), 0.01
+    one.train(x, y, epochs=1, batch=3, rate=rate)  # Adam's first step is the rate against the gradient's sign
+    for name in ("bias", "dense", "offset"):
+        before, after = getattr(net, name), getattr(one, name)
+        for at in list(np.ndindex(before.shape))[:40:7]:
+            step = 2e-2
+            before[at] += step
+            up = loss(net)
+            before[at] -= 2 * step
+            slope = (up - loss(net)) / (2 * step)
+            before[at] += step
+            if abs(slope) > 1e-3:
+                assert np.sign(before[at] - after[at]) == np.sign(slope) and abs(before[at] - after[at]) == pytest.approx(rate, rel=0.05)
+
+
+def test_training_lowers_the_loss():
     rng = np.random.default_rng(0)
     net = language.ByteCnn(["a", "b"])
     x, y = rng.integers(0, 256, (6, language.WINDOW)).astype(np.uint8), np.array([0, 1] * 3)

@@ -21,8 +21,11 @@ from tintype.llm.shared import slices
 
 WINDOW, WIDTHS, FILTERS = 256, (2, 3, 4), 16
 
-#: Bounds of the training sample: documents of each language, windows of each document, languages.
-PER_LANGUAGE, WINDOWS_EACH, MOST_LANGUAGES = 1500, 6, 200
+#: Bounds of the training sample: documents of each language, documents of all (shared out evenly, one of each language at least), windows of each document.
+PER_LANGUAGE, ALL_LANGUAGES, WINDOWS_EACH = 1500, 30_000, 6
+
+#: More label values than this aren't languages; training on them is refused, none is left out.
+MOST_LANGUAGES = 10_000
 
 _LETTERISH = re.compile(r"[^\W\d_]")
 
@@ -116,12 +119,12 @@ class ByteCnn:
         for at in range(0, len(some), 256):  # so many texts at once
             part = some[at : at + 256]
             raw = [texts[i].encode("utf-8", "replace") for i in part]
-            x = [windows_of(b) for b in raw]
-            p = self.probabilities(np.concatenate(x))
-            starts = np.r_[0, np.cumsum([len(w) for w in x])]
+            sizes = [max(1, -(-len(b) // WINDOW)) for b in raw]
+            p = self.probabilities(np.concatenate([windows_of(b) for b in raw]))
+            starts = np.r_[0, np.cumsum(sizes)]
             for k, i in enumerate(part):
-                weight = np.full(len(x[k]), WINDOW, dtype=np.float64)
-                weight[-1] = len(raw[k]) - WINDOW * (len(x[k]) - 1)
+                weight = np.full(sizes[k], WINDOW, dtype=np.float64)
+                weight[-1] = len(raw[k]) - WINDOW * (sizes[k] - 1)
                 mean = weight @ p[starts[k] : starts[k + 1]] / weight.sum()
                 best = int(mean.argmax())
                 found[i], scores[i] = self.languages[best], float(min(mean[best], 1.0))
@@ -136,16 +139,20 @@ def held_out(id: Column) -> Column:
 def training_windows(docs: DataFrame, id: str, text: str, lang: str, per_language: int, windows_each: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Windows, labels and languages of a sample of labelled rows that aren't held out.
 
-    Languages are counted over all rows; of each a share is drawn by a hash of the id so that about
-    ``per_language`` documents are expected, with ``windows_each`` windows spread over each text.
+    Languages are counted over all rows; of each the documents of least id hash are drawn until
+    about ``per_language`` are expected (fewer where there are very many languages), all of a rare
+    language, with ``windows_each`` windows spread over each text.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id).isNotNull() & ~held_out(F.col(id)))
-    counts = sorted((r["lang"], r["n"]) for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect())
+    counts = [tuple(r) for r in rows.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()]
     if not counts:
         return np.zeros((0, WINDOW), np.uint8), np.zeros(0, np.int64), []
-    shares = F.create_map(*[F.lit(v) for c, n in counts for v in (c, min(1.0, per_language / n))])
-    drawn = rows.where(F.pmod(F.xxhash64(F.lit("language sample"), F.col(id)), F.lit(1_000_003)) < F.get(F.array(shares[F.col(lang)]), F.lit(0)) * 1_000_003)
-    sample = drawn.select(F.col(id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    most = min(per_language, max(1, ALL_LANGUAGES // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(c, min(1.0, max(most, 8) / n)) for c, n in counts], "_lang string, _share double")  # of few documents expected there may be none
+    drawn = rows.select(F.col(id).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text")).join(F.broadcast(shares), F.col("lang") == F.col("_lang"))
+    sample = drawn.where(F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1_000_003)) < F.col("_share") * 1_000_003).select("doc_id", "lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,7 +194,8 @@ def identify(docs: DataFrame, model: ByteCnn | None, id: str = "doc_id", text: s
 
     Null texts and texts without a letter are 'und' with score 0, as is every text if nothing could
     be learned. Repeated rows get equal results; null ids are kept and count as not held out; an
-    empty table gives an empty result; other columns are ignored.
+    empty table gives an empty result; other columns are ignored. Equally likely languages give the
+    first by name; a very long text is judged by all its windows, a bounded number at a time.
     """
     rows = docs.select(docs[id].alias("doc_id"), held_out(docs[id]).alias("held_out"), docs[text].alias("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and contexts learned from what they find.
 
 The fixed patterns give the seed entities. Every entity, and every other token that could be an
-identifier (it has digits or an @), is a mention with its lexical contexts. Spark scores the graph
+identifier (it has digits or an @), is a mention with its lexical contexts: words before, words on
+either side, the word before or a label with the shape of what follows. Spark scores the graph
 of contexts and instances in rounds: a context is as reliable as the share of its distinct
 instances that are reliable; an instance that the fixed patterns missed is as reliable as the
 contexts it stands in. Mentions in reliable contexts, of a form that suits the kind, are new spans.
@@ -10,8 +11,10 @@ contexts it stands in. Mentions in reliable contexts, of a form that suits the k
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
@@ -32,6 +35,7 @@ _CANDIDATE = re.compile(r"[^\s]*[0-9@][^\s]*(?: [().0-9-]*[0-9][().0-9-]*(?!\S))
 _TOKEN = re.compile(r"\S+")
 _NUMBER = re.compile(r"[+().0-9/-]*[0-9][+().0-9/-]*")
 _DIGITS = re.compile(r"[0-9]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _EDGES = "\"'()[]{}<>,;:.!?*#$%&|="
 
 
@@ -84,25 +88,51 @@ def suits(kind: int, word: str) -> bool:
     return (12 if kind == 2 else 7) <= n <= (19 if kind == 2 else 15) and not re.search(r"[^0-9 ().+/-]", word)
 
 
-def _contexts(text: str, start: int, end: int) -> tuple[int, int]:
-    """Hashes of the two words before, and of the words on either side; digits count as 0."""
+def _shape(word: str) -> str:
+    """Digits as 0, letters as a or A, runs of letters as one."""
+    return _LETTERS.sub(lambda m: "A" if m[0].isupper() else "a", _DIGITS.sub("0", word))
 
-    def plain(ws: list[str]) -> list[str]:
-        return [_DIGITS.sub("0", w).lower() for w in ws]
 
-    before = ["^", "^", *plain(text[max(0, start - 80) : start].split())][-2:]
-    after = [*plain(text[end : end + 40].split()), "$"][0]
-    return tuple(xxhash.xxh64_intdigest(x) - (1 << 63) for x in (f"<{before[0]} {before[1]}", f"|{before[1]} {after}"))
+class _Words:
+    """The words of a text, to be looked up by place."""
+
+    def __init__(self, text: str):
+        self.text, self.places = text, [m.span() for m in _TOKEN.finditer(text)]
+        self.starts, self.ends = [s for s, _ in self.places], [e for _, e in self.places]
+        self.known: dict[tuple[int, int], str] = {}
+
+    def _word(self, s: int, e: int) -> str:
+        if (s, e) not in self.known:
+            self.known[s, e] = _DIGITS.sub("0", self.text[s:e]).lower()
+        return self.known[s, e]
+
+    def contexts(self, start: int, end: int) -> list[int]:
+        """Hashes of the patterns about a place, digits counting as 0: the two words before, the words on either side, the word before with the
+        shape of what stands there, and the label before a colon with that shape.
+
+        Of a word that the place itself cuts, its 200 characters next to the place count.
+        """
+        before = []
+        i = bisect_left(self.starts, start) - 1
+        while i >= 0 and len(before) < 3:
+            s, e = self.places[i]
+            before.append(self._word(s, e) if e <= start else _DIGITS.sub("0", self.text[max(s, start - 200) : start]).lower())
+            i -= 1
+        k = bisect_right(self.ends, end)
+        s, e = self.places[k] if k < len(self.places) else (end, end)
+        after = "$" if s == e else self._word(s, e) if s >= end else _DIGITS.sub("0", self.text[end : min(e, end + 200)]).lower()
+        before += ["^"] * (3 - len(before))
+        shape = _shape(self.text[start:end])
+        label = next((w for w in before if w.endswith(":")), None)
+        found = [f"<{before[1]} {before[0]}", f"|{before[0]} {after}", f"#{before[0]} {shape}", *([f":{label} {shape}"] if label else [])]
+        return [xxhash.xxh64_intdigest(x) - (1 << 63) for x in found]
 
 
 def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
     """(start, end) of every token of a range, and of every run of its number tokens that has few enough digits to be an identifier."""
-    run: list[tuple[int, int, int]] = []  # number tokens before this one: start, end, digits
+    run: list[tuple[int, int]] = []  # number tokens before this one: start, digits
     for m in _TOKEN.finditer(text, start, end):
         s, e = m.span()
-        if e - s > 200:  # no identifier is as long
-            run = []
-            continue
         while s < e and text[s] in _EDGES:
             s += 1
         while e > s and text[e - 1] in _EDGES:
@@ -112,26 +142,26 @@ def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
             run = []
             continue
         total = own = len(_DIGITS.findall(text, s, e))
-        for before, _, digits in reversed(run):
+        for before, digits in reversed(run):
             total += digits
-            if total > 19 or e - before > 200:
+            if total > 19:
                 break
             yield before, e
-        run = [*run[-18:], (s, e, own)]
+        run = [*run[-18:], (s, own)]
 
 
-def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int, int, int]]:
-    """(start, end, kind or -1, forms, instance, context, context, group) of seeds and candidates; forms is a bit set of the kinds a candidate suits.
+def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, int, list[int]]]:
+    """(start, end, kind or -1, forms, instance, group, contexts) of seeds and candidates; forms is a bit set of the kinds a candidate suits.
 
     Every token of a chain and every run of number tokens in it is a candidate, less what the fixed
     patterns took. Those of one chain are alternatives: their group is the chain's hash.
     """
     if not _WORTH.search(text):
         return []
-    out = []
+    out: list[tuple[int, int, int, int, int, int]] = []
     for s, k, e in base:
         own = xxhash.xxh64_intdigest(text[s:e].lower()) - (1 << 63)
-        out.append((s, e, k, 0, own, *_contexts(text, s, e), own))
+        out.append((s, e, k, 0, own, own))
     cuts: list[tuple[int, int]] = []  # what the fixed patterns took, as disjoint ranges
     for s, _, e in base:
         if cuts and s < cuts[-1][1]:
@@ -151,37 +181,38 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
                 word = text[s:e]
                 if e - s >= 6 and (forms := sum(1 << k for k in range(len(KINDS)) if suits(k, word))):
                     group = group or xxhash.xxh64_intdigest(m[0].strip(_EDGES).lower()) - (1 << 63)
-                    out.append((s, e, -1, forms, xxhash.xxh64_intdigest(word.lower()) - (1 << 63), *_contexts(text, s, e), group))
+                    out.append((s, e, -1, forms, xxhash.xxh64_intdigest(word.lower()) - (1 << 63), group))
             at, k = after, k + 1
-    return out
+    words = _Words(text) if out else None
+    return [(*x, words.contexts(x[0], x[1])) for x in out]
 
 
 _SPAN = "struct<start:int,kind:int,end:int>"
-_MENTION = "struct<start:int,end:int,kind:int,forms:int,inst:bigint,c1:bigint,c2:bigint,grp:bigint>"
+_MENTION = "struct<start:int,end:int,kind:int,forms:int,inst:bigint,grp:bigint,pats:array<bigint>>"
 
 
 def scan(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, th, base, mentions): what the fixed patterns find in each row, and the mentions for the graph. th is a hash of the text."""
     rows = docs.select(docs[id].alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    spans = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-    names = ("start", "end", "kind", "forms", "inst", "c1", "c2", "grp")
-    many = pa.list_(pa.struct([(n, pa.int64() if n in ("inst", "c1", "c2", "grp") else pa.int32()) for n in names]))
+    names, kinds = ("start", "end", "kind", "forms", "inst", "grp"), (pa.int32(),) * 4 + (pa.int64(),) * 2
+
+    def lists(rows: list[list[tuple]], names: tuple[str, ...], kinds: tuple[pa.DataType, ...], last: str = "") -> pa.Array:
+        """Rows of structs from flat columns; ``last`` names a field that is itself a list."""
+        flat = [x for row in rows for x in row]
+        columns = [pa.array([x[i] for x in flat], k) for i, k in enumerate(kinds)]
+        if last:
+            at = np.cumsum([0, *(len(x[-1]) for x in flat)])
+            columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array([v for x in flat for v in x[-1]], pa.int64())))
+        made = pa.StructArray.from_arrays(columns, [*names, *[last] * bool(last)])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), made)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 2):
-            base, seen = [], []
-            for t in b.column(2).to_pylist():
-                base.append(found := base_spans(t))
-                seen.append(mentions(t, found))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    b.column(1),
-                    pa.array([[dict(zip(("start", "kind", "end"), x, strict=True)) for x in xs] for xs in base], spans),
-                    pa.array([[dict(zip(names, x, strict=True)) for x in xs] for xs in seen], many),
-                ],
-                names=["doc_id", "th", "base", "mentions"],
-            )
+            texts = b.column(2).to_pylist()
+            base = [base_spans(t) for t in texts]
+            seen = [mentions(t, found) for t, found in zip(texts, base, strict=True)]
+            spans = lists(base, ("start", "kind", "end"), (pa.int32(),) * 3)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), spans, lists(seen, names, kinds, "pats")], names=["doc_id", "th", "base", "mentions"])
 
     return rows.mapInArrow(find, f"doc_id {rows.schema[0].dataType.simpleString()}, th bigint, base array<{_SPAN}>, mentions array<{_MENTION}>")
 
@@ -197,7 +228,7 @@ def discovered(scanned: DataFrame, min_seeds: int = 3, min_pattern: float = 0.6,
     summed in part before each shuffle. Of accepted spans within each other the outer one stays.
     """
     each = write_table(scanned.where("size(mentions) > 0").select("doc_id", "th", F.explode("mentions").alias("m")).select("doc_id", "th", "m.*"), "mentions")
-    pairs = write_table(each.select("inst", "grp", "kind", "forms", F.explode(F.array("c1", "c2")).alias("pat")).distinct(), "contexts")
+    pairs = write_table(each.select("inst", "grp", "kind", "forms", F.explode("pats").alias("pat")).distinct(), "contexts")
     sizes = write_table(pairs.select("pat", "grp").distinct().groupBy("pat").agg(F.count("*").alias("n")), "context-sizes")
     seeds = pairs.where("kind >= 0").select("inst", F.col("kind").alias("of"), F.lit(1.0).alias("w")).distinct()
     kinds = F.explode(F.array(*[F.lit(k) for k in range(len(KINDS))])).alias("of")
@@ -220,7 +251,7 @@ def discovered(scanned: DataFrame, min_seeds: int = 3, min_pattern: float = 0.6,
         state = many, total
         accepted = seeds.unionByName(found).groupBy("inst", "of").agg(F.max("w").alias("w"))
     best = found.groupBy("inst").agg(F.max(F.struct("w", (-F.col("of")).alias("rank"))).alias("b")).select("inst", (-F.col("b.rank")).alias("of"))
-    hits = each.where("kind < 0").join(best, "inst").select("doc_id", "th", "start", "end", "of", F.explode(F.array("c1", "c2")).alias("pat"))
+    hits = each.where("kind < 0").join(best, "inst").select("doc_id", "th", "start", "end", "of", F.explode("pats").alias("pat"))
     spans = hits.join(patterns.select("pat", "of"), ["pat", "of"], "left_semi").select("doc_id", "th", "start", "end", "of").distinct()
     before = Window.partitionBy("doc_id", "th").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
     outer = spans.withColumn("reach", F.max("end").over(before)).where("reach is null or end > reach")
@@ -240,7 +271,9 @@ def find_personal_data(docs: DataFrame, id: str = "doc_id", text: str = "text",
 
     Spans are structs of start, kind and end in code points, in order. Null and empty texts have
     none; rows with equal id and text have equal spans; rows of one id but other text don't share
-    them; null ids and other columns do no harm; an empty table gives an empty result.
+    them; null ids and other columns do no harm; an empty table gives an empty result. Equally
+    reliable kinds give the first of KINDS. A text is scanned whole in time linear in its length, but
+    for what sorting its mentions takes.
     """
     scanned = write_table(scan(docs, id, text), "scanned")
     rows = _with_more(scanned.select("doc_id", "th", "base"), discovered(scanned, **limits))

@@ -48,16 +48,16 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint as a signed long."""
-    rows = docs.select(docs[id].alias("doc_id"), docs[text].alias("text"))
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", with_hash: bool = False) -> DataFrame:
+    """(doc_id, fp) for every row, and th, a hash of the text, if ``with_hash``; fp is the fingerprint as a signed long."""
+    rows = docs.select(docs[id].alias("doc_id"), docs[text].alias("text"), *[F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("th")] * with_hash)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 1):
             fp = np.array([fingerprint(t) for t in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *["th"] * with_hash])
 
-    return rows.mapInArrow(make, f"doc_id {rows.schema[0].dataType.simpleString()}, fp bigint")
+    return rows.mapInArrow(make, f"doc_id {rows.schema[0].dataType.simpleString()}, fp bigint" + ", th bigint" * with_hash)
 
 
 def within(planes: Iterable[np.ndarray], shape: tuple[int, ...], radius: int = RADIUS) -> np.ndarray | None:
@@ -192,17 +192,23 @@ def fingerprint_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     return met.repartition("g").sortWithinPartitions("g").mapInArrow(_link_batches, "a bigint, b bigint")
 
 
+def classes_of(own: DataFrame) -> DataFrame:
+    """(fp, component) of every distinct fingerprint of ``own``; a component is named by one of its fingerprints."""
+    nodes = connected_components(fingerprint_links(own)).select(F.col("node").alias("fp"), "component")
+    return own.select("fp").distinct().join(nodes, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id reachable over links, itself included).
 
     Texts without a word (null, empty) have fingerprint zero and are linked like any other; equal
-    texts share a fingerprint and so a component; repeated rows give repeated results. Null ids
-    are given a component, but are never its name. Other columns are ignored; an empty table gives
-    an empty result.
+    texts share a fingerprint and so a component; repeated rows give repeated results; texts under
+    one id have each its own. A bit that is set in exactly half the hashes is 0. Null ids are given
+    a component, but are never its name. A very long text is hashed in steps of bounded size. Other
+    columns are ignored; an empty table gives an empty result.
     """
     own = write_table(fingerprints(docs, id, text), "fingerprints")
-    nodes = connected_components(fingerprint_links(own)).select(F.col("node").alias("fp"), "component")
-    named = own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(nodes, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = own.groupBy("fp").agg(F.min("doc_id").alias("least")).join(classes_of(own), "fp")
     named = write_table(named, "classes")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     classes = named.join(least, "component").select("fp", "component_id")
@@ -210,6 +216,15 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with their columns, one of each component: that of the least id. Rows without id stay."""
-    kept = near_duplicates(docs, id, text).where("component_id = doc_id").select(F.col("component_id").alias(id)).distinct()
-    return docs.join(kept, id, "left_semi").dropDuplicates([id]).unionByName(docs.where(F.col(id).isNull()))
+    """The documents with their columns, one row of each component: that of the least id, and of one id the text of least hash.
+
+    Rows without id come last. Unrelated texts under one id are in components of their own, so none
+    is lost; of rows that are equal in id and text any one stays.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    own = write_table(fingerprints(docs, id, text, with_hash=True), "fingerprints")
+    first = own.join(classes_of(own), "fp").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")).alias("f"))
+    chosen = first.select(F.xxhash64("f.doc_id", "f.th").alias("_key")).distinct()  # where two keys are equal by chance a row more stays
+    rows = docs.select(F.col(id).alias("_id"), F.xxhash64(whole).alias("_th"), F.struct("*").alias("row")).withColumn("_key", F.xxhash64("_id", "_th"))
+    rows = rows.join(chosen, "_key", "left_semi").dropDuplicates(["_key", "_id", "_th"])
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
