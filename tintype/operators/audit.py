@@ -3,24 +3,62 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tintype.functions.scalars import rounded, stem, variant_base
+from tintype.plans.worktables import write_table
+
+
+def quantiles(df: DataFrame, value: str, fractions: list[float], by: list[str]) -> DataFrame:
+    """(by…, p): the exact quantiles of each group, interpolated between neighbours, as an array in the order of ``fractions``; nulls don't count.
+
+    Distinct values are counted by partial sums, dealt by range of group and value, and numbered
+    within a range; the ranges' sums give the offsets. So no task holds a group, however large.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    parts = write_table(counts.repartitionByRange(*by, "_v").withColumn("_part", F.spark_partition_id()), "values")
+    group = [F.col(c) for c in by]
+    sums = parts.groupBy(*by, "_part").agg(F.sum("_c").alias("_s"))
+    before = F.coalesce(F.sum("_s").over(W.partitionBy(*group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = sums.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("_part").alias("_p"), before.alias("_before"), F.sum("_s").over(W.partitionBy(*group)).alias("_n"))  # a row a range
+    same = F.col("_part") == F.col("_p")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    upto = F.sum("_c").over(W.partitionBy("_part", *group).orderBy("_v"))
+    placed = parts.withColumn("_to", upto).join(offsets, same).withColumn("_last", F.col("_before") + F.col("_to") - 1).withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    at = [F.lit(float(f)) * (F.col("_n") - 1) for f in fractions]
+    part = lambda place, weight: F.sum(F.when(place.between(F.col("_first"), F.col("_last")), F.col("_v").cast("double") * weight))
+    lower, upper = [F.floor(x) for x in at], [F.ceil(x) for x in at]
+    hit = F.lit(False)
+    for place in (*lower, *upper):
+        hit |= place.between(F.col("_first"), F.col("_last"))
+    p = [part(lo, F.when(lo == hi, F.lit(1.0)).otherwise(hi - x)) + F.coalesce(part(hi, F.when(lo == hi, F.lit(0.0)).otherwise(x - lo)), F.lit(0.0)) for x, lo, hi in zip(at, lower, upper, strict=True)]
+    return placed.where(hit).groupBy(*by).agg(F.array(*p).alias("p"))
 
 
 def describe(df: DataFrame, columns: list[str], by: list[str] = ()) -> DataFrame:
     """(by…, column, min, median, max, mean), three digits; exact medians by interpolation."""
     stacked = df.select(*by, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select(*by, "x.*")
-    return stacked.groupBy(*by, "column").agg(
-        rounded(F.min("v")).alias("min"), rounded(F.percentile("v", F.lit(0.5))).alias("median"), rounded(F.max("v")).alias("max"), rounded(F.avg("v")).alias("mean")
-    )
+    keys = [*by, "column"]
+    ends = stacked.groupBy(*keys).agg(rounded(F.min("v")).alias("min"), rounded(F.max("v")).alias("max"), rounded(F.avg("v")).alias("mean"))
+    return with_quantiles(ends, stacked, "v", [0.5], keys).select(*keys, "min", rounded(F.col("p")[0]).alias("median"), "max", "mean")
+
+
+def with_quantiles(groups: DataFrame, df: DataFrame, value: str, fractions: list[float], by: list[str]) -> DataFrame:
+    """``groups`` with p, the quantiles of their values in ``df``; null for a group without values."""
+    q = quantiles(df, value, fractions, by).select(*[F.col(c).alias(f"_q_{c}") for c in by], "p")
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_q_{c}"))
+    return groups.join(q, same, "left").drop(*[f"_q_{c}" for c in by])
 
 
 def percentiles(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, min, p10, median, p90, max, mean), three digits."""
     stacked = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*")
-    p = F.percentile("v", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    return stacked.groupBy("column").agg(F.min("v").alias("lo"), p.alias("p"), F.max("v").alias("hi"), F.avg("v").alias("mean")).select(
+    ends = stacked.groupBy("column").agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.avg("v").alias("mean"))
+    return with_quantiles(ends, stacked, "v", [0.1, 0.5, 0.9], ["column"]).select(
         "column", rounded(F.col("lo")).alias("min"), *[rounded(F.col("p")[i]).alias(n) for i, n in enumerate(("p10", "median", "p90"))], rounded(F.col("hi")).alias("max"), rounded(F.col("mean")).alias("mean")
     )
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tintype.functions.scalars import clean_url, filled, image_extension, item_identifier, license_ok, rounded, scalar_or_list, select_image_url
-from tintype.schemas import DAMAGE_LABELS
+from tintype.functions.scalars import filled, image_extension, item_identifier, license_ok, rounded, scalar_or_list, select_image_url
+from tintype.schemas import DAMAGE_LABELS, MANIFEST_FIELDS
 
 
 def geometry(df: DataFrame) -> DataFrame:
@@ -72,20 +72,38 @@ def status_counts(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*by, F.coalesce("status", F.lit("")).alias("status")).agg(F.count("*").alias("n"))
 
 
-def intake_project(df: DataFrame) -> DataFrame:
-    """Manifest rows of raw records."""
-    return df.select(
-        F.concat(F.lit("loc_"), "id").alias("source_id"),
-        "filename",
-        F.when(license_ok(F.col("license")), "RIGHTS_OK").otherwise("NEW").alias("status"),
-        F.lit("real_damaged").alias("dataset_kind"),
-        "provider",
-        F.trim(F.coalesce("license", F.lit(""))).alias("license"),
-        "sha256",
-        "width",
-        "height",
-        F.lit("existing_damage").alias("quality_label"),
-    )
+def _given(df: DataFrame, name: str, default: str | None = "") -> Column:
+    """A column of ``df``, the default where it is null or missing."""
+    return F.coalesce(F.col(name), F.lit(default)) if name in df.columns else F.lit(default)
+
+
+def intake_project(df: DataFrame, operator: str = "", provider: str = "Library of Congress") -> DataFrame:
+    """Manifest rows (all columns of MANIFEST_FIELDS) of raw records.
+
+    Columns that the records lack are empty; contributors (a list) are joined as author; a missing
+    content hash is that of the file (file_sha256, if there).
+    """
+    own = F.concat(F.lit("loc_"), "id")
+    people = F.array_join(F.coalesce("contributors", F.array().cast("array<string>")), "; ") if "contributors" in df.columns else F.lit("")
+    fields = {
+        "id": own,
+        "source_id": own,
+        "status": F.when(license_ok(F.col("license")), "RIGHTS_OK").otherwise("NEW"),
+        "dataset_kind": F.lit("real_damaged"),
+        "provider": _given(df, "provider", provider),
+        "source_url": _given(df, "item_url"),
+        "author": people,
+        "sha256": F.coalesce(filled(_given(df, "sha256")), _given(df, "file_sha256", None)),
+        "width": F.col("width"),
+        "height": F.col("height"),
+        "color_mode": _given(df, "mode"),
+        "quality_label": F.lit("existing_damage"),
+        "split": F.lit(""),
+        "annotator": F.lit(operator),
+        "reviewer": F.lit(""),
+        "notes": _given(df, "title"),
+    }
+    return df.select(*[fields.get(c, _given(df, c)).alias(c) for c in MANIFEST_FIELDS])
 
 
 def intake_report(manifest: DataFrame, files: DataFrame) -> DataFrame:
@@ -100,17 +118,41 @@ def intake_report(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-def build_records(items: DataFrame) -> DataFrame:
-    """Raw records of catalogue items: identifier, contributors as list, best image URL, extension."""
-    return items.select(
-        "pos",
-        item_identifier(F.col("url")).alias("id"),
-        scalar_or_list(F.col("contributor")).alias("contributors"),
-        select_image_url(F.col("image_urls")).alias("image_url"),
-        clean_url(F.col("url")).alias("item_url"),
-        F.coalesce(filled(F.col("license")), F.lit("")).alias("license"),
-        image_extension(F.lit(None).cast("string")).alias("extension"),
-    )
+def build_records(items: DataFrame, config: dict[str, str] | None = None) -> DataFrame:
+    """Raw records of catalogue items (pos, url, image_urls and whatever else is there), with what ``config`` fixes: provider, collection, license, rights_url.
+
+    A field takes the first of its sources that isn't empty; ``item_…`` are those of the nested
+    item. Lists may come as JSON lists or scalars.
+    """
+    config = config or {}
+
+    def first(*names: str) -> Column:
+        return F.coalesce(*[filled(F.col(n).cast("string")) for n in names if n in items.columns], F.lit(None).cast("string"))
+
+    def listed(*names: str) -> Column:
+        return scalar_or_list(first(*names))
+
+    own, extension = item_identifier(F.col("url"), first("id")), image_extension(first("format"))
+    fixed = {k: F.lit(config[k]) if k in config else F.coalesce(first(k), F.lit("")) for k in ("provider", "collection", "license", "rights_url")}
+    fields = {
+        "id": own,
+        "filename": F.concat(own, extension),
+        **{k: fixed[k] for k in ("provider", "collection")},
+        "title": first("title", "item_title"),
+        "date": first("date", "item_date"),
+        "contributors": listed("contributor", "item_contributors"),
+        "subjects": listed("subject", "item_subjects"),
+        "description": listed("description", "item_medium"),
+        "item_url": first("url", "id"),
+        "image_url": select_image_url(F.col("image_urls")),
+        "license": fixed["license"],
+        "rights_statement": first("item_rights_information", "item_rights_advisory"),
+        "rights_url": fixed["rights_url"],
+        **{k: F.col(k) if k in items.columns else F.lit(None).cast("int") for k in ("width", "height")},
+        **{k: first(k) for k in ("mode", "sha256", "dhash", "downloaded_at")},
+        "extension": extension,
+    }
+    return items.select("pos", *[v.alias(k) for k, v in fields.items()])
 
 
 def classify_intake(items: DataFrame, min_short: int = 768) -> DataFrame:

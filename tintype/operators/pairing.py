@@ -87,7 +87,7 @@ def assign_textures(images: DataFrame, textures: DataFrame, k: int, seed: int) -
     """(filename, slot, texture): k textures for each image (or all there are), in an order seeded by image, texture and seed."""
     if k < 1:
         raise ValueError("k is at least 1")
-    every = _small(textures.agg(F.sort_array(F.collect_list("texture")).alias("all")), "textures")
+    every = F.broadcast(_small(textures, "textures").agg(F.sort_array(F.collect_list("texture")).alias("all")))  # one row, of as many textures as were counted
     order = F.array_sort(F.transform("all", lambda t: F.struct(seeded_order("filename", t, F.lit(str(seed))).alias("o"), t.alias("texture"))))
     return images.crossJoin(every).select("filename", F.posexplode(F.slice(order, 1, k)).alias("slot", "x")).select("filename", "slot", "x.texture")
 

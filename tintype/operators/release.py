@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tintype.functions.scalars import rounded
+from tintype.functions.scalars import rounded, stem
 from tintype.schemas import CONTENT_LABELS, DAMAGE_LABELS, QUALITY_LABELS
 
 
@@ -44,8 +44,17 @@ def annotator_conflicts(a: DataFrame, b: DataFrame, min_gap: int = 2) -> DataFra
 
 
 def check_labels(df: DataFrame) -> DataFrame:
-    """(pos, violation): content or quality label outside its list."""
+    """(pos, violation): content or quality label outside its list; where df has status and reason, accepted rows without label and rejected ones without reason too."""
+    empty = lambda c: F.coalesce(F.trim(c), F.lit("")) == ""
+    rules = []
+    if {"status", "reason"} <= set(df.columns):
+        rejected = F.col("status").eqNullSafe("REJECTED")
+        rules = [
+            F.when(~rejected & (empty("content_type") | empty("quality_label")), F.lit("accepted_unlabelled")),
+            F.when(rejected & empty("reason"), F.lit("rejected_without_reason")),
+        ]
     bad = F.array(
+        *rules,
         F.when(~F.coalesce("content_type", F.lit("")).isin(CONTENT_LABELS), F.lit("content_type")),
         F.when(~F.coalesce("quality_label", F.lit("")).isin(QUALITY_LABELS), F.lit("quality_label")),
     )
@@ -72,7 +81,8 @@ def handoff_checks(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def mask_checks(masks: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(source_id, failure): masks of another size, all 0, all 255, with other values, without annotation, or uncertain without notes."""
+    """(source_id, failure): masks of another size, all 0, all 255, with other values, without annotation, uncertain without notes, or (where masks has mask_name) named unlike their source."""
+    named = [F.when(stem(F.col("mask_name")) != F.col("source_id"), F.lit("name_mismatch"))] if "mask_name" in masks.columns else []
     rows = masks.join(annotations.select("source_id", "uncertain", "notes", F.lit(True).alias("annotated")), "source_id", "left")
     fails = F.array(
         F.when((F.col("width") != F.col("mask_width")) | (F.col("height") != F.col("mask_height")), F.lit("size_mismatch")),
@@ -80,6 +90,7 @@ def mask_checks(masks: DataFrame, annotations: DataFrame) -> DataFrame:
         F.when(F.col("min_value") == 255, F.lit("all_255")),
         F.when(F.col("other_values") > 0, F.lit("not_binary")),
         F.when(F.col("annotated").isNull(), F.lit("no_annotation")),
+        *named,
         F.when((F.col("uncertain") == "1") & (F.coalesce("notes", F.lit("")) == ""), F.lit("uncertain_without_notes")),
     )
     return rows.select("source_id", F.explode(F.filter(fails, lambda x: x.isNotNull())).alias("failure"))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tintype.functions.scalars import rounded
+from tintype.operators.audit import with_quantiles
 from tintype.operators.intake import previous
 from tintype.schemas import STATUS_ORDER
 
@@ -62,7 +63,8 @@ def task_durations(events: DataFrame) -> DataFrame:
     )
     seconds = F.when(F.col("last.status") == "completed", F.unix_micros(F.col("last.ts").cast("timestamp")) / 1e6 - F.unix_micros(F.col("first.ts").cast("timestamp")) / 1e6)
     rows = per.select(F.col("first.mode").alias("mode"), (F.col("last.status") == "error").cast("double").alias("failed"), seconds.alias("seconds"))
-    return rows.groupBy("mode").agg(F.count("*").alias("tasks"), rounded(F.avg("failed")).alias("error_rate"), rounded(F.percentile("seconds", F.lit(0.5))).alias("median_seconds"))
+    by_mode = rows.groupBy("mode").agg(F.count("*").alias("tasks"), rounded(F.avg("failed")).alias("error_rate"))
+    return with_quantiles(by_mode, rows, "seconds", [0.5], ["mode"]).select("mode", "tasks", "error_rate", rounded(F.col("p")[0]).alias("median_seconds"))
 
 
 def check_transitions(log: DataFrame) -> DataFrame:

@@ -121,8 +121,9 @@ def geometry(spark, d):
 
 
 @query(
-    f"with {V('task_events')} select event_id, {r(chr(99) + 'ase mode when ' + chr(39) + 'quick' + chr(39) + ' then 0.6 when ' + chr(39) + 'fine' + chr(39) + ' then greatest(0.3, least(1.0, coalesce(strength, 0.35) + 0.2)) else 0.5 end', 6)} as detect, "
-    f"{r('case mode when ' + chr(39) + 'quick' + chr(39) + ' then 0.1 when ' + chr(39) + 'fine' + chr(39) + ' then coalesce(strength, 0.35) else 0.05 end', 6)} as restore from task_events"
+    f"""with {V('task_events')}, s as (select event_id, mode, coalesce(strength, 0.35) as s from task_events),
+    m as (select event_id, case mode when 'quick' then 0.6 when 'fine' then greatest(0.3, least(1.0, s + 0.2)) else 0.5 end as detect, case mode when 'quick' then 0.1 when 'fine' then s else 0.05 end as restore from s)
+    select event_id, {r('detect', 6)} as detect, {r('restore', 6)} as restore from m"""
 )
 def mode_strengths(spark, d):
     s = S.mode_strengths(F.col("mode"), F.col("strength"))
@@ -135,11 +136,16 @@ def content_hash(spark, d):
 
 
 @query(
-    f"with {V('catalog_items')} select pos, coalesce(nullif(trim(regexp_replace(string_split(rtrim(url, '/'), '/')[-1], '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'unknown') as id, case when page_id % 2 = 0 then contributor else 'A ' || page_id::varchar || '|B' end as contributors, "
-    "regexp_replace(url, '#.*$', '') as image_url, regexp_replace(url, '#.*$', '') as item_url, coalesce(license, '') as license, '.img' as extension from catalog_items"
+    f"""with {V('catalog_items')}, i as (select *, case when pos % 3 = 0 then '' when pos % 3 = 1 then 'T ' || pos end as title, 'N ' || pos as item_title, case when pos % 4 = 0 then '["x","y"]' when pos % 4 = 1 then '' else 'z' end as subject, case pos % 5 when 0 then 'JPEG' when 1 then 'png' when 2 then 'TIFF' when 3 then 'GIF' end as format from catalog_items)
+    select pos, id, id || ext as filename, 'P' as provider, 'C' as collection, coalesce(nullif(title, ''), item_title) as title, null::varchar as date, case when page_id % 2 = 0 then contributor else 'A ' || page_id::varchar || '|B' end as contributors,
+    case when pos % 4 = 0 then 'x|y' when pos % 4 = 1 then '' else 'z' end as subjects, '' as description, url as item_url, regexp_replace(url, '#.*$', '') as image_url, 'CC0' as license, null::varchar as rights_statement, 'R' as rights_url, size::bigint as width, null::bigint as height, null::varchar as mode, sha256, null::varchar as dhash, null::varchar as downloaded_at, ext as extension
+    from (select *, coalesce(nullif(trim(regexp_replace(string_split(rtrim(url, '/'), '/')[-1], '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), ''), 'unknown') as id, case format when 'JPEG' then '.jpg' when 'png' then '.png' when 'TIFF' then '.tif' else '.img' end as ext from i)"""
 )
 def build_records(spark, d):
-    return intake.build_records(_items(spark, d)).withColumn("contributors", F.array_join("contributors", "|"))
+    fresh = {"title": "case when pos % 3 = 0 then '' when pos % 3 = 1 then 'T ' || pos end", "item_title": "'N ' || pos", "subject": """case when pos % 4 = 0 then '["x","y"]' when pos % 4 = 1 then '' else 'z' end""", "format": "case pos % 5 when 0 then 'JPEG' when 1 then 'png' when 2 then 'TIFF' when 3 then 'GIF' end", "width": "cast(size as bigint)"}
+    items = _items(spark, d).withColumns({k: F.expr(x) for k, x in fresh.items()})
+    made = intake.build_records(items, {"provider": "P", "collection": "C", "license": "CC0", "rights_url": "R"})
+    return made.withColumns({c: F.array_join(c, "|") for c in ("contributors", "subjects", "description")}).withColumn("height", F.col("height").cast("long"))
 
 
 # --- intake and cleaning ---
@@ -182,11 +188,18 @@ def status_counts(spark, d):
     return intake.status_counts(intake.clean_batch(_manifest(spark, d)), "provider")
 
 
+_RAW = {"collection": "'c' || pos % 3", "title": "case when pos % 4 = 0 then null else 'T ' || pos end", "item_url": "'http://x/' || pos", "rights_url": "'http://r/' || pos % 5", "downloaded_at": "'2024-01-0' || (1 + pos % 9)", "mode": "case when pos % 2 = 0 then 'RGB' else 'L' end"}
+
+
 @query(
-    f"with {V('manifest')} select 'loc_' || id as source_id, filename, case when {_OK} then 'RIGHTS_OK' else 'NEW' end as status, 'real_damaged' as dataset_kind, provider, trim(coalesce(license, '')) as license, sha256, width, height, 'existing_damage' as quality_label from manifest"
+    f"""with {V('manifest')}, raw as (select * replace (case when pos % 7 = 0 then '' else sha256 end as sha256), sha256 as file_sha256, {', '.join(f'{x} as {k}' for k, x in _RAW.items())} from manifest)
+    select 'loc_' || id as id, 'loc_' || id as source_id, filename, case when {_OK} then 'RIGHTS_OK' else 'NEW' end as status, 'real_damaged' as dataset_kind, provider, item_url as source_url, case when pos % 3 = 0 then '' when pos % 3 = 1 then 'A ' || pos else 'A ' || pos || '; B' end as author,
+    coalesce(license, '') as license, rights_url, downloaded_at, file_sha256 as sha256, width, height, content_type, mode as color_mode, 'existing_damage' as quality_label, '' as split, 'op' as annotator, '' as reviewer, coalesce(title, '') as notes from raw"""
 )
 def intake_project(spark, d):
-    return intake.intake_project(_manifest(spark, d))
+    raw = _manifest(spark, d).withColumns({k: F.expr(x) for k, x in _RAW.items()}).withColumn("file_sha256", F.col("sha256")).withColumn("sha256", F.when(F.col("pos") % 7 == 0, "").otherwise(F.col("sha256")))
+    people = F.slice(F.array(F.concat(F.lit("A "), F.col("pos").cast("string")), F.lit("B")), F.lit(1), (F.col("pos") % 3).cast("int"))
+    return intake.intake_project(raw.withColumn("contributors", people), "op")
 
 
 @query(
@@ -451,9 +464,14 @@ def annotator_conflicts(spark, d):
     return release.annotator_conflicts(view(spark, d, "annotations"), view(spark, d, "annotations_b"))
 
 
-@query(f"with {V('manifest')} select pos, 'content_type' as violation from manifest where content_type = '' union all select pos, 'quality_label' from manifest where quality_label = 'bad_value'")
+@query(
+    f"""with {V('manifest')}, {_CLEAN}, v as (select *, case when pos % 29 = 0 then null else reason end as given from cleaned)
+    select pos, 'content_type' as violation from v where content_type = '' union all select pos, 'quality_label' from v where quality_label = 'bad_value'
+    union all select pos, 'accepted_unlabelled' from v where reason is null and content_type = '' union all select pos, 'rejected_without_reason' from v where reason is not null and given is null"""
+)
 def check_labels(spark, d):
-    return release.check_labels(_manifest(spark, d))
+    cleaned = intake.clean_batch(_manifest(spark, d))
+    return release.check_labels(cleaned.withColumn("reason", F.when(F.col("pos") % 29 != 0, F.col("reason"))))
 
 
 @query(f"with {V('manifest')} select pos, source_id from manifest where quality_label = 'clean_target_ok'")
@@ -472,12 +490,12 @@ def handoff_checks(spark, d):
 
 @query(
     f"""with {V('annotations')}, m as (select source_id, pos % 13 as k, uncertain, notes from annotations)
-    select source_id, 'size_mismatch' as failure from m where k = 1 union all select source_id, 'all_0' from m where k = 2 union all select source_id, 'all_255' from m where k = 3 union all select source_id, 'not_binary' from m where k = 4 union all select source_id, 'uncertain_without_notes' from m where uncertain = '1' and notes = ''"""
+    select source_id, 'size_mismatch' as failure from m where k = 1 union all select source_id, 'all_0' from m where k = 2 union all select source_id, 'all_255' from m where k = 3 union all select source_id, 'not_binary' from m where k = 4 union all select source_id, 'name_mismatch' from m where k = 5 union all select source_id, 'uncertain_without_notes' from m where uncertain = '1' and notes = ''"""
 )
 def mask_checks(spark, d):
     a = view(spark, d, "annotations")
     k = F.col("pos") % 13
-    masks = a.select("source_id", F.lit(8).alias("width"), F.lit(8).alias("height"), F.when(k == 1, 7).otherwise(8).alias("mask_width"), F.lit(8).alias("mask_height"), F.when(k == 2, 0).otherwise(255).alias("max_value"), F.when(k == 3, 255).otherwise(0).alias("min_value"), F.when(k == 4, 5).otherwise(0).alias("other_values"))
+    masks = a.select("source_id", F.when(k == 5, F.lit("other.png")).otherwise(F.concat("source_id", F.lit(".png"))).alias("mask_name"), F.lit(8).alias("width"), F.lit(8).alias("height"), F.when(k == 1, 7).otherwise(8).alias("mask_width"), F.lit(8).alias("mask_height"), F.when(k == 2, 0).otherwise(255).alias("max_value"), F.when(k == 3, 255).otherwise(0).alias("min_value"), F.when(k == 4, 5).otherwise(0).alias("other_values"))
     return release.mask_checks(masks, a)
 
 
@@ -572,9 +590,9 @@ def can_restart(spark, d):
     return tasks.can_restart(_states(spark, d))
 
 
-@query(f"with {V('task_events')}, {_LATEST} select task_id, filename from latest where contains(lower(filename), '1.jpg')")
+@query(f"with {V('task_events')}, {_LATEST} select task_id, filename from latest where contains(lower(filename), '1.png')")
 def search_history(spark, d):
-    return tasks.search_history(_states(spark, d), "1.JPG").select("task_id", "filename")
+    return tasks.search_history(_states(spark, d), "1.PNG").select("task_id", "filename")
 
 
 @query(f"with {V('task_events')}, {_LATEST} select task_id, filename, coalesce(restored_url, result_url) as result, mode, status from latest")

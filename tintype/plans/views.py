@@ -8,15 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tintype.schemas import DAMAGE_LABELS
+
 _FORMAT = "case doc_id % 6 when 0 then 'JPEG' when 1 then 'PNG' when 2 then 'TIFF' when 3 then 'WEBP' when 4 then 'GIF' end"
 _QUALITY = "case doc_id % 9 when 0 then 'clean_target_ok' when 1 then 'existing_damage' when 2 then 'blurred' when 3 then 'watermark' when 4 then 'compression_artifact' when 5 then 'low_resolution' when 6 then 'bad_crop' when 7 then 'duplicate' else 'bad_value' end"
 _CONTENT = "case when doc_id % 23 = 0 then '' else case doc_id % 7 when 0 then 'single_portrait' when 1 then 'group_portrait' when 2 then 'indoor_scene' when 3 then 'outdoor_scene' when 4 then 'architecture' when 5 then 'document' else 'other' end end"
-_LABELS = ["scratch", "crack", "fold", "dust", "stain", "mold", "tear", "missing_region", "fading", "color_cast", "blur", "noise", "jpeg_artifact", "uneven_exposure"]
 
 
 def _severity(k: int, other: bool) -> str:
     v = f"(doc_id * {k + 3} + n_chars" + (" + (doc_id % 2) * 3" if other else "") + ")"
-    return f"case when {v} % 400 = 399 then '' when {v} % 10 < 6 then '0' when {v} % 10 < 8 then '1' when {v} % 10 = 8 then '2' else '3' end as {_LABELS[k - 1]}"
+    return f"case when {v} % 400 = 399 then '' when {v} % 10 < 6 then '0' when {v} % 10 < 8 then '1' when {v} % 10 = 8 then '2' else '3' end as {DAMAGE_LABELS[k - 1]}"
 
 
 def _annotations(other: bool) -> str:

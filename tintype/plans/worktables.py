@@ -8,38 +8,60 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Folders made for applications that name none.
+#: Folders made for applications that name none; paths of tables written since the outermost ``scratch_tables`` began.
 _own: dict[str, str] = {}
+_written: list[list[str]] = []
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder that the session names in ``spark.checkpoint.dir``; where none is named (tests on one machine) a new local one."""
+    """The shared folder that the session names in ``spark.checkpoint.dir``; on one machine, where none is named, a new local one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="spark-work-")
     return _own[app]
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet under the work folder and returns the table as read from there."""
+def write_table(df: DataFrame, name: str, scratch: bool = True) -> DataFrame:
+    """Writes ``df`` as Parquet under the work folder and returns the table as read from there; ``scratch_tables`` spares it if ``scratch`` is false."""
     spark = df.sparkSession
     path = f"{work_folder(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for held in _written if scratch else ():
+        held.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside once it is left; what is made of them has to be written elsewhere before that."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            _delete(spark, path)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a table made by ``write_table`` that nothing reads any more."""
     spark = df.sparkSession
     marker = f"{work_folder(spark).rstrip('/').removeprefix('file://')}/tables/"
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if marker in parent:
-            path = spark._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(spark, parent)

@@ -10,6 +10,10 @@ from tintype.functions.scalars import filled
 from tintype.schemas import IMAGE_SUFFIXES, MANIFEST, RAW_RECORD, TASK
 
 
+#: Most rows of a report, which is written by one task.
+REPORT_ROWS = 10_000
+
+
 def _suffix_pattern(suffixes: list[str]) -> str:
     return "(?i)(" + "|".join(s.replace(".", "[.]") for s in suffixes) + ")$"
 
@@ -54,8 +58,10 @@ def append_records(df: DataFrame, path: str, format: str = "json") -> None:
 
 
 def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A report of one row (or a few) as one JSON file."""
-    df.limit(1000).coalesce(1).write.mode(mode).json(path)
+    """A report, which has few rows, as one JSON file; more than REPORT_ROWS are an error."""
+    if df.limit(REPORT_ROWS + 1).count() > REPORT_ROWS:
+        raise ValueError(f"a report of more than {REPORT_ROWS} rows")
+    df.coalesce(1).write.mode(mode).json(path)
 
 
 def freeze_release(df: DataFrame, path: str, version: str, force: bool = False) -> None:
