@@ -63,6 +63,44 @@ def test_hash_pairs_equal_brute_force(spark):
     assert {(r.a, r.b) for r in near.hash_pairs(df, "h", 56, 4).collect()} == want
 
 
+def test_long_hashes_and_cut_buckets(spark, monkeypatch):
+    monkeypatch.setattr(near, "PIECE", 7)  # so that buckets are cut
+    rng = random.Random(5)
+    base = [rng.getrandbits(144) for _ in range(12)]
+    values = list(base)
+    for b in [*base, *[base[0]] * 60]:
+        for k in range(rng.randrange(12)):
+            b ^= 1 << rng.randrange(144)
+        values.append(b)
+    df = spark.createDataFrame([(i, f"{v:036x}", "ab"[i % 2]) for i, v in enumerate(values)] + [(-1, None, "a")], "name long, h string, split string")
+    for most in (3, 6, 10):
+        want = {(f"{a:036x}", f"{b:036x}", (a ^ b).bit_count()) for a in set(values) for b in set(values) if a < b and (a ^ b).bit_count() <= most}
+        assert {tuple(r) for r in near.hash_pairs(df, "h", 144, most).collect()} == want
+    across = {(r.a, r.b) for r in near.leak_near(df, "h", 144, 6).collect()}
+    splits = {v: {"ab"[i % 2] for i, w in enumerate(values) if w == v} for v in values}
+    assert across == {(f"{a:036x}", f"{b:036x}") for a in splits for b in splits if (a < b and (a ^ b).bit_count() <= 6 and (splits[a] | splits[b] == {"a", "b"})) or (a == b and len(splits[a]) == 2)}
+    reach = list(range(len(values)))
+    while True:
+        new = [min(reach[j] for j in range(len(values)) if (values[i] ^ values[j]).bit_count() <= 6) for i in range(len(values))]
+        if new == reach:
+            break
+        reach = new
+    assert {r.name: r.component for r in near.near_dup_components(df, "name", "h", 144, 6).collect()} == dict(enumerate(reach)) | {-1: -1}
+    small = spark.createDataFrame([(v,) for v in {rng.getrandbits(30) & 0x3F3F for _ in range(300)}], "h long")
+    got = {(r.a, r.b) for r in near.hash_pairs(small, "h", 30, 2).collect()}
+    known = [r.h for r in small.collect()]
+    assert got == {(a, b) for a in known for b in known if a < b and (a ^ b).bit_count() <= 2}
+
+
+def test_hashes_of_images_fit_the_near_operators(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 256, (3, 60, 80)).astype(np.uint8)
+    rows = [(f"{i}{k}", 80, 60, 1, np.clip(b.astype(int) + k, 0, 255).astype(np.uint8).tobytes()) for i, b in enumerate(base) for k in (0, 1)]
+    hashes = images.full_dhash(spark.createDataFrame(rows, "origin string, width int, height int, nChannels int, data binary"))
+    got = {r.origin: r.component for r in near.near_dup_components(hashes, "origin", "dhash", 144, 6).collect()}
+    assert got == {f"{i}{k}": f"{i}0" for i in range(3) for k in (0, 1)}
+
+
 def test_fingerprint_ignores_order_and_partitions(spark):
     df = spark.range(1000).select("id", (F.col("id") * 7).alias("v"))
     one, other = (release.release_fingerprint(x, ["id", "v"]).collect() for x in (df, df.orderBy(F.desc("v")).repartition(7)))

@@ -2,31 +2,89 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+from math import comb
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tintype.functions.scalars import hamming
 from tintype.operators.components import connected_components
 from tintype.plans.worktables import write_table
 
-#: A hash value shared by more rows than this is a flat image's; as everywhere, equal values are one class and meet no pair.
-MOST_BITS = 62
+#: Bits of a word of a hash; hashes are longs of up to MOST_LONG bits, or hex strings of any length.
+WORD, MOST_LONG = 48, 62
+
+#: Bits that a bucket key should have at least, and most keys of a hash.
+KEY_BITS, MOST_KEYS = 18, 80
+
+#: Hashes of a bucket that are compared in one piece; larger buckets are cut into such pieces, and pieces meet in pairs.
+PIECE = 1000
+
+
+def _words(hash: Column, kind: T.DataType, bits: int) -> list[Column]:
+    """A hash as longs, its first bits first."""
+    if not isinstance(kind, T.StringType):
+        if bits > MOST_LONG:
+            raise ValueError(f"a long holds {MOST_LONG} bits of a hash at most; longer ones are hex strings")
+        return [hash.cast("long")]
+    digits = WORD // 4
+    padded = F.lpad(hash, -(-bits // 4), "0")
+    return [F.conv(F.substring(padded, at + 1, min(digits, -(-bits // 4) - at)), 16, 10).cast("long") for at in range(0, -(-bits // 4), digits)]
+
+
+def _blocks(words: list[Column], bits: int, many: int) -> list[Column]:
+    """The bits cut into ``many`` blocks of about equal size, each as a number."""
+    width = WORD if len(words) > 1 else bits
+    sizes = [min(width, bits - i * width) for i in range(len(words))]
+    out = []
+    for lo, hi in ((i * bits // many, (i + 1) * bits // many) for i in range(many)):
+        parts = []
+        for i, size in enumerate(sizes):
+            a, b = max(lo, i * width), min(hi, i * width + size)
+            if a < b:
+                parts.append(F.shiftright(words[i], i * width + size - b).bitwiseAND(F.lit((1 << (b - a)) - 1)))
+        out.append(parts[0] if len(parts) == 1 else F.xxhash64(*parts))
+    return out
+
+
+def _choice(bits: int, max_dist: int) -> tuple[int, int]:
+    """(blocks, blocks in a key): as many equal blocks as a near pair is sure to have, so that keys are long but not too many."""
+    equal = 1
+    while equal * bits // (max_dist + equal) < KEY_BITS and comb(max_dist + equal + 1, equal + 1) <= MOST_KEYS and max_dist + equal + 1 <= bits:
+        equal += 1
+    return max_dist + equal, equal
 
 
 def hash_pairs(df: DataFrame, hash: str, bits: int, max_dist: int) -> DataFrame:
     """(a, b, dist): pairs of distinct hash values at most ``max_dist`` bits apart, a < b.
 
-    The bits are cut into ``max_dist`` + 1 bands; two values that near agree on one band at least,
-    so an equality join on (band, bits) finds them all. Pairs are of values, not of rows: however
+    The column is a long or a hex string of ``bits`` bits. The bits are cut into ``max_dist`` + k
+    blocks; two values that near agree on k blocks at least, so an equality join on every choice of
+    k blocks finds them all. Buckets are counted first, and those of more than PIECE values are cut
+    into pieces, every two of which meet by themselves. Pairs are of values, not of rows: however
     many images share a hash, it is one value.
     """
-    if bits > MOST_BITS or max_dist + 1 > bits:
-        raise ValueError("too many bits or bands")
-    edges = [i * bits // (max_dist + 1) for i in range(max_dist + 2)]
-    bands = F.array(*[F.shiftright(F.col("h"), lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) for lo, hi in zip(edges, edges[1:], strict=False)])
-    own = df.where(F.col(hash).isNotNull()).select(F.col(hash).alias("h")).distinct().select("h", F.posexplode(bands).alias("band", "key"))
-    near = own.select(F.col("h").alias("a"), "band", "key").join(own.select(F.col("h").alias("b"), "band", "key"), ["band", "key"])
-    return near.where("a < b").select("a", "b", hamming(F.col("a"), F.col("b")).alias("dist")).where(F.col("dist") <= max_dist).distinct()
+    if max_dist + 1 > bits:
+        raise ValueError("too many bits or blocks")
+    many, equal = _choice(bits, max_dist)
+    own = df.where(F.col(hash).isNotNull()).select(F.col(hash).alias("h")).distinct()
+    words = _words(F.col("h"), own.schema["h"].dataType, bits)
+    own = own.select("h", *[w.alias(f"w{i}") for i, w in enumerate(words)])
+    blocks = _blocks([F.col(f"w{i}") for i in range(len(words))], bits, many)
+    keys = F.posexplode(F.array(*[F.xxhash64(*[blocks[i] for i in c]) if equal > 1 else blocks[c[0]].cast("long") for c in combinations(range(many), equal)]))
+    keyed = write_table(own.select("*", keys.alias("t", "key")), "bucketed-hashes")
+    pieces = F.ceil(F.col("n") / PIECE).cast("int")
+    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key", pieces.alias("k"))
+    dealt = keyed.join(sizes, ["t", "key"]).withColumn("p", F.pmod(F.xxhash64("h"), F.col("k")).cast("int"))
+    met = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    group = [F.col("t"), F.col("key"), F.least("p", "q").alias("g"), F.greatest("p", "q").alias("f")]
+    names = [f"w{i}" for i in range(len(words))]
+    left = met.where("p <= q").select(*group, F.col("h").alias("a"), F.col("p").alias("ap"), *[F.col(w).alias(f"a{w}") for w in names])
+    right = met.where("p >= q").select(*group, F.col("h").alias("b"), *[F.col(w).alias(f"b{w}") for w in names])
+    dist = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in names), F.lit(0))
+    near = left.join(right, ["t", "key", "g", "f"]).where(((F.col("a") < F.col("b")) | ((F.col("g") < F.col("f")) & (F.col("a") != F.col("b")))) & (dist <= max_dist))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), dist.cast("int").alias("dist")).distinct()
 
 
 def near_dup_components(df: DataFrame, name: str, hash: str, bits: int, max_dist: int) -> DataFrame:

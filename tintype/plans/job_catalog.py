@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tintype.operators import images, kernels, patchml
+from tintype.operators import images, kernels, near, patchml
 from tintype.plans.catalog import ORACLES, query
 from tintype.plans.image_catalog import _gray
 from tintype.plans.views import sql as V
@@ -65,6 +65,11 @@ def dhash_lanczos(spark, d):
     return images.full_dhash(_large(spark, d), "lanczos")
 
 
+@query()
+def near_images(spark, d):
+    return near.near_dup_components(images.full_dhash(_large(spark, d)), "origin", "dhash", 144, 6)
+
+
 @query()
 def normalise_images(spark, d):
     rows = _large(spark, d).withColumn("orientation", (F.col("origin").cast("int") % 8 + 1))
