@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -130,6 +131,11 @@ def test_removed_lines_equal_brute_force(spark):
     lines = sorted({((0 if i is None else 1, i or 0), hashes[t or ""], p, tuple(x.lower().split())) for i, t in rows for p, x in enumerate((t or "").split("\n")) if len(x.split()) >= 5})
     want = {(i[1] if i[0] else None, h, p) for k, (i, h, p, w) in enumerate(lines) if any(edits(w, v) <= 1 for _, _, _, v in lines[:k])}
     assert {tuple(r) for r in line_dedup.removed_lines(df).collect()} == want
+    clash = df.withColumn("removed_lines", F.lit("own"))
+    kept = line_dedup.dedup_lines(clash, count_as=None)
+    assert kept.columns == clash.columns and {r.removed_lines for r in kept.collect()} == {"own"}
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(clash)
     out = line_dedup.dedup_lines(df)
     assert out.columns == [*df.columns, "removed_lines"] and out.count() == len(rows)
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0

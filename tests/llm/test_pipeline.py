@@ -58,3 +58,30 @@ def test_stages(spark, sf_dir):
     for i, r in masked.items():
         n = len(np.frombuffer(own.encode([r.text])[0], "<u4")) + 1
         assert sum(pieces[i].values()) == n and all(s + length in pieces[i] or s + length == n for s, length in pieces[i].items())
+
+
+def test_stages_take_nulls_repeats_extra_columns_and_no_rows(spark):
+    body = lambda w: " ".join(w + chr(97 + i // 26) + chr(97 + i % 26) for i in range(40))
+    rows = [(1, body("a")), (1, body("a")), (None, body("b")), (2, None), (3, ""), (4, body("c") + "\nmail: x@y.example.org end of it"), (4, body("d"))]
+    df = spark.createDataFrame([(i, t, None, "s", None, 7, "k", "own", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int, lk int, _key string, removed_lines string, more string")
+    for table, many in ((df, [5, 5, 4, 4, 4]), (df.limit(0), [0] * 5)):
+        for (name, stage), n in zip(corpus_pipeline.STAGES, many, strict=True):
+            table = write_table(stage(spark, table, ""), "edge")
+            if name == "packing":
+                assert len({(r.doc_id, r.doc_tokens) for r in table.collect()}) == n
+            else:
+                assert table.columns == df.columns and table.count() == n, name
+                assert {r.removed_lines for r in table.collect()} <= {"own"}
+            if name == "personal data" and n:
+                assert sorted((r.doc_id or 0, r.n_chars == len(r.text), "<EMAIL>" in r.text) for r in table.collect()) == [(0, True, False), (1, True, False), (4, True, False), (4, True, True)]
+
+
+def test_run_leaves_no_work_tables_behind(spark, sf_dir):
+    import os
+
+    from tintype.plans.worktables import work_folder
+
+    folder = work_folder(spark).removeprefix("file://") + "/tables"
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    rows = corpus_pipeline.run(spark, sf_dir)
+    assert rows.count() > 0 and {x.rsplit("-", 1)[0] for x in set(os.listdir(folder)) - before} == {"packing"}

@@ -214,7 +214,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id: str = "doc_id", text:
     """(doc_id, ids, starts, ends) of every row: token ids and their offsets in code points.
 
     ``tokenizer`` is a tokenizers file as text, see ``tokenizer_of_ranks``. Null and empty texts have
-    no ids; repeated rows are encoded alike; other columns are ignored.
+    no ids; repeated rows are encoded alike; null ids are kept; other columns are ignored. A very
+    long text is encoded whole, by itself.
     """
     rows = _texts(docs, id, text)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
@@ -243,7 +244,12 @@ def decode_documents(encoded: DataFrame, tokenizer: str, id: str = "doc_id", ids
 
 
 def round_trip(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: what ``encode_documents`` gives and ``decode_documents`` makes of it, as digests, in one pass."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row: what ``encode_documents`` gives and ``decode_documents`` makes of it, as digests, in one pass.
+
+    Null and empty texts have no ids, so both digests are of nothing; repeated rows are encoded
+    alike; null ids are kept; an empty table gives an empty result; other columns are ignored. A very
+    long text is encoded whole, by itself.
+    """
     rows = _texts(docs, id, text)
     shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
 

@@ -185,7 +185,7 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least
     Lines are ordered by document id (null first), text hash and number. A line goes if any earlier
     line of the table is near to it, whether that line stays itself or not. Equal lines are found
     from ``least_words`` words on (1: all lines with a word), near ones from MIN_WORDS. Rows with
-    equal id and text are one document.
+    equal id and text are one document; a null text has no lines.
     """
     own = F.struct("doc_id", "th", "pos")
     lines = write_table(lines_of(docs, id, text, least_words), "lines")
@@ -200,12 +200,16 @@ def removed_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", least
     return hit.select("doc_id", "th", "pos")
 
 
-def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", drop_emptied: bool = False, least_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with their columns, repeated lines taken out of the text (and n_chars, where present, set anew), and ``removed_lines``.
+def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", drop_emptied: bool = False, least_words: int = MIN_WORDS, count_as: str | None = "removed_lines") -> DataFrame:
+    """The documents with their columns, repeated lines taken out of the text (and n_chars, where present, set anew), and how many in the column ``count_as`` (None: no such column).
 
     A document without such lines is as it was; with ``drop_emptied`` one that loses its last word
-    that way goes. Null texts stay null; an empty table gives an empty result.
+    that way goes. Null texts stay null; an empty table gives an empty result; a column of the
+    documents that is called as ``count_as`` is an error, never replaced. A very long line has as
+    many variants as words, which leave in parts; its cost is linear in its words.
     """
+    if count_as in docs.columns:
+        raise ValueError(f"the documents have a column {count_as}; name another in count_as")
     cut = removed_lines(docs, id, text, least_words).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("pos")).alias("cut"))
     whole = F.coalesce(docs[text], F.lit(""))
     rows = docs.select(docs[id].alias("r_id"), F.xxhash64(whole).alias("r_th"), docs[text].alias("text"), F.struct("*").alias("row"))
@@ -213,5 +217,5 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", drop_em
     rows = rows.withColumn("new", F.when(F.col("cut").isNull(), F.col("text")).otherwise(without_lines(F.col("text"), F.col("cut"))))
     if drop_emptied:
         rows = rows.where(F.col("cut").isNull() | F.col("new").rlike("[^ \\t-\\r]"))
-    fields = [(F.col("new") if c == text else F.length("new").cast(t) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c, t in docs.dtypes if c != "removed_lines"]
-    return rows.select(*fields, F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("removed_lines"))
+    fields = [(F.col("new") if c == text else F.length("new").cast(t) if c == "n_chars" else F.col(f"row.`{c}`")).alias(c) for c, t in docs.dtypes]
+    return rows.select(*fields, *([F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias(count_as)] if count_as else []))
