@@ -6,8 +6,10 @@ checkpointed one doesn't, and it carries exact sizes for the plans that follow.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -18,6 +20,26 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 _written: list[list[str]] = []
 
+#: Applications whose workers have the package.
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the session's Python workers, once an application, so that the operators' functions can be read there."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tintype-"), "tintype.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(os.path.join(root, "tintype")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(archive)
+    _shipped.add(app)
+
 
 def work_folder(spark: SparkSession) -> str:
     """The shared folder that the session names in ``spark.checkpoint.dir``; on one machine, where none is named, a new local one."""
