@@ -188,6 +188,9 @@ def test_urls_equal_a_scan_of_the_rules(spark):
         assert (got[i].host, got[i].path) == (host, path) and (got[i].rule, got[i].verdict) == plain_rule(host, path), u
     with pytest.raises(ValueError):
         url_rules.UrlTrie([("a/", "maybe")])
+    assert url_rules.judge_urls(df.limit(0), RULES).count() == 0
+    long = "http://a.net/" + "x/" * 100_000
+    assert url_rules.judge_urls(spark.createDataFrame([(1, long), (1, long), (None, long)], "page_id long, url string"), RULES).where("verdict = 'block'").count() == 3
 
 
 @pytest.fixture(scope="module")
@@ -439,6 +442,39 @@ def test_quality_without_labels_and_rows(spark):
     assert kneser_ney.quality(docs.limit(0), none).count() == 0
 
 
+def test_thresholds_and_verdicts_follow_trusted_text(spark, monkeypatch):
+    rng = random.Random(12)
+    words = {"en": "the cat sat on a mat and ran".split(), "fr": "le chat dort sur un tapis et part".split()}
+    rows, labels = [], []
+    for i in range(700):
+        lang = "en" if i < 600 else "fr"
+        bad = i % 10 == 0
+        rows.append((i, " ".join(rng.choice(words[lang]) if not bad else f"zq{rng.randrange(9999)}" for _ in range(rng.randrange(5, 30))), lang, 0.5))
+        if i % 3:
+            labels.append((i, int(not bad), int(i % 50 == 1)))
+    rows += [(900, None, "en", 0.5), (901, "", "en", 0.5), (902, " ".join(words["en"]) * 4000, "xx", 0.5), (5, rows[5][1], "en", 0.5)]
+    labels += [(7, 0, 0), (None, 1, 0)]  # labelled twice, once as bad
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, threshold double")
+    seen, train = [], kneser_ney.train
+    monkeypatch.setattr(kneser_ney, "train", lambda sample, text: seen.append({r.doc_id for r in sample.collect()}) or train(sample, text))
+    got = kneser_ney.quality(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), least_rows=100).collect()
+    worst = defaultdict(lambda: (1, 0))
+    for i, q, t in labels:
+        worst[i] = min(worst[i][0], q), max(worst[i][1], t)
+    trusted = {i for i, (q, t) in worst.items() if i is not None and q == 1 and t == 0}
+    assert seen[0] <= trusted and 0.3 < len(seen[0]) / len(trusted) < 0.7
+    held = [r for r in got if r.doc_id in trusted - seen[0] and r.n_words]
+    score = plain_model([t for i, t, *_ in rows if i in seen[0]])
+    for r in got:
+        assert r.perplexity == pytest.approx(np.exp(-score(next(t for i, t, *_ in rows if i == r.doc_id)) / (r.n_words + 1)), rel=1e-5)
+    for lang in ("en", "fr"):
+        own = sorted(r.perplexity for r in held if r.lang == lang or lang == "fr")  # few held rows are French: they take the line of all
+        line = {r.threshold for r in got if r.lang == lang}
+        assert len(line) == 1 and min(line) == pytest.approx(1.05 * own[int(np.ceil(0.995 * len(own))) - 1], rel=1e-6)
+    assert len(got) == len(rows) and all(r.kept == (r.perplexity <= r.threshold) for r in got)
+    assert not any(r.kept for r in got if r.doc_id < 700 and r.doc_id % 10 == 0) and sum(r.kept for r in got if r.doc_id < 700) >= 620
+
+
 def test_model_trains_on_a_share_of_all_trusted_documents(spark, monkeypatch):
     seen, train = [], kneser_ney.train
     monkeypatch.setattr(kneser_ney, "train", lambda sample, text: seen.append(sample.count()) or train(sample, text))

@@ -2,7 +2,7 @@
 
 Fingerprints of 64 bits are made distinct and dealt by every choice of two of five bit blocks: two
 fingerprints that differ in at most three bits agree on at least two whole blocks, so no link is
-lost. Within a bucket fingerprints stand as bit planes (a plane has one bit of each); the
+lost. Crowded buckets are dealt anew by four of seven blocks. Within a bucket fingerprints stand as bit planes (a plane has one bit of each); the
 differences of many lanes at once run through carry-save counters, plane by plane, and a set of
 lanes is abandoned once every count is over the radius. Each bucket hands on its links as stars.
 """
@@ -24,11 +24,20 @@ from tintype.plans.worktables import write_table
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 
-#: Bit blocks (first bit, width); any two of them are a bucket key, of 25 or 26 bits.
-BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
-MASKS = [sum(((1 << w) - 1) << s for s, w in pair) for pair in combinations(BLOCKS, len(BLOCKS) - RADIUS)]
 
-#: Fingerprints of a bucket that are compared in one piece; larger buckets are cut into such pieces, and pieces meet in pairs.
+
+def masks_of(blocks: int) -> list[int]:
+    """Bucket keys as masks: every choice of all but RADIUS of so many bit blocks of about equal width."""
+    edges = [i * BITS // blocks for i in range(blocks + 1)]
+    return [sum((1 << b) - (1 << a) for a, b in chosen) for chosen in combinations(list(zip(edges, edges[1:], strict=False)), blocks - RADIUS)]
+
+
+#: Ten keys of 25 or 26 bits, and 35 of 36 or 37 bits for the fingerprints of buckets that are large under those.
+MASKS = [*masks_of(5), *masks_of(7)]
+COARSE = slice(0, len(masks_of(5)))
+FINE = slice(COARSE.stop, len(MASKS))
+
+#: Fingerprints of a bucket that are compared in one piece; those of larger buckets are dealt anew by finer keys, and what is larger still is cut into such pieces, which meet in pairs.
 PIECE = 1024
 
 
@@ -175,19 +184,29 @@ def _link_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _dealt(fps: DataFrame, keys: slice) -> tuple[DataFrame, DataFrame]:
+    """(t, key, fp) of each fingerprint under the keys, and (t, key, n) of the buckets of two or more."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in MASKS[keys]]
+    keyed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("i", "key")).select((F.col("i") + keys.start).alias("t"), "key", "fp")
+    return keyed, keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def fingerprint_links(fps: DataFrame, fp: str = "fp") -> DataFrame:
     """Links (a, b) between distinct fingerprints at most RADIUS bits apart, enough of them to give all components.
 
-    Bucket sizes are counted before rows are dealt; a bucket of more than PIECE fingerprints is cut
-    into pieces of about that size, and every two pieces meet in a group of their own, so the
-    largest group is of two pieces whatever the bucket's size.
+    Bucket sizes are counted before rows are dealt. The fingerprints of buckets of more than PIECE
+    are compared in the buckets of finer keys instead, which lose no link either; one that is large
+    even there is cut into pieces of about that size, and every two pieces meet in a group of their
+    own, so the largest group is of two pieces whatever the bucket's size.
     """
-    own = fps.select(F.col(fp).alias("fp")).distinct()
-    keyed = own.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in MASKS])).alias("t", "key"))
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    own = write_table(fps.select(F.col(fp).alias("fp")).distinct(), "distinct-fingerprints")
+    keyed, sizes = _dealt(own, COARSE)
+    sizes = write_table(sizes, "bucket-sizes")
+    crowded = write_table(keyed.join(sizes.where(F.col("n") > PIECE), ["t", "key"], "left_semi").select("fp").distinct(), "crowded-fingerprints")
+    finer, finer_sizes = _dealt(crowded, FINE)
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    dealt = keyed.join(sizes, ["t", "key"]).select("t", "key", "fp", pieces.alias("k"), F.pmod(F.xxhash64("fp"), pieces).cast("int").alias("p"))
-    met = dealt.select("t", "key", "fp", "p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"))
+    dealt = [rows.join(n, ["t", "key"]).select("t", "key", "fp", pieces.alias("k"), F.pmod(F.xxhash64("fp"), pieces).cast("int").alias("p")) for rows, n in ((keyed, sizes.where(F.col("n") <= PIECE)), (finer, finer_sizes))]
+    met = dealt[0].unionAll(dealt[1]).select("t", "key", "fp", "p", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("q"))
     met = met.select(F.xxhash64("t", "key", F.least("p", "q"), F.greatest("p", "q")).alias("g"), "t", (F.col("p") > F.col("q")).alias("second"), "fp")
     return met.repartition("g").sortWithinPartitions("g").mapInArrow(_link_batches, "a bigint, b bigint")
 
