@@ -158,3 +158,81 @@ def test_patches_stay_inside_the_image(spark):
     rows = spark.createDataFrame([("a", 40, 40, 1, g.tobytes())], "origin string, width int, height int, nChannels int, data binary")
     found = images.scratch_patches(rows, 32, 10, 1, side=128).collect()
     assert found and all(len(r.patch) == 1024 and 0 <= r.y <= 96 and 0 <= r.x <= 96 for r in found)
+
+
+def lab_of(r, g, b):
+    linear = [((c / 255 + 0.055) / 1.055) ** 2.4 if c / 255 > 0.04045 else c / 255 / 12.92 for c in (r, g, b)]
+    x = (0.412453 * linear[0] + 0.357580 * linear[1] + 0.180423 * linear[2]) / 0.950456
+    y = 0.212671 * linear[0] + 0.715160 * linear[1] + 0.072169 * linear[2]
+    z = (0.019334 * linear[0] + 0.119193 * linear[1] + 0.950227 * linear[2]) / 1.088754
+    f = [v ** (1 / 3) if v > 0.008856 else 7.787 * v + 16 / 116 for v in (x, y, z)]
+    return (116 * f[1] - 16) * 255 / 100, 500 * (f[0] - f[1]) + 128, 200 * (f[1] - f[2]) + 128
+
+
+def test_colour_statistics_equal_plain_loops():
+    rgb = RNG.integers(0, 256, (6, 7, 3)).astype(np.uint8)
+    rgb[0, 0] = 0
+    pixels = [tuple(int(v) for v in rgb[y, x]) for y in range(6) for x in range(7)]
+    gray = [round(0.299 * r + 0.587 * g + 0.114 * b) for r, g, b in pixels]
+    saturation = [round((max(p) - min(p)) * 255 / max(p)) if max(p) else 0 for p in pixels]
+    got = kernels.statistics(rgb)
+    assert got["brightness"] == pytest.approx(np.mean(gray), abs=6e-4) and got["contrast"] == pytest.approx(np.std(gray), abs=6e-4) and got["saturation"] == pytest.approx(np.mean(saturation), abs=6e-4)
+    lab = np.array([lab_of(*p) for p in pixels])
+    assert kernels.noref(rgb)["color"] == pytest.approx(lab.std(axis=0).sum(), rel=1e-9)
+    other = RNG.integers(0, 256, (6, 7, 3)).astype(np.uint8)
+    d = rgb.astype(float) - other
+    want = {"mae": np.abs(d).mean(), "psnr": 20 * np.log10(255 / np.sqrt((d**2).mean())), "shift": np.mean([abs(rgb[..., c].mean() - other[..., c].mean()) for c in range(3)])}
+    assert kernels.pair_difference(rgb, other) == pytest.approx(want) and kernels.pair_difference(rgb, rgb) == {"mae": 0.0, "psnr": 99.0, "shift": 0.0}
+
+
+def test_colour_correction_and_similarity_equal_plain_loops():
+    rgb = RNG.integers(0, 256, (9, 10, 3)).astype(np.uint8)
+    means = [rgb[..., c].mean() for c in range(3)]
+    out = kernels.colour_correct(rgb)
+    for y, x in ((0, 0), (4, 7), (8, 9)):
+        p = [min(255.0, rgb[y, x, c] * np.mean(means) / means[c]) for c in range(3)]
+        assert out[y, x].tolist() == [int(min(255.0, max(0.0, (np.mean(p) + (v - np.mean(p)) * 1.1) * 1.05))) for v in p]
+    other = RNG.integers(0, 256, (9, 10, 3)).astype(np.uint8)
+    scores = []
+    for c in range(3):
+        for y in range(3):
+            for x in range(4):
+                a, b = (i[y : y + 7, x : x + 7, c].astype(float).ravel() for i in (rgb, other))
+                cov = np.cov(a, b)
+                scores.append((2 * a.mean() * b.mean() + 6.5025) * (2 * cov[0, 1] + 58.5225) / ((a.mean() ** 2 + b.mean() ** 2 + 6.5025) * (cov[0, 0] + cov[1, 1] + 58.5225)))
+    assert kernels.ssim(rgb, other) == pytest.approx(np.mean(scores))
+
+
+def test_otsu_and_adaptive_mask():
+    values = np.r_[RNG.integers(20, 60, 300), RNG.integers(180, 220, 100)].astype(np.uint8)
+    spread = []
+    for t in range(256):
+        low, high = values[values <= t], values[values > t]
+        spread.append(len(low) * len(high) * (low.mean() - high.mean()) ** 2 if len(low) and len(high) else 0)
+    assert kernels.otsu(values) == int(np.argmax(spread))
+    g = np.full((64, 64), 128, np.uint8)
+    assert (kernels.adaptive_mask(g, 0.5) == 64).all()  # nothing found: flat
+    g[20:30, 20:30] = RNG.integers(0, 256, (10, 10))
+    m = kernels.adaptive_mask(g, 0.5)
+    assert m[25, 25] == 255 and m[50, 50] == 0
+
+
+def test_variants_are_seeded_and_their_mask_is_what_was_put_on():
+    rgb = np.full((40, 60, 3), 128, np.uint8)
+    params = {"sepia": 0.0, "fade": 0.0, "vignette": 0.0, "grain": 0.0, "scratches": 3, "stains": 1}
+    out, mask = kernels.degraded(rgb, params, 4)
+    assert np.array_equal(out, kernels.degraded(rgb, params, 4)[0]) and not np.array_equal(out, kernels.degraded(rgb, params, 5)[0])
+    assert mask.any() and ((out != 128).any(axis=2) <= (mask > 0)).all()
+    faded, none = kernels.degraded(rgb, params | {"scratches": 0, "stains": 0, "fade": 0.5}, 4)
+    assert not none.any() and (faded == 191).all()
+
+
+def test_training_crops_are_alike_on_both_sides(spark):
+    rgb = RNG.integers(0, 256, (30, 40, 3)).astype(np.uint8)
+    for seed in range(6):
+        a, b = kernels.paired_crop(rgb, 255 - rgb, 24, seed)
+        assert np.array_equal(255 - a, b) and a.shape == (24, 24, 3)
+        options = [np.rot90(o, k) for k in range(4) for o in (rgb, rgb[:, ::-1])]
+        assert any(np.array_equal(a, o[y : y + 24, x : x + 24]) for o in options for y in range(o.shape[0] - 23) for x in range(o.shape[1] - 23))
+    small = kernels.paired_crop(rgb[:10], rgb[:10], 24, 1)[0]
+    assert small.shape == (24, 24, 3)

@@ -30,6 +30,18 @@ def test_entry_imports_without_llm(tmp_path):
     shutil.copytree(f"{root}/tintype", tmp_path / "tintype", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
-    out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries())"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    shutil.copytree(f"{root}/tests", tmp_path / "tests", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{root}/bench.py", tmp_path)
+    program = """
+import __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert e.entry(spark).count() > 0
+print("known", *sorted(e.queries()), "answered", *sorted(e.oracle_sql()), sep="|")
+"""
+    out = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert out.returncode == 0, out.stderr
-    assert out.stdout.split()[-1] == "False"
+    known, answered = out.stdout.strip().split("known|")[-1].split("|answered|")
+    assert known.split("|") == sorted(catalog.queries()) and answered.split("|") == sorted(catalog.oracle_sql())
+    found = subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "tests", "-p", "no:cacheprovider"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert found.returncode == 0 and "error" not in found.stdout.lower().splitlines()[-1], found.stdout

@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tintype.operators import images
@@ -98,3 +99,15 @@ def test_intake_stream_is_the_same_when_run_again(spark, tmp_path):
     for _ in range(2):
         jobs.intake_stream(spark, str(source), s, str(tmp_path / "ok"), str(tmp_path / "cp")).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "ok")).collect()) == ["a", "e"]
+
+
+def test_reports_are_whole_and_records_are_appended(spark, tmp_path):
+    rows = spark.range(1500).withColumnRenamed("id", "n")
+    files.write_report(rows, f"file://{tmp_path}/report")
+    parts = [p for p in (tmp_path / "report").iterdir() if p.suffix == ".json"]
+    assert len(parts) == 1 and sorted(json.loads(x)["n"] for x in parts[0].read_text().splitlines()) == list(range(1500))
+    with pytest.raises(ValueError):
+        files.write_report(spark.range(files.REPORT_ROWS + 1), f"file://{tmp_path}/long")
+    for k in range(2):
+        files.append_records(rows.where(f"n % 2 = {k}"), f"file://{tmp_path}/records")
+    assert spark.read.json(f"file://{tmp_path}/records").count() == 1500

@@ -22,11 +22,32 @@ def _hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts]), 256), 1, 8), 16, 10).cast("long")
 
 
+#: What a synthetic variant does at full severity (fixed values): global steps, then those that leave a local mask.
+FULL_STRENGTH = {"sepia": 0.5, "fade": 0.3, "vignette": 0.8, "grain": 40.0, "scratches": 12.0, "stains": 4.0}
+
+
 def plan_variants(targets: DataFrame, name: str, seed: int) -> DataFrame:
-    """Three variants (light, medium, heavy) of each target, with their seed and severity."""
+    """Three variants (light, medium, heavy) of each target: size, severity, seed, and params, a struct of the strength of every step (marks as whole numbers)."""
     levels = F.array(*[F.struct(F.lit(n).alias("level"), F.lit(s).alias("severity")) for n, s in (("light", 0.3), ("medium", 0.6), ("heavy", 0.9))])
     rows = targets.select(name, "width", "height", F.explode(levels).alias("v")).select(name, "width", "height", "v.*")
-    return rows.withColumn("seed", _hash(name, "level", F.lit(str(seed))) % 1_000_000)
+    steps = [((F.rint(F.col("severity") * v)).cast("int") if k in ("scratches", "stains") else F.rint(F.col("severity") * v * 1000) / 1000).alias(k) for k, v in FULL_STRENGTH.items()]
+    return rows.withColumn("seed", _hash(name, "level", F.lit(str(seed))) % 1_000_000).withColumn("params", F.struct(*steps))
+
+
+def make_variants(images: DataFrame, seed: int) -> DataFrame:
+    """(origin, …, level, height, width, data, mask, coverage, local): the planned variants of every image, and the mask of what was put on it.
+
+    The mask is the opacity of the damage layer itself, not a detection. A variant without local
+    damage has ``local`` false, so that it needn't stand in a set for local repair.
+    """
+    plan = plan_variants(images, "origin", seed).select(F.col("origin").alias("_of"), "level", "seed", "params")
+    rows = images.join(plan, F.col("origin") == F.col("_of"))
+
+    def make(rgb: np.ndarray, row: dict) -> dict:
+        out, mask = kernels.degraded(rgb, row["params"], row["seed"])
+        return {"level": row["level"], "height": out.shape[0], "width": out.shape[1], "data": out.tobytes(), "mask": mask.tobytes(), "coverage": float((mask > 127).mean()), "local": bool(mask.any())}
+
+    return image_job(rows, make, "level string, height int, width int, data binary, mask binary, coverage double, local boolean", ["level", "seed", "params"])
 
 
 def random_patches(images: DataFrame, name: str, each: int, size: int, seed: int) -> DataFrame:
@@ -186,6 +207,16 @@ def full_pair_metrics(pairs: DataFrame, metrics: dict[str, Callable[[np.ndarray,
     return image_job(pairs, make, "size_match boolean, " + ", ".join(f"{k} double" for k in use), ["other_width", "other_height", "other_channels", "other_data"])
 
 
+def pair_audit(pairs: DataFrame) -> DataFrame:
+    """(origin, …, size_match, mae, psnr, shift) over all channels: mean absolute error, PSNR (99 for equal images) and mean shift of the channels' means; null where sizes differ."""
+
+    def make(rgb: np.ndarray, row: dict) -> dict:
+        other = pixels(row["other_width"], row["other_height"], row["other_channels"], row["other_data"])
+        return {"size_match": True} | kernels.pair_difference(rgb, other) if other.shape == rgb.shape else {"size_match": False}
+
+    return image_job(pairs, make, "size_match boolean, mae double, psnr double, shift double", ["other_width", "other_height", "other_channels", "other_data"])
+
+
 def training_patches(pairs: DataFrame, each: int, size: int, seed: int) -> DataFrame:
     """(origin, …, k, degraded, clean): ``each`` crops of a pair, flipped and turned alike on both sides, seeded by origin and number."""
     rows = pairs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).withColumn("_seed", _hash("origin", "k", F.lit(str(seed))))

@@ -81,6 +81,13 @@ def psnr(a: np.ndarray, b: np.ndarray) -> float:
     return float("inf") if mse == 0 else float(20 * np.log10(255 / np.sqrt(mse)))
 
 
+def pair_difference(a: np.ndarray, b: np.ndarray) -> dict[str, float]:
+    d = a.astype(np.float64) - b
+    mse = (d * d).mean()
+    shift = np.abs(a.reshape(-1, a.shape[2]).mean(axis=0) - b.reshape(-1, b.shape[2]).mean(axis=0)).mean()
+    return {"mae": float(np.abs(d).mean()), "psnr": 99.0 if mse == 0 else float(20 * np.log10(255 / np.sqrt(mse))), "shift": float(shift)}
+
+
 def box(x: np.ndarray, k: int) -> np.ndarray:
     """Sums over all k x k windows that lie inside, by cumulative sums."""
     s = np.pad(x.astype(np.float64), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
@@ -334,6 +341,31 @@ def age(rgb: np.ndarray, seed: int, textures: list[np.ndarray] = ()) -> np.ndarr
     return _bytes(out + rng.normal(0, 20, out.shape))
 
 
+def degraded(rgb: np.ndarray, params: dict, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """An image worn as ``params`` says, and the opacity (8 bits) of its scratches and stains; global steps leave no mask."""
+    rng = np.random.default_rng(seed)
+    h, w = rgb.shape[:2]
+    ys, xs = np.mgrid[:h, :w].astype(np.float64)
+    opacity, out = np.zeros((h, w)), rgb.astype(np.float64)
+    for _ in range(params["scratches"]):
+        y, x, turn = rng.uniform(0, h), rng.uniform(0, w), rng.uniform(0, np.pi)
+        along, across = (xs - x) * np.cos(turn) + (ys - y) * np.sin(turn), (ys - y) * np.cos(turn) - (xs - x) * np.sin(turn)
+        layer = np.clip(1.2 - np.abs(across), 0, 1) * (np.abs(along) < rng.uniform(0.1, 0.5) * max(h, w))
+        out = out * (1 - layer[..., None]) + rng.uniform(180, 255) * layer[..., None]
+        opacity = np.maximum(opacity, layer)
+    for _ in range(params["stains"]):
+        y, x, r = rng.uniform(0, h), rng.uniform(0, w), rng.uniform(0.03, 0.12) * max(h, w)
+        layer = 0.8 * np.clip(1.5 - np.hypot(ys - y, xs - x) / r, 0, 1)
+        out = out * (1 - layer[..., None]) + np.array([90.0, 70.0, 45.0]) * layer[..., None]
+        opacity = np.maximum(opacity, layer)
+    brown = np.clip(out @ np.array([[0.393, 0.769, 0.189], [0.349, 0.686, 0.168], [0.272, 0.534, 0.131]]).T, 0, 255)
+    out = (1 - params["sepia"]) * out + params["sepia"] * brown
+    out = (1 - params["fade"]) * out + params["fade"] * 255
+    away = ((ys - h / 2) ** 2 + (xs - w / 2) ** 2) / ((h * h + w * w) / 4)
+    out = out * np.clip(1 - params["vignette"] * away, 0.2, 1)[..., None] + rng.normal(0, params["grain"], out.shape)
+    return _bytes(out), np.ceil(opacity * 255).astype(np.uint8)
+
+
 def colour_correct(rgb: np.ndarray) -> np.ndarray:
     """Gray-world gains, then more saturation and brightness."""
     means = rgb.reshape(-1, 3).mean(axis=0)

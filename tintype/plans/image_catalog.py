@@ -232,11 +232,11 @@ def checkpoint_drift(spark, d):
 _PLAN_SQL = "('0x' || substr(sha256(img_id::varchar || '|' || level || '|11'), 1, 8))::bigint"
 
 
-@query(f"with {_GRAY} select img_id, level, {_PLAN_SQL} % 1000000 as seed, severity, 8 as width, 8 as height from gray8, (values ('light', 0.3::double), ('medium', 0.6::double), ('heavy', 0.9::double)) t(level, severity)")
+@query(f"with {_GRAY} select img_id, level, {_PLAN_SQL} % 1000000 as seed, severity, 8 as width, 8 as height, {r('severity * 0.5')} as sepia, {r('severity * 0.3')} as fade, {r('severity * 0.8')} as vignette, {r('severity * 40')} as grain, round_even(severity * 12, 0)::int as scratches, round_even(severity * 4, 0)::int as stains from gray8, (values ('light', 0.3::double), ('medium', 0.6::double), ('heavy', 0.9::double)) t(level, severity)")
 def plan_variants(spark, d):
     from tintype.operators.images import plan_variants as plan
 
-    return plan(_gray(spark, d).select("img_id", F.lit(8).alias("width"), F.lit(8).alias("height")), "img_id", 11).select("img_id", "level", "seed", "severity", "width", "height")
+    return plan(_gray(spark, d).select("img_id", F.lit(8).alias("width"), F.lit(8).alias("height")), "img_id", 11).select("img_id", "level", "seed", "severity", "width", "height", "params.*")
 
 
 @query(f"with {_GRAY}, p as (select img_id, k, ('0x' || substr(sha256(img_id::varchar || '|' || k::varchar || '|9'), 1, 8))::bigint as h from gray8, range(3) t(k)) select img_id, k::int as k, (h % 5)::int as y, ((h // 5) % 5)::int as x from p")

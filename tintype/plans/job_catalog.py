@@ -50,6 +50,12 @@ def noref_quality_job(spark, d):
     return done.select("origin", *[(F.rint(F.col(c) * 1000) / 1000).alias(c) for c in ("contrast", "snr", "proxy")])
 
 
+@query("select img_id::varchar as origin, mae, psnr, shift, size_match from (" + ORACLES["pair_metrics"] + ")")
+def pair_audit(spark, d):
+    done = images.pair_audit(_pairs(spark, d, _small(spark, d)))
+    return done.select("origin", *[(F.rint(F.col(c) * 1000) / 1000).alias(c) for c in ("mae", "psnr", "shift")], "size_match")
+
+
 @query()
 def quality_metrics(spark, d):
     return images.full_pair_metrics(_pairs(spark, d, _large(spark, d)), {"psnr": kernels.psnr, "ssim": kernels.ssim, "ssim_loss": kernels.ssim_loss})
@@ -102,6 +108,11 @@ def age_images(spark, d):
     return images.age_images(_large(spark, d), 42, textures).select("origin", "status", F.sha2("data", 256).alias("content"))
 
 
+@query()
+def make_variants(spark, d):
+    return images.make_variants(_large(spark, d), 11).select("origin", "status", "level", "coverage", "local", F.sha2("data", 256).alias("content"))
+
+
 @query()
 def colour_correct(spark, d):
     return images.colour_correct(_large(spark, d)).select("origin", "status", F.sha2("data", 256).alias("content"))
