@@ -45,9 +45,11 @@ def dhash(spark, d):
     return _hashed(spark, d).select("img_id", "hash")
 
 
-@query(f"with {_GRAY}, h as (select img_id, ({_HASH}) >> 48 as hash from gray8) select hash, count(*) as copies, min(img_id) as first_name from h group by 1 having count(*) > 1")
+@query(f"with {_GRAY}, u as (select img_id, px from gray8 union all select img_id + 1000000, px from gray8 where img_id % 3 = 0), h as (select img_id, {_HASH} as hash from u) select hash, count(*) as copies, min(img_id) as first_name from h group by 1 having count(*) > 1")
 def hash_groups(spark, d):
-    return audit.duplicate_groups(_hashed(spark, d).withColumn("hash", F.shiftright("hash", 48)), "hash", "img_id")
+    once = _hashed(spark, d)
+    again = once.where("img_id % 3 = 0").withColumn("img_id", F.col("img_id") + 1_000_000)  # a third of the images stand there twice
+    return audit.duplicate_groups(once.unionByName(again), "hash", "img_id")
 
 
 @query(f"with {_GRAY} select img_id, {r(f'sqrt({_VAR("px")})')} as contrast, {r(f'case when {_VAR("px")} = 0 then 40.0 else 20 * log10({_MEAN("px")} / sqrt({_VAR("px")})) end')} as snr, {r(f'greatest(0.0, 20 - sqrt({_VAR("px")}) / 2)')} as proxy from gray8")

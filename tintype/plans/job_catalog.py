@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tintype.operators import images, kernels, near, patchml
-from tintype.plans.catalog import ORACLES, query
-from tintype.plans.image_catalog import _gray
+from tintype.plans.catalog import ORACLES, query, r
+from tintype.plans.image_catalog import _GRAY, _MEAN, _VAR, _gray
 from tintype.plans.views import sql as V
 from tintype.plans.views import VIEWS
 from tintype.plans.worktables import work_folder
@@ -39,15 +39,22 @@ def _pairs(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
     return rows.where("origin % 2 = 0").join(other, "origin")
 
 
-@query("select img_id::varchar as origin, brightness, contrast, sharpness from (" + ORACLES["image_stats"] + ")")
+@query("select img_id::varchar as origin, brightness, contrast, 0.0::double as saturation, sharpness from (" + ORACLES["image_stats"] + ")")
 def image_stats_job(spark, d):
-    return images.full_image_stats(_small(spark, d)).select("origin", "brightness", "contrast", "sharpness")
+    return images.full_image_stats(_small(spark, d)).select("origin", "brightness", "contrast", "saturation", "sharpness")
 
 
-@query("select img_id::varchar as origin, contrast, snr, proxy from (" + ORACLES["noref_quality"] + ")")
+# CIE lightness of a gray value; the other two channels of Lab are constant
+_LIGHT = "list_transform(list_transform(px, lambda v: case when v / 255 > 0.04045 then pow((v / 255 + 0.055) / 1.055, 2.4) else v / 255 / 12.92 end), lambda y: (116 * case when y > 0.008856 then cbrt(y) else 7.787 * y + 16 / 116 end - 16) * 2.55)"
+
+
+@query(
+    f"""with {_GRAY}, l as (select img_id, {_LIGHT} as px from gray8), s as ({ORACLES["image_stats"]}), n as ({ORACLES["noref_quality"]})
+    select n.img_id::varchar as origin, contrast, snr, proxy, sharpness, {r(f'sqrt({_VAR("px")})')} as color from n join (select img_id, sharpness from s) using (img_id) join l using (img_id)"""
+)
 def noref_quality_job(spark, d):
     done = images.full_noref_quality(_small(spark, d))
-    return done.select("origin", *[(F.rint(F.col(c) * 1000) / 1000).alias(c) for c in ("contrast", "snr", "proxy")])
+    return done.select("origin", *[(F.rint(F.col(c) * 1000) / 1000).alias(c) for c in ("contrast", "snr", "proxy", "sharpness", "color")])
 
 
 @query("select img_id::varchar as origin, mae, psnr, shift, size_match from (" + ORACLES["pair_metrics"] + ")")
@@ -76,7 +83,12 @@ def near_images(spark, d):
     return near.near_dup_components(images.full_dhash(_large(spark, d)), "origin", "dhash", 144, 6)
 
 
-@query()
+# row and column (0 to 7) of the pixel that an upright image shows at (y, x), by orientation
+_SOURCE = "case o when 1 then y * 8 + x when 2 then y * 8 + 7 - x when 3 then (7 - y) * 8 + 7 - x when 4 then (7 - y) * 8 + x when 5 then x * 8 + y when 6 then (7 - x) * 8 + y when 7 then (7 - x) * 8 + 7 - y else x * 8 + 7 - y end"
+_AT = _SOURCE.replace("y", "(i // 128)").replace("x", "(i % 32 // 4)")
+
+
+@query(f"with {_GRAY}, p as (select img_id, px, img_id % 8 + 1 as o from gray8) select img_id::varchar as origin, 'ok' as status, 32 as height, 32 as width, sha256(unhex(array_to_string(list_transform(range(1024), lambda i: repeat(printf('%02x', px[{_AT} + 1]::int), 3)), ''))) as content from p")
 def normalise_images(spark, d):
     rows = _large(spark, d).withColumn("orientation", (F.col("origin").cast("int") % 8 + 1))
     return images.normalise_images(rows).select("origin", "status", "height", "width", F.sha2("data", 256).alias("content"))
@@ -144,9 +156,16 @@ def _patches(spark: SparkSession, d: str) -> DataFrame:
     return patchml.patch_features(rows, "px", 8)
 
 
-@query()
+# the eight neighbours of a pattern code as (rows, columns) to go back, and the code of pixel i of an 8x8 patch
+_NEIGHBOURS = [(0, 3), (1, 3), (1, 3), (2, 2), (3, 2), (3, 1), (3, 0), (3, -1)]
+_CODE = " + ".join(f"case when case when i // 8 - {dy} >= 0 and i % 8 - ({dx}) between 0 and 7 then px[i - {dy * 8 + dx} + 1] else 0 end >= px[i + 1] then {1 << n} else 0 end" for n, (dy, dx) in enumerate(_NEIGHBOURS))
+
+
+@query(f"with {_GRAY}, c as (select img_id, px, list_transform(range(64), lambda i: {_CODE}) as codes from gray8) select img_id as patch_id, 416 as n, {_MEAN('px')} as mean, len(list_filter(codes, lambda v: v = 0))::int as none_brighter, len(list_filter(codes, lambda v: v = 255))::int as all_brighter, len(list_filter(codes, lambda v: v = 127))::int as seven_brighter from c")
 def patch_features(spark, d):
-    return _patches(spark, d).select("patch_id", F.size("features").alias("n"), F.get("features", F.lit(400)).alias("mean"))
+    f = lambda i: F.get("features", F.lit(i))
+    share = lambda code: F.rint(f(144 + code) * 64).cast("int")
+    return _patches(spark, d).select("patch_id", F.size("features").alias("n"), f(400).cast("double").alias("mean"), share(0).alias("none_brighter"), share(255).alias("all_brighter"), share(127).alias("seven_brighter"))
 
 
 @query()
