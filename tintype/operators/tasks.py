@@ -128,6 +128,7 @@ def sweep_scores(df: DataFrame, config: list[str], metric: str) -> DataFrame:
 
 
 def leaderboard(scores: DataFrame, *config: str) -> DataFrame:
+    """Adds place. ``scores`` has a row a configuration of a sweep, so one ordered window over it is small."""
     return scores.withColumn("place", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), *config)))
 
 
