@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tintype.llm.shared import slices
+from tintype.llm.shared import give_back_memory, slices
 
 #: Bytes of pieces and ids that a task remembers, in two halves of which the older one goes when the other is full; most bytes of a stored piece.
 STORE_BYTES, LONGEST = 64 << 20, 200
@@ -226,6 +226,8 @@ def encode_documents(docs: DataFrame, tokenizer: str, id: str = "doc_id", text:
             ids = [x.tolist() for x in own.encode_column(b.column(1))]
             places = [table.offsets(x) for x in ids]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), *(pa.array([p[k].tolist() for p in places], pa.list_(pa.int32())) for k in (0, 1))], names=["doc_id", "ids", "starts", "ends"])
+        own = table = b = ids = None
+        give_back_memory()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, ids array<int>, starts array<int>, ends array<int>")
 
@@ -264,5 +266,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str =
                 digests.append(hashlib.sha256(_joined(written, ids)[:-1]).hexdigest())
                 decoded.append(hashlib.sha256(_joined(meant, ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own = table = b = ids = None
+        give_back_memory()
 
     return rows.mapInArrow(run, f"doc_id {rows.schema[0].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

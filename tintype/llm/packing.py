@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintype.llm.byte_bpe import PieceEncoder
-from tintype.llm.shared import slices
+from tintype.llm.shared import give_back_memory, slices
 
 WINDOW = 1024
 
@@ -173,6 +173,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: st
             yield done()
         packer.close()
         yield done()
+        own = packer = b = ids = None
+        give_back_memory()
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids]
     return rows.mapInArrow(pack, f"doc_id {kind.simpleString()}, " + ", ".join(f"{n} bigint" for n in names[1:7]) + ", ids array<int>" * with_ids)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
+from contextlib import suppress
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tintype.functions.scalars import let
 
-__all__ = ["documents", "let", "maybe_in", "membership_filter", "slices", "words_of"]
+__all__ = ["documents", "give_back_memory", "let", "maybe_in", "membership_filter", "slices", "words_of"]
 
 #: Characters between words: the space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -22,6 +24,13 @@ SPACE_RUN = "[ \\t-\\r]+"
 FILTER_BITS = 26
 
 
+def give_back_memory() -> None:
+    """Hands freed memory back to the system, which a worker that waits for its next task would keep from other stages."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # a C library without this call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The batches in parts whose texts have ``most`` bytes, or of one row, so that what a task holds doesn't grow with a batch."""
     for b in batches:
@@ -31,6 +40,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: int, most: int = 8 << 20)
             stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
             yield b.slice(at, stop - at)
             at = stop
+    give_back_memory()
 
 
 def words_of(text: Column) -> Column:
