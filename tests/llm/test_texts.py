@@ -233,6 +233,16 @@ def test_ids_equal_the_libraries(json_file, ranks_file):
             assert not ids or (starts[0], ends[-1]) == (0, len(t))
 
 
+def test_store_is_bounded_and_holds_no_long_piece(json_file):
+    rng = random.Random(3)
+    own = byte_bpe.PieceEncoder(json_file, store_bytes=100_000)
+    for _ in range(30):
+        text = " ".join("".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(300)) + " " + "x" * 500 + " " + "中文" * 200
+        assert np.frombuffer(own.encode([text])[0], "<u4").tolist() == own.own.encode(text, add_special_tokens=False).ids
+        assert sum(a.nbytes for a in (own.words, own.ids, *own.older)) < 150_000
+        assert all(len(w.encode()) <= byte_bpe.LONGEST for w in own.words.to_pylist())
+
+
 def test_encode_and_decode_tables(spark, ranks_file):
     df = spark.createDataFrame([(1, "a 🙂 b", "q"), (2, None, "q"), (None, "", "q"), (1, "a 🙂 b", "q")], "doc_id long, text string, ids string")
     encoded = byte_bpe.encode_documents(df, ranks_file)
