@@ -101,6 +101,32 @@ def test_intake_stream_is_the_same_when_run_again(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "ok")).collect()) == ["a", "e"]
 
 
+def test_a_cluster_has_to_name_the_work_folder():
+    from types import SimpleNamespace as Fake
+
+    from tintype.plans.worktables import work_folder
+
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://x"):
+        nothing = Fake(get=lambda *a: None)
+        with pytest.raises(ValueError):
+            work_folder(Fake(conf=nothing, sparkContext=Fake(getConf=lambda: nothing, master=master, applicationId="a")))
+
+
+def test_scratch_tables_go_and_results_stay(spark):
+    from tintype.plans.worktables import scratch_tables, write_table
+
+    with scratch_tables(spark):
+        with scratch_tables(spark):
+            inner = write_table(spark.range(3), "inner")
+            kept = write_table(inner, "kept", scratch=False)
+        assert kept.count() == 3
+        outer = write_table(kept, "outer")
+        assert outer.count() == 3
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)not.*exist|not_exist|FILE_NOT"):
+        outer.collect()
+
+
 def test_reports_are_whole_and_records_are_appended(spark, tmp_path):
     rows = spark.range(1500).withColumnRenamed("id", "n")
     files.write_report(rows, f"file://{tmp_path}/report")
