@@ -88,6 +88,24 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), tokenizer_of_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tintype.llm.vector_codes import compress
+
+    return compress(documents(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tintype.llm.filter_audit import filter_audit
+
+    return filter_audit(documents(spark, sf_dir), documents(spark, sf_dir, "labels"))
+
+
+def op13_pivot_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tintype.llm.pivot_index import near_vectors
+
+    return near_vectors(documents(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -116,7 +134,49 @@ OP9_SQL = r"""with d as (select doc_id, coalesce(text, '') as text, coalesce(sou
  select doc_id, n_words, coalesce(word_chars, 0)::bigint as word_chars, n_symbols, n_dup_lines, n_repeat_words, removed_words, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and n_words - removed_words >= 0.3::double * n_words as kept from b"""
 
+OP12_SQL = r"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+ w as (select *, list_filter(string_split_regex(text, '[ \t-\r]+'), lambda x: x <> '') as ws, min(doc_id) over (partition by text) as least from d),
+ m as (select doc_id, part, case when len(ws) < 200 then 'A' else '' end || case when 100 * len(list_distinct(ws)) < 50 * len(ws) then 'B' else '' end
+   || case when 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(text) then 'C' else '' end
+   || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end || case when doc_id > least then 'E' else '' end as mask from w),
+ l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by 1),
+ c as (select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic from m left join l using (doc_id) group by 1, 2),
+ f as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+ o as (select a.f || b.f || c.f || d.f || e.f as filter_order from f a, f b, f c, f d, f e where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+ p as (select c.*, filter_order, step::int as step, substr(filter_order, step, 1) as f, contains(mask, substr(filter_order, step, 1)) as fails, step > 1 and mask <> '' and regexp_matches(substr(filter_order, 1, step - 1), '[' || mask || '0]') as gone from c, o, range(1, 6) s(step)),
+ r as (select part, filter_order, step, f, sum(n) filter (not gone and not fails) as kept, sum(n) filter (not gone and fails) as removed, sum(n) filter (gone and fails) as redundant, sum(n) filter (mask = f) as unique_fails,
+   sum(good) filter (not gone and fails) as good_lost, sum(toxic) filter (not gone and fails) as toxic_lost from p group by 1, 2, 3, 4)
+ select part, filter_order, step, coalesce(kept, 0)::bigint as kept, coalesce(removed, 0)::bigint as removed, coalesce(redundant, 0)::bigint as redundant, coalesce(unique_fails, 0)::bigint as unique_fails,
+  coalesce(good_lost, 0)::bigint as good_lost, coalesce(toxic_lost, 0)::bigint as toxic_lost, coalesce(sum(removed) over (partition by part, f), 0)::bigint as shapley from r"""
+
+
+_CODES_START = """e as (select vec_id, label, embedding, len(embedding) // 16 as w from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+ p as (select vec_id, label, part, list_transform(embedding[part * w + 1:part * w + w], lambda x: floor(256 * x::double)::bigint) as v from e, range(16) t(part)),
+ c0 as (select part, row_number() over (partition by part order by vec_id) - 1 as entry, v from p qualify entry < 64)"""
+
+_CODES_ASSIGN = """ a{r} as (select vec_id, label, part, any_value(p.v) as v, min(64 * list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint + entry) as k from p join c{r} c using (part) group by 1, 2, 3)"""
+
+_CODES_MOVE = """ s{n} as (select part, k % 64 as entry, i, sum(v[i])::bigint as s, count(*) as n from a{r}, unnest(range(1, len(v) + 1)) t(i) group by 1, 2, 3),
+ c{n} as (select c.part, c.entry, coalesce(m.v, c.v) as v from c{r} c left join (select part, entry, list((s - ((s % n) + n) % n) // n order by i) as v from s{n} group by 1, 2) m on m.part = c.part and m.entry = c.entry)"""
+
+OP11_SQL = f"""with {_CODES_START},
+{_CODES_ASSIGN.format(r=0)},
+{_CODES_MOVE.format(r=0, n=1)},
+{_CODES_ASSIGN.format(r=1)},
+{_CODES_MOVE.format(r=1, n=2)},
+{_CODES_ASSIGN.format(r=2)},
+ f as (select vec_id, label, string_agg(lower(printf('%02x', k % 64)), '' order by part) as code, sum(k // 64)::bigint as error from a2 group by 1, 2),
+ h as (select sha256(string_agg(array_to_string(v, ','), ',' order by part, entry)) as codebooks_sha256 from c2)
+ select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from f, h"""
+
+OP13_SQL = """with recursive v as (select vec_id, embedding::double[] as e from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_cosine_similarity(a.e, b.e) >= 0.95),
+ r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a),
+ c as (select a as vec_id, min(b) as component_id from r group by 1),
+ n as (select a as vec_id, count(*) as n from l group by 1)
+ select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from c left join n using (vec_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that SQL can answer over whole tables; tests hold the others against brute force."""
-    return {"op8_url_filters": OP8_SQL, "op9_quality_rules": OP9_SQL}
+    return {"op8_url_filters": OP8_SQL, "op9_quality_rules": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_filter_audit": OP12_SQL, "op13_pivot_index": OP13_SQL}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tintype.functions.scalars import let
 
-__all__ = ["documents", "give_back_memory", "let", "maybe_in", "membership_filter", "slices", "words_of"]
+__all__ = ["documents", "give_back_memory", "let", "matrices", "maybe_in", "membership_filter", "slices", "words_of"]
 
 #: Characters between words: the space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\f\r"
@@ -72,3 +72,13 @@ def maybe_in(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Whether each key's bit is set; ``keys`` are 64-bit hashes."""
     top = keys.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
     return (bits[(top >> np.uint64(6)).view(np.int64)] >> (top & np.uint64(63))) & np.uint64(1) != 0
+
+
+def matrices(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, matrix of doubles) of a list column without nulls, for each length that occurs."""
+    lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(lengths) - lengths
+    for n in np.unique(lengths):
+        rows = np.flatnonzero(lengths == n)
+        yield rows, values[starts[rows][:, None] + np.arange(n)[None, :]]
