@@ -31,9 +31,9 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_CANDIDATE = re.compile(r"[^\s]*[0-9@][^\s]*(?: [().0-9-]*[0-9][().0-9-]*(?!\S))*")
 _TOKEN = re.compile(r"\S+")
-_NUMBER = re.compile(r"[+().0-9/-]*[0-9][+().0-9/-]*")
+_FOLLOWER = re.compile(r"[().0-9-]+")
+_NUMBER = re.compile(r"[+().0-9/-]+")
 _DIGITS = re.compile(r"[0-9]")
 _LETTERS = re.compile(r"[^\W\d_]+")
 _EDGES = "\"'()[]{}<>,;:.!?*#$%&|="
@@ -78,14 +78,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def suits(kind: int, word: str) -> bool:
-    """Whether a token has the form of the kind, if not the fixed pattern."""
+_NO_IP = re.compile(r"[^0-9a-fA-F.:]")
+_NO_NUMBER = re.compile(r"[^0-9 ().+/-]")
+
+
+def forms_of(word: str) -> int:
+    """The kinds whose form a token has, if not the fixed pattern, as a bit set."""
     n = len(_DIGITS.findall(word))
-    if kind == 0:
-        return "@" in word.strip("@")
-    if kind == 1:
-        return n >= 2 and (word.count(".") >= 2 or word.count(":") >= 2) and not re.search(r"[^0-9a-fA-F.:]", word)
-    return (12 if kind == 2 else 7) <= n <= (19 if kind == 2 else 15) and not re.search(r"[^0-9 ().+/-]", word)
+    email = "@" in word.strip("@")
+    ip = n >= 2 and (word.count(".") >= 2 or word.count(":") >= 2) and not _NO_IP.search(word)
+    number = 7 <= n <= 19 and not _NO_NUMBER.search(word)
+    return email | ip << 1 | (number and n >= 12) << 2 | (number and n <= 15) << 3
+
+
+def chains(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of each token with a digit or an @, together with the number tokens that follow it after single spaces."""
+    start = end = -1
+    for m in _TOKEN.finditer(text):
+        s, e = m.span()
+        if not _WORTH.search(text, s, e):
+            continue
+        if start >= 0 and s == end + 1 and text[end] == " " and _FOLLOWER.fullmatch(text, s, e) and _DIGITS.search(text, s, e):
+            end = e
+            continue
+        if start >= 0:
+            yield start, end
+        start, end = s, e
+    if start >= 0:
+        yield start, end
 
 
 def _shape(word: str) -> str:
@@ -138,7 +158,7 @@ def _parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
         while e > s and text[e - 1] in _EDGES:
             e -= 1
         yield s, e
-        if not _NUMBER.fullmatch(text, s, e):
+        if not (_NUMBER.fullmatch(text, s, e) and _DIGITS.search(text, s, e)):
             run = []
             continue
         total = own = len(_DIGITS.findall(text, s, e))
@@ -169,9 +189,8 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
         else:
             cuts.append((s, e))
     i = 0
-    for m in _CANDIDATE.finditer(text):
-        at, end = m.span()
-        group = None
+    for first, end in chains(text):
+        at, group = first, None
         while i < len(cuts) and cuts[i][1] <= at:
             i += 1
         k = i
@@ -179,8 +198,8 @@ def mentions(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int
             stop, after = cuts[k] if k < len(cuts) and cuts[k][0] < end else (end, end)
             for s, e in _parts(text, at, stop):
                 word = text[s:e]
-                if e - s >= 6 and (forms := sum(1 << k for k in range(len(KINDS)) if suits(k, word))):
-                    group = group or xxhash.xxh64_intdigest(m[0].strip(_EDGES).lower()) - (1 << 63)
+                if forms := forms_of(word):
+                    group = group or xxhash.xxh64_intdigest(text[first:end].strip(_EDGES).lower()) - (1 << 63)
                     out.append((s, e, -1, forms, xxhash.xxh64_intdigest(word.lower()) - (1 << 63), group))
             at, k = after, k + 1
     words = _Words(text) if out else None
