@@ -87,7 +87,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_str(tokenizer)
-        self.own.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = sorted(t.content for t in self.own.get_added_tokens_decoder().values())
         self.store_bytes = store_bytes
         self.words, self.ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
         self.older = (self.words, self.ids)  # as they were when they were last full
@@ -150,6 +150,14 @@ class PieceEncoder:
     def encode_column(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of a column without nulls."""
         texts = texts.cast(pa.large_string())
+        uncut = np.zeros(len(texts), dtype=bool)
+        for token in self.added:
+            uncut |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        if uncut.any():
+            rest = self.encode_column(texts.filter(pa.array(~uncut)))
+            for t, x in zip(texts.to_pylist(), uncut.tolist(), strict=True):
+                yield np.frombuffer(self._whole([t])[0], "<u4") if x else next(rest)
+            return
         odd = np.array([_ODD_SPACE.search(t) is not None for t in texts.to_pylist()], dtype=bool)
         marked = pc.replace_substring(texts.filter(pa.array(~odd)), "\n", " \n")
         usual = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), marked, pa.scalar("", pa.large_string())), " ")
