@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import string
+from bisect import insort
 from collections.abc import Iterable, Iterator
+from operator import neg
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -32,7 +34,8 @@ class UrlTrie:
     """Rules by reversed host label, then by path segment.
 
     A node is a dict of children; ``None`` leads from a host node to its paths. A path node keeps
-    the rules that end there: by what they ask of the next, unfinished segment ('' asks nothing).
+    the rules that end there, by what they ask of the next, unfinished segment ('' asks nothing), and
+    the lengths of that, longest first: a segment is looked up once for each length.
     """
 
     def __init__(self, rules: Iterable[tuple[str, str]]):
@@ -56,6 +59,8 @@ class UrlTrie:
                 ends = node.setdefault(("ends",), {})
             if ends.get(key, ("", ""))[1] != "block":
                 ends[key] = (rule, verdict)
+            if slash and len(key) not in (lengths := node.setdefault(("lengths",), [])):
+                insort(lengths, len(key), key=neg)
 
     def match(self, host: str, path: str) -> tuple[str, str] | None:
         """The longest rule that fits: the one with most host labels, among those the one with the longest path."""
@@ -75,10 +80,10 @@ class UrlTrie:
         if node is None or not path.startswith("/"):
             return best
         for segment in path[1:].split("/"):
-            ends = node.get(("ends",), {})
-            fits = [k for k in ends if segment.startswith(k)]
-            if fits:
-                best = ends[max(fits, key=len)]
+            for n in node.get(("lengths",), ()):
+                if n <= len(segment) and (found := node[("ends",)].get(segment[:n])):
+                    best = found
+                    break
             node = node.get(("/", segment))
             if node is None:
                 break
