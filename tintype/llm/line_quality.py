@@ -82,14 +82,15 @@ def document_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", host
     )
 
 
-def frequent_lines(lines: DataFrame, document: Column, min_docs: int = 10, max_share: float = 0.01, max_docs: int = 1000) -> DataFrame:
+def frequent_lines(lines: DataFrame, document: Column, min_docs: int = 10, max_share: float = 0.01, max_docs: int = 1000, hosts: DataFrame | None = None) -> DataFrame:
     """Keys (lk) of the lines in more than ``min_docs`` documents of their host that are also more than ``max_share`` of the host's documents, or more than ``max_docs``.
 
-    ``document`` says what counts as one. Counts are taken over all rows; both counts are summed
+    ``document`` says what counts as one; ``hosts`` (hh, all_docs) may give the hosts' numbers of them. Counts are taken over all rows; both counts are summed
     before they are shuffled, so a line or a host with a third of the rows costs each task one row.
     """
     seen = lines.select("hh", "lk", document.alias("d")).distinct().groupBy("hh", "lk").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    hosts = lines.select("hh", document.alias("d")).distinct().groupBy("hh").agg(F.count("*").alias("all_docs"))
+    if hosts is None:
+        hosts = lines.select("hh", document.alias("d")).distinct().groupBy("hh").agg(F.count("*").alias("all_docs"))
     return seen.join(hosts, "hh").where((F.col("docs") > F.col("all_docs") * max_share) | (F.col("docs") > max_docs)).select("lk")
 
 
@@ -125,9 +126,9 @@ def quality_rules(
     lines above the limits. A document is kept unless the counts reject it or fewer than
     ``min_left`` of its words remain.
 
-    Lines are counted by documents (id and text; repeated rows are one). With ``copies_once`` they
-    are counted by texts, and those above the limits once more by groups of near-equal texts, so
-    that whole or slightly changed copies don't make each other's lines frequent. With
+    Lines are counted by documents (id and text; repeated rows are one). With ``copies_once`` lines
+    and the documents of a host are counted by groups of near-equal texts, so that whole or slightly
+    changed copies neither make each other's lines frequent nor raise the limit. With
     ``fold_digits`` a number in a line counts as 0.
 
     A null text counts as empty and is rejected for want of words; a null host is a host of its
@@ -138,11 +139,12 @@ def quality_rules(
     lines = write_table(document_lines(docs, id, text, host, fold_digits), "lines")
     limits = min_docs, max_share, max_docs
     if copies_once:
-        often = write_table(frequent_lines(lines, F.col("th"), *limits), "candidate-lines")
-        held = lines.join(often, "lk", "left_semi").select("hh", "lk", "th").distinct().join(near_classes(lines), "th")
-        counted = held.select("hh", "lk", "class").distinct().groupBy("hh", "lk").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-        hosts = lines.select("hh", "th").distinct().groupBy("hh").agg(F.count("*").alias("all_docs"))
-        frequent = counted.join(hosts, "hh").where((F.col("docs") > F.col("all_docs") * max_share) | (F.col("docs") > max_docs)).select("lk")
+        classes = write_table(near_classes(lines), "near-classes")
+        hosts = lines.select("hh", "th").distinct().join(classes, "th").select("hh", "class").distinct().groupBy("hh").agg(F.count("*").alias("all_docs"))
+        hosts = write_table(hosts, "hosts")
+        often = write_table(frequent_lines(lines, F.col("th"), *limits, hosts), "candidate-lines")  # no class count is over that of texts
+        held = lines.join(often, "lk", "left_semi").select("hh", "lk", "th").distinct().join(classes, "th")
+        frequent = frequent_lines(held, F.col("class"), *limits, hosts)
     else:
         frequent = frequent_lines(lines, F.xxhash64("doc_id", "th"), *limits)
     removed = write_table(lines.join(frequent, "lk", "left_semi").select("doc_id", "th", "pos", "words").distinct(), "frequent-lines")
