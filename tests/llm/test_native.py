@@ -84,6 +84,17 @@ def test_near_copies_do_not_make_each_others_lines_frequent(spark):
     assert not line_quality.quality_rules(docs_of(spark, rows))[0].where("kept and doc_id < 100").count()  # counted by documents they do
 
 
+def test_copies_do_not_raise_the_limit(spark):
+    """A page's foot in 30 of 900 documents of a source is frequent at 2 %, also if the source holds 3000 copies of another text."""
+    rng = random.Random(10)
+    line = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(9))
+    rows = [(i, "\n".join([line(), *(["the usual foot of a page"] if i < 30 else []), line(), line()]), "s") for i in range(900)]
+    copy = [line() for _ in range(20)]
+    rows += [(1000 + i, "\n".join([f"{i} own line of this copy", *copy]), "s") for i in range(3000)]
+    removed = {(r.doc_id, r.pos) for r in line_quality.quality_rules(docs_of(spark, rows), copies_once=True, max_share=0.02)[1].collect()}
+    assert removed == {(i, 1) for i in range(30)}
+
+
 def test_empty_table(spark):
     df = docs_of(spark, []).withColumn("n_chars", F.lit(1).cast("long"))
     assert line_quality.apply_quality_rules(df).count() == 0 and line_quality.quality_rules(df)[0].count() == 0

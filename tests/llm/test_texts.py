@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -157,6 +158,28 @@ def test_every_token_and_run_of_numbers_is_a_candidate():
     assert "5551000" in offered("9" * 300 + " 5551000")
 
 
+def test_chains_equal_one_pattern():
+    """The scan by tokens gives what one backtracking pattern of the same chains gives, on texts short enough for it."""
+    chain = re.compile(r"[^\s]*[0-9@][^\s]*(?: [().0-9-]*[0-9][().0-9-]*(?!\S))*")
+    rng = random.Random(12)
+    for _ in range(20_000):
+        t = "".join(rng.choice("ab1 2@.-() \n\x85é+") for _ in range(rng.randrange(40)))
+        assert list(pii.chains(t)) == [m.span() for m in chain.finditer(t)], t
+
+
+def test_long_tokens_cost_no_more_than_their_length():
+    n = 1 << 20
+    texts = ["q" * n + " 1", "中" * n + "1" + "文" * n, "7" * n + "a", "7" * n, "7-" * n, "a@" * (n // 2), "x@y.zz" * (n // 6), "1." * (n // 2), "+" * n + "1", "((" * n + "1 23", "A1b2+/" * (n // 6) + "==", "+1 " + "(" * n]
+    for t in texts:
+        began = time.process_time()
+        found = pii.mentions(t, pii.base_spans(t))
+        assert time.process_time() - began < 2 + 2e-4 * len(found), t[:12]
+
+
+def test_short_identifiers_are_candidates():
+    assert [x[:4] for x in pii.mentions("to a@b now", [])] == [(3, 6, -1, 1)] and [x[:4] for x in pii.mentions("at 1::2 now", [])] == [(3, 7, -1, 2)]
+
+
 def test_masks_overlapping_spans_once():
     assert pii.masked_text("x 1234 y", [(2, 2, 6), (3, 3, 5)]) == "x <CARD> y" and pii.masked_text("ab", []) == "ab"
 
@@ -195,6 +218,16 @@ def test_urls_equal_a_scan_of_the_rules(spark, monkeypatch):
     assert url_rules.judge_urls(spark.createDataFrame([(1, long), (1, long), (None, long)], "page_id long, url string"), RULES).where("verdict = 'block'").count() == 3
 
 
+def test_many_rules_of_one_host_cost_no_scan():
+    trie = url_rules.UrlTrie([(f"host.org/p{i}", "block") for i in range(200_000)] + [("host.org/p12345", "allow"), ("host.org/p1234567", "allow")])
+    assert trie.match("host.org", "/p123456") == ("host.org/p123456", "block") and trie.match("host.org", "/p123456789") == ("host.org/p1234567", "allow")
+    assert trie.match("host.org", "/q") is None and trie.match("host.org", "/p12345")[1] == "block"
+    began = time.process_time()
+    for i in range(2000):
+        trie.match("www.host.org", f"/p{i * 97}x/y")
+    assert (time.process_time() - began) / 2000 < 1e-4
+
+
 @pytest.fixture(scope="module")
 def json_file():
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
@@ -219,7 +252,6 @@ def test_ids_equal_the_libraries(json_file, ranks_file):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     whole = Tokenizer.from_str(json_file)
-    whole.encode_special_tokens = True
     table = byte_bpe.ByteTable(ranks_file)
     a, b = byte_bpe.PieceEncoder(ranks_file, store_bytes=200_000), byte_bpe.PieceEncoder(json_file)
     for at in range(0, len(texts), 500):
@@ -233,6 +265,14 @@ def test_ids_equal_the_libraries(json_file, ranks_file):
             assert not ids or (starts[0], ends[-1]) == (0, len(t))
 
 
+def test_added_tokens_are_taken_as_the_library_takes_them(json_file):
+    own, library = byte_bpe.PieceEncoder(json_file), Tokenizer.from_str(json_file)
+    texts = ["a <|endoftext|> b", "x  <|endoftext|>\n y", "<|endoftext|>", "a<|endoftext|><|endoftext|> \n\n b", "plain text", "", " <|endoftext|>"]
+    assert library.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for batch in (texts, texts[4:6]):
+        assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(batch)] == [library.encode(t, add_special_tokens=False).ids for t in batch]
+
+
 def test_store_is_bounded_and_holds_no_long_piece(json_file):
     rng = random.Random(3)
     own = byte_bpe.PieceEncoder(json_file, store_bytes=100_000)
