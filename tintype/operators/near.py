@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tintype.functions.scalars import let
 from tintype.operators.components import connected_components
 from tintype.plans.worktables import write_table
 
@@ -18,6 +22,9 @@ WORD, MOST_LONG = 48, 62
 #: Bits that a bucket key should have at least, and most keys of a hash.
 KEY_BITS, MOST_KEYS = 18, 80
 
+#: Most keys of a hash that stands in a crowded bucket.
+FINE_KEYS = 220
+
 #: Hashes of a bucket that are compared in one piece; larger buckets are cut into such pieces, and pieces meet in pairs.
 PIECE = 1000
 
@@ -56,46 +63,135 @@ def _choice(bits: int, max_dist: int) -> tuple[int, int]:
     return max_dist + equal, equal
 
 
-def hash_pairs(df: DataFrame, hash: str, bits: int, max_dist: int) -> DataFrame:
-    """(a, b, dist): pairs of distinct hash values at most ``max_dist`` bits apart, a < b.
+def _finer(bits: int, max_dist: int) -> tuple[int, int]:
+    """The choice for hashes of crowded buckets: as many more equal blocks as FINE_KEYS keys allow."""
+    equal = _choice(bits, max_dist)[1]
+    while comb(max_dist + equal + 1, equal + 1) <= FINE_KEYS and max_dist + equal + 1 <= bits:
+        equal += 1
+    return max_dist + equal, equal
 
-    The column is a long or a hex string of ``bits`` bits. The bits are cut into ``max_dist`` + k
-    blocks; two values that near agree on k blocks at least, so an equality join on every choice of
-    k blocks finds them all. Buckets are counted first, and those of more than PIECE values are cut
-    into pieces, every two of which meet by themselves. Pairs are of values, not of rows: however
-    many images share a hash, it is one value.
+
+def _keyed(own: DataFrame, words: list[str], bits: int, choice: tuple[int, int]) -> DataFrame:
+    """Hashes (h, words) under every choice of equal blocks: with t, the number of the choice, and key."""
+    many, equal = choice
+    blocks = F.array(*[b.cast("long") for b in _blocks([F.col(w) for w in words], bits, many)])
+    choices = F.lit([list(c) for c in combinations(range(many), equal)])
+    keys = let(blocks, lambda b: F.transform(choices, lambda c: F.xxhash64(*[F.get(b, F.get(c, F.lit(i))) for i in range(equal)])))
+    return own.select("*", F.posexplode(keys).alias("t", "key"))
+
+
+def _meetings(df: DataFrame, hash: str, bits: int, max_dist: int) -> tuple[DataFrame, list[str]]:
+    """Distinct hashes in the groups in which they are compared, (t, key, g, f, p, h, words), and the words' names.
+
+    The bits are cut into ``max_dist`` + k blocks; two hashes that near agree on k blocks at least, so
+    each pair meets under some choice of k blocks. Buckets are counted first. The hashes of those of
+    more than PIECE are dealt by a finer choice instead, which finds all their pairs too; a bucket
+    that is large even there is cut into pieces, every two of which (g <= f) are a group.
     """
     if max_dist + 1 > bits:
         raise ValueError("too many bits or blocks")
-    many, equal = _choice(bits, max_dist)
     own = df.where(F.col(hash).isNotNull()).select(F.col(hash).alias("h")).distinct()
     words = _words(F.col("h"), own.schema["h"].dataType, bits)
-    own = own.select("h", *[w.alias(f"w{i}") for i, w in enumerate(words)])
-    blocks = _blocks([F.col(f"w{i}") for i in range(len(words))], bits, many)
-    keys = F.posexplode(F.array(*[F.xxhash64(*[blocks[i] for i in c]) if equal > 1 else blocks[c[0]].cast("long") for c in combinations(range(many), equal)]))
-    keyed = write_table(own.select("*", keys.alias("t", "key")), "bucketed-hashes")
+    names = [f"w{i}" for i in range(len(words))]
+    own = write_table(own.select("h", *[w.alias(n) for n, w in zip(names, words, strict=True)]), "distinct-hashes")
+
+    def counted(keyed: DataFrame) -> DataFrame:
+        return keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+
+    coarse = _keyed(own, names, bits, _choice(bits, max_dist))
+    sizes = write_table(counted(coarse), "bucket-sizes")
+    crowded = coarse.join(sizes.where(F.col("n") > PIECE), ["t", "key"], "left_semi").select("h", *names).distinct()
+    finer = _keyed(write_table(crowded, "crowded-hashes"), names, bits, _finer(bits, max_dist))
+    finer = finer.withColumn("t", F.col("t") + FINE_KEYS)
+    rows = coarse.join(sizes.where(F.col("n") <= PIECE), ["t", "key"]).unionByName(finer.join(counted(finer), ["t", "key"]))
     pieces = F.ceil(F.col("n") / PIECE).cast("int")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key", pieces.alias("k"))
-    dealt = keyed.join(sizes, ["t", "key"]).withColumn("p", F.pmod(F.xxhash64("h"), F.col("k")).cast("int"))
+    dealt = rows.select("t", "key", pieces.alias("k"), F.pmod(F.xxhash64("h"), pieces).cast("int").alias("p"), "h", *names)
     met = dealt.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    group = [F.col("t"), F.col("key"), F.least("p", "q").alias("g"), F.greatest("p", "q").alias("f")]
-    names = [f"w{i}" for i in range(len(words))]
-    left = met.where("p <= q").select(*group, F.col("h").alias("a"), F.col("p").alias("ap"), *[F.col(w).alias(f"a{w}") for w in names])
-    right = met.where("p >= q").select(*group, F.col("h").alias("b"), *[F.col(w).alias(f"b{w}") for w in names])
+    return met.select("t", "key", F.least("p", "q").alias("g"), F.greatest("p", "q").alias("f"), "p", "h", *names), names
+
+
+def hash_pairs(df: DataFrame, hash: str, bits: int, max_dist: int) -> DataFrame:
+    """(a, b, dist): pairs of distinct hash values at most ``max_dist`` bits apart, a < b.
+
+    The column is a long or a hex string of ``bits`` bits. Pairs are of values, not of rows: however
+    many images share a hash, it is one value.
+    """
+    met, names = _meetings(df, hash, bits, max_dist)
+    group = ["t", "key", "g", "f"]
+    left = met.where("p = g").select(*group, F.col("h").alias("a"), *[F.col(w).alias(f"a{w}") for w in names])
+    right = met.where("p = f").select(*group, F.col("h").alias("b"), *[F.col(w).alias(f"b{w}") for w in names])
     dist = sum((F.bit_count(F.col(f"a{w}").bitwiseXOR(F.col(f"b{w}"))) for w in names), F.lit(0))
-    near = left.join(right, ["t", "key", "g", "f"]).where(((F.col("a") < F.col("b")) | ((F.col("g") < F.col("f")) & (F.col("a") != F.col("b")))) & (dist <= max_dist))
+    near = left.join(right, group).where(((F.col("a") < F.col("b")) | ((F.col("g") < F.col("f")) & (F.col("a") != F.col("b")))) & (dist <= max_dist))
     return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), dist.cast("int").alias("dist")).distinct()
 
 
+def _stars(words: np.ndarray, max_dist: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each row with a near one, except the first of each component of them, and the first of its component."""
+    n = len(words)
+    near = np.zeros((n, n), dtype=bool)
+    for at in range(0, n, 128):
+        apart = sum(np.bitwise_count(words[at : at + 128, None, i] ^ words[None, :, i]).astype(np.int16) for i in range(words.shape[1]))
+        near[at : at + 128] = apart <= max_dist
+    label = np.arange(n)
+    while True:
+        least = np.where(near, label[None, :], n).min(axis=1)
+        least = np.minimum(least, least[least])
+        if (least == label).all():
+            break
+        label = least
+    hung = np.flatnonzero(label != np.arange(n))
+    return hung, label[hung]
+
+
+def hash_links(df: DataFrame, hash: str, bits: int, max_dist: int) -> DataFrame:
+    """(a, b): links between distinct near hash values, enough of them to give all components.
+
+    A group hands on its links as stars, so at most as many as it has hashes, however many pairs.
+    """
+    met, names = _meetings(df, hash, bits, max_dist)
+    rows = met.select(F.xxhash64("t", "key", "g", "f").alias("group"), "h", *names)
+    kind = rows.schema["h"].dataType.simpleString()
+
+    def stars(batch: pa.Table) -> pa.RecordBatch:
+        group = batch.column("group").to_numpy()
+        ends = np.flatnonzero(np.r_[group[1:] != group[:-1], True]) + 1
+        words = np.stack([batch.column(w).to_numpy().view(np.uint64) for w in names], axis=1)
+        hung, on = [], []
+        for s, e in zip(np.r_[0, ends[:-1]], ends, strict=True):
+            h, o = _stars(words[s:e], max_dist)
+            hung.append(h + s)
+            on.append(o + s)
+        h = batch.column("h").combine_chunks()
+        return pa.RecordBatch.from_arrays([h.take(pa.array(np.concatenate(x))) for x in (hung, on)], names=["a", "b"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Whole groups of a partition that is sorted by them."""
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not len(b):
+                continue
+            held.append(b)
+            g = b.column(0).to_numpy()
+            if held[0].column(0)[0].as_py() == g[-1]:
+                continue
+            cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if g[0] != g[-1] else 0
+            yield stars(pa.Table.from_batches([*held[:-1], b.slice(0, cut)]))
+            held = [b.slice(cut)]
+        if held:
+            yield stars(pa.Table.from_batches(held))
+
+    return rows.repartition("group").sortWithinPartitions("group").mapInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_dup_components(df: DataFrame, name: str, hash: str, bits: int, max_dist: int) -> DataFrame:
     """(name, component): images by the least name reachable over near hashes; an image without a near one is its own."""
-    pairs = hash_pairs(df, hash, bits, max_dist)
-    values = connected_components(pairs).withColumnRenamed("node", "h")
-    named = df.groupBy(F.col(hash).alias("h")).agg(F.min(name).alias("least")).join(values, "h", "left").select("h", "least", F.coalesce("component", "h").alias("c"))
+    rows = write_table(df.select(name, hash), "hashes")
+    values = connected_components(hash_links(rows, hash, bits, max_dist)).withColumnRenamed("node", "h")
+    named = rows.groupBy(F.col(hash).alias("h")).agg(F.min(name).alias("least")).join(values, "h", "left").select("h", "least", F.coalesce("component", "h").alias("c"))
     named = write_table(named, "hash-classes")
     least = named.groupBy("c").agg(F.min("least").alias("component"))
     by_hash = named.join(least, "c").select(F.col("h").alias(hash), "component")
-    return df.join(by_hash, hash, "left").select(name, F.coalesce("component", name).alias("component"))
+    return rows.join(by_hash, hash, "left").select(name, F.coalesce("component", name).alias("component"))
 
 
 def leak_near(df: DataFrame, hash: str, bits: int, max_dist: int, split: str = "split") -> DataFrame:
