@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tintype.functions.scalars import group_bucket, seeded_order, stem
+from tintype.operators.grams import least_containing
 from tintype.operators.intake import ranked
 
 #: Rows of a table that is broadcast without looking at its size: a configuration grid, a texture list.
@@ -69,18 +70,19 @@ def sweep_grid(images: DataFrame, configs: DataFrame) -> DataFrame:
     return images.crossJoin(_small(configs, "configurations"))
 
 
-def match_reference(damaged: DataFrame, clean: DataFrame) -> DataFrame:
-    """(damaged, reference): the least clean name that holds the text after ``_dmg_``.
+def match_reference(damaged: DataFrame, clean: DataFrame, extension: bool = False) -> DataFrame:
+    """(damaged, reference): the least clean name of a known collection that holds the damaged file's base name; null for none.
 
-    Names are cut at their separators so that the match is an equality join: a clean name offers
-    each of its suffixes that start after an underscore.
+    The base is what stands after the first ``_dmg_`` (up to a second one), or the whole name without
+    one; with ``extension`` the file's extension belongs to it. The match is by grams, see
+    ``least_containing``, so no pair of names is compared that shares no rare gram.
     """
-    asked = damaged.select(F.col("filename").alias("damaged"), F.regexp_extract(stem(F.col("filename")), "_dmg_(.+)$", 1).alias("base")).where("base <> ''")
-    parts = F.split(stem(F.col("filename")), "_")
-    offered = clean.where(F.col("filename").rlike("^(europ_9|met_)")).select(
-        F.col("filename").alias("reference"), F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "_"))).alias("base")
-    )
-    return asked.join(offered, "base", "left").groupBy("damaged").agg(F.min("reference").alias("reference"))
+    name = F.col("filename") if extension else stem(F.col("filename"))
+    parts = F.split(name, "_dmg_")
+    asked = damaged.select(F.col("filename").alias("damaged"), F.coalesce(F.get(parts, F.lit(1)), name).alias("base"))
+    known = clean.where(F.startswith("filename", F.lit("europ_9")) | F.startswith("filename", F.lit("met_")))
+    least = least_containing(asked, known, "base", "filename").select(F.col("fragment").alias("base"), F.col("name").alias("reference"))
+    return asked.join(least, "base", "left").groupBy("damaged").agg(F.min("reference").alias("reference"))
 
 
 def assign_textures(images: DataFrame, textures: DataFrame, k: int, seed: int) -> DataFrame:

@@ -366,15 +366,21 @@ def sweep_grid(spark, d):
     return pairing.sweep_grid(view(spark, d, "clean_files").select("filename"), spark.createDataFrame(_CONFIGS, "strength double, guidance double"))
 
 
-@query(
-    """with c as (select case when p_partkey % 2 = 0 then 'met_' else 'europ_9_' end || (p_partkey % 400)::varchar || '_' || p_partkey::varchar || '.jpg' as filename from part), d as (select 'x_dmg_' || p_partkey::varchar || '.png' as filename, p_partkey::varchar as base from part where p_partkey % 3 = 0)
-    select d.filename as damaged, min(c.filename) as reference from d left join c on c.filename like '%\\_' || base || '.jpg' escape '\\' group by 1"""
-)
+# clean names hold the part's number at their end or in their middle; of the damaged ones every third has no _dmg_ and is itself the fragment
+_REFERENCES = """c as (select case p_partkey % 3 when 0 then 'met_' when 1 then 'europ_9_' else 'other_' end || (p_partkey % 400)::varchar || '_' || p_partkey::varchar || case when p_partkey % 2 = 0 then '_v2.jpg' else '.jpg' end as filename from part),
+    d as (select case when p_partkey % 9 = 0 then p_partkey::varchar || '_v2' when p_partkey % 27 = 3 then 'x_dmg_' || left(p_partkey::varchar, 2) || '_dmg_y' else 'x_dmg_' || p_partkey::varchar end || '.png' as filename from part where p_partkey % 3 = 0),
+    b as (select filename as damaged, regexp_replace(filename, '[.]png$', '') as s from d)"""
+
+
+@query(f"with {_REFERENCES} select damaged, min(filename) as reference from b left join c on (starts_with(filename, 'met_') or starts_with(filename, 'europ_9')) and contains(filename, case when contains(s, '_dmg_') then split_part(s, '_dmg_', 2) else s end) group by 1")
 def match_reference(spark, d):
     part = spark.read.parquet(f"{d}/part.parquet")
     k = F.col("p_partkey")
-    clean = part.select(F.concat(F.when(k % 2 == 0, "met_").otherwise("europ_9_"), (k % 400).cast("string"), F.lit("_"), k.cast("string"), F.lit(".jpg")).alias("filename"))
-    damaged = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("x_dmg_"), k.cast("string"), F.lit(".png")).alias("filename"))
+    key = k.cast("string")
+    kind = F.when(k % 3 == 0, "met_").when(k % 3 == 1, "europ_9_").otherwise("other_")
+    clean = part.select(F.concat(kind, (k % 400).cast("string"), F.lit("_"), key, F.when(k % 2 == 0, "_v2.jpg").otherwise(".jpg")).alias("filename"))
+    name = F.when(k % 9 == 0, F.concat(key, F.lit("_v2"))).when(k % 27 == 3, F.concat(F.lit("x_dmg_"), F.left(key, F.lit(2)), F.lit("_dmg_y"))).otherwise(F.concat(F.lit("x_dmg_"), key))
+    damaged = part.where("p_partkey % 3 = 0").select(F.concat(name, F.lit(".png")).alias("filename"))
     return pairing.match_reference(damaged, clean)
 
 
