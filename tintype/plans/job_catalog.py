@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tintype.functions.scalars import let
-from tintype.operators import images, kernels, near, patchml
-from tintype.plans.catalog import ORACLES, query, r
+from tintype.operators import images, kernels, near, patchml, tasks
+from tintype.plans.catalog import _OK, ORACLES, query, r
 from tintype.plans.image_catalog import _GRAY, _MEAN, _VAR, _gray
 from tintype.plans.views import sql as V
-from tintype.plans.views import VIEWS
+from tintype.plans.views import VIEWS, view
 from tintype.plans.worktables import work_folder
 from tintype.streaming import jobs
 
@@ -208,6 +208,33 @@ def task_state_stream(spark, d):
     return jobs.read_task_states(spark, f"{at}/states", columns).select("task_id", "event_id", "status", "mode")
 
 
+@query(ORACLES["recent_tasks"].replace("limit 50", "limit 100"))
+def newest_tasks_stream(spark, d):
+    at = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
+    jobs.newest_tasks(_event_stream(spark, d), ["status"], f"{at}/newest", f"{at}/checkpoint").awaitTermination()
+    return jobs.read_newest_tasks(spark, f"{at}/newest").select("task_id", "event_id")
+
+
+@query(ORACLES["search_history"])
+def search_index(spark, d):
+    """The search of the history by its index, which is filled in four batches of events."""
+    events, columns = view(spark, d, "task_events"), ["status", "filename"]
+    index = jobs.HistoryIndex(spark, f"{work_folder(spark)}/history-{uuid.uuid4().hex}", columns)
+    for number in range(4):
+        index.add(tasks.latest_per_task(events.where(F.pmod("event_id", F.lit(4)) == number), columns), number)
+    return index.search("1.PNG").select("task_id", "filename")
+
+
+@query(f"with {V('manifest')}, f as (select *, row_number() over (partition by sha256 order by id) as k from manifest where {_OK}) select id from f where k = 1")
+def intake_stream(spark, d):
+    """The manifest taken in as a stream of the documents' files."""
+    rows = view(spark, d, "manifest").select("id", "license", "sha256")
+    at = f"{work_folder(spark)}/intake-{uuid.uuid4().hex}"
+    rows.write.option("maxRecordsPerFile", 100_000).parquet(f"{at}/in")
+    jobs.intake_stream(spark, f"{at}/in", rows.schema, f"{at}/accepted", f"{at}/checkpoint", "parquet").awaitTermination()
+    return spark.read.parquet(f"{at}/accepted").select("id")
+
+
 @query(f"with {V('task_events')} select ts::date::varchar as day, status, count(*) as n from task_events group by 1, 2")
 def event_windows(spark, d):
     at = f"{work_folder(spark)}/stream-{uuid.uuid4().hex}"
