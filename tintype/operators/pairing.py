@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,6 +51,21 @@ def pending(inputs: DataFrame, outputs: DataFrame, key: str = "filename", seed:
     return numbered.join(outputs.select(key).distinct(), key, "left_anti")
 
 
+def addressed(inputs: DataFrame, params: dict, content: str = "sha256") -> DataFrame:
+    """Adds address: the hash of an input's content and of all parameters of its job, by which its output is named."""
+    known = json.dumps(params, sort_keys=True, ensure_ascii=True)
+    return inputs.withColumn("address", F.sha2(F.concat_ws("|", F.coalesce(content, F.lit("")), F.lit(known)), 256))
+
+
+def pending_by_content(inputs: DataFrame, outputs: DataFrame, params: dict, content: str = "sha256") -> DataFrame:
+    """Inputs, with their addresses, that have no output of this content under these parameters.
+
+    Existence of a name can't tell that a parameter or a file has changed; an address can, so only
+    what has changed is done again. ``outputs`` has the addresses of what is there.
+    """
+    return addressed(inputs, params, content).join(outputs.select("address").distinct(), "address", "left_anti").select(*inputs.columns, "address")
+
+
 def item_seed(df: DataFrame, seed: int | None, key: str = "filename") -> DataFrame:
     """Adds seq (from 1, by name) and item_seed (seq + seed; null without seed)."""
     return ranked(df, key).withColumn("seq", F.col("row") + 1).withColumn("item_seed", F.col("seq") + F.lit(seed).cast("long")).drop("row")

@@ -342,6 +342,21 @@ def pending(spark, d):
     return pairing.pending(view(spark, d, "clean_files"), view(spark, d, "damaged_files"), seed=42).select("filename", "seq", "item_seed")
 
 
+_ADDRESS = lambda p: f"sha256(coalesce(sha256, '') || '|{p}')"
+
+
+@query(
+    f"""with {V('manifest')}, done as (select {_ADDRESS('{"size": 512, "strength": 0.5}')} as address from manifest where pos % 3 <> 0 union select {_ADDRESS('{"size": 768, "strength": 0.5}')} from manifest where pos % 4 = 0)
+    select pos, {_ADDRESS('{"size": 768, "strength": 0.5}')} as address from manifest where {_ADDRESS('{"size": 768, "strength": 0.5}')} not in (select address from done)"""
+)
+def pending_by_content(spark, d):
+    """What is left to do after the size was raised: outputs of the former size are there, and a quarter of those of the new one."""
+    m = _manifest(spark, d)
+    before, now = {"strength": 0.5, "size": 512}, {"strength": 0.5, "size": 768}
+    outputs = pairing.addressed(m.where("pos % 3 <> 0"), before).unionByName(pairing.addressed(m.where("pos % 4 = 0"), now))
+    return pairing.pending_by_content(m, outputs, now).select("pos", "address")
+
+
 @query(f"with {V('clean_files')} select filename, row_number() over (order by filename) as seq, row_number() over (order by filename) + 7 as item_seed from clean_files")
 def item_seed(spark, d):
     return pairing.item_seed(view(spark, d, "clean_files"), 7).select("filename", "seq", "item_seed")

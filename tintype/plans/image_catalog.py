@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tintype.functions import scalars as S
-from tintype.operators import audit, gray, near, pairing, release, tasks
+from tintype.operators import audit, gray, near, pairing, release, splits, tasks
 from tintype.plans.catalog import query, r
+from tintype.plans.worktables import write_table
 
 _GRAY = "gray8 as (select vec_id as img_id, label, list_transform(embedding, lambda e: least(255, greatest(0, floor((e::double + 0.55) * 230)))::int) as px from embeddings)"
 _SUM = lambda p: f"list_sum(list_transform({p}, lambda v: v::double))"
@@ -169,6 +170,45 @@ def near_dup_components(spark, d):
     return near.near_dup_components(_variants(spark, d), "img_id", "hash", 56, 6)
 
 
+_RELATED = "related as (select img_id, hash, 's' || (img_id // 10)::varchar as source_id, case when img_id % 60 = 0 then 'c' || (img_id // 240)::varchar else 'u' || img_id::varchar end as content from vh)"
+
+
+def _related(spark: SparkSession, d: str) -> DataFrame:
+    """Images and their variants with a source of ten of them and a content that a few share across sources."""
+    k = F.col("img_id")
+    content = F.when(k % 60 == 0, F.concat(F.lit("c"), F.floor(k / 240).cast("string"))).otherwise(F.concat(F.lit("u"), k.cast("string")))
+    return _variants(spark, d).select("img_id", "hash", F.concat(F.lit("s"), F.floor(k / 10).cast("string")).alias("source_id"), content.alias("content"))
+
+
+_NEAR = splits.Near("hash", 56, 6)
+
+
+@query(
+    f"""with recursive {_GRAY}, {_VARIANTS}, {_VHASH}, {_RELATED},
+    e as (select a.img_id as a, b.img_id as b from related a join related b on bit_count(xor(a.hash, b.hash)) <= 6 union select a.img_id, b.img_id from related a join related b using (source_id) union select a.img_id, b.img_id from related a join related b using (content)),
+    reach as (select img_id as n, img_id as m from related union select r.n, e.b from reach r join e on r.m = e.a) select n as img_id, min(m) as "group" from reach group by 1"""
+)
+def leak_free_groups(spark, d):
+    return splits.leak_free_groups(_related(spark, d), "img_id", ["source_id", "content"], _NEAR)
+
+
+@query(
+    """select * from (values ('content', 0), ('near', 0), ('source_id', 0), ('test over 1 % off', 0), ('train over 1 % off', 0), ('validation over 1 % off', 0)) t(relation, crossing)"""
+)
+def leak_free_split(spark, d):
+    """What crosses the splits of whole groups, by relation, and which splits are off their share; nothing should."""
+    shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
+    rows = write_table(_related(spark, d), "related")
+    grouped = splits.leak_free_groups(rows, "img_id", ["source_id", "content"], _NEAR).join(rows, "img_id")
+    done = write_table(splits.split_by_size(grouped, "group", shares), "splits")
+    pairs = near.leak_near(done, *_NEAR)
+    found = splits.crossing(done, "source_id").unionAll(splits.crossing(done, "content")).unionAll(pairs.agg(F.lit("near").alias("relation"), F.count("*").alias("crossing")))
+    total = done.agg(F.count("*").alias("total"))
+    wanted = spark.createDataFrame(list(shares.items()), "split string, share double")
+    off = wanted.join(done.groupBy("split").count(), "split", "left").crossJoin(F.broadcast(total)).select(F.concat("split", F.lit(" over 1 % off")).alias("relation"), (F.abs(F.coalesce("count", F.lit(0)) / F.col("total") - F.col("share")) > 0.01).cast("long").alias("crossing"))
+    return found.unionAll(off)
+
+
 # --- evaluation ---
 
 _CONTRAST = lambda p: f"sqrt({_VAR(p)})"

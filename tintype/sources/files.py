@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,8 +69,57 @@ def write_report(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def freeze_release(df: DataFrame, path: str, version: str, force: bool = False) -> None:
-    """Writes a release by split under its version; an existing version is an error unless ``force``."""
-    df.write.mode("overwrite" if force else "errorifexists").partitionBy("split").parquet(f"{path}/{version}")
+    """Writes a release by split under its version; an existing version is an error unless ``force``.
+
+    The files are written aside and published by one rename, together with a manifest of them and
+    their rows, so a release is there whole or not at all, and a rewrite that fails leaves the one
+    before. Of two writers of a version one succeeds: whose manifest stands there afterwards.
+    """
+    spark, token = df.sparkSession, uuid.uuid4().hex
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    target, aside, old = at(version), at(f"_new-{version}-{token}"), at(f"_old-{version}-{token}")
+    fs = target.getFileSystem(conf)
+    if fs.exists(target) and not force:
+        raise AnalysisException(f"{path}/{version} exists already")
+    try:
+        df.write.partitionBy("split").parquet(aside.toString())
+        _write_manifest_of(spark, aside, token)
+        if force and fs.exists(target):
+            fs.rename(target, old)
+        if not fs.exists(target):
+            fs.rename(aside, target)
+        if (release_manifest(spark, path, version) or {}).get("token") != token:
+            raise AnalysisException(f"{path}/{version} exists already")
+        fs.delete(old, True)
+    finally:
+        if fs.exists(old):  # the new one isn't in its place
+            fs.rename(old, target)
+        for left in (aside, at(f"{version}/{aside.getName()}")):  # a folder that is renamed to one that exists lands in it
+            fs.delete(left, True)
+
+
+def _write_manifest_of(spark: SparkSession, folder, token: str) -> None:
+    """A file ``_manifest`` in a release: its token, and the files and rows of each split."""
+    rows = spark.read.parquet(folder.toString()).groupBy("split", F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"))
+    splits = rows.groupBy("split").agg(F.count("*").alias("files"), F.sum("rows").alias("rows")).orderBy("split").collect()
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(spark._jvm.org.apache.hadoop.fs.Path(folder, "_manifest"))
+    out.write(bytearray(json.dumps({"token": token, "splits": [r.asDict() for r in splits]}).encode()))
+    out.close()
+
+
+def release_manifest(spark: SparkSession, path: str, version: str) -> dict | None:
+    """The manifest of a release: its token, and files and rows of each split; None where there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{version}/_manifest")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    stream = fs.open(at)
+    try:
+        return json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)))
+    finally:
+        stream.close()
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
