@@ -175,3 +175,30 @@ def test_search_index_equals_a_scan(spark, tmp_path):
         assert {(r.task_id, r.filename) for r in index.search(term).collect()} == want, term
     asked = spark.range(1).select(F.explode(jobs.grams(F.lit("111_2"))).alias("gram"))
     assert index.postings.candidates(asked).count() < 0.5 * index.postings.read().count()
+
+
+def test_counts_equal_a_recount_after_any_order_and_a_replay(spark, tmp_path):
+    rng = random.Random(6)
+    counts = jobs.StatusCounts(spark, f"file://{tmp_path}/c", fan=3, bucket_rows=20)
+    assert counts.read() is None
+    batches = [events_of(rng, 30, 25) for _ in range(5)]
+    batches = [[(t, s + 3600 * k, e + 1000 * k, st, f) for t, s, e, st, f in rows] for k, rows in enumerate(batches)]
+    rng.shuffle(batches)
+    seen = []
+    for n, rows in enumerate(batches):
+        seen += rows
+        for _ in range(2 if n in (1, 3) else 1):
+            counts.update(frame(spark, rows), n)
+        want = {}
+        for r in newest(seen).values():
+            want[r[3]] = want.get(r[3], 0) + 1
+        assert {r.status: r.n for r in counts.read().collect()} == want
+    # a batch that died after its counts and before its states
+    rows = [("t1", 1_900_000_000, 10**6, "completed", "x"), ("new", 1_900_000_000, 10**6 + 1, "pending", "x")]
+    states_add, counts.states.add = counts.states.add, lambda *a: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        counts.update(frame(spark, rows), len(batches))
+    counts.states.add = states_add
+    counts.update(frame(spark, rows), len(batches))
+    seen += rows
+    assert sum(r.n for r in counts.read().collect()) == len(newest(seen)) and {r.status: r.n for r in counts.read().collect()}["completed"] == sum(r[3] == "completed" for r in newest(seen).values())

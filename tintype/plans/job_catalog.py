@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tintype.functions.scalars import let
-from tintype.operators import images, kernels, near, patchml, tasks
+from tintype.operators import diffs, images, kernels, near, patchml, sketches, tasks
 from tintype.plans.catalog import _OK, ORACLES, query, r
 from tintype.plans.image_catalog import _GRAY, _MEAN, _VAR, _gray
 from tintype.plans.views import sql as V
@@ -215,6 +215,41 @@ def newest_tasks_stream(spark, d):
     return jobs.read_newest_tasks(spark, f"{at}/newest").select("task_id", "event_id")
 
 
+@query(f"with {V('task_events')}, s as (select task_id, arg_max(status, (ts, event_id)) as status from task_events group by 1) select status, count(*) as n from s group by 1")
+def live_status_counts(spark, d):
+    """Counts by status that four batches of events, the newest first, have brought up to date."""
+    events = view(spark, d, "task_events")
+    counts = jobs.StatusCounts(spark, f"{work_folder(spark)}/counts-{uuid.uuid4().hex}")
+    for number in range(4):
+        counts.update(tasks.latest_per_task(events.where(F.pmod("event_id", F.lit(4)) == 3 - number), ["status"]), number)
+    return counts.read()
+
+
+@query(f"with {V('manifest')} select pos, case when pos % 97 = 5 then 'removed' when pos % 97 = 6 then 'changed' else 'added' end as change from manifest where pos % 97 in (5, 6, 7)")
+def compare_releases(spark, d):
+    """Two releases of the manifest, of which the second lacks some rows, has some others and changed ones."""
+    rows = view(spark, d, "manifest").select("pos", "source_id", "license", "width", "height", "sha256")
+    at = f"{work_folder(spark)}/releases-{uuid.uuid4().hex}"
+    diffs.write_hashed(rows.where("pos % 97 <> 7"), f"{at}/a", "pos")
+    diffs.write_hashed(rows.where("pos % 97 <> 5").withColumn("width", F.col("width") + F.when(F.col("pos") % 97 == 6, 1).otherwise(0)), f"{at}/b", "pos")
+    return diffs.compare_releases(spark, f"{at}/a", f"{at}/b", "pos")
+
+
+@query("select 'rank off by over 1 %' as found, 0 as n union all select 'merged apart from whole', 0")
+def sketch_quantiles(spark, d):
+    """Quantiles of line prices by part size from sketches of each year's lines: how many are off in rank, or apart from a sketch of all lines."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select((F.col("l_quantity") % 5).cast("int").alias("g"), F.year("l_shipdate").alias("y"), F.col("l_extendedprice").cast("double").alias("v"))
+    fractions = [0.1, 0.25, 0.5, 0.9]
+    merged = sketches.merged_sketches(sketches.quantile_sketches(lines, "v", ["g", "y"]), ["g"])
+    both = [sketches.sketched_quantiles(s, ["g"], fractions).select("g", F.posexplode("p").alias("i", q)) for s, q in ((merged, "m"), (sketches.quantile_sketches(lines, "v", ["g"]), "w"))]
+    asked = F.broadcast(both[0].join(both[1], ["g", "i"]))  # a row a group and fraction, five groups
+    ranks = lines.join(asked, "g").groupBy("g", "i").agg(*[F.avg((F.col("v") < F.col(q)).cast("double")).alias(f"{q}_lo") for q in "mw"], *[F.avg((F.col("v") <= F.col(q)).cast("double")).alias(f"{q}_hi") for q in "mw"])
+    at = F.element_at(F.array(*[F.lit(f) for f in fractions]), F.col("i") + 1)
+    off = lambda q: (F.col(f"{q}_lo") > at + 0.01) | (F.col(f"{q}_hi") < at - 0.01)
+    apart = (F.col("m_lo") > F.col("w_hi") + 0.01) | (F.col("w_lo") > F.col("m_hi") + 0.01)
+    return ranks.agg(F.count_if(off("m") | off("w")).alias("a"), F.count_if(apart).alias("b")).select(F.explode(F.array(F.struct(F.lit("rank off by over 1 %").alias("found"), F.col("a").alias("n")), F.struct(F.lit("merged apart from whole").alias("found"), F.col("b").alias("n")))).alias("x")).select("x.*")
+
+
 @query(ORACLES["search_history"])
 def search_index(spark, d):
     """The search of the history by its index, which is filled in four batches of events."""

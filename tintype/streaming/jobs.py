@@ -241,3 +241,37 @@ class HistoryIndex:
             tasks = posted.groupBy("task_id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == many).select("task_id")
             states = self.states.lookup(tasks)
         return search_history(states.drop("deleted"), term)
+
+
+class StatusCounts:
+    """How many tasks have each status, kept up to date by what changes: a new status adds one, and takes one from the task's old."""
+
+    def __init__(self, spark: SparkSession, path: str, **sizes: int):
+        self.states = task_states(spark, f"{path}/states", ["status"], **sizes)
+        self.counts = Runs(spark, f"{path}/counts", "status", lambda rows: rows.groupBy("status").agg(F.sum("n").alias("n")), **sizes)
+
+    def update(self, changed: DataFrame, number: int) -> None:
+        """Takes in a batch of states (task_id, ts, event_id, status), in any order of their times; a batch that comes again changes nothing.
+
+        The states are written last, so that a batch that failed midway finds the old states again.
+        """
+        if self.states.has(number):
+            return
+        new = _newest(["status"])(changed.select("task_id", "ts", "event_id", F.lit(False).alias("deleted"), "status")).persist()
+        try:
+            old = self.states.lookup(new)
+            moves = new.select(F.col("status").alias("to"), F.lit(None).cast("string").alias("from"))
+            if old is not None:
+                before = old.select("task_id", F.struct("ts", "event_id").alias("was"), F.col("status").alias("from"))
+                later = F.col("was").isNull() | (F.struct("ts", "event_id") > F.col("was"))
+                moves = new.join(before, "task_id", "left").where(later).select(F.col("status").alias("to"), "from")
+            steps = F.explode(F.array(F.struct(F.col("to").alias("status"), F.lit(1).cast("long").alias("n")), F.struct(F.col("from").alias("status"), F.lit(-1).cast("long").alias("n"))))
+            self.counts.add(moves.select(steps.alias("s")).select("s.*").where("status is not null").groupBy("status").agg(F.sum("n").alias("n")), number)
+            self.states.add(new, number)
+        finally:
+            new.unpersist()
+
+    def read(self) -> DataFrame | None:
+        """(status, n) of the statuses that tasks have now."""
+        rows = self.counts.read()
+        return None if rows is None else rows.where("n > 0")

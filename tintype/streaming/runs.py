@@ -78,6 +78,10 @@ class Runs:
         path, fs = self._fs(f"{self.path}/{run.folder}")
         fs.delete(path, True)
 
+    def has(self, number: int) -> bool:
+        """Whether a batch is part of the table."""
+        return any(r.first <= number <= r.last for r in self.runs())
+
     def add(self, rows: DataFrame, number: int) -> None:
         """Adds a batch. A batch that is given again replaces itself, and changes nothing once it is part of a merged run."""
         now = self.runs()
