@@ -26,7 +26,11 @@ def plain_frequent(docs):
     for th, m in minima.items():
         for k in (0, 1):
             led[k][m[k]] = min(led[k].get(m[k], th), th)
-    of = {th: min(led[0][m[0]], led[1][m[1]]) for th, m in minima.items()}
+    sets = defaultdict(set)
+    for r in lines:
+        sets[r.th].add(r.lk)
+    close = lambda a, b: 2 * len(sets[a] & sets[b]) > max(len(sets[a]), len(sets[b]))
+    of = {th: min(x for x in (th, led[0][m[0]], led[1][m[1]]) if close(th, x)) for th, m in minima.items()}
     hosts, held = defaultdict(set), defaultdict(set)
     for r in lines:
         hosts[r.hh].add(of[r.th])

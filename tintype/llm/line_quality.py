@@ -95,14 +95,24 @@ def frequent_lines(lines: DataFrame, document: Column, min_docs: int = 10, max_s
 
 
 def near_classes(lines: DataFrame) -> DataFrame:
-    """(th, class): texts that share most of their lines, by two minimum hashes of their lines.
+    """(th, class): texts that share most of their lines with a leader have its class, others their own.
 
-    Texts with an equal minimum are led by the least of them, and a text's class is the lesser of
-    its two leaders. A copy with one line of many changed keeps one of both minima nearly always.
+    A leader is the least of the texts that have an equal minimum hash of their lines, under one of
+    two hashes; a copy with one line of many changed keeps one of both nearly always. As one common
+    line can be the minimum of texts that share nothing else, the lines of a text and its leader are
+    counted: over half of those of the longer one have to be equal. With two such leaders the lesser
+    gives the class.
     """
-    two = lines.groupBy("th").agg(F.min("lk").alias("one"), F.min(F.xxhash64("lk")).alias("two"))
+    sets = write_table(lines.select("th", "lk").distinct(), "line-sets")
+    two = sets.groupBy("th").agg(F.min("lk").alias("one"), F.min(F.xxhash64("lk")).alias("two"), F.count("*").alias("size"))
     led = [two.groupBy(k).agg(F.min("th").alias(f"by_{k}")) for k in ("one", "two")]
-    return two.join(led[0], "one").join(led[1], "two").select("th", F.least("by_one", "by_two").alias("class"))
+    placed = write_table(two.join(led[0], "one").join(led[1], "two").select("th", "size", F.array_distinct(F.array("by_one", "by_two")).alias("leaders")), "leaders")
+    asked = placed.select("th", "size", F.explode("leaders").alias("leader")).where("leader <> th")
+    sizes = placed.select(F.col("th").alias("leader"), F.col("size").alias("leader_size"))
+    met = asked.join(sets, "th").join(sets.withColumnRenamed("th", "leader"), ["leader", "lk"])
+    common = met.groupBy("th", "leader").agg(F.count("*").alias("both"), F.first("size").alias("size"))
+    near = common.join(sizes, "leader").where(2 * F.col("both") > F.greatest("size", "leader_size")).groupBy("th").agg(F.min("leader").alias("leader"))
+    return placed.select("th").join(near, "th", "left").select("th", F.least("th", F.coalesce("leader", "th")).alias("class"))
 
 
 def quality_rules(
