@@ -248,7 +248,8 @@ def quality(
 
     Null and empty texts have one position, the end; null languages are a language of their own;
     repeated rows are judged alike; without labels nothing is trusted and every row is kept, with
-    null as threshold; an empty table gives an empty result; other columns are ignored.
+    null as threshold; an empty table gives an empty result; other columns are ignored. A text at its
+    threshold is kept; a very long text is counted in parts and is one row as any other.
     """
     trusted = labels.groupBy(F.col(id).alias("doc_id")).agg(F.min("quality").alias("q"), F.max(F.coalesce("toxic", F.lit(0))).alias("t")).where("q = 1 and t = 0 and doc_id is not null").select("doc_id")
     trusted = write_table(trusted, "trusted")
