@@ -15,7 +15,7 @@ def write_hashed(df: DataFrame, path: str, key: str) -> None:
     digits = F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256)
     hashes = [F.xxhash64(F.lit(i), *[F.col(c) for c in sorted(df.columns)]) for i in (1, 2)]
     rows = df.withColumns({"_leaf": F.substring(digits, 1, 4), "_h1": hashes[0], "_h2": hashes[1]}).withColumn("_branch", F.substring("_leaf", 1, 2))
-    rows.repartition(256, "_branch").sortWithinPartitions("_branch", "_leaf").write.partitionBy("_branch").parquet(f"{path}/rows")
+    rows.repartition("_branch").sortWithinPartitions("_branch", "_leaf").write.partitionBy("_branch").parquet(f"{path}/rows")
     done = df.sparkSession.read.parquet(f"{path}/rows")
     sums = [F.sum(F.col(h).cast("decimal(38,0)")).alias(h) for h in ("_h1", "_h2")]
     done.groupBy(F.substring("_leaf", 1, 2).alias("branch"), F.col("_leaf").alias("leaf")).agg(F.count("*").alias("n"), *sums).repartition(1).sortWithinPartitions("leaf").write.parquet(f"{path}/tree")  # 65,536 rows at most
