@@ -21,7 +21,7 @@ def test_comparison_equals_a_full_outer_join_and_reads_what_differs(spark, tmp_p
     want = {(k, "removed") for k in a.keys() - b.keys()} | {(k, "added") for k in b.keys() - a.keys()} | {(k, "changed") for k in a.keys() & b.keys() if a[k] != b[k]}
     for name, rows in (("a", a), ("b", b), ("c", a)):
         df = spark.createDataFrame([(k, *v) for k, v in rows.items()], "key string, n int, v string")
-        diffs.write_hashed(df.repartition(3 if name == "c" else 5), f"file://{tmp_path}/{name}", "key")
+        diffs.write_hashed(df.repartition(3 if name == "c" else 5), f"file://{tmp_path}/{name}", "key", 1)
     found = diffs.compare_releases(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b", "key")
     assert {(r.key, r.change) for r in found.collect()} == want
     branches, leaves = diffs.differing(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/b")

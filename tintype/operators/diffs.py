@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_hashed(df: DataFrame, path: str, key: str) -> None:
-    """Writes rows by the first two digits of their key's hash (256 branches), and beside them the tree.
+def write_hashed(df: DataFrame, path: str, key: str, digits: int = 2) -> None:
+    """Writes rows by the first ``digits`` digits of their key's hash (256 branches for two), and beside them the tree.
 
-    The tree has a row a leaf (four digits): how many rows it has and sums of two hashes of them,
+    The tree has a row a leaf (twice the digits): how many rows it has and sums of two hashes of them,
     which depend on neither order nor files. A branch is the sum of its leaves.
     """
-    digits = F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256)
+    spread = F.sha2(F.coalesce(F.col(key).cast("string"), F.lit("")), 256)
     hashes = [F.xxhash64(F.lit(i), *[F.col(c) for c in sorted(df.columns)]) for i in (1, 2)]
-    rows = df.withColumns({"_leaf": F.substring(digits, 1, 4), "_h1": hashes[0], "_h2": hashes[1]}).withColumn("_branch", F.substring("_leaf", 1, 2))
+    rows = df.withColumns({"_leaf": F.substring(spread, 1, 2 * digits), "_h1": hashes[0], "_h2": hashes[1]}).withColumn("_branch", F.substring("_leaf", 1, digits))
     rows.repartition("_branch").sortWithinPartitions("_branch", "_leaf").write.partitionBy("_branch").parquet(f"{path}/rows")
     done = df.sparkSession.read.parquet(f"{path}/rows")
     sums = [F.sum(F.col(h).cast("decimal(38,0)")).alias(h) for h in ("_h1", "_h2")]
-    done.groupBy(F.substring("_leaf", 1, 2).alias("branch"), F.col("_leaf").alias("leaf")).agg(F.count("*").alias("n"), *sums).repartition(1).sortWithinPartitions("leaf").write.parquet(f"{path}/tree")  # 65,536 rows at most
+    done.groupBy(F.substring("_leaf", 1, digits).alias("branch"), F.col("_leaf").alias("leaf")).agg(F.count("*").alias("n"), *sums).repartition(1).sortWithinPartitions("leaf").write.parquet(f"{path}/tree")  # 65,536 rows at most for two digits
 
 
 def _unequal(a: DataFrame, b: DataFrame, level: str) -> list[str]:
@@ -39,13 +39,15 @@ def differing(spark: SparkSession, before: str, after: str) -> tuple[list[str],
 def compare_releases(spark: SparkSession, before: str, after: str, key: str) -> DataFrame:
     """(key, change): the keys of added, removed and changed rows; rows of one key are compared as a whole.
 
-    Reads the trees, and of the rows only the differing leaves of the differing branches.
+    Reads the trees, and of the rows only the differing leaves of the differing branches. Both
+    releases were written with the same number of digits.
     """
     branches, leaves = differing(spark, before, after)
+    digits = max(map(len, branches), default=1)
 
     def part(path: str) -> DataFrame:
         rows = spark.read.parquet(f"{path}/rows")
-        rows = rows.withColumn("_branch", F.col("_branch").cast("string")).where(F.lpad("_branch", 2, "0").isin(branches) & F.col("_leaf").isin(leaves))
+        rows = rows.withColumn("_branch", F.col("_branch").cast("string")).where(F.lpad("_branch", digits, "0").isin(branches) & F.col("_leaf").isin(leaves))
         return rows.groupBy(key).agg(F.count("*").alias("n"), F.sum(F.col("_h1").cast("decimal(38,0)")).alias("x"), F.sum(F.col("_h2").cast("decimal(38,0)")).alias("y"))
 
     a, b = part(before).alias("a"), part(after).alias("b")

@@ -230,8 +230,8 @@ def compare_releases(spark, d):
     """Two releases of the manifest, of which the second lacks some rows, has some others and changed ones."""
     rows = view(spark, d, "manifest").select("pos", "source_id", "license", "width", "height", "sha256")
     at = f"{work_folder(spark)}/releases-{uuid.uuid4().hex}"
-    diffs.write_hashed(rows.where("pos % 97 <> 7"), f"{at}/a", "pos")
-    diffs.write_hashed(rows.where("pos % 97 <> 5").withColumn("width", F.col("width") + F.when(F.col("pos") % 97 == 6, 1).otherwise(0)), f"{at}/b", "pos")
+    diffs.write_hashed(rows.where("pos % 97 <> 7"), f"{at}/a", "pos", 1)
+    diffs.write_hashed(rows.where("pos % 97 <> 5").withColumn("width", F.col("width") + F.when(F.col("pos") % 97 == 6, 1).otherwise(0)), f"{at}/b", "pos", 1)
     return diffs.compare_releases(spark, f"{at}/a", f"{at}/b", "pos")
 
 
