@@ -199,7 +199,7 @@ def leak_free_split(spark, d):
     """What crosses the splits of whole groups, by relation, and which splits are off their share; nothing should."""
     shares = {"train": 0.8, "validation": 0.1, "test": 0.1}
     rows = write_table(_related(spark, d), "related")
-    grouped = splits.leak_free_groups(rows, "img_id", ["source_id", "content"], _NEAR).join(rows, "img_id")
+    grouped = write_table(splits.leak_free_groups(rows, "img_id", ["source_id", "content"], _NEAR).join(rows, "img_id"), "grouped")
     done = write_table(splits.split_by_size(grouped, "group", shares), "splits")
     pairs = near.leak_near(done, *_NEAR)
     found = splits.crossing(done, "source_id").unionAll(splits.crossing(done, "content")).unionAll(pairs.agg(F.lit("near").alias("relation"), F.count("*").alias("crossing")))
