@@ -39,6 +39,30 @@ def test_images_are_listed_decoded_and_described(spark, tmp_path):
     assert {len(r.dhash) for r in images.full_dhash(decoded, "lanczos").where("status = 'ok'").collect()} == {36}
 
 
+def test_written_images_are_read_alike(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    shapes = {"a.png": (7, 5, 1), "b.png": (3, 9, 3), "c.PNG": (1, 1, 3)}
+    rows = [(n, h, w, c, bytearray(rng.integers(0, 256, h * w * c).astype(np.uint8))) for n, (h, w, c) in shapes.items()]
+    schema = "filename string, height int, width int, nChannels int, data binary, extra int"
+    empty = [(None, 1, 1, 1, bytearray(b"x"), 0), ("d.png", 1, 1, 1, None, 0), ("e.png", 0, 1, 1, bytearray(), 0)]
+    at = f"file://{tmp_path}/new/images"
+    for _ in range(2):  # a task that runs again
+        files.write_images(spark.createDataFrame([(*r, 0) for r in rows] + empty + [(*rows[0], 1)], schema), at)
+    got = {r.filename: (r.height, r.width, r.nChannels, r.data) for r in files.decode_images(spark, at).collect()}
+    assert got == {n: (h, w, c, data) for n, h, w, c, data in rows}
+    assert sorted(p.name for p in (tmp_path / "new/images").iterdir()) == sorted(shapes)
+    files.write_images(spark.createDataFrame([], schema), f"file://{tmp_path}/none")
+    for wrong in [(2, 2, 1, bytearray(b"xyz")), (1, 1, 2, bytearray(b"xy"))]:
+        with pytest.raises(Exception, match="(?i)reshape|KeyError"):
+            files.write_images(spark.createDataFrame([("x.png", *wrong, 0)], schema), f"file://{tmp_path}/wrong")
+
+
+def test_manifest_keeps_outer_spaces(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "  a "), ("2", ""), ("3", None), ("4", '\n"b",')], "id string, notes string")
+    files.write_manifest(rows, str(tmp_path / "m"), MANIFEST_FIELDS)
+    assert {r.id: r.notes for r in files.read_manifest(spark, str(tmp_path / "m")).collect()} == {"1": "  a ", "2": None, "3": None, "4": '\n"b",'}
+
+
 def test_manifest_csv_round_trip_with_mark_quotes_and_breaks(spark, tmp_path):
     text = "﻿id,source_id,width,notes,extra\n1,s1,640,\"a \"\"quoted\"\"\nline\",x\n2,s2,many,,y\n"
     (tmp_path / "m.csv").write_text(text, encoding="utf-8")

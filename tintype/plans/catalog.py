@@ -694,7 +694,7 @@ def rater_summary(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from tintype.plans import image_catalog, job_catalog  # noqa: F401  register their queries
+    from tintype.plans import file_catalog, image_catalog, job_catalog  # noqa: F401  register their queries
 
     return dict(QUERIES)
 

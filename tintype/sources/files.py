@@ -3,8 +3,14 @@
 from __future__ import annotations
 
 import json
+import struct
 import uuid
+import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,15 +43,47 @@ def decode_images(spark: SparkSession, path: str, suffixes: list[str] = IMAGE_SU
     return rows.select("origin", "filename", "height", "width", "nChannels", "data", "sha256", (F.col("height") > 0).alias("decode_ok"))
 
 
+def _png(height: int, width: int, channels: int, data: bytes) -> bytes:
+    """A PNG of gray or of blue, green and red pixels, as the image source has them."""
+    pixels = np.frombuffer(data, np.uint8).reshape(height, width, channels)[..., ::-1]
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), pixels.reshape(height, width * channels)], axis=1)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    head = struct.pack(">IIBBBBB", width, height, 8, {1: 0, 3: 2}[channels], 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def write_images(df: DataFrame, path: str) -> None:
+    """Writes rows (filename, height, width, nChannels, data) of the image source as PNG files of their names to a folder.
+
+    Tasks write their own files, each aside and moved to its name at the end, so that a task that
+    runs again leaves whole files. Rows without a name or pixels write nothing; of rows that share a
+    name one stays. Pixels that don't fill the height, width and one or three channels are an error.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pyarrow.fs.FileSystem.from_uri(path)
+        fs.create_dir(folder)
+        for batch in batches:
+            for r in batch.to_pylist():
+                aside = f"{folder}/_{uuid.uuid4().hex}"
+                with fs.open_output_stream(aside) as out:
+                    out.write(_png(r["height"], r["width"], r["nChannels"], r["data"]))
+                fs.move(aside, f"{folder}/{r['filename']}")
+            yield pa.RecordBatch.from_arrays([batch.column("filename")], ["filename"])
+
+    rows = df.select("filename", "height", "width", "nChannels", "data").where("filename is not null and data is not null and height * width > 0")
+    rows.mapInArrow(put, "filename string").write.format("noop").mode("overwrite").save()
+
+
 def read_manifest(spark: SparkSession, path: str, schema: T.StructType = MANIFEST) -> DataFrame:
-    """A CSV manifest (UTF-8, with or without mark): columns by name, values cast to the schema's types, null where they don't fit; missing columns are null."""
+    """A CSV manifest (UTF-8, with or without mark): columns by name, values cast to the schema's types, null where they are empty or don't fit; missing columns are null."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False)
     return raw.select(*[(F.expr(f"try_cast(`{f.name}` as {f.dataType.simpleString()})") if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema.fields])
 
 
 def write_manifest(df: DataFrame, path: str, fields: list[str], mode: str = "errorifexists") -> None:
     """CSV with the given columns in order; others are dropped, missing ones are empty."""
-    df.select(*[F.col(c).cast("string").alias(c) if c in df.columns else F.lit("").alias(c) for c in fields]).write.mode(mode).csv(path, header=True, quote='"', escape='"')
+    df.select(*[F.col(c).cast("string").alias(c) if c in df.columns else F.lit("").alias(c) for c in fields]).write.mode(mode).csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = RAW_RECORD) -> tuple[DataFrame, DataFrame]:
