@@ -203,14 +203,7 @@ def learned_mask(images: DataFrame, model: PipelineModel, size: int = SIZE, stri
 
 
 def cut_patches(windows: DataFrame) -> DataFrame:
-    """(origin, y, x, patch) of planned corners: windows has origin, y, x, size, gray, width."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for r in b.to_pylist():
-                a = np.frombuffer(r["gray"], np.uint8).reshape(-1, r["width"])
-                out.append({"origin": r["origin"], "y": r["y"], "x": r["x"], "patch": a[r["y"] : r["y"] + r["size"], r["x"] : r["x"] + r["size"]].ravel().tolist()})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("origin", pa.string()), ("y", pa.int32()), ("x", pa.int32()), ("patch", pa.list_(pa.int32()))]))
-
-    return windows.select("origin", "y", "x", "size", "gray", "width").mapInArrow(run, "origin string, y int, x int, patch array<int>")
+    """(origin, y, x, patch) of planned corners: windows has origin, y, x, size, gray (a byte a pixel) and width; patch is the bytes of its rows."""
+    row = lambda k: F.substring("gray", (F.col("y") + k) * F.col("width") + F.col("x") + 1, F.col("size"))
+    rows = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.hex(row(k)))
+    return windows.select("origin", "y", "x", F.unhex(F.array_join(rows, "")).alias("patch"))

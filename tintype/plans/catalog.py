@@ -532,7 +532,7 @@ _MIX = {"single_portrait": 0.35, "group_portrait": 0.20, "indoor_scene": 0.25, "
 
 
 @query(
-    f"with {V('manifest')}, t as (select * from (values {', '.join(f'({chr(39)}{k}{chr(39)}, {v}::double)' for k, v in _MIX.items())}) t(value, target)), s as (select value, target, {r('(select count(*) from manifest where content_type = value) / (select count(*) from manifest)', 4)} as share from t) select value, share, target, {r('share - target', 4)} as gap from s"
+    f"with {V('manifest')}, t as (select * from (values {', '.join(f"('{k}', {v}::double)" for k, v in _MIX.items())}) t(value, target)), s as (select value, target, {r('(select count(*) from manifest where content_type = value) / (select count(*) from manifest)', 4)} as share from t) select value, share, target, {r('share - target', 4)} as gap from s"
 )
 def mix_check(spark, d):
     return release.mix_check(_manifest(spark, d), "content_type", _MIX)

@@ -175,6 +175,18 @@ def patch_features(spark, d):
     return _patches(spark, d).select("patch_id", F.size("features").alias("n"), f(400).cast("double").alias("mean"), share(0).alias("none_brighter"), share(255).alias("all_brighter"), share(127).alias("seven_brighter"))
 
 
+_CUT = "list_transform(range(64), lambda i: printf('%02x', px[(y + i // 8) // 4 * 8 + (x + i % 8) // 4 + 1]))"
+
+
+@query(f"with {_GRAY}, corner as (select * from (values (0), (12), (24)) t(c)), w as (select img_id, px, a.c as y, b.c as x from gray8, corner a, corner b where px is not null) select img_id::varchar as origin, y::int as y, x::int as x, sha256(unhex(array_to_string({_CUT}, ''))) as patch from w")
+def cut_patches(spark, d):
+    """Nine patches of 8x8 of every image."""
+    corners = F.array(*[F.lit(c) for c in (0, 12, 24)])
+    images = _large(spark, d).where("data is not null").select("origin", "width", F.lit(8).alias("size"), F.col("data").alias("gray"))
+    windows = images.withColumn("y", F.explode(corners)).withColumn("x", F.explode(corners))
+    return patchml.cut_patches(windows).select("origin", "y", "x", F.sha2("patch", 256).alias("patch"))
+
+
 @query()
 def score_patches(spark, d):
     rows = _patches(spark, d)
