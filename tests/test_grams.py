@@ -26,3 +26,13 @@ def test_matches_inside_names_and_names_without_mark(spark):
     assert {r.damaged: r.reference for r in pairing.match_reference(df(asked), df(names)).collect()} == asked
     assert {r.reference for r in pairing.match_reference(df(["x_dmg_door.jpg"]), df(names), extension=True).collect()} == {None}
     assert {r.reference for r in pairing.match_reference(df(["x_dmg_door.png"]), df(names), extension=True).collect()} == {"europ_9_old_door.png"}
+
+
+def test_no_side_that_grows_is_broadcast(spark):
+    df = lambda rows, c: spark.createDataFrame([(x,) for x in rows], f"{c} string")
+    names = df([f"met_{i % 7}_{i}.jpg" for i in range(300)], "filename")
+    plan = pairing.match_reference(df(["x_dmg_29.png", "x_dmg_299.png", "x_dmg_.png"], "filename"), names)
+    done = plan.collect()
+    assert {r.damaged: r.reference for r in done} == {"x_dmg_29.png": min(f"met_{i % 7}_{i}.jpg" for i in range(300) if "29" in f"met_{i % 7}_{i}"), "x_dmg_299.png": "met_5_299.jpg", "x_dmg_.png": "met_0_0.jpg"}
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in text  # the one row of sizes meets the names in a nested loop

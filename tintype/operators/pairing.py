@@ -91,15 +91,15 @@ def match_reference(damaged: DataFrame, clean: DataFrame, extension: bool = Fals
     """(damaged, reference): the least clean name of a known collection that holds the damaged file's base name; null for none.
 
     The base is what stands after the first ``_dmg_`` (up to a second one), or the whole name without
-    one; with ``extension`` the file's extension belongs to it. The match is by grams, see
-    ``least_containing``, so no pair of names is compared that shares no rare gram.
+    one; with ``extension`` the file's extension belongs to it. The match is by windows of the names,
+    see ``least_containing``: joins of equal strings, none of which is broadcast.
     """
     name = F.col("filename") if extension else stem(F.col("filename"))
     parts = F.split(name, "_dmg_")
     asked = damaged.select(F.col("filename").alias("damaged"), F.coalesce(F.get(parts, F.lit(1)), name).alias("base"))
     known = clean.where(F.startswith("filename", F.lit("europ_9")) | F.startswith("filename", F.lit("met_")))
     least = least_containing(asked, known, "base", "filename").select(F.col("fragment").alias("base"), F.col("name").alias("reference"))
-    return asked.join(least, "base", "left").groupBy("damaged").agg(F.min("reference").alias("reference"))
+    return asked.join(least.hint("merge"), "base", "left").groupBy("damaged").agg(F.min("reference").alias("reference"))
 
 
 def assign_textures(images: DataFrame, textures: DataFrame, k: int, seed: int) -> DataFrame:
