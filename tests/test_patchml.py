@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from tintype.operators import images, kernels, patchml
@@ -236,3 +237,35 @@ def test_training_crops_are_alike_on_both_sides(spark):
         assert any(np.array_equal(a, o[y : y + 24, x : x + 24]) for o in options for y in range(o.shape[0] - 23) for x in range(o.shape[1] - 23))
     small = kernels.paired_crop(rgb[:10], rgb[:10], 24, 1)[0]
     assert small.shape == (24, 24, 3)
+
+
+def test_features_of_many_patches_are_those_of_each():
+    for size, version in ((8, 2), (8, 1), (32, 2)):
+        some = RNG.integers(0, 256, (70, size, size)).astype(np.uint8)
+        some[:4] = np.array([0, 15, 128, 255])[:, None, None]
+        assert np.array_equal(patchml.features_of(some, version), [patchml.features(p, version) for p in some])
+        gray = np.histogram(some[9], bins=16, range=(0, 256))[0] / size**2
+        gx, gy = patchml.gradients(some[9])
+        turned = np.histogram(np.arctan2(gy, gx), bins=8, range=(-np.pi, np.pi))[0] / size**2
+        got = patchml.features(some[9])
+        assert got[404] == pytest.approx(-(gray * np.log2(gray + 1e-7)).sum(), rel=1e-5) and got[408:416] == pytest.approx(turned, rel=1e-5)
+
+
+def test_windows_of_one_file_are_made_by_many_tasks(spark):
+    image = spark.range(64).coalesce(1).selectExpr("cast(id as string) as origin", "8 as width", "8 as height", "1 as nChannels", "unhex(repeat(hex(cast(id % 8 as int) + 16), 64)) as data")
+    made = patchml.window_features(image, 8, 8, None)
+    at = made.select("origin", F.spark_partition_id().alias("task")).collect()
+    assert len(at) == 64 and len({r.task for r in at}) > 8
+
+
+def test_trees_are_trained_as_several_forests(spark):
+    rows = spark.range(1200).selectExpr("id as patch_id", "cast(id % 2 as int) as target", "transform(sequence(0, 5), i -> cast(id % 2 * 3 + (id * 7 + i) % 5 as float)) as features")
+    model, accuracies = patchml.train_patch_classifier(rows, trees=10, depth=4, folds=2)
+    forests = model.stages[1:]
+    assert [f.getNumTrees for f in forests] == [3, 3, 2, 2] and len({f.trees[0].toDebugString for f in forests}) > 1
+    assert len(accuracies) == 2 and min(accuracies) > 0.9
+    scored = model.transform(rows.limit(50).withColumn("raw", array_to_vector(F.col("features").cast("array<double>")))).collect()
+    want = {r.patch_id: sum(t.predictProbability(r.scaled)[1] for f in forests for t in f.trees) / 10 for r in scored[:8]}
+    got = {r.patch_id: r.prob for r in patchml.score_patches(model, rows.where(F.col("patch_id").isin(list(want)))).collect()}
+    assert got == pytest.approx(want)
+    assert sum(v for _, v in patchml.top_importances(model)) == pytest.approx(1)

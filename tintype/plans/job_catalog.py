@@ -14,7 +14,7 @@ from tintype.plans.catalog import _OK, ORACLES, query, r
 from tintype.plans.image_catalog import _GRAY, _MEAN, _VAR, _gray
 from tintype.plans.views import sql as V
 from tintype.plans.views import VIEWS, view
-from tintype.plans.worktables import work_folder
+from tintype.plans.worktables import spread, work_folder
 from tintype.streaming import jobs
 
 
@@ -160,7 +160,7 @@ def restore_batch(spark, d):
 
 def _patches(spark: SparkSession, d: str) -> DataFrame:
     rows = _gray(spark, d).select(F.col("img_id").alias("patch_id"), "px", (F.col("label") < 5).cast("int").alias("target"))
-    return patchml.patch_features(rows, "px", 8)
+    return patchml.patch_features(spread(rows), "px", 8)
 
 
 # the eight neighbours of a pattern code as (rows, columns) to go back, and the code of pixel i of an 8x8 patch
