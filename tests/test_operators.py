@@ -206,3 +206,14 @@ def test_empty_tables_give_empty_results(spark):
     assert gates["decode_errors"] and not gates["test_rows"] and release.release_fingerprint(m, ["id"]).count() == 1
     e = spark.createDataFrame([], "task_id string, ts timestamp, event_id long, status string, mode string")
     assert tasks.latest_per_task(e, ["status"]).count() == 0 and tasks.task_durations(e).count() == 0
+
+
+def test_textures_of_one_file_of_images_are_drawn_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from tintype.operators import pairing
+
+    images = spark.range(400).coalesce(1).selectExpr("concat('p_', id) as filename")
+    textures = spark.range(7).selectExpr("concat('t_', id) as texture")
+    rows = pairing.assign_textures(images, textures, 3, 5).select("*", F.spark_partition_id().alias("task")).collect()
+    assert len(rows) == 1200 and len({r.task for r in rows}) > 8

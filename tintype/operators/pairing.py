@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tintype.functions.scalars import group_bucket, seeded_order, stem
 from tintype.operators.grams import least_containing
 from tintype.operators.intake import ranked
+from tintype.plans.worktables import spread
 
 #: Rows of a table that is broadcast without looking at its size: a configuration grid, a texture list.
 SMALL = 10_000
@@ -103,12 +104,15 @@ def match_reference(damaged: DataFrame, clean: DataFrame, extension: bool = Fals
 
 
 def assign_textures(images: DataFrame, textures: DataFrame, k: int, seed: int) -> DataFrame:
-    """(filename, slot, texture): k textures for each image (or all there are), in an order seeded by image, texture and seed."""
+    """(filename, slot, texture): k textures for each image (or all there are), in an order seeded by image, texture and seed.
+
+    Every texture is hashed for every image, so the images' names, which a few tasks read, are dealt over many.
+    """
     if k < 1:
         raise ValueError("k is at least 1")
     every = F.broadcast(_small(textures, "textures").agg(F.sort_array(F.collect_list("texture")).alias("all")))  # one row, of as many textures as were counted
     order = F.array_sort(F.transform("all", lambda t: F.struct(seeded_order("filename", t, F.lit(str(seed))).alias("o"), t.alias("texture"))))
-    return images.crossJoin(every).select("filename", F.posexplode(F.slice(order, 1, k)).alias("slot", "x")).select("filename", "slot", "x.texture")
+    return spread(images).crossJoin(every).select("filename", F.posexplode(F.slice(order, 1, k)).alias("slot", "x")).select("filename", "slot", "x.texture")
 
 
 def split_linspace(df: DataFrame, n: int, order: str) -> DataFrame:
