@@ -486,6 +486,23 @@ def test_log_probabilities_equal_a_plain_model(spark, monkeypatch):
             assert r.n_words == len((asked[r.doc_id] or "").split())
 
 
+def test_ngrams_are_on_disk_a_slice_at_a_time(spark, monkeypatch):
+    rng = random.Random(10)
+    texts = [" ".join(f"{rng.choice('abc')}{rng.randrange(60)}" for _ in range(rng.randrange(1, 90))) for _ in range(100)]
+    asked = [*texts[:20], *texts[:2], "a1 b2 zz c3", None, "", f"a\u00a0{'x' * 40} é"]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(asked)], "doc_id long, text string, lang string")
+    score, rows, write = plain_model(texts), [], kneser_ney.write_table
+    monkeypatch.setattr(kneser_ney, "ONE_SLICE", 0, raising=False)
+    monkeypatch.setattr(kneser_ney, "SLICES", 3, raising=False)
+    monkeypatch.setattr(kneser_ney, "IN_PLACE", 30)
+    monkeypatch.setattr(kneser_ney, "write_table", lambda table, name: rows.append((written := write(table, name)).count()) or written)
+    for r in kneser_ney.log_probabilities(df, *kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))).collect():
+        assert r.logp == pytest.approx(score(asked[r.doc_id]), rel=1e-6), asked[r.doc_id]
+    words = [["<s>", *t.split(), "</s>"] for t in texts]
+    known = sum(len({tuple(w[i : i + n]) for w in words for i in range(len(w) - n + 1)}) for n in (1, 2, 3))
+    assert max(rows) < 0.75 * known
+
+
 def test_quality_without_labels_and_rows(spark):
     docs = spark.createDataFrame([(1, "a b", None), (None, None, "en"), (1, "a b", None)], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -8,142 +8,220 @@ a constant per word plus a sum over its n-grams of count times weight: a join of
 That join is sharded by n-gram: counts of a document meet the weights by shuffle. Before it, what
 can't be in the model is left out by membership filters of fixed size, and the model's most
 frequent n-grams, a fixed number, are looked up where the text is, so no key is hot.
+
+N-grams are hashes, which don't compress, and there are more of them than the input has bytes to
+spare. So they are taken in a fixed number of slices by the word in the middle: all trigrams of a
+context, all that end in a bigram, and all bigrams of a context have the same one, so a slice has
+its weights, and its part of every text's sum, from itself and the counts of words. The texts are
+read once for each slice; of n-grams only a slice at a time is on disk.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tintype.llm.shared import maybe_in, membership_filter
-from tintype.plans.worktables import drop_table, write_table
+from tintype.llm.shared import maybe_in, membership_filter, slices as parts_of
+from tintype.plans.worktables import drop_table, freed_shuffles, write_table
 
-#: Share of the trusted documents that trains the model, and most n-grams that are looked up in place (16 bytes each).
+#: Share of the trusted documents that trains the model, and most n-grams of a slice that are looked up in place (16 bytes each).
 TRAIN_SHARE, IN_PLACE = 0.5, 1 << 19
 
-#: Hashes of the marks before and after a text.
-_BEGIN, _END = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\x00begin", "\x00end"))
+#: Slices of the n-grams, and characters of training text up to which there is one.
+SLICES, ONE_SLICE = 6, 1 << 23
+
+#: Bytes of text that a task holds as words at once, if there are several texts.
+BATCH = 4 << 20
+
+#: Hashes of the marks before and after a text, and what tells a bigram as a context from one as an n-gram.
+_BEGIN, _END, _CONTEXT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\x00begin", "\x00end", "\x00context"))
+
+
+def _signed(x: np.ndarray | np.uint64) -> np.ndarray | np.int64:
+    return np.ascontiguousarray(x).view(np.int64) if isinstance(x, np.ndarray) else x.view(np.int64)
+
+
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def _mix(a: np.ndarray, b: np.ndarray, order: int) -> np.ndarray:
-    x = (a ^ np.uint64(0x9E3779B97F4A7C15 * order % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29)) ^ b) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
+def _turned(key: Column, by: int) -> Column:
+    return F.shiftleft(key, by).bitwiseOR(F.shiftrightunsigned(key, 64 - by))
 
 
-def ngrams(texts: pa.Array) -> dict[str, np.ndarray]:
-    """N-grams of a batch of texts, one entry a position: word, bigram and trigram hashes, the text's number, place from 0 (begin mark)."""
-    words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(pc.utf8_lower(texts), "")))
-    words = pc.list_slice(words, 0) if isinstance(words, pa.ChunkedArray) else words
-    flat = words.flatten().dictionary_encode()
-    known = np.array([xxhash.xxh64_intdigest(w) for w in flat.dictionary.to_pylist()], dtype=np.uint64)
-    own = known[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
-    kept = own != np.uint64(xxhash.xxh64_intdigest(""))
-    of = pc.list_parent_indices(words).to_numpy()[kept]
-    own = own[kept]
+def _bigram(v, w, turn=_turn):
+    """A bigram's hash from those of its words, for arrays and, with ``_turned``, for columns."""
+    return turn(v, 21) ^ w if turn is _turn else turn(v, 21).bitwiseXOR(w)
+
+
+def _trigram(u, v, w, turn=_turn):
+    a, b = _bigram(u, v, turn), _bigram(v, w, turn)
+    return turn(a, 42) ^ b if turn is _turn else turn(a, 42).bitwiseXOR(b)
+
+
+def _hashes(words: pa.StringArray) -> np.ndarray:
+    """64-bit hashes of words that aren't empty, eight bytes at a time."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    start, left = ends[:-1], np.diff(ends)
+    text = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8)[: ends[-1]], np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(text) - 7,), "<u8", text.data, strides=(1,))
+    found = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = np.arange(len(words))
+    while len(at):
+        x = found[at] ^ (eight[start] << (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
+        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        found[at] = x ^ (x >> np.uint64(32))
+        more = left > 8
+        at, start, left = at[more], start[more] + 8, left[more] - 8
+    return found
+
+
+def positions(texts: pa.Array) -> dict[str, np.ndarray]:
+    """Positions of a batch of texts, marks included: the word's hash, the text's number, place from 0 (begin mark), whether it is the end mark; and the texts' words."""
+    words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(pc.utf8_lower(texts.cast(pa.string())), "")))
+    flat = words.flatten()
+    kept = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
+    of = pc.list_parent_indices(words).to_numpy()
+    if not kept.all():
+        flat, of = flat.filter(pa.array(kept)), of[kept]
     sizes = np.bincount(of, minlength=len(texts)) + 2
     ends = np.cumsum(sizes)
     u = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
-    doc = np.repeat(np.arange(len(texts)), sizes)
-    place = np.arange(len(u)) - np.repeat(ends - sizes, sizes)
+    last = np.zeros(len(u), bool)
+    last[ends - 1] = True
+    inner = ~last
+    inner[ends - sizes] = False
     u[ends - sizes], u[ends - 1] = _BEGIN, _END
-    inner = np.ones(len(u), bool)
-    inner[ends - sizes] = inner[ends - 1] = False
-    u[inner] = own
-    b = np.zeros_like(u)
-    b[1:] = _mix(u[:-1], u[1:], 2)
-    g = np.zeros_like(u)
-    g[2:] = _mix(b[1:-1], u[2:], 3)
-    return {"u": u, "b": b, "g": g, "doc": doc, "place": place, "words": sizes - 2}
+    if len(flat):
+        u[inner] = _hashes(flat)
+    place = np.arange(len(u)) - np.repeat(ends - sizes, sizes)
+    return {"u": u, "doc": np.repeat(np.arange(len(texts)), sizes), "place": place, "last": last, "words": sizes - 2}
 
 
-def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x).view(np.int64))
+def _of_slice(u: np.ndarray, slice: int, slices: int) -> np.ndarray:
+    return np.flatnonzero((u >> np.uint64(33)) % np.uint64(slices) == slice)
 
 
-def _counted(sample: DataFrame, text: str) -> DataFrame:
-    """Trigrams and bigrams (order, key, ctx, suf, start, n) of the sample, counted in each batch and in each task before the shuffle."""
+def _counted(texts: DataFrame, slice: int, slices: int, *by: str) -> DataFrame:
+    """Trigrams (u, v, w, n) of a slice, dealt by ``by``; a bigram that begins a text, which nothing precedes, has u = 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = ngrams(batch.column(0))
-            for order, key, ctx, suf, least in ((3, "g", "b", "b", 2), (2, "b", "u", "u", 1)):
-                at = np.flatnonzero(x["place"] >= least)
-                keys, first, n = np.unique(x[key][at], return_index=True, return_counts=True)
-                at = at[first]
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(keys), _signed(x[ctx][at - 1]), _signed(x[suf][at]), pa.array(x["place"][at] == 1), pa.array(np.full(len(n), order, np.int32)), pa.array(n.astype(np.int64))],
-                    names=["key", "ctx", "suf", "start", "order", "n"],
-                )
+        for batch in parts_of(batches, 0, BATCH):
+            x = positions(batch.column(0))
+            at = _of_slice(x["u"], slice, slices)
+            at = at[~x["last"][at]]
+            u, v, w = np.where(x["place"][at] > 0, x["u"][at - 1], np.uint64(0)), x["u"][at], x["u"][at + 1]
+            _, first, n = np.unique(_trigram(u, v, w), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(_signed(c[first])) for c in (u, v, w)), pa.array(n.astype(np.int64))], names=["u", "v", "w", "n"])
 
-    each = sample.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "key bigint, ctx bigint, suf bigint, start boolean, order int, n bigint")
-    return write_table(each.groupBy("order", "key").agg(F.min("ctx").alias("ctx"), F.min("suf").alias("suf"), F.max("start").alias("start"), F.sum("n").alias("n")), "ngrams")
+    each = texts.mapInArrow(count, "u bigint, v bigint, w bigint, n bigint").repartition(*by)
+    return each.groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
 
 
-def discounts(table: DataFrame) -> tuple[float, float, float]:
-    """The three discounts of counts ``c``, from how many n-grams were counted once to four times."""
-    n1, n2, n3, n4 = table.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()
-    y = n1 / (n1 + 2 * n2) if n1 else 0
-    return tuple(min(max(k - (k + 1) * y * more / less, 0.1), k - 0.05) if less and y else k / 2 for k, less, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
+def _bigrams(three: DataFrame, *more: Column) -> DataFrame:
+    """Bigrams (v, w, n, c): ``c`` is the number of words that precede it, or of itself if it begins a text."""
+    return three.groupBy("v", "w").agg(F.sum("n").alias("n"), F.count("*").alias("c"), *more).withColumn("c", F.when(F.col("v") == int(_signed(_BEGIN)), F.col("n")).otherwise(F.col("c")))
 
 
-def _discounted(d: tuple[float, float, float]) -> Column:
-    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
+def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
+    """The three discounts of counts, from how many n-grams were counted once to four times."""
+    y = n1 / (n1 + 2 * n2) if n1 else 0
+    return tuple(min(max(k - (k + 1) * y * more / less, 0.1), k - 0.05) if less and y else k / 2 for k, less, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def train(sample: DataFrame, text: str = "text") -> tuple[DataFrame, float, float]:
-    """(weights, per_position, per_text) of the texts of ``sample``: a table (key, weight, n), and the constants of every position and text.
+def _discounted(c: Column, d: tuple[float, float, float]) -> Column:
+    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+
+
+@dataclass
+class Weights:
+    """The weights of n-grams, made a slice at a time from the training texts, the words (w, n, p) and the discounts of bigrams and trigrams."""
+
+    texts: DataFrame
+    words: DataFrame
+    d2: tuple[float, float, float]
+    d3: tuple[float, float, float]
+    unknown: float
+    slices: int
+
+    def of(self, slice: int) -> DataFrame:
+        """A table (key, weight, n) of the n-grams of a slice."""
+        context = Window.partitionBy("u", "v")
+        n, c = F.col("n"), F.col("c")
+        total = F.sum("n").over(context)
+        three = _counted(self.texts, slice, self.slices, "u", "v")
+        three = write_table(three.withColumn("all", total).withColumn("gamma", F.sum(_discounted(n, self.d3)).over(context) / F.col("all")), "trigrams")
+        counted = write_table(_bigrams(three), "bigrams")
+        context2 = write_table(counted.groupBy("v").agg(F.sum("c").alias("all"), (F.sum(_discounted(c, self.d2)) / F.sum("c")).alias("gamma")), "contexts")
+        p2 = (c - _discounted(c, self.d2)) / F.col("all") + F.col("gamma") * F.col("lower")
+        two = counted.join(context2, "v").join(self.words.select("w", F.col("p").alias("lower")), "w")
+        two = write_table(two.select("v", "w", "n", p2.alias("p"), (F.log(p2) - F.log("lower") - F.log("gamma")).alias("weight")), "bigram-weights")
+        drop_table(counted)
+        three = three.where(F.col("v") != int(_signed(_BEGIN)))
+        p3 = (n - _discounted(n, self.d3)) / F.col("all") + F.col("gamma") * F.col("lower")
+        key2, key3 = _bigram(F.col("v"), F.col("w"), _turned), _trigram(F.col("u"), F.col("v"), F.col("w"), _turned)
+        as_context = _bigram(F.col("u"), F.col("v"), _turned).bitwiseXOR(F.lit(int(_signed(_CONTEXT))))
+        parts = [
+            three.join(two.select("v", "w", F.col("p").alias("lower")).hint("shuffle_hash"), ["v", "w"]).select(key3.alias("key"), (F.log(p3) - F.log("lower") - F.log("gamma")).alias("weight"), "n"),
+            three.groupBy("u", "v").agg(F.log(F.max("gamma")).alias("weight"), F.max("all").alias("n")).select(as_context.alias("key"), "weight", "n"),
+            two.select(key2.alias("key"), "weight", "n"),
+            self.words.where(F.shiftrightunsigned("w", 33) % self.slices == slice)
+            .join(context2.select(F.col("v").alias("w"), "gamma"), "w", "left")
+            .select(F.col("w").alias("key"), (F.log("p") - float(np.log(self.unknown)) + F.coalesce(F.log("gamma"), F.lit(0.0))).alias("weight"), "n"),
+        ]
+        weights = write_table(reduce(DataFrame.unionByName, parts), "weights")
+        for table in (three, two, context2):
+            drop_table(table)
+        return weights
+
+
+def train(sample: DataFrame, text: str = "text") -> tuple[Weights, float, float]:
+    """(weights, per_position, per_text) of the texts of ``sample``: the weights, and the constants of every position and text.
 
     An n-gram of two words is counted by the words that precede it, as is one of one word; n-grams
     that begin a text, which nothing precedes, by themselves.
     """
-    raw = _counted(sample, text)
-    three = raw.where("order = 3").select("key", "ctx", "suf", "n", F.col("n").alias("c"))
-    two = raw.where("order = 2").select("key", "ctx", "suf", "start", "n")
-    before = three.groupBy(F.col("suf").alias("key")).agg(F.count("*").alias("c"))
-    two = counted = write_table(two.join(before, "key", "left").withColumn("c", F.when(F.col("start"), F.col("n")).otherwise(F.coalesce("c", F.lit(1)))), "bigrams")
-    one = write_table(two.groupBy(F.col("suf").alias("key")).agg(F.count("*").alias("c"), F.sum("n").alias("n")), "unigrams")
-
-    total, kinds, off = one.agg(F.sum("c"), F.count("*"), F.sum(_discounted(d1 := discounts(one)))).first()
-    if not kinds:
-        return one.select("key", F.lit(0.0).alias("weight"), "n"), 0.0, 0.0
-    unknown = off / total / (kinds + 1)
-    one = one.withColumn("p", (F.col("c") - _discounted(d1)) / total + unknown)
-
-    def contexts(table: DataFrame, d: tuple[float, float, float]) -> DataFrame:
-        return table.groupBy("ctx").agg(F.sum("c").alias("all"), (F.sum(_discounted(d)) / F.sum("c")).alias("gamma"))
-
-    d2, d3 = discounts(two), discounts(three)
-    ctx2 = write_table(contexts(two, d2), "contexts")
-    ctx3 = contexts(three, d3)
-    p2 = (F.col("c") - _discounted(d2)) / F.col("all") + F.col("gamma") * F.col("lower")
-    two = two.join(ctx2, "ctx").join(one.select(F.col("key").alias("suf"), F.col("p").alias("lower")), "suf")
-    two = write_table(two.select("key", "n", p2.alias("p"), (F.log(p2) - F.log("lower") - F.log("gamma")).alias("gain")), "bigram-weights")
-    drop_table(counted)
-    p3 = (F.col("c") - _discounted(d3)) / F.col("all") + F.col("gamma") * F.col("lower")
-    three = three.join(ctx3, "ctx").join(two.select(F.col("key").alias("suf"), F.col("p").alias("lower")), "suf")
-    three = three.select("key", "n", (F.log(p3) - F.log("lower") - F.log("gamma")).alias("weight"))
-
-    def with_context(table: DataFrame, gain: Column, ctx: DataFrame) -> DataFrame:
-        return table.join(ctx.select(F.col("ctx").alias("key"), "gamma"), "key", "left").select("key", "n", (gain + F.coalesce(F.log("gamma"), F.lit(0.0))).alias("weight"))
-
-    begin = ctx2.where(F.col("ctx") == int(_BEGIN.view(np.int64))).select("gamma").first()
-    weights = with_context(one, F.log("p") - float(np.log(unknown)), ctx2).unionByName(with_context(two, F.col("gain"), ctx3)).unionByName(three)
-    weights = write_table(weights.select("key", "weight", "n"), "weights")
-    drop_table(raw)
-    drop_table(two)
-    return weights, float(np.log(unknown)), float(np.log(begin[0]))
-
-
-def _turned(key: Column) -> Column:
-    return F.shiftleft(key, 26).bitwiseOR(F.shiftrightunsigned(key, 38))
+    with freed_shuffles(sample.sparkSession):
+        texts = write_table(sample.select(F.col(text).cast("string").alias("text")), "training-texts")
+        slices = SLICES if (texts.agg(F.sum(F.length("text"))).first()[0] or 0) > ONE_SLICE else 1
+        first, n, c = F.col("v") == int(_signed(_BEGIN)), F.col("n"), F.col("c")
+        of = [f"{order}{k}" for order in "bt" for k in (1, 2, 3, 4)]
+        found = []
+        for slice in range(slices):
+            two = _bigrams(_counted(texts, slice, slices, "v", "w"), *[F.count_if((n == k) & ~first).alias(f"t{k}") for k in (1, 2, 3, 4)])
+            found.append(write_table(two.groupBy("w").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *[F.count_if(c == k).alias(f"b{k}") for k in (1, 2, 3, 4)], *[F.sum(f"t{k}").alias(f"t{k}") for k in (1, 2, 3, 4)]), "words"))
+        one = write_table(reduce(DataFrame.unionByName, found).groupBy("w").agg(*[F.sum(x).alias(x) for x in ("c", "n", *of)]), "unigrams")
+        for table in found:
+            drop_table(table)
+        total, kinds, *rest = one.agg(F.sum("c"), F.count("*"), *[F.count_if(c == k) for k in (1, 2, 3, 4)], *[F.sum(x) for x in of]).first()
+        d1, d2, d3 = (discounts(*(x or 0 for x in rest[i : i + 4])) for i in (0, 4, 8))
+        unknown = (d1[0] * rest[0] + d1[1] * rest[1] + d1[2] * (kinds - rest[0] - rest[1])) / total / (kinds + 1) if kinds else 1.0
+        words = write_table(one.select("w", "n", ((c - _discounted(c, d1)) / (total or 1) + unknown).alias("p")), "unigram-weights")
+        drop_table(one)
+        # the mass that the begin mark leaves to words that don't follow it
+        start = _bigrams(_begins(texts)).agg(F.sum("c"), F.sum(_discounted(c, d2))).first()
+    return Weights(texts, words, d2, d3, unknown, slices), float(np.log(unknown)), float(np.log(start[1] / start[0])) if kinds else 0.0
+
+
+def _begins(texts: DataFrame) -> DataFrame:
+    """The bigrams that begin a text, as ``_counted`` has them."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts_of(batches, 0, BATCH):
+            x = positions(batch.column(0))
+            w, n = np.unique(x["u"][np.flatnonzero(x["place"] == 0) + 1], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(w)), pa.array(n.astype(np.int64))], names=["w", "n"])
+
+    return texts.mapInArrow(count, "w bigint, n bigint").select(F.lit(0).cast("long").alias("u"), F.lit(int(_signed(_BEGIN))).alias("v"), "w", "n")
 
 
 def _least_count(weights: DataFrame) -> int:
@@ -157,58 +235,78 @@ def _least_count(weights: DataFrame) -> int:
     return least
 
 
-def log_probabilities(docs: DataFrame, weights: DataFrame, per_position: float, per_text: float, id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
-    """(row_id, doc_id, lang, n_words, logp) of every row under the model; the end of a text is one more position than its words."""
-    spark = docs.sparkSession
-    head = weights.where(F.col("n") >= _least_count(weights)).select("key", "weight").toArrow().sort_by("key")
-    filters = [membership_filter(weights.select(k.alias("key"))) for k in (F.col("key"), _turned(F.col("key")))]
-    shared = spark.sparkContext.broadcast((head["key"].to_numpy(), head["weight"].to_numpy(), filters))
-    rows = docs.select(docs[id].alias("doc_id"), (docs[lang].cast("string") if lang else F.lit(None).cast("string")).alias("lang"), docs[text].cast("string").alias("text"))
+def _summed(texts: DataFrame, weights: DataFrame, slice: int, slices: int) -> DataFrame:
+    """(h, logp, rows, n_words) of a slice, summed over all rows of (h, text) with the same h."""
+    least = _least_count(weights)
+    head = weights.where(F.col("n") >= least).select("key", "weight").toArrow().sort_by("key")
+    filters = [membership_filter(weights.select(k.alias("key")), written=True) for k in (F.col("key"), _turned(F.col("key"), 26))]
+    shared = texts.sparkSession.sparkContext.broadcast((head["key"].to_numpy(), head["weight"].to_numpy(), filters))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, own, (one, two) = shared.value
-        row = TaskContext.get().partitionId() << 36
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch = whole.slice(at, 1000)
-                x = ngrams(batch.column(2))
-                logp = np.zeros(len(batch))
-                late_doc, late_key = [], []
-                for name, least in (("u", 1), ("b", 1), ("g", 2)):
-                    k = x[name].view(np.int64)
-                    some = np.flatnonzero((x["place"] >= least) & maybe_in(one, k))
-                    some = some[maybe_in(two, (x[name][some] << np.uint64(26)) | (x[name][some] >> np.uint64(38)))]
-                    k, doc = k[some], x["doc"][some]
-                    if not len(keys):
-                        continue
-                    i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-                    there = keys[i] == k
-                    logp += np.bincount(doc[there], weights=own[i[there]], minlength=len(batch))
-                    late_doc.append(doc[~there])
-                    late_key.append(k[~there])
-                late = np.rec.fromarrays([np.concatenate(late_doc), np.concatenate(late_key)], names="doc,key") if late_doc else np.rec.fromarrays([np.zeros(0, np.int64)] * 2, names="doc,key")
-                late, n = np.unique(late, return_counts=True)
-                offsets = pa.array(np.searchsorted(late.doc, np.arange(len(batch) + 1)).astype(np.int32))
-                logp += (x["words"] + 1) * per_position + per_text
+        for whole in parts_of(batches, 1, BATCH):
+            for start in range(0, len(whole), 1000):
+                batch = whole.slice(start, 1000)
+                h = batch.column(0).to_numpy()
+                x = positions(batch.column(1))
+                at = _of_slice(x["u"], slice, slices)
+                go, middle = ~x["last"][at], x["place"][at] > 0
+                u, v, w = x["u"][at - 1], x["u"][at], x["u"][np.minimum(at + 1, len(x["u"]) - 1)]
+                some = go & middle
+                context = _bigram(u[some], v[some]) ^ _CONTEXT
+                k = np.concatenate([v[middle], context, _bigram(v[go], w[go]), _trigram(u[some], v[some], w[some])])
+                doc = np.concatenate([x["doc"][at[m]] for m in (middle, some, go, some)])
+                there = np.flatnonzero(maybe_in(one, k))
+                there = there[maybe_in(two, _turn(k[there], 26))]
+                k, doc = k[there], doc[there]
+                base = np.zeros(len(batch))
+                if len(keys):
+                    i = np.minimum(np.searchsorted(keys, _signed(k)), len(keys) - 1)
+                    here = keys[i] == _signed(k)
+                    base += np.bincount(doc[here], weights=own[i[here]], minlength=len(batch))
+                    k, doc = k[~here], doc[~here]
+                _, first, n = np.unique(k ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
+                first, n = first[order := np.argsort(first)], n[order]
+                late = len(first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row, row + len(batch))),
-                        batch.column(0),
-                        batch.column(1),
-                        pa.array(x["words"].astype(np.int64)),
-                        pa.array(logp),
-                        pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(late.key))),
-                        pa.ListArray.from_arrays(offsets, pa.array(n.astype(np.int32))),
+                        pa.array(np.concatenate([h[doc[first]], h])),
+                        pa.array(np.concatenate([_signed(k[first]), h])),
+                        pa.array(np.concatenate([n, np.zeros(len(batch), n.dtype)]).astype(np.int32)),
+                        pa.concat_arrays([pa.nulls(late, pa.float64()), pa.array(base)]),
+                        pa.concat_arrays([pa.nulls(late, pa.int64()), pa.array(x["words"].astype(np.int64))]),
                     ],
-                    names=["row_id", "doc_id", "lang", "n_words", "base", "keys", "counts"],
+                    names=["h", "key", "n", "base", "n_words"],
                 )
-                row += len(batch)
 
-    schema = f"row_id bigint, doc_id {rows.schema[0].dataType.simpleString()}, lang string, n_words bigint, base double, keys array<bigint>, counts array<int>"
-    looked = write_table(rows.mapInArrow(look, schema), "looked-up")
-    late = looked.select("row_id", F.explode(F.arrays_zip("keys", "counts")).alias("x")).select("row_id", F.col("x.keys").alias("key"), F.col("x.counts").alias("n"))
-    joined = late.join(weights.select("key", "weight"), "key").groupBy("row_id").agg(F.sum(F.col("n") * F.col("weight")).alias("late"))
-    return looked.join(joined, "row_id", "left").select("row_id", "doc_id", "lang", "n_words", (F.col("base") + F.coalesce("late", F.lit(0.0))).alias("logp"))
+    found = texts.mapInArrow(look, "h bigint, key bigint, n int, base double, n_words bigint")
+    part = F.coalesce(F.col("n") * F.col("weight"), F.lit(0.0)) + F.coalesce("base", F.lit(0.0))  # a text's own row has n = 0, so its key adds nothing
+    joined = found.join(weights.where(F.col("n") < least).select("key", "weight").hint("shuffle_hash"), "key", "left")
+    summed = write_table(joined.groupBy("h").agg(F.sum(part).alias("logp"), F.count("base").alias("rows"), F.max("n_words").alias("n_words")), "sums")
+    shared.destroy()
+    return summed
+
+
+def log_probabilities(docs: DataFrame, weights: Weights, per_position: float, per_text: float, id: str = "doc_id", text: str = "text", lang: str | None = "lang") -> DataFrame:
+    """(doc_id, lang, n_words, logp) of every row under the model; the end of a text is one more position than its words.
+
+    Sums are those of a text's hash: equal texts, counted in every slice as often, share them.
+    """
+    hashed = F.xxhash64(docs[text].cast("string")).alias("h")
+    texts = docs.select(hashed, docs[text].cast("string").alias("text"))
+    sums = []
+    with freed_shuffles(docs.sparkSession):
+        for slice in range(weights.slices):
+            own = weights.of(slice)
+            sums.append(_summed(texts, own, slice, weights.slices))
+            drop_table(own)
+        each = reduce(DataFrame.unionByName, sums).groupBy("h").agg((F.sum("logp") / F.max("rows")).alias("logp"), F.max("n_words").alias("n_words"))
+        each = each.select("h", "n_words", (F.col("logp") + (F.col("n_words") + 1) * per_position + per_text).alias("logp"))
+        rows = docs.select(hashed, docs[id].alias("doc_id"), (docs[lang].cast("string") if lang else F.lit(None).cast("string")).alias("lang"))
+        scored = write_table(rows.join(each, "h").select("doc_id", "lang", "n_words", "logp"), "scored")
+        for table in sums:
+            drop_table(table)
+    return scored
 
 
 def _of_ids(docs: DataFrame, chosen: DataFrame, id: str, text: str) -> DataFrame:
@@ -255,7 +353,7 @@ def quality(
     trusted = write_table(trusted, "trusted")
     drawn = F.pmod(F.xxhash64(F.lit("model sample"), F.col("doc_id")), F.lit(1_000_003)) < train_share * 1_000_003
     model = train(_of_ids(docs, trusted.where(drawn), id, text), text)
-    scored = write_table(log_probabilities(docs, *model, id, text, lang), "scored").withColumn("ppl", F.exp(-F.col("logp") / (F.col("n_words") + 1)))
+    scored = log_probabilities(docs, *model, id, text, lang).withColumn("ppl", F.exp(-F.col("logp") / (F.col("n_words") + 1)))
     held = scored.join(trusted.where(~drawn), "doc_id").where("n_words > 0")
     line = F.percentile_approx("ppl", quantile, 10_000) * (1 + slack)
     by_lang = held.groupBy("lang").agg(line.alias("own"), F.count("*").alias("rows")).where(F.col("rows") >= least_rows).select(F.col("lang").alias("l"), "own")

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tintype.functions.scalars import let
+from tintype.plans.worktables import drop_table, write_table
 
 __all__ = ["documents", "give_back_memory", "let", "matrices", "maybe_in", "membership_filter", "slices", "words_of"]
 
@@ -53,16 +54,21 @@ def documents(spark, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def membership_filter(keys: DataFrame, key: str = "key") -> np.ndarray:
+def membership_filter(keys: DataFrame, key: str = "key", written: bool = False) -> np.ndarray:
     """A bit array of fixed size in which every key's bit is set, so a clear bit proves absence.
 
     The bits are put together by an aggregation, so at most 2**20 words of 64 bits reach the
     driver, whatever the number of keys. A full filter passes more rows on, but loses none.
+    ``written``: they go through a table, so that ``freed_shuffles`` can free the shuffle of the keys.
     """
     word = F.shiftrightunsigned(F.col(key), 64 - FILTER_BITS + 6)
     bit = F.shiftrightunsigned(F.col(key), 64 - FILTER_BITS).bitwiseAND(F.lit(63)).cast("int")
     found = keys.groupBy(word.alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    if written:
+        found = write_table(found, "filter")
     table = found.toArrow()
+    if written:
+        drop_table(found)
     bits = np.zeros(1 << (FILTER_BITS - 6), dtype=np.uint64)
     bits[table.column("w").to_numpy()] = table.column("bits").to_numpy().view(np.uint64)
     return bits

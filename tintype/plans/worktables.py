@@ -93,3 +93,15 @@ def drop_table(df: DataFrame) -> None:
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if marker in parent:
             _delete(spark, parent)
+
+
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, the files of a query's shuffles go when it ends, not when the driver next collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
