@@ -503,6 +503,46 @@ def test_ngrams_are_on_disk_a_slice_at_a_time(spark, monkeypatch):
     assert max(rows) < 0.75 * known
 
 
+def test_ngrams_are_written_a_row_for_each_part(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [" ".join(f"{rng.choice('abc')}{rng.randrange(60)}" for _ in range(rng.randrange(1, 90))) for _ in range(100)]
+    asked = [*texts[:20], *texts[:20], "a1 b2 zz c3", None]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(asked)], "doc_id long, text string, lang string").repartition(3)
+    score, rows, write = plain_model(texts), defaultdict(list), kneser_ney.write_table
+
+    def counted(table, name):
+        written = write(table, name)
+        rows[name].append(written.count())
+        return written
+
+    for name, value in (("ONE_SLICE", 0), ("SLICES", 2), ("IN_PLACE", 40), ("BATCH", 300), ("PART", 500), ("LEAST_PARTS", 3), ("LOOKED_UP", 200), ("write_table", counted)):
+        monkeypatch.setattr(kneser_ney, name, value, raising=False)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"))
+    for r in kneser_ney.log_probabilities(df, *model).collect():
+        assert r.logp == pytest.approx(score(asked[r.doc_id]), rel=1e-9), asked[r.doc_id]
+        assert r.n_words == len((asked[r.doc_id] or "").split())
+    assert len(rows["weights"]) == 2
+    for name in set(rows) - {"training-texts", "words", "bigrams", "sums", "scored"}:  # bigrams and words: a row for each pair of parts at most
+        assert max(rows[name]) <= sum(len(t) for t in texts) // 200 + 3, name
+    assert max(rows["words"] + rows["bigrams"]) < 1100  # of some 4000 n-grams
+
+
+def test_packed_rows_and_filter_lose_nothing():
+    rng = np.random.default_rng(3)
+    for n, parts in ((0, 3), (1, 3), (5000, 3), (5000, 70_000)):
+        key, n_ = rng.integers(0, 1 << 64, n, dtype=np.uint64), np.arange(n)
+        t = kneser_ney._dealt("key n weight", key, parts, key=key, n=n_)
+        got = {}
+        for i in range(len(t)):
+            k, m, none = kneser_ney._values(t.slice(i, 1), "key n weight")
+            assert len(k) == len(m) > 0 == len(none) and (kneser_ney._part(k, parts) == t["part"][i].as_py()).all()
+            got |= dict(zip(m.tolist(), k.tolist(), strict=True))
+        assert got == dict(zip(n_.tolist(), key.tolist(), strict=True))
+    bits = np.concatenate([np.frombuffer(kneser_ney._bits(key[kneser_ney._part(key, 3) == k], k, 3).tobytes(), np.uint64) for k in range(3)])
+    assert len(bits) == 1 << kneser_ney.WORD_BITS and kneser_ney._maybe(bits, key).all()
+    assert kneser_ney._maybe(bits, rng.integers(0, 1 << 64, 100_000, dtype=np.uint64)).mean() < 0.001
+
+
 def test_quality_without_labels_and_rows(spark):
     docs = spark.createDataFrame([(1, "a b", None), (None, None, "en"), (1, "a b", None)], "doc_id long, text string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

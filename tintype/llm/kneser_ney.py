@@ -14,6 +14,10 @@ spare. So they are taken in a fixed number of slices by the word in the middle:
 context, all that end in a bigram, and all bigrams of a context have the same one, so a slice has
 its weights, and its part of every text's sum, from itself and the counts of words. The texts are
 read once for each slice; of n-grams only a slice at a time is on disk.
+
+Spark deals and joins the n-grams of a slice by parts, ranges of hashes whose number follows the
+text. A row holds what one task has for a part, as arrays: the work on a part, small sorts and
+sums, is numpy's, where a row for each n-gram took most of the time.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tintype.llm.shared import maybe_in, membership_filter, slices as parts_of
@@ -39,32 +43,41 @@ TRAIN_SHARE, IN_PLACE = 0.5, 1 << 19
 SLICES, ONE_SLICE = 6, 1 << 23
 
 #: Bytes of text that a task holds as words at once, if there are several texts.
-BATCH = 4 << 20
+BATCH = 2 << 20
 
-#: Hashes of the marks before and after a text, and what tells a bigram as a context from one as an n-gram.
-_BEGIN, _END, _CONTEXT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\x00begin", "\x00end", "\x00context"))
+#: Bytes of training text, and of text that is looked up, for each part of a slice's n-grams, and the least number of parts.
+PART, LOOKED_UP, LEAST_PARTS = 4 << 20, 32 << 20, 8
 
+#: Most texts that are looked up at once, as a text's number in a batch has two bytes.
+MOST_DOCS = 1 << 14
 
-def _signed(x: np.ndarray | np.uint64) -> np.ndarray | np.int64:
-    return np.ascontiguousarray(x).view(np.int64) if isinstance(x, np.ndarray) else x.view(np.int64)
+#: A membership filter has 2**21 words of 64 bits (16 MB), whatever the number of n-grams.
+WORD_BITS = 21
 
+#: Types of the columns of packed rows (others: counts), and the columns of words: how many words precede one, how often it
+#: occurs, and as a context its bigrams' counts and how many of them were counted once, twice and more often.
+_TYPES = dict.fromkeys(("u", "v", "w", "x", "key", "key1", "head"), np.uint64) | dict.fromkeys(("gamma", "p", "weight", "weight1", "headweight"), np.float64) | {"doc": np.uint16}
+WORD = "x c n all b1 b2 b3"
+_NONE = np.empty(0)
 
-def _turn(x: np.ndarray, by: int) -> np.ndarray:
-    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+#: What eight bytes are shifted by to leave the first 0 to 8 of them.
+_SHIFTS = np.uint64(8) * np.arange(8, -1, -1, dtype=np.uint64)
+
+#: Hashes of the marks before and after a text, and what tells a bigram as a context from one as an n-gram.
+_BEGIN, _END, _CONTEXT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\x00begin", "\x00end", "\x00context"))
 
 
-def _turned(key: Column, by: int) -> Column:
-    return F.shiftleft(key, by).bitwiseOR(F.shiftrightunsigned(key, 64 - by))
+def _turn(x: np.ndarray, by: int) -> np.ndarray:
+    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
 
 
-def _bigram(v, w, turn=_turn):
-    """A bigram's hash from those of its words, for arrays and, with ``_turned``, for columns."""
-    return turn(v, 21) ^ w if turn is _turn else turn(v, 21).bitwiseXOR(w)
+def _bigram(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A bigram's hash from those of its words."""
+    return _turn(v, 21) ^ w
 
 
-def _trigram(u, v, w, turn=_turn):
-    a, b = _bigram(u, v, turn), _bigram(v, w, turn)
-    return turn(a, 42) ^ b if turn is _turn else turn(a, 42).bitwiseXOR(b)
+def _trigram(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return _turn(_bigram(u, v), 42) ^ _bigram(v, w)
 
 
 def _hashes(words: pa.StringArray) -> np.ndarray:
@@ -73,18 +86,26 @@ def _hashes(words: pa.StringArray) -> np.ndarray:
     start, left = ends[:-1], np.diff(ends)
     text = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8)[: ends[-1]], np.zeros(8, np.uint8)])
     eight = np.ndarray((len(text) - 7,), "<u8", text.data, strides=(1,))
-    found = left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    at = np.arange(len(words))
+    found = _mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), eight, start, left)
+    at = np.flatnonzero(left > 8)
+    start, left = start[at] + 8, left[at] - 8
     while len(at):
-        x = found[at] ^ (eight[start] << (np.uint64(8) * (8 - np.minimum(left, 8)).astype(np.uint64)))
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        found[at] = x ^ (x >> np.uint64(32))
+        found[at] = _mixed(found[at], eight, start, left)
         more = left > 8
         at, start, left = at[more], start[more] + 8, left[more] - 8
     return found
 
 
+def _mixed(x: np.ndarray, eight: np.ndarray, start: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """``x`` with the next bytes of each word, eight at most."""
+    x ^= eight[start] << _SHIFTS[np.minimum(left, 8)]
+    for by, times in ((32, 0xBF58476D1CE4E5B9), (29, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(by)
+        x *= np.uint64(times)
+    x ^= x >> np.uint64(32)
+    return x
+
+
 def positions(texts: pa.Array) -> dict[str, np.ndarray]:
     """Positions of a batch of texts, marks included: the word's hash, the text's number, place from 0 (begin mark), whether it is the end mark; and the texts' words."""
     words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(pc.utf8_lower(texts.cast(pa.string())), "")))
@@ -111,8 +132,50 @@ def _of_slice(u: np.ndarray, slice: int, slices: int) -> np.ndarray:
     return np.flatnonzero((u >> np.uint64(33)) % np.uint64(slices) == slice)
 
 
-def _counted(texts: DataFrame, slice: int, slices: int, *by: str) -> DataFrame:
-    """Trigrams (u, v, w, n) of a slice, dealt by ``by``; a bigram that begins a text, which nothing precedes, has u = 0."""
+def _packed(columns: str) -> str:
+    """The schema of packed rows: the values of many n-grams as one binary value a column, so that a row stands for all that goes to a part together."""
+    return ", ".join(["part int", *(f"{c} binary" for c in columns.split())])
+
+
+def _part(key: np.ndarray, parts: int) -> np.ndarray:
+    """The part of a hash; it has a range of the first bits, and so of a filter."""
+    return ((key >> np.uint64(64 - WORD_BITS)) * np.uint64(parts) >> np.uint64(WORD_BITS)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+
+
+def _dealt(columns: str, by: np.ndarray, parts: int, **values: np.ndarray) -> pa.Table:
+    """Packed rows of ``values``, a row for each part of ``by`` that has any; columns without values are empty."""
+    part = _part(by, parts)
+    order = np.argsort(part, kind="stable")
+    ends = np.searchsorted(part[order], np.arange(parts + 1))
+    rows = np.flatnonzero(np.diff(ends))
+    bounds, arrays = np.append(ends[rows], ends[-1]), [pa.array(rows.astype(np.int32))]
+    for c in columns.split():
+        x = values[c][order] if c in values else np.empty(0, np.uint8)
+        offsets = (bounds * x.itemsize if c in values else np.zeros_like(bounds)).astype(np.int32)
+        arrays.append(pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(x)]))
+    return pa.table(arrays, names=["part", *columns.split()])
+
+
+def _row(part: int, **values: np.ndarray) -> pa.Table:
+    """One packed row."""
+    return pa.table({"part": pa.array([part], pa.int32())} | {k: pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for k, x in values.items()})
+
+
+def _values(table: pa.Table, columns: str) -> list[np.ndarray]:
+    return [np.frombuffer(b"".join(table[c].to_pylist()), _TYPES.get(c, np.int64)) for c in columns.split()]
+
+
+def _runs(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys begin."""
+    return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.empty(0, np.int64)
+
+
+def _sums(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, starts) if len(starts) else x[:0]
+
+
+def _counted(texts: DataFrame, slice: int, slices: int, parts: int, by_context: bool) -> DataFrame:
+    """Packed trigrams (u, v, w, n) of a slice, dealt by their first two words or else by their last; a bigram that begins a text, which nothing precedes, has u = 0."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(batches, 0, BATCH):
@@ -121,15 +184,52 @@ def _counted(texts: DataFrame, slice: int, slices: int, *by: str) -> DataFrame:
             at = at[~x["last"][at]]
             u, v, w = np.where(x["place"][at] > 0, x["u"][at - 1], np.uint64(0)), x["u"][at], x["u"][at + 1]
             _, first, n = np.unique(_trigram(u, v, w), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([*(pa.array(_signed(c[first])) for c in (u, v, w)), pa.array(n.astype(np.int64))], names=["u", "v", "w", "n"])
-
-    each = texts.mapInArrow(count, "u bigint, v bigint, w bigint, n bigint").repartition(*by)
-    return each.groupBy("u", "v", "w").agg(F.sum("n").alias("n"))
-
-
-def _bigrams(three: DataFrame, *more: Column) -> DataFrame:
-    """Bigrams (v, w, n, c): ``c`` is the number of words that precede it, or of itself if it begins a text."""
-    return three.groupBy("v", "w").agg(F.sum("n").alias("n"), F.count("*").alias("c"), *more).withColumn("c", F.when(F.col("v") == int(_signed(_BEGIN)), F.col("n")).otherwise(F.col("c")))
+            u, v, w = u[first], v[first], w[first]
+            by = np.where(u > 0, _bigram(u, v), w) if by_context else _bigram(v, w)  # what begins a text has no context
+            yield from _dealt("u v w n", by, parts, u=u, v=v, w=w, n=n.astype(np.int64)).to_batches()
+
+    return texts.mapInArrow(count, _packed("u v w n"))
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(u, v, w, n) of a part, a trigram once."""
+    u, v, w, n = _values(table, "u v w n")
+    order = np.argsort(key := _trigram(u, v, w))
+    starts = _runs(key[order])
+    first = order[starts]
+    return u[first], v[first], w[first], _sums(n[order], starts)
+
+
+def _words_of(table: pa.Table, parts: int) -> pa.Table:
+    """What a part of bigrams adds to the counts of words, and how many bigrams and trigrams it has counted once to four times."""
+    _, v, w, n = _merged(table)
+    begins = v == _BEGIN
+    of = [int(np.count_nonzero((n == k) & ~begins)) for k in (1, 2, 3, 4)]
+    order = np.argsort(key := _bigram(v, w))
+    starts = _runs(key[order])
+    first, n = order[starts], _sums(n[order], starts)
+    v, w, c = v[first], w[first], np.where(begins[first], n, np.diff(np.append(starts, len(order))))
+    none, one = np.zeros(len(c), np.int64), np.ones(len(c), np.int64)
+    after, before = [none, none, c, c == 1, c == 2, c > 2], [one, n, none, none, none, none]
+    x, *sums = _by_word(np.concatenate([v, w]), *(np.concatenate([a, b]) for a, b in zip(after, before, strict=True)))
+    found = _dealt(WORD, x, parts, **dict(zip(WORD.split(), [x, *sums], strict=True)))
+    of = [*(int(np.count_nonzero(c == k)) for k in (1, 2, 3, 4)), *of]
+    return found.append_column("of", pa.array([of] + [None] * (len(found) - 1), pa.list_(pa.int64())))
+
+
+def _by_word(x: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """The words once, and the sums of their counts."""
+    order = np.argsort(x)
+    starts = _runs(x[order])
+    return [x[order][starts], *(_sums(c[order].astype(np.int64), starts) for c in counts)]
+
+
+def _words(table: pa.Table) -> pa.Table:
+    """A part's words with whole counts; of all, those that the discounts of words and the begin mark's mass are made of."""
+    x, c, *more = _by_word(*_values(table, WORD))
+    begin = np.flatnonzero(x == _BEGIN)
+    of = [c.sum(), np.count_nonzero(c), *(np.count_nonzero(c == k) for k in (1, 2, 3, 4)), *(m[begin].sum() for m in more[1:])]
+    return _row(table["part"][0].as_py(), **dict(zip(WORD.split(), [x, c, *more], strict=True))).append_column("of", pa.array([[int(k) for k in of]], pa.list_(pa.int64())))
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -138,48 +238,104 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
     return tuple(min(max(k - (k + 1) * y * more / less, 0.1), k - 0.05) if less and y else k / 2 for k, less, more in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
-def _discounted(c: Column, d: tuple[float, float, float]) -> Column:
-    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
+def _discounted(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
+    return np.array([0.0, *d])[np.minimum(c, 3)]
 
 
 @dataclass
 class Weights:
-    """The weights of n-grams, made a slice at a time from the training texts, the words (w, n, p) and the discounts of bigrams and trigrams."""
+    """The weights of n-grams, made a slice at a time from the training texts, the counts of words and the discounts."""
 
     texts: DataFrame
     words: DataFrame
+    d1: tuple[float, float, float]
     d2: tuple[float, float, float]
     d3: tuple[float, float, float]
+    total: int
     unknown: float
     slices: int
-
-    def of(self, slice: int) -> DataFrame:
-        """A table (key, weight, n) of the n-grams of a slice."""
-        context = Window.partitionBy("u", "v")
-        n, c = F.col("n"), F.col("c")
-        total = F.sum("n").over(context)
-        three = _counted(self.texts, slice, self.slices, "u", "v")
-        three = write_table(three.withColumn("all", total).withColumn("gamma", F.sum(_discounted(n, self.d3)).over(context) / F.col("all")), "trigrams")
-        counted = write_table(_bigrams(three), "bigrams")
-        context2 = write_table(counted.groupBy("v").agg(F.sum("c").alias("all"), (F.sum(_discounted(c, self.d2)) / F.sum("c")).alias("gamma")), "contexts")
-        p2 = (c - _discounted(c, self.d2)) / F.col("all") + F.col("gamma") * F.col("lower")
-        two = counted.join(context2, "v").join(self.words.select("w", F.col("p").alias("lower")), "w")
-        two = write_table(two.select("v", "w", "n", p2.alias("p"), (F.log(p2) - F.log("lower") - F.log("gamma")).alias("weight")), "bigram-weights")
-        drop_table(counted)
-        three = three.where(F.col("v") != int(_signed(_BEGIN)))
-        p3 = (n - _discounted(n, self.d3)) / F.col("all") + F.col("gamma") * F.col("lower")
-        key2, key3 = _bigram(F.col("v"), F.col("w"), _turned), _trigram(F.col("u"), F.col("v"), F.col("w"), _turned)
-        as_context = _bigram(F.col("u"), F.col("v"), _turned).bitwiseXOR(F.lit(int(_signed(_CONTEXT))))
-        parts = [
-            three.join(two.select("v", "w", F.col("p").alias("lower")).hint("shuffle_hash"), ["v", "w"]).select(key3.alias("key"), (F.log(p3) - F.log("lower") - F.log("gamma")).alias("weight"), "n"),
-            three.groupBy("u", "v").agg(F.log(F.max("gamma")).alias("weight"), F.max("all").alias("n")).select(as_context.alias("key"), "weight", "n"),
-            two.select(key2.alias("key"), "weight", "n"),
-            self.words.where(F.shiftrightunsigned("w", 33) % self.slices == slice)
-            .join(context2.select(F.col("v").alias("w"), "gamma"), "w", "left")
-            .select(F.col("w").alias("key"), (F.log("p") - float(np.log(self.unknown)) + F.coalesce(F.log("gamma"), F.lit(0.0))).alias("weight"), "n"),
-        ]
-        weights = write_table(reduce(DataFrame.unionByName, parts), "weights")
-        for table in (three, two, context2):
+    parts: int
+
+    def of(self, slice: int, parts: int) -> DataFrame:
+        """Packed n-grams (key, weight) of a slice, a row for each of ``parts``: by key, with the part's range of the filter and its most frequent n-grams."""
+        d1, d2, d3, total_words, unknown, slices, own = self.d1, self.d2, self.d3, self.total or 1, self.unknown, self.slices, self.parts
+        trigram, other = "v w key n all gamma", "key1 n1 weight1"
+
+        def one(c: np.ndarray) -> np.ndarray:
+            return (c - _discounted(c, d1)) / total_words + unknown
+
+        def contexts(table: pa.Table) -> pa.Table:
+            u, v, w, n = _merged(table)
+            order = np.argsort(key := _bigram(u, v))
+            u, v, w, n, key = (x[order] for x in (u, v, w, n, key))
+            starts = _runs(key)
+            total = _sums(n, starts)
+            gamma = _sums(_discounted(n, d3), starts) / total
+            size, there = np.diff(np.append(starts, len(n))), u[starts] > 0
+            each = _dealt(f"{trigram} {other}", _bigram(v, w), own, v=v, w=w, key=_trigram(u, v, w), n=n, all=np.repeat(np.where(there, total, 0), size), gamma=np.repeat(gamma, size))
+            key = key[starts[there]] ^ _CONTEXT
+            return pa.concat_tables([each, _dealt(f"{trigram} {other}", key, own, key1=key, n1=total[there], weight1=np.log(gamma[there]))])
+
+        def bigrams(table: pa.Table) -> pa.Table:
+            v, w, *more = _values(table, trigram)
+            order = np.argsort(b := _bigram(v, w))
+            starts = _runs(b[order])
+            first, size = order[starts], np.diff(np.append(starts, len(order)))
+            key, n, total, gamma = (x[order] for x in more)
+            n2 = _sums(n, starts)
+            rest = dict(zip(other.split(), _values(table, other), strict=True))
+            return _row(table["part"][0].as_py(), v=v[first], w=w[first], n2=n2, c=np.where(v[first] == _BEGIN, n2, size), size=size, key=key, n=n, all=total, gamma=gamma, **rest)
+
+        def by_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in range(len(batch)):
+                    v, w, c = _values(pa.table(batch.slice(k, 1)), "v w c")
+                    yield from _dealt("v w c", w, own, v=v, w=w, c=c).to_batches()
+
+        def lower(table: pa.Table, words: pa.Table) -> pa.Table:
+            (v, w, c), (x, before) = _values(table, "v w c"), _values(words, "x c")
+            return _dealt("v w c p", v, own, v=v, w=w, c=c, p=one(before[np.searchsorted(x, w)]) if len(w) else np.empty(0))
+
+        def second(table: pa.Table, words: pa.Table) -> pa.Table:
+            (v, w, c, p), (x, before, n, total, *b) = _values(table, "v w c p"), _values(words, WORD)
+            some = _of_slice(x, slice, slices)
+            x, before, n, total, *b = (y[some] for y in (x, before, n, total, *b))
+            gamma = np.where(total > 0, sum(d * y for d, y in zip(d2, b, strict=True)) / np.maximum(total, 1), 1.0)
+            at = np.searchsorted(x, v)
+            p2 = (c - _discounted(c, d2)) / total[at] + gamma[at] * p
+            key = _bigram(v, w)
+            two = _dealt(f"key p weight {other}", key, own, key=key, p=p2, weight=np.log(p2) - np.log(p) - np.log(gamma[at]))
+            follows = before > 0
+            weight = np.log(one(before[follows])) - np.log(unknown) + np.log(gamma[follows])
+            return pa.concat_tables([two, _dealt(f"key p weight {other}", x[follows], own, key1=x[follows], n1=n[follows], weight1=weight)])
+
+        def third(table: pa.Table, two: pa.Table) -> pa.Table:
+            (n2, size, key, n, total, gamma), (key2, p, weight) = _values(table, "n2 size key n all gamma"), _values(two, "key p weight")
+            order = np.argsort(key2)
+            lower = np.repeat(p[order], size)
+            real = total > 0  # the others begin a text
+            key, n, total, gamma, lower = (x[real] for x in (key, n, total, gamma, lower))
+            weight3 = np.log((n - _discounted(n, d3)) / total + gamma * lower) - np.log(lower) - np.log(gamma)
+            more = zip(_values(table, other), _values(two, other), strict=True)
+            key, n, weight = (np.concatenate(x) for x in zip((key2[order], n2, weight[order]), (key, n, weight3), *zip(*more, strict=True), strict=True))
+            return _dealt("key n weight", key, parts, key=key, n=n, weight=weight)
+
+        def part(table: pa.Table) -> pa.Table:
+            key, n, weight = _values(table, "key n weight")
+            order = np.argsort(key)
+            key, n, weight = key[order], n[order], weight[order]
+            head = np.sort(np.argsort(-n, kind="stable")[: IN_PLACE // parts])
+            k = table["part"][0].as_py()
+            return _row(k, key=key, weight=weight, bits=_bits(key, k, parts), head=key[head], headweight=weight[head])
+
+        each = _counted(self.texts, slice, slices, own, True).groupBy("part").applyInArrow(contexts, _packed(f"{trigram} {other}"))
+        three = write_table(each.groupBy("part").applyInArrow(bigrams, _packed(f"v w n2 c size key n all gamma {other}")), "trigrams")
+        two = three.select("part", "v", "w", "c").mapInArrow(by_last, _packed("v w c")).groupBy("part")
+        two = two.cogroup(self.words.select("part", "x", "c").groupBy("part")).applyInArrow(lower, _packed("v w c p")).groupBy("part")
+        two = write_table(two.cogroup(self.words.drop("of").groupBy("part")).applyInArrow(second, _packed(f"key p weight {other}")), "bigrams")
+        every = three.drop("v", "w", "c").groupBy("part").cogroup(two.groupBy("part")).applyInArrow(third, _packed("key n weight"))
+        weights = write_table(every.groupBy("part").applyInArrow(part, _packed("key weight bits head headweight")), "weights")
+        for table in (three, two):
             drop_table(table)
         return weights
 
@@ -192,61 +348,72 @@ def train(sample: DataFrame, text: str = "text") -> tuple[Weights, float, float]
     """
     with freed_shuffles(sample.sparkSession):
         texts = write_table(sample.select(F.col(text).cast("string").alias("text")), "training-texts")
-        slices = SLICES if (texts.agg(F.sum(F.length("text"))).first()[0] or 0) > ONE_SLICE else 1
-        first, n, c = F.col("v") == int(_signed(_BEGIN)), F.col("n"), F.col("c")
-        of = [f"{order}{k}" for order in "bt" for k in (1, 2, 3, 4)]
-        found = []
+        size = _size(texts)
+        slices, parts = SLICES if size > ONE_SLICE else 1, max(LEAST_PARTS, size // PART)
+        schema, found = _packed(WORD) + ", of array<bigint>", []
         for slice in range(slices):
-            two = _bigrams(_counted(texts, slice, slices, "v", "w"), *[F.count_if((n == k) & ~first).alias(f"t{k}") for k in (1, 2, 3, 4)])
-            found.append(write_table(two.groupBy("w").agg(F.count("*").alias("c"), F.sum("n").alias("n"), *[F.count_if(c == k).alias(f"b{k}") for k in (1, 2, 3, 4)], *[F.sum(f"t{k}").alias(f"t{k}") for k in (1, 2, 3, 4)]), "words"))
-        one = write_table(reduce(DataFrame.unionByName, found).groupBy("w").agg(*[F.sum(x).alias(x) for x in ("c", "n", *of)]), "unigrams")
+            found.append(write_table(_counted(texts, slice, slices, parts, False).groupBy("part").applyInArrow(lambda t: _words_of(t, parts), schema), "words"))
+        both = reduce(DataFrame.unionByName, found)
+        of = _total(both, 8)
+        words = write_table(both.drop("of").groupBy("part").applyInArrow(_words, schema), "word-counts")
         for table in found:
             drop_table(table)
-        total, kinds, *rest = one.agg(F.sum("c"), F.count("*"), *[F.count_if(c == k) for k in (1, 2, 3, 4)], *[F.sum(x) for x in of]).first()
-        d1, d2, d3 = (discounts(*(x or 0 for x in rest[i : i + 4])) for i in (0, 4, 8))
-        unknown = (d1[0] * rest[0] + d1[1] * rest[1] + d1[2] * (kinds - rest[0] - rest[1])) / total / (kinds + 1) if kinds else 1.0
-        words = write_table(one.select("w", "n", ((c - _discounted(c, d1)) / (total or 1) + unknown).alias("p")), "unigram-weights")
-        drop_table(one)
+        total, kinds, *n1, begins, b1, b2, b3 = _total(words, 10)
+        d1, d2, d3 = (discounts(*x) for x in (n1, of[:4], of[4:]))
+        unknown = (d1[0] * n1[0] + d1[1] * n1[1] + d1[2] * (kinds - n1[0] - n1[1])) / total / (kinds + 1) if kinds else 1.0
         # the mass that the begin mark leaves to words that don't follow it
-        start = _bigrams(_begins(texts)).agg(F.sum("c"), F.sum(_discounted(c, d2))).first()
-    return Weights(texts, words, d2, d3, unknown, slices), float(np.log(unknown)), float(np.log(start[1] / start[0])) if kinds else 0.0
+        left = (d2[0] * b1 + d2[1] * b2 + d2[2] * b3) / begins if kinds else 1.0
+    return Weights(texts, words, d1, d2, d3, total, unknown, slices, parts), float(np.log(unknown)), float(np.log(left))
 
 
-def _begins(texts: DataFrame) -> DataFrame:
-    """The bigrams that begin a text, as ``_counted`` has them."""
+def _size(texts: DataFrame) -> int:
+    return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _total(table: DataFrame, n: int) -> list[int]:
+    return [x or 0 for x in table.agg(*[F.sum(F.col("of")[k]) for k in range(n)]).first()]
+
+
+def _first_word(part: int, parts: int) -> int:
+    return -(-part * (1 << WORD_BITS) // parts)
+
+
+def _bits(keys: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """A part's words of the membership filter, in which two bits of a key's word are set; a filter of fixed size passes more keys on as it fills, but loses none."""
+    first, stop = _first_word(part, parts), _first_word(part + 1, parts)
+    bits = np.zeros((stop - first) * 64, np.uint8)
+    word, one, two = _places(keys)
+    for bit in (one, two):
+        bits[(word - first) * 64 + bit] = 1
+    return np.packbits(bits, bitorder="little")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts_of(batches, 0, BATCH):
-            x = positions(batch.column(0))
-            w, n = np.unique(x["u"][np.flatnonzero(x["place"] == 0) + 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(_signed(w)), pa.array(n.astype(np.int64))], names=["w", "n"])
 
-    return texts.mapInArrow(count, "w bigint, n bigint").select(F.lit(0).cast("long").alias("u"), F.lit(int(_signed(_BEGIN))).alias("v"), "w", "n")
+def _places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A key's word in the filter and its two bits there."""
+    return (keys >> np.uint64(64 - WORD_BITS)).view(np.int64), *(((keys >> np.uint64(64 - WORD_BITS - k)) & np.uint64(63)).view(np.int64) for k in (6, 12))
 
 
-def _least_count(weights: DataFrame) -> int:
-    """The least count such that at most IN_PLACE n-grams have it or a larger one."""
-    sizes = weights.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).limit(IN_PLACE + 1).collect()  # each stands for an n-gram or more
-    least, total = 1 << 62, 0
-    for n, k in sizes:
-        if (total := total + k) > IN_PLACE:
-            break
-        least = n
-    return least
+def _maybe(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    word, one, two = _places(keys)
+    mask = (np.uint64(1) << one.view(np.uint64)) | (np.uint64(1) << two.view(np.uint64))
+    return bits[word] & mask == mask
 
 
-def _summed(texts: DataFrame, weights: DataFrame, slice: int, slices: int) -> DataFrame:
-    """(h, logp, rows, n_words) of a slice, summed over all rows of (h, text) with the same h."""
-    least = _least_count(weights)
-    head = weights.where(F.col("n") >= least).select("key", "weight").toArrow().sort_by("key")
-    filters = [membership_filter(weights.select(k.alias("key")), written=True) for k in (F.col("key"), _turned(F.col("key"), 26))]
-    shared = texts.sparkSession.sparkContext.broadcast((head["key"].to_numpy(), head["weight"].to_numpy(), filters))
+def _summed(texts: DataFrame, weights: DataFrame, slice: int, slices: int, parts: int) -> DataFrame:
+    """(h, logp, rows, n_words) of a slice, for each of (h, text) or several with the same h."""
+    fixed = weights.select("part", "bits", "head", "headweight").toArrow().sort_by("part")  # parts are ranges of keys, so the heads are by key
+    words = np.zeros(1 << WORD_BITS, np.uint64)
+    for k, bits in zip(fixed["part"].to_pylist(), fixed["bits"].to_pylist(), strict=True):
+        first = _first_word(k, parts)
+        words[first : first + len(bits) // 8] = np.frombuffer(bits, np.uint64)
+    shared = texts.sparkSession.sparkContext.broadcast((*_values(fixed, "head headweight"), words))
+    schema = "part int, id bigint, key binary, doc binary, weight binary, h binary, n binary"
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, own, (one, two) = shared.value
+        keys, own, filter = shared.value
         for whole in parts_of(batches, 1, BATCH):
-            for start in range(0, len(whole), 1000):
-                batch = whole.slice(start, 1000)
+            for start in range(0, len(whole), MOST_DOCS):
+                batch = whole.slice(start, MOST_DOCS)
                 h = batch.column(0).to_numpy()
                 x = positions(batch.column(1))
                 at = _of_slice(x["u"], slice, slices)
@@ -256,33 +423,47 @@ def _summed(texts: DataFrame, weights: DataFrame, slice: int, slices: int) -> Da
                 context = _bigram(u[some], v[some]) ^ _CONTEXT
                 k = np.concatenate([v[middle], context, _bigram(v[go], w[go]), _trigram(u[some], v[some], w[some])])
                 doc = np.concatenate([x["doc"][at[m]] for m in (middle, some, go, some)])
-                there = np.flatnonzero(maybe_in(one, k))
-                there = there[maybe_in(two, _turn(k[there], 26))]
+                there = np.flatnonzero(_maybe(filter, k))
+                there = there[np.argsort(k[there])]  # a search for sorted keys takes a third of the time
                 k, doc = k[there], doc[there]
                 base = np.zeros(len(batch))
                 if len(keys):
-                    i = np.minimum(np.searchsorted(keys, _signed(k)), len(keys) - 1)
-                    here = keys[i] == _signed(k)
+                    i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
+                    here = keys[i] == k
                     base += np.bincount(doc[here], weights=own[i[here]], minlength=len(batch))
                     k, doc = k[~here], doc[~here]
-                _, first, n = np.unique(k ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), return_index=True, return_counts=True)
-                first, n = first[order := np.argsort(first)], n[order]
-                late = len(first)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([h[doc[first]], h])),
-                        pa.array(np.concatenate([_signed(k[first]), h])),
-                        pa.array(np.concatenate([n, np.zeros(len(batch), n.dtype)]).astype(np.int32)),
-                        pa.concat_arrays([pa.nulls(late, pa.float64()), pa.array(base)]),
-                        pa.concat_arrays([pa.nulls(late, pa.int64()), pa.array(x["words"].astype(np.int64))]),
-                    ],
-                    names=["h", "key", "n", "base", "n_words"],
-                )
-
-    found = texts.mapInArrow(look, "h bigint, key bigint, n int, base double, n_words bigint")
-    part = F.coalesce(F.col("n") * F.col("weight"), F.lit(0.0)) + F.coalesce("base", F.lit(0.0))  # a text's own row has n = 0, so its key adds nothing
-    joined = found.join(weights.where(F.col("n") < least).select("key", "weight").hint("shuffle_hash"), "key", "left")
-    summed = write_table(joined.groupBy("h").agg(F.sum(part).alias("logp"), F.count("base").alias("rows"), F.max("n_words").alias("n_words")), "sums")
+                id = xxhash.xxh64_intdigest(h.tobytes()) >> 1  # batches of equal texts share it
+                late = _dealt("key doc weight h n", k, parts, key=k, doc=doc.astype(np.uint16))
+                texts = _row(id % parts, key=_NONE, doc=_NONE, weight=base, h=h, n=x["words"])
+                each = pa.concat_tables([late, texts])
+                yield from each.add_column(1, "id", pa.array([id] * len(each), pa.int64())).to_batches()
+
+    def weigh(found: pa.Table, weights: pa.Table) -> pa.Table:
+        keys, own = _values(weights, "key weight")
+        docs, sums = [], []
+        for row in range(len(found)):
+            key, doc = _values(one := found.slice(row, 1), "key doc")
+            if not len(key):  # the texts' own row
+                docs.append(b"")
+                sums += one["weight"].to_pylist()
+                continue
+            at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+            there = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+            total = np.bincount(doc[there], weights=own[at[there]] if len(keys) else np.empty(0))
+            some = np.flatnonzero(total)
+            docs.append(some.astype(np.uint16).tobytes())
+            sums.append(total[some].tobytes())
+        return pa.table({"id": found["id"], "doc": pa.array(docs, pa.binary()), "weight": pa.array(sums, pa.binary()), "h": found["h"], "n": found["n"]})
+
+    def add(table: pa.Table) -> pa.Table:
+        own = table.filter(pc.greater(pc.binary_length(table["h"]), 0))
+        h, words = _values(own.slice(0, 1), "h n")
+        base, doc, late = *_values(own, "weight"), *_values(table.filter(pc.equal(pc.binary_length(table["h"]), 0)), "doc weight")
+        total = base.reshape(len(own), -1).sum(0) + np.bincount(doc, weights=late, minlength=len(h))
+        return pa.table({"h": h, "logp": total, "rows": np.full(len(h), len(own)), "n_words": words})
+
+    found = texts.mapInArrow(look, schema).groupBy("part").cogroup(weights.select("part", "key", "weight").groupBy("part")).applyInArrow(weigh, "id bigint, doc binary, weight binary, h binary, n binary")
+    summed = write_table(found.groupBy("id").applyInArrow(add, "h bigint, logp double, rows bigint, n_words bigint"), "sums")
     shared.destroy()
     return summed
 
@@ -296,11 +477,12 @@ def log_probabilities(docs: DataFrame, weights: Weights, per_position: float, pe
     texts = docs.select(hashed, docs[text].cast("string").alias("text"))
     sums = []
     with freed_shuffles(docs.sparkSession):
+        parts = max(weights.parts, _size(texts) // LOOKED_UP)
         for slice in range(weights.slices):
-            own = weights.of(slice)
-            sums.append(_summed(texts, own, slice, weights.slices))
+            own = weights.of(slice, parts)
+            sums.append(_summed(texts, own, slice, weights.slices, parts))
             drop_table(own)
-        each = reduce(DataFrame.unionByName, sums).groupBy("h").agg((F.sum("logp") / F.max("rows")).alias("logp"), F.max("n_words").alias("n_words"))
+        each = reduce(DataFrame.unionByName, sums).groupBy("h").agg((F.sum("logp") * weights.slices / F.sum("rows")).alias("logp"), F.max("n_words").alias("n_words"))
         each = each.select("h", "n_words", (F.col("logp") + (F.col("n_words") + 1) * per_position + per_text).alias("logp"))
         rows = docs.select(hashed, docs[id].alias("doc_id"), (docs[lang].cast("string") if lang else F.lit(None).cast("string")).alias("lang"))
         scored = write_table(rows.join(each, "h").select("doc_id", "lang", "n_words", "logp"), "scored")
