@@ -9,6 +9,8 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -522,9 +524,25 @@ def test_ngrams_are_written_a_row_for_each_part(spark, monkeypatch):
         assert r.logp == pytest.approx(score(asked[r.doc_id]), rel=1e-9), asked[r.doc_id]
         assert r.n_words == len((asked[r.doc_id] or "").split())
     assert len(rows["weights"]) == 2
-    for name in set(rows) - {"training-texts", "words", "bigrams", "sums", "scored"}:  # bigrams and words: a row for each pair of parts at most
+    for name in set(rows) - {"training-texts", "words", "bigrams", "every", "sums", "scored"}:  # bigrams and words: a row for each pair of parts at most, as every
         assert max(rows[name]) <= sum(len(t) for t in texts) // 200 + 3, name
-    assert max(rows["words"] + rows["bigrams"]) < 1100  # of some 4000 n-grams
+    assert max(rows["words"] + rows["bigrams"] + rows["every"]) < 1500  # of some 4000 n-grams
+
+
+def test_words_are_split_at_every_space():
+    chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rng = random.Random(13)
+    odd = [c for c in chars if c.isspace()] + ["a", "é", "漢", "\U0001f600", "\u2010", "\u3001", "\u00c5", "xyz" * 9]
+    texts = [f"a{c}b" for c in chars] + [None, "", " ", "\u3000", "\u3000a", "a\u00a0"] + ["".join(rng.choice(odd) for _ in range(rng.randrange(20))) for _ in range(3000)]
+    batch = pa.array(["cut off", *texts], pa.string()).slice(1)
+    split = pc.list_value_length(pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(batch.slice(0, len(chars))))))
+    x = kneser_ney.positions(batch)
+    assert x["words"][: len(chars)].tolist() == split.to_pylist()
+    words = [(t or "").lower().split() for t in texts[len(chars) :]]
+    assert x["words"][len(chars) :].tolist() == [len(w) for w in words]
+    got = x["u"][np.flatnonzero(np.isin(x["doc"], np.arange(len(chars), len(texts))) & ~x["last"] & (x["place"] > 0))]
+    hashes = dict(zip([w for t in words for w in t], got.tolist(), strict=True))
+    assert all(hashes[w] == g for w, g in zip([w for t in words for w in t], got.tolist(), strict=True)) and len(set(hashes.values())) == len(hashes)
 
 
 def test_packed_rows_and_filter_lose_nothing():

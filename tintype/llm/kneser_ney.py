@@ -40,7 +40,7 @@ from tintype.plans.worktables import drop_table, freed_shuffles, write_table
 TRAIN_SHARE, IN_PLACE = 0.5, 1 << 19
 
 #: Slices of the n-grams, and characters of training text up to which there is one.
-SLICES, ONE_SLICE = 6, 1 << 23
+SLICES, ONE_SLICE = 5, 1 << 23
 
 #: Bytes of text that a task holds as words at once, if there are several texts.
 BATCH = 2 << 20
@@ -63,6 +63,12 @@ _NONE = np.empty(0)
 #: What eight bytes are shifted by to leave the first 0 to 8 of them.
 _SHIFTS = np.uint64(8) * np.arange(8, -1, -1, dtype=np.uint64)
 
+#: Spaces: bytes, and by their first byte those that are several in UTF-8.
+_SPACE = np.isin(np.arange(256), [*range(9, 14), *range(28, 32), 32])
+_WIDE_SPACES: dict[int, list[bytes]] = {}
+for _c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000):
+    _WIDE_SPACES.setdefault((_b := chr(_c).encode())[0], []).append(_b[1:])
+
 #: Hashes of the marks before and after a text, and what tells a bigram as a context from one as an n-gram.
 _BEGIN, _END, _CONTEXT = (np.uint64(xxhash.xxh64_intdigest(x)) for x in ("\x00begin", "\x00end", "\x00context"))
 
@@ -80,11 +86,9 @@ def _trigram(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return _turn(_bigram(u, v), 42) ^ _bigram(v, w)
 
 
-def _hashes(words: pa.StringArray) -> np.ndarray:
-    """64-bit hashes of words that aren't empty, eight bytes at a time."""
-    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
-    start, left = ends[:-1], np.diff(ends)
-    text = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8)[: ends[-1]], np.zeros(8, np.uint8)])
+def _hashes(text: np.ndarray, start: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, ``left`` bytes from ``start`` each, eight bytes at a time."""
+    text = np.concatenate([text, np.zeros(8, np.uint8)])
     eight = np.ndarray((len(text) - 7,), "<u8", text.data, strides=(1,))
     found = _mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), eight, start, left)
     at = np.flatnonzero(left > 8)
@@ -106,15 +110,33 @@ def _mixed(x: np.ndarray, eight: np.ndarray, start: np.ndarray, left: np.ndarray
     return x
 
 
+def _words_in(text: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in the bytes of texts that lie at ``bounds``: between spaces, those beyond ASCII included."""
+    gap = _SPACE[text]
+    for first, rest in _WIDE_SPACES.items():
+        at = np.flatnonzero(text[: len(text) - len(rest[0])] == first)
+        for more in rest if len(at) else ():
+            here = at[np.all([text[at + k + 1] == b for k, b in enumerate(more)], 0)]
+            for k in range(len(more) + 1):
+                gap[here + k] = True
+    edge = np.zeros(len(text) + 1, bool)  # between this byte and the one before
+    edge[bounds] = True
+    starts, stops = edge.copy(), edge
+    starts[1:-1] |= gap[:-1]
+    stops[1:-1] |= gap[1:]
+    starts[:-1] &= ~gap
+    stops[1:] &= ~gap
+    starts[-1] = stops[0] = False
+    return np.flatnonzero(starts), np.flatnonzero(stops)
+
+
 def positions(texts: pa.Array) -> dict[str, np.ndarray]:
     """Positions of a batch of texts, marks included: the word's hash, the text's number, place from 0 (begin mark), whether it is the end mark; and the texts' words."""
-    words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(pc.utf8_lower(texts.cast(pa.string())), "")))
-    flat = words.flatten()
-    kept = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
-    of = pc.list_parent_indices(words).to_numpy()
-    if not kept.all():
-        flat, of = flat.filter(pa.array(kept)), of[kept]
-    sizes = np.bincount(of, minlength=len(texts)) + 2
+    lower = pc.fill_null(pc.utf8_lower(texts.cast(pa.string())), "")
+    bounds = np.frombuffer(lower.buffers()[1], np.int32)[lower.offset : lower.offset + len(lower) + 1].astype(np.int64)
+    text = np.frombuffer(lower.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    start, stop = _words_in(text, bounds := bounds - bounds[0])
+    sizes = np.diff(np.searchsorted(start, bounds)) + 2
     ends = np.cumsum(sizes)
     u = np.empty(int(ends[-1]) if len(ends) else 0, dtype=np.uint64)
     last = np.zeros(len(u), bool)
@@ -122,8 +144,7 @@ def positions(texts: pa.Array) -> dict[str, np.ndarray]:
     inner = ~last
     inner[ends - sizes] = False
     u[ends - sizes], u[ends - 1] = _BEGIN, _END
-    if len(flat):
-        u[inner] = _hashes(flat)
+    u[inner] = _hashes(text, start, stop - start)
     place = np.arange(len(u)) - np.repeat(ends - sizes, sizes)
     return {"u": u, "doc": np.repeat(np.arange(len(texts)), sizes), "place": place, "last": last, "words": sizes - 2}
 
@@ -333,10 +354,11 @@ class Weights:
         two = three.select("part", "v", "w", "c").mapInArrow(by_last, _packed("v w c")).groupBy("part")
         two = two.cogroup(self.words.select("part", "x", "c").groupBy("part")).applyInArrow(lower, _packed("v w c p")).groupBy("part")
         two = write_table(two.cogroup(self.words.drop("of").groupBy("part")).applyInArrow(second, _packed(f"key p weight {other}")), "bigrams")
-        every = three.drop("v", "w", "c").groupBy("part").cogroup(two.groupBy("part")).applyInArrow(third, _packed("key n weight"))
-        weights = write_table(every.groupBy("part").applyInArrow(part, _packed("key weight bits head headweight")), "weights")
+        every = write_table(three.drop("v", "w", "c").groupBy("part").cogroup(two.groupBy("part")).applyInArrow(third, _packed("key n weight")), "every")
         for table in (three, two):
             drop_table(table)
+        weights = write_table(every.groupBy("part").applyInArrow(part, _packed("key weight bits head headweight")), "weights")
+        drop_table(every)
         return weights
 
 
